@@ -91,3 +91,48 @@ steps AS (
   SELECT *, (c0 IN (1,2,4,6))::INT AS s0, (c1 IN (1,2,4,6))::INT AS s1,
             (c2 IN (1,2,4,6))::INT AS s2, (c3 IN (1,2,4,6))::INT AS s3
   FROM ev)"""
+
+
+def rounded(column: Column | str, digits: int = 6) -> Column:
+    """Round computed doubles for comparison, keeping exact ties off the rounding edge."""
+    value = F.col(column) if isinstance(column, str) else column
+    return F.round(value + F.lit(1e-9), digits)
+
+
+def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order is a chart, each line number a grid slot, each part a panel.
+
+    Lines that share an order, a line number and a panel are one note, so they are aggregated first.
+    """
+    lines = table(spark, sf_dir, "lineitem")
+    panel = F.col("l_partkey") % 4
+    code = F.col("l_quantity").cast("int") % 7
+
+    def at(p: int) -> Column:
+        return F.max(F.when(panel == p, code).otherwise(F.lit(0)))
+
+    return (
+        lines.groupBy("l_orderkey", "l_linenumber")
+        .agg(F.array(*[at(p) for p in range(4)]).alias("codes"))
+        .where(F.exists("codes", lambda c: c > 0))
+        .select(
+            F.col("l_orderkey").alias("chart"),
+            ((F.col("l_linenumber") - 1) * 9).cast("int").alias("slot"),
+            "codes",
+        )
+    )
+
+
+LINE_ROWS_SQL = """
+lr AS (
+  SELECT l_orderkey AS chart, (l_linenumber - 1) * 9 AS slot,
+    max(CASE WHEN l_partkey % 4 = 0 THEN l_quantity::INT % 7 ELSE 0 END) AS c0,
+    max(CASE WHEN l_partkey % 4 = 1 THEN l_quantity::INT % 7 ELSE 0 END) AS c1,
+    max(CASE WHEN l_partkey % 4 = 2 THEN l_quantity::INT % 7 ELSE 0 END) AS c2,
+    max(CASE WHEN l_partkey % 4 = 3 THEN l_quantity::INT % 7 ELSE 0 END) AS c3
+  FROM lineitem GROUP BY l_orderkey, l_linenumber),
+rows_ AS (
+  SELECT *, (c0 IN (1,2,4,6))::INT + (c1 IN (1,2,4,6))::INT + (c2 IN (1,2,4,6))::INT
+            + (c3 IN (1,2,4,6))::INT AS notes,
+         array_to_string(list_transform([c0, c1, c2, c3], lambda c: ['0','1','2','3','4','M','L'][c + 1]), '') AS txt
+  FROM lr WHERE c0 + c1 + c2 + c3 > 0)"""
