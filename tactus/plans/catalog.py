@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from tactus.plans import grid_queries, play_queries, timing_queries  # noqa: F401
+from tactus.plans import corpus_queries, grid_queries, play_queries, timing_queries  # noqa: F401
 from tactus.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
