@@ -59,7 +59,7 @@ def occupied(
 ) -> DataFrame:
     """W02 - add the panels stepped on, held from before, and needed on each row, as bit masks.
 
-    A tail frees its panel before its row is judged and a head pins it only afterwards. A tap on a
+    ``pinned`` is what was held when the row began, ``held`` what is left of it after its tails. A tail frees its panel before its row is judged and a head pins it only afterwards. A tap on a
     held panel does not free it.
     """
     at = [F.get(F.col(codes), F.lit(p)) for p in range(panels)]
@@ -75,9 +75,13 @@ def occupied(
         ),
         F.lit(0),
     )
+    pinned = sum(
+        (F.when(F.col(f"__held{p}") == 1, F.lit(1 << p)).otherwise(F.lit(0)) for p in range(panels)),
+        F.lit(0),
+    )
     stepped = step_mask(F.col(codes))
     return seen.withColumns(
-        {"stepped": stepped, "held": held, "occupied": stepped.bitwiseOR(held)}
+        {"stepped": stepped, "pinned": pinned, "held": held, "occupied": stepped.bitwiseOR(held)}
     ).drop(*state)
 
 

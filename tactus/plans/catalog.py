@@ -1,6 +1,12 @@
 """Importing this module registers every query."""
 
-from tactus.plans import corpus_queries, grid_queries, play_queries, timing_queries  # noqa: F401
+from tactus.plans import (  # noqa: F401
+    audit_queries,
+    corpus_queries,
+    grid_queries,
+    play_queries,
+    timing_queries,
+)
 from tactus.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -408,7 +408,7 @@ def augment_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok AS (SELECT p.chart, p.slot // 48 * 48 AS start, p.slot % 48 AS loc, coalesce(r.token, 0) AS token
       FROM pat p LEFT JOIN (SELECT * FROM ranked WHERE token < 64) r ON r.pattern = p.pattern),
     ctx AS (SELECT *, row_number() OVER w AS rn, coalesce(lag(token) OVER w, 64) AS prev,
-        coalesce(least(loc - lag(loc) OVER w, 96), 0) AS delta
+        least(loc - coalesce(lag(loc) OVER w, loc), 96) AS delta
       FROM tok WINDOW w AS (PARTITION BY chart, start ORDER BY loc)),
     pad AS (SELECT c.chart, c.start, g.i, coalesce(x.token, -100) AS token, coalesce(x.prev, 64) AS prev,
         coalesce(x.delta, 0) AS delta, coalesce(x.loc, 0) AS loc
@@ -443,7 +443,7 @@ def chart_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok AS (SELECT p.chart, p.slot, coalesce(r.token, 0) AS token
       FROM pat p LEFT JOIN (SELECT * FROM ranked WHERE token < 64) r ON r.pattern = p.pattern)
     SELECT chart, slot::BIGINT AS slot, token, coalesce(lag(token) OVER w, 64) AS previous,
-      coalesce(least(slot - lag(slot) OVER w, 96), 0)::BIGINT AS delta FROM tok WINDOW w AS (PARTITION BY chart ORDER BY slot)""",
+      least(slot - coalesce(lag(slot) OVER w, slot), 96)::BIGINT AS delta FROM tok WINDOW w AS (PARTITION BY chart ORDER BY slot)""",
 )
 def step_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_rows(spark, sf_dir)
