@@ -16,6 +16,7 @@ chart, which all came out of one text cell; then plain windows over the key are
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -166,3 +167,20 @@ def scan(
         )
     kept = [c for c in df.columns if c not in added]
     return rows.select(*kept, *[e.alias(n) for n, e in added.items()])
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Cut the lineage at a checkpoint in the shared folder named by ``spark.checkpoint.dir``.
+
+    Only a local session that names none, as in tests, gets a folder of its own.
+    """
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+            shared = tempfile.mkdtemp(prefix="tactus-checkpoint-")
+        context.setCheckpointDir(shared)
+    return df.checkpoint(eager=True)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
-from tactus.operators.ordered import scan
+from tactus.operators.ordered import scan, settle
 from tactus.operators.stats import exact_quantiles, median
 
 
@@ -208,23 +208,6 @@ def spaced(
         halo *= 4
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage at a checkpoint in the cluster's shared folder.
-
-    The folder is the one named by ``spark.checkpoint.dir``; without it, as in tests, the caller's
-    own checkpoint directory is used.
-    """
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if shared is None:
-            import tempfile
-
-            shared = tempfile.mkdtemp(prefix="tactus-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
-
-
 def ranked(
     scores: DataFrame, keys: Sequence[str], *, score: str = "score", slot: str = "slot", segment: float | None = None
 ) -> DataFrame:

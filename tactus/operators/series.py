@@ -22,7 +22,7 @@ from tactus.functions.scalars import (
     tempo_candidates,
     tempo_prior,
 )
-from tactus.operators.ordered import SEGMENT, scan, spread
+from tactus.operators.ordered import SEGMENT, scan, settle, spread
 
 TWO_PI = 6.283185307179586
 
@@ -264,7 +264,7 @@ def refine_tempo(
         tried = found.select(*keys, F.col("bpm").alias("__b"), F.posexplode(ladder).alias("candidate", "__f")).select(
             *keys, "candidate", (F.col("__b") * F.col("__f")).alias("bpm")
         )
-        scored = alignment(frames, tried, keys, **options)
+        scored = alignment(frames, settle(tried), keys, **options)
         found = scored.groupBy(*keys).agg(
             F.max_by("bpm", F.struct(F.col("alignment"), -F.col("candidate"))).alias("bpm")
         )
@@ -347,10 +347,11 @@ def estimate_timing(
     good = facts.where((F.col("__n") >= least) & (F.col("__top") > 0)).select(*keys)
     usable = frames.join(good, list(keys), "left_semi")
     options = {"fps": fps, "segment": segment}
-    coarse = coarse_tempo(usable, keys, fps=fps, low=low, high=high, step=step, excerpt=excerpt)
-    coarse = coarse.where(F.col("bpm") > 0)
-    refined = refine_tempo(usable, coarse, keys, fine=fine, **options)
-    snapped = snap_if_fits(usable, refined, keys, **options)
+    # Each stage leaves one row per key and feeds several branches of the next, so it is settled.
+    scanned = coarse_tempo(usable, keys, fps=fps, low=low, high=high, step=step, excerpt=excerpt)
+    coarse = settle(scanned.where(F.col("bpm") > 0))
+    refined = settle(refine_tempo(usable, coarse, keys, fine=fine, **options))
+    snapped = settle(snap_if_fits(usable, refined, keys, **options))
     placed = estimate_phase(usable if phase_frames is None else phase_frames, snapped, keys, **options)
     return (
         facts.select(*keys)

@@ -5,6 +5,7 @@ from tactus.plans import (  # noqa: F401
     corpus_queries,
     grid_queries,
     play_queries,
+    series_queries,
     timing_queries,
 )
 from tactus.plans.registry import ORACLES, QUERIES
