@@ -36,7 +36,11 @@ def event_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Errors land on panel ``k % 4`` as mines; large ``k`` add a second and third struck panel.
     """
-    events = table(spark, sf_dir, "events")
+    return event_rows_of(table(spark, sf_dir, "events"))
+
+
+def event_rows_of(events: DataFrame) -> DataFrame:
+    """Note rows of an events table or stream."""
     number = F.regexp_extract("props", r"(\d+)", 1).cast("int")
     kind = F.array_position(F.array(*[F.lit(t) for t in EVENT_TYPES]), F.col("event_type")) - 1
     base = events.select(

@@ -4,6 +4,7 @@ from tactus.plans import (  # noqa: F401
     audit_queries,
     corpus_queries,
     grid_queries,
+    live_queries,
     play_queries,
     series_queries,
     timing_queries,

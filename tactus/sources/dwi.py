@@ -8,6 +8,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tactus.functions import constants as k
 from tactus.operators.ordered import scan
@@ -22,7 +23,9 @@ TOKEN = re.compile(
     r"|(?P<step>[0-46-9ABab])(?:!(?P<held>[\s\S]))?"
 )
 CHORD_STEP = re.compile(r"(?P<step>[\s\S])(?:!(?P<held>[\s\S]))?")
-EVENT = "array<struct<row:int, stepped:int, held:int>>"
+EVENT = T.ArrayType(
+    T.StructType([T.StructField(name, T.IntegerType()) for name in ("row", "stepped", "held")])
+)
 
 
 def _mask(char: str | None) -> int:

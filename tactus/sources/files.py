@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tactus.functions import constants as k
 
@@ -75,7 +76,7 @@ def choose_simfile(files: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _legacy_text(content: pd.Series) -> pd.Series:
     """Text of files that are not UTF-8: the Japanese code page, or one character per byte."""
 
