@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactus.functions import scalars
-from tactus.operators import audit, selection
+from tactus.operators import audit
 from tactus.plans.bindings import LINE_ROWS_SQL, event_rows, line_rows, rounded
-from tactus.plans.play_queries import DAY, HOUR, KEYS, OCCUPIED_SQL, ORDER, PIECE, STREAM_SQL
+from tactus.plans.play_queries import HOUR, KEYS, OCCUPIED_SQL, ORDER, PIECE, STREAM_SQL
 from tactus.plans.registry import query
 
 
@@ -132,4 +132,4 @@ def close_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed.select("chart", *big("slot"), scalars.code_text(F.col("codes")).alias("codes"))
 
 
-__all__ = ["DAY", "selection"]
+

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.functions import scalars
-from tactus.operators import grid, prep, selection, series
+from tactus.operators import drift, grid, selection, series
 from tactus.plans.bindings import epoch_seconds, rounded, table
 from tactus.plans.registry import query
 
@@ -610,4 +609,14 @@ def preview_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.preview_start(best, KEY, score="loudest")
 
 
-__all__ = ["prep", "scalars"]
+
+
+
+@query("fit_warps")
+def fit_warps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    track = _track(spark, sf_dir).withColumn("bpm", F.lit(2.5))
+    found = drift.fit_warps(track, KEY, "bpm", tolerance=1.5, hop=12.0, shortest=120.0)
+    return found.select(
+        "song", "seconds", rounded("bpm").alias("bpm"), rounded("slack").alias("slack"),
+        F.size("splices").cast("bigint").alias("splices"),
+    )

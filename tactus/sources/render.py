@@ -283,11 +283,11 @@ def render_ssc(
     from tactus.functions.scalars import chart_hash
 
     both = [*keys, chart]
-    notes = measure_block(rows, both)
+    notes = measure_block(rows, both).withColumnRenamed("notes", "__text")
     by = F.coalesce(F.nullif(F.col("credit"), F.lit("")), F.lit(credit))
     values = F.array_join(F.array(*[_decimal(F.coalesce(F.col(c), F.lit(0.0)), 6) for c in RADAR]), ",")
     blank = F.concat(F.lit("// measure 0\n"), _blank_measure())
-    block = F.concat(F.lit("\n"), F.coalesce("notes", blank), F.lit("\n"))
+    block = F.concat(F.lit("\n"), F.coalesce("__text", blank), F.lit("\n"))
     parts = (
         _named(charts)
         .join(notes, both, "left")
