@@ -240,3 +240,16 @@ def balanced_sample(
         )
     )
     return draws.join(numbered.drop("__b", "__o"), [by, "__i"]).drop("__i")
+
+
+def build_envelopes(songs: DataFrame, frames: DataFrame, target: str, *, seconds: str = "seconds") -> None:
+    """G06 - append the frames of trustworthy songs of at least 30 s the target does not have yet.
+
+    Entries are named by the first sixteen digits of the digest of the audio path.
+    """
+    from tactus.sources.manifest import build_incremental
+
+    kept = trusted_timing(songs, seconds=seconds).select(
+        "audio", F.col("primary_bpm").alias("bpm"), "offset"
+    )
+    build_incremental(frames.join(kept, "audio"), target, "audio", digits=16)

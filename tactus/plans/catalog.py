@@ -7,6 +7,7 @@ from tactus.plans import (  # noqa: F401
     live_queries,
     play_queries,
     series_queries,
+    source_queries,
     timing_queries,
 )
 from tactus.plans.registry import ORACLES, QUERIES

@@ -188,9 +188,9 @@ def write_manifest(manifest: DataFrame, path: str) -> None:
     manifest.write.mode("overwrite").json(path)
 
 
-def with_cache_key(df: DataFrame, source: str) -> DataFrame:
+def with_cache_key(df: DataFrame, source: str, digits: int = 40) -> DataFrame:
     """Add the digest that names an entry and the two characters it is filed under."""
-    return df.withColumn("key", cache_key(F.col(source))).withColumn(
+    return df.withColumn("key", F.substring(cache_key(F.col(source)), 1, digits)).withColumn(
         "prefix", F.substring("key", 1, 2)
     )
 
@@ -206,10 +206,10 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def build_incremental(df: DataFrame, target: str, source: str) -> None:
+def build_incremental(df: DataFrame, target: str, source: str, digits: int = 40) -> None:
     """S07 - append the entries the target does not have, filed by the first two digits of the key."""
     spark = df.sparkSession
-    keyed = with_cache_key(df, source)
+    keyed = with_cache_key(df, source, digits)
     if _exists(spark, target):
         keyed = not_yet_built(keyed, read_features(spark, target))
     keyed.write.mode("append").partitionBy("prefix").parquet(target)

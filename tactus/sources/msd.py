@@ -188,19 +188,22 @@ def ssc_charts(tags: Column) -> Column:
     A block starts after the latest ``NOTEDATA`` or note tag; within it the last value of a field
     wins.
     """
-    places = F.sequence(F.lit(1), F.size(tags))
-    notes = F.filter(
-        F.when(F.size(tags) > 0, places).otherwise(F.slice(places, 1, 0)),
-        lambda i: F.element_at(tags, i)["tag"].isin(*NOTE_TAGS),
+    places = F.when(F.size(tags) > 0, F.sequence(F.lit(1), F.size(tags)))
+    edges = F.coalesce(
+        F.filter(places, lambda i: F.element_at(tags, i)["tag"].isin("NOTEDATA", *NOTE_TAGS)),
+        F.expr("array()").cast("array<int>"),
+    )
+    blocks = F.filter(
+        F.zip_with(
+            edges,
+            F.slice(F.concat(F.array(F.lit(0)), edges), 1, F.size(edges)),
+            lambda i, before: F.struct(i.alias("at"), before.alias("before")),
+        ),
+        lambda b: F.element_at(tags, b["at"])["tag"].isin(*NOTE_TAGS),
     )
 
-    def chart(i: Column) -> Column:
-        edges = F.filter(
-            places,
-            lambda j: (j < i) & F.element_at(tags, j)["tag"].isin("NOTEDATA", *NOTE_TAGS),
-        )
-        start = F.coalesce(F.array_max(edges), F.lit(0))
-        block = F.slice(tags, start + 1, i - start - 1)
+    def chart(b: Column) -> Column:
+        block = F.slice(tags, b["before"] + 1, b["at"] - b["before"] - 1)
 
         def field(name: str, empty: str = "") -> Column:
             last = F.try_element_at(F.filter(block, lambda t: t["tag"] == name), F.lit(-1))
@@ -212,10 +215,10 @@ def ssc_charts(tags: Column) -> Column:
             field("DESCRIPTION"),
             normalize_difficulty(field("DIFFICULTY")),
             field("METER", "0"),
-            F.coalesce(F.get(F.element_at(tags, i)["params"], F.lit(0)), F.lit("")),
+            F.coalesce(F.get(F.element_at(tags, b["at"])["params"], F.lit(0)), F.lit("")),
         )
 
-    return F.transform(notes, chart)
+    return F.transform(blocks, chart)
 
 
 def dwi_charts(tags: Column) -> Column:
