@@ -236,6 +236,14 @@ def event_shares(rows: DataFrame, by: Sequence[str], codes: str = "codes") -> Da
     )
 
 
+def crossover_share(steps: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A23 - crossed steps per step taken inside a run, from rows with ``in_run`` and ``crossed``."""
+    crossed, streamed = F.sum(F.col("crossed").cast("int")), F.sum(F.col("in_run").cast("int"))
+    return steps.groupBy(*by).agg(
+        F.when(streamed > 0, crossed / streamed).otherwise(F.lit(0.0)).alias("crossover_share")
+    )
+
+
 def interval_percentiles(
     gaps: DataFrame, by: Sequence[str], value: str, *, segment: float | None = None
 ) -> DataFrame:

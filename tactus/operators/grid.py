@@ -28,20 +28,33 @@ def placement(
 ) -> DataFrame:
     """P15 - every grid slot of a chart with 1 where the player must step.
 
-    The grid is generated as +0 rows next to the stepped slots and both are summed, which needs one
-    aggregation and no join.
+    Steps shrink to one bit mask per measure before the shuffle, and the grid is only laid out once
+    the masks have met it, so the dense rows themselves are never shuffled.
     """
-    grid = counts.select(
+    per = k.SLOTS_PER_MEASURE
+    measure, bit = F.floor(F.col(slot) / per), F.pmod(F.col(slot), F.lit(per)).cast("int")
+    bits = F.expr("array(" + ", ".join(f"{1 << i}L" for i in range(per)) + ")")
+    masks = (
+        targets.where(F.exists(codes, lambda c: c.isin(*k.STEP_CODES)))
+        .groupBy(*keys, measure.alias("__measure"))
+        .agg(F.bit_or(F.get(bits, bit)).alias("__mask"))
+    )
+    n = F.col("slot_count")
+    measures = counts.where(n > 0).select(
         *keys,
-        F.explode(
-            F.when(F.col("slot_count") > 0, F.sequence(F.lit(0), F.col("slot_count").cast("int") - 1))
-        ).alias(slot),
-        F.lit(0).alias("placed"),
+        n.cast("bigint").alias("__n"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / per))).alias("__measure"),
+    )
+    joined = measures.join(masks, [*keys, "__measure"], "left")
+    start = F.col("__measure") * per
+    top = F.least(F.lit(per).cast("bigint"), F.col("__n") - start)
+    laid = joined.select(
+        *keys, start.alias("__start"), "__mask", F.explode(F.sequence(F.lit(0), (top - 1).cast("int"))).alias("__i")
     )
-    steps = targets.where(F.exists(codes, lambda c: c.isin(*k.STEP_CODES))).select(
-        *keys, F.col(slot).cast("int").alias(slot), F.lit(1).alias("placed")
+    set_here = F.coalesce(F.col("__mask").bitwiseAND(F.get(bits, F.col("__i"))) != 0, F.lit(False))
+    return laid.select(
+        *keys, (F.col("__start") + F.col("__i")).alias(slot), set_here.cast("int").alias("placed")
     )
-    return grid.unionByName(steps).groupBy(*keys, slot).agg(F.max("placed").alias("placed"))
 
 
 def grid_beats(songs: DataFrame, keys: Sequence[str], *, beats: str = "total_beats") -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.operators import play
-from tactus.plans.bindings import EVENT_ROWS_SQL, event_rows
+from tactus.operators import corpus, play
+from tactus.plans.bindings import EVENT_ROWS_SQL, event_rows, rounded
 from tactus.plans.registry import query
 
 HOUR, DAY = 3600.0, 86400.0
@@ -164,6 +164,19 @@ def foot_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return walked.select("user_id", "event_id", *flags)
 
 
+@query(
+    "crossover_share",
+    f"""WITH {OCCUPIED_SQL}, {STREAM_SQL}
+    SELECT user_id % 10 AS stage, round(coalesce(sum(crossed::INT) / nullif(sum(in_run::INT), 0), 0) + 1e-9, 6) AS crossover_share
+    FROM st5 GROUP BY 1""",
+)
+def crossover_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_rows(spark, sf_dir).withColumn("stepped", play.step_mask(F.col("codes")))
+    walked = play.foot_steps(rows, KEYS, ORDER, gap=12 * HOUR, segment=PIECE)
+    shares = corpus.crossover_share(walked.withColumn("stage", F.col("user_id") % 10), ["stage"])
+    return shares.select("stage", rounded("crossover_share").alias("crossover_share"))
+
+
 @query(
     "feet_feasible",
     f"""WITH RECURSIVE {OCCUPIED_SQL}, {FEET_SQL}
