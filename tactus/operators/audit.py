@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
 from tactus.functions.scalars import count_codes, panel_mask, step_mask
-from tactus.operators.ordered import scan
+from tactus.operators.ordered import scan, settle
 from tactus.operators.play import foot_steps, occupied
 
 
@@ -154,9 +154,8 @@ def ration_audit(
             "__sps": seconds_per_slot,
         }
     )
-    walked = foot_steps(prepared, keys, order, gap=gap, segment=segment)
-    linked = scan(walked, keys, order, cut, lag={"__before": F.col(time)})
-    near = F.col(time) - F.col("__before")
+    linked = settle(foot_steps(prepared, keys, order, gap=gap, segment=segment))
+    near = F.col(time) - F.col("previous")
     # The feet start together, so the first row is as fast as its own time from 0 says.
     fast = F.coalesce(near, F.lit(1e9)) <= F.col("__sps") * 3
     linked = linked.withColumn("fast", fast)
@@ -191,7 +190,7 @@ def ration_audit(
             "over_crossings": over_crossings,
             "over_run": run > F.when(F.col("fast"), F.lit(1)).otherwise(F.lit(2)),
         }
-    ).drop("__freezes", "__sps", "__before", "__reset")
+    ).drop("__freezes", "__sps", "previous", "__reset")
 
 
 def rule_audit(

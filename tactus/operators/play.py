@@ -467,13 +467,16 @@ def foot_steps(
     gap: float = k.STREAM_GAP,
     segment: float | None = None,
 ) -> DataFrame:
-    """Row-level form of W05: add ``in_run``, ``foot`` and ``crossed`` to rows that step."""
+    """Row-level form of W05: rows that step, with ``in_run``, ``foot`` and ``crossed``.
+
+    ``previous`` is the time of the step before.
+    """
     time = order[0]
     cut = _cut(time, segment)
     steps = rows.where(F.col(stepped) != 0)
-    linked = scan(steps, keys, order, cut, lag={"__before": F.col(time)})
+    linked = scan(steps, keys, order, cut, lag={"previous": F.col(time)})
     linked = linked.withColumn(
-        "in_run", F.coalesce(F.col(time) - F.col("__before") <= F.lit(gap), F.lit(False))
+        "in_run", F.coalesce(F.col(time) - F.col("previous") <= F.lit(gap), F.lit(False))
     )
     single = F.bit_count(F.col(stepped)) == 1
     right = F.col(stepped) == 1 << k.RIGHT_PANEL
@@ -500,9 +503,7 @@ def foot_steps(
         & single
         & (((F.col("foot") == 0) & right) | ((F.col("foot") == 1) & left))
     )
-    return walked.withColumn("crossed", crossed).drop(
-        "__before", "__turns", "__foot", "__turns_then"
-    )
+    return walked.withColumn("crossed", crossed).drop("__turns", "__foot", "__turns_then")
 
 
 __all__ = [

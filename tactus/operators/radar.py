@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
 from tactus.functions.scalars import count_codes
-from tactus.operators.ordered import SEGMENT, scan, spread
+from tactus.operators.ordered import SEGMENT, scan, settle, spread
 
 WHOLE = 1e12
 VOLTAGE_BEATS = 8
@@ -75,12 +75,14 @@ def held_count(
     asked = rows.select(
         *keys, slot, F.lit(0).alias("__kind"), F.struct(*keep).alias("__row") if keep else F.lit(1).alias("__row"), F.lit(0).alias("__step")
     )
-    down = spans.select(*keys, slot, F.lit(1).alias("__kind"), F.lit(1).alias("__step"))
-    up = spans.select(*keys, F.col("end").alias(slot), F.lit(2).alias("__kind"), F.lit(-1).alias("__step"))
+    ends = F.array(
+        F.struct(F.col(slot).cast("bigint").alias("s"), F.lit(1).alias("kind"), F.lit(1).alias("step")),
+        F.struct(F.col("end").cast("bigint").alias("s"), F.lit(2).alias("kind"), F.lit(-1).alias("step")),
+    )
     events = (
-        down.unionByName(up)
-        .groupBy(*keys, slot, "__kind")
-        .agg(F.sum("__step").cast("int").alias("__step"))
+        spans.select(*keys, F.explode(ends).alias("e"))
+        .groupBy(*keys, F.col("e.s").cast(dict(rows.dtypes)[slot]).alias(slot), F.col("e.kind").alias("__kind"))
+        .agg(F.sum("e.step").cast("int").alias("__step"))
     )
     both = asked.unionByName(events, allowMissingColumns=True)
     counted = scan(
@@ -150,7 +152,8 @@ def radar(
         seconds.alias("__seconds"),
         count_codes(c, k.STEP_CODES).alias("__notes"),
     )
-    spans = hold_spans(rows, keys, slot=slot, codes=codes, segment=segment)
+    # Freezes are few next to notes, and the running count reads them twice.
+    spans = settle(hold_spans(rows, keys, slot=slot, codes=codes, segment=segment))
     held = held_count(counted, spans, keys, slot=slot, segment=segment)
     near = peak_in_range(
         held, keys, F.col("__notes"), VOLTAGE_SLOTS, slot=slot, segment=segment

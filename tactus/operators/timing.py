@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tactus.operators.ordered import scan
+from tactus.operators.ordered import scan, settle
 
 FAR = -1e12
 
@@ -57,6 +57,9 @@ def breakpoints(
     One row per tempo change or stop plus one for beat 0: the beat, the time before and after any
     stop on it, the tempo from there on and the beat of the next row. The earliest tempo governs
     from beat 0 even when it is declared later.
+
+    The table has one row per change, far fewer than the notes looked up in it, and every look-up
+    reads it more than once, so it is settled.
     """
     base = songs.select(*keys, "offset").join(opening_tempo(tempo, keys, listed), list(keys))
     events = union_segments(
@@ -78,6 +81,7 @@ def breakpoints(
             F.col("seconds").alias("value"),
         ),
     ).withColumn("beat", F.greatest("declared", F.lit(0.0)))
+    events = settle(events)
     order = ["beat", "declared", "kind", "value"]
     cut = _cut(F.col("beat"), segment)
     sets_tempo = F.when(F.col("kind") < 1, F.col("value"))
@@ -108,18 +112,20 @@ def breakpoints(
     )
     ended = F.col("start") + F.col("__moved") + F.col("__paused")
     # A song without any tempo has no opening row, hence no clock.
-    return timed.where(F.col("start").isNotNull()).select(
-        *keys,
-        "kind",
-        "declared",
-        "beat",
-        "value",
-        (ended - pause).alias("t_start"),
-        ended.alias("t_end"),
-        "bpm",
-        "next_beat",
-        F.col("start").alias("origin"),
-        F.col("opening").alias("declared_bpm"),
+    return settle(
+        timed.where(F.col("start").isNotNull()).select(
+            *keys,
+            "kind",
+            "declared",
+            "beat",
+            "value",
+            (ended - pause).alias("t_start"),
+            ended.alias("t_end"),
+            "bpm",
+            "next_beat",
+            F.col("start").alias("origin"),
+            F.col("opening").alias("declared_bpm"),
+        )
     )
 
 
@@ -260,7 +266,7 @@ def bpm_at_beat(
     opening = opening_tempo(tempo, keys, listed).select(
         *keys, F.lit(FAR).alias("beat"), F.col("declared_bpm").alias("bpm")
     )
-    build = tempo.select(*keys, "beat", "bpm").unionByName(opening)
+    build = settle(tempo.select(*keys, "beat", "bpm").unionByName(opening))
     found = as_of(
         probes,
         build,
