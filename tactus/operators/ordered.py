@@ -28,7 +28,7 @@ SEGMENT = "__segment"
 def spread(
     df: DataFrame,
     position: Column,
-    width: float,
+    width: float | None,
     *,
     behind: float = 0.0,
     ahead: float = 0.0,
@@ -37,8 +37,11 @@ def spread(
     """Assign rows to segments of ``width``, copying rows near an edge as ghosts.
 
     After this, any frame reaching at most ``behind`` back (or ``ahead`` forward) from a row whose
-    ``ghost`` is false is complete inside its ``(key, segment)``.
+    ``ghost`` is false is complete inside its ``(key, segment)``. Without a width a key is one
+    segment.
     """
+    if width is None:
+        return df.withColumns({SEGMENT: F.lit(0).cast("bigint"), ghost: F.lit(False)})
     if behind > width or ahead > width:
         raise ValueError("a segment must be at least as wide as the frame that crosses its edge")
     slack = width * 1e-6

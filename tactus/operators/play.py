@@ -26,7 +26,6 @@ def _bit(stance: tuple[int, int]) -> int:
 
 
 ANY_STANCE = sum(map(_bit, STANCES))
-WHOLE = 1e15
 
 
 @dataclass(frozen=True)
@@ -196,13 +195,12 @@ def playability(
     needed = occupied(
         rows, keys, order, codes=codes, panels=panels, segment=_cut(time, segment)
     ).where(F.col("occupied") != 0)
-    width = WHOLE if segment is None else float(segment)
     reach = max(limits.burst_window, limits.sustained_window, limits.stream_gap)
     placed = spread(
         needed.select(*keys, *order, "stepped", "occupied"),
         F.col(time),
-        width,
-        behind=0.0 if segment is None else reach,
+        segment,
+        behind=reach,
     )
     own = ~F.col("ghost")
     w = Window.partitionBy(*keys, SEGMENT).orderBy(*order)

@@ -202,13 +202,14 @@ def _uniform(*parts: Column) -> Column:
 
 
 def balanced_sample(
-    rows: DataFrame, by: str, key: Sequence[str], n: int, seed: int, *, buckets: int = 1024
+    rows: DataFrame, by: str, key: Sequence[str], n: int, seed: int, *, buckets: int = 1 << 16
 ) -> DataFrame:
     """G04 - ``n`` draws with replacement in which every value of ``by`` is equally likely.
 
     Rows get dense numbers within their group: a hash bucket offset (from bucket counts) plus the
     place within the bucket. A draw picks a group and a number, so the draws meet the rows in an
-    equi-join, and the result does not depend on how the data is partitioned.
+    equi-join, and the result does not depend on how the data is partitioned. ``buckets`` should
+    leave each bucket of the largest group small enough to sort in one task.
     """
     bucketed = rows.withColumn("__b", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)))
     counts = bucketed.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__n"))

@@ -14,7 +14,6 @@ from tactus.functions import constants as k
 from tactus.functions.scalars import count_codes
 from tactus.operators.ordered import SEGMENT, scan, settle, spread
 
-WHOLE = 1e12
 VOLTAGE_BEATS = 8
 VOLTAGE_SLOTS = VOLTAGE_BEATS * k.SLOTS_PER_BEAT
 
@@ -105,8 +104,8 @@ def peak_in_range(
     placed = spread(
         rows.withColumn("__value", value),
         F.col(slot),
-        WHOLE if segment is None else float(segment),
-        behind=0.0 if segment is None else float(reach),
+        segment,
+        behind=float(reach),
     )
     near = Window.partitionBy(*keys, SEGMENT).orderBy(slot).rangeBetween(-reach, 0)
     return (

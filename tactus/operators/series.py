@@ -611,10 +611,8 @@ def local_tempo(
         track.withColumn("__ref", bpm), keys, ["centre"], _cut("centre", segment), running={"__n": F.lit(1)}
     ).withColumn("__i", F.col("__n") - 1)
     counts = track.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"))
-    piece = 1e12 if segment is None else float(max(width * 8, 256))
-    placed = spread(
-        numbered, F.col("__i"), piece, ahead=0.0 if segment is None else float(width)
-    )
+    piece = None if segment is None else float(max(width * 8, 256))
+    placed = spread(numbered, F.col("__i"), piece, ahead=float(width))
     w = Window.partitionBy(*keys, SEGMENT).orderBy("__i").rowsBetween(0, width - 1)
     fitted = placed.withColumns(
         {

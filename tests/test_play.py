@@ -81,7 +81,8 @@ def walk(chart):
 
 
 def random_chart(rng):
-    t, chart = 0.0, []
+    # Songs may begin before time 0.
+    t, chart = rng.choice([-8.0, -1.0, 0.0]), []
     for _ in range(rng.randrange(1, 60)):
         t += rng.choice([0.03, 0.06, 0.08, 0.1, 0.15, 0.2, 0.5, 3.0]) + rng.random() * 1e-3
         chart.append((t, [rng.choice([0, 0, 0, 1, 1, 2, 3, 5]) for _ in range(4)]))
