@@ -94,11 +94,17 @@ def runs(
 ) -> DataFrame:
     """W01 - unbroken runs of steps at most ``gap`` apart: start, end and number of steps."""
     time = order[0]
-    cut = _cut(time, segment)
-    linked = scan(rows.select(*keys, *order), keys, order, cut, lag={"__before": F.col(time)})
-    opens = F.col("__before").isNull() | (F.col(time) - F.col("__before") > F.lit(gap))
+    # Whether a step opens a run only depends on steps within the gap, so a margin is enough.
+    placed = spread(rows.select(*keys, *order), F.col(time), segment, behind=gap)
+    before = F.lag(time).over(Window.partitionBy(*keys, SEGMENT).orderBy(*order))
+    opens = before.isNull() | (F.col(time) - before > F.lit(gap))
+    opened = placed.withColumn("__opens", F.when(opens, F.col(time))).where(~F.col("ghost"))
     named = scan(
-        linked, keys, order, cut, last={"run_start": F.when(opens, F.col(time))}
+        opened.drop("ghost", SEGMENT),
+        keys,
+        order,
+        _cut(time, segment),
+        last={"run_start": F.col("__opens")},
     )
     return named.groupBy(*keys, "run_start").agg(
         F.max(time).alias("run_end"), F.count(F.lit(1)).alias("steps")
@@ -145,7 +151,10 @@ def _reach(rows: Column, fast: float) -> Column:
     )
 
     def land(state: Column, row: Column) -> Column:
-        good = F.get(_ints(_covering()), row["mask"].bitwiseAND(F.lit((1 << k.PANELS) - 1)))
+        within = row["mask"].bitwiseAND(F.lit((1 << k.PANELS) - 1))
+        # A panel beyond the pad cannot be stood on, so it leaves a row short of what it needs.
+        short = (row["mask"] != within) & (F.bit_count(within) < 2)
+        good = F.when(short, F.lit(0)).otherwise(F.get(_ints(_covering()), within))
         quick = row["t"] - state["t"] < F.lit(fast)
         moved = F.transform(
             state["m"],
@@ -189,7 +198,8 @@ def playability(
 
     Rows are cut into ``(key, segment)`` pieces once; each piece is reduced to a summary row there,
     and only the summaries are combined per key. Unused figures are pruned by Catalyst, so the
-    narrower operators below are selections from this one.
+    narrower operators below are selections from this one. ``panels`` is how many panels holds and
+    repeats are tracked on; rows are always judged over their full width.
     """
     time = order[0]
     needed = occupied(

@@ -16,6 +16,8 @@ from tactus.sources.dwi import dwi_rows
 from tactus.sources.files import choose_simfile, decode_text, resolve_audio
 
 SONG = ["song_id"]
+# Malformed four-panel charts may carry more columns than the pad has.
+WIDEST = 8
 CHART = ["song_id", "chart_idx"]
 
 
@@ -102,7 +104,7 @@ def build_manifest(
     corpus = parse_corpus(files)
     located = resolve_audio(corpus.songs, listing).where(F.col("audio").isNotNull())
     summary = timing.timing_summary(corpus.tempo, corpus.stops, SONG, listed="listed")
-    report = play.playability(timed_rows(corpus), CHART, ["t", "beat"])
+    report = play.playability(timed_rows(corpus), CHART, ["t", "beat"], panels=WIDEST)
     counts = corpus.rows.groupBy(*CHART).agg(F.count(F.lit(1)).alias("n_rows"))
     override = keyboard if keyboard is not None else keyboard_override(F.col("pack"), F.col("song"))
     styled = (

@@ -80,12 +80,23 @@ def walk(chart):
     }
 
 
-def random_chart(rng):
+def test_wide_charts_equal_a_walk_over_the_rows(spark):
+    rng = random.Random(8)
+    charts = {i: random_chart(rng, 6) for i in range(60)}
+    report = play.playability(frame(spark, charts), ["chart"], ["t", "n"], segment=20.0, panels=6)
+    found = {r["chart"]: r for r in report.collect()}
+    for i, chart in charts.items():
+        for name, value in (walk(chart) or {}).items():
+            assert found[i][name] == pytest.approx(value), (i, name)
+
+
+def random_chart(rng, width=4):
     # Songs may begin before time 0.
     t, chart = rng.choice([-8.0, -1.0, 0.0]), []
     for _ in range(rng.randrange(1, 60)):
         t += rng.choice([0.03, 0.06, 0.08, 0.1, 0.15, 0.2, 0.5, 3.0]) + rng.random() * 1e-3
-        chart.append((t, [rng.choice([0, 0, 0, 1, 1, 2, 3, 5]) for _ in range(4)]))
+        pad = [rng.choice([0, 0, 0, 1, 1, 2, 3, 5]) for _ in range(4)]
+        chart.append((t, pad + [rng.choice([0] * 12 + [1, 2, 3]) for _ in range(width - 4)]))
     return chart
 
 
