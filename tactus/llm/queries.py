@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tactus.llm import licenses as license_ops
 from tactus.llm import repetition as repetition_ops
 from tactus.llm.registry import query
 from tactus.llm.shared import table
@@ -12,3 +13,8 @@ from tactus.llm.shared import table
 @query("op4_repetition")
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_ops.repetition(table(spark, sf_dir, "documents"))
+
+
+@query("op7_licenses")
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_ops.licenses(table(spark, sf_dir, "documents"))
