@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tactus.llm import licenses as license_ops
+from tactus.llm import mixing, ngram_join
+from tactus.llm import repair
 from tactus.llm import repetition as repetition_ops
+from tactus.llm import sharding
 from tactus.llm.registry import query
 from tactus.llm.shared import table
 
@@ -18,3 +23,30 @@ def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_licenses")
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_ops.licenses(table(spark, sf_dir, "documents"))
+
+
+@query("op5_sharding")
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shards(table(spark, sf_dir, "documents"))
+
+
+@query("op1_mixing")
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query("op10_ngram_join")
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+def _partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@query("op2_repair")
+def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.stored(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), _partitions(spark))
+    return found.select(
+        "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
