@@ -1,13 +1,14 @@
 """License detection: ordered signature rules behind keywords, resolved by priority and containment.
 
-Only DataFrame functions. Every rule is a regular expression with a keyword, one whole word of it or
-the beginning of one, that any text it matches holds; the expression runs only on texts with the
-keyword. A blank in a rule stands for one or more characters that are no word characters.
+Only DataFrame functions. Every rule is a regular expression with a keyword and more words that any
+text it matches holds; the expression runs only on texts with all of them. A blank in a rule stands for one or more characters that are no word characters.
 """
 
 from __future__ import annotations
 
+import re
 from functools import cache
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 #: ASCII characters that are no word characters once A-Z are lower-cased.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-#: The same words in a text that is not lower-cased.
-ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: A text without any of these words and without "cc by" matches no rule and no phrase.
 GATE = (
     "licen", "lizenz", "spdx", "copyright", "copyleft", "creative", "creativecommons", "cc0", "domain", "gemeinfrei", "apache",
@@ -303,22 +302,37 @@ def _expression(rule: str) -> str:
     return f"(?<!{WORD})(?:{body})(?!{WORD})"
 
 
+def required(rule: str) -> list[str]:
+    """Letters that every match of a rule holds: the beginnings of its words outside brackets."""
+    flat, before = rule.strip(), ""
+    while flat != before:  # innermost brackets first; what adjoins one ends there
+        before = flat
+        flat = re.sub(r"\([^()]*\)[?]?", "\x01", flat)
+    words = [re.match(r"[^\W_]*", w)[0] + "\x00" + w[len(re.match(r"[^\W_]*", w)[0]) :][:1] for w in flat.split()]
+    words = [w[:-3] if w.endswith("\x00?") else w.split("\x00")[0] for w in words if not w.endswith("\x00{")]
+    return sorted({w for w in words if len(w) > 1}, key=lambda w: (-len(w), w))
+
+
 @cache
-def rules() -> tuple[tuple[int, int, str, str, str], ...]:
-    """(tier, order, label, keyword, expression), most trusted first."""
+def rules() -> tuple[tuple[int, int, str, tuple[str, ...], str], ...]:
+    """(tier, order, label, keywords, expression), most trusted first."""
     out = []
     for tier, text in ((1, TIER_1), (2, TIER_2), (3, TIER_3)):
         for line in text.strip().splitlines():
             label, keyword, rule = (x.strip() for x in line.split(";"))
-            out.append((tier, len(out), label, keyword, _expression(rule)))
+            words = tuple(dict.fromkeys([keyword, *required(rule)]))
+            out.append((tier, len(out), label, words, _expression(rule)))
     return tuple(out)
 
 
+def _count(text: Column) -> Column:
+    """Words of a lower-cased text."""
+    return F.size(F.array_remove(F.split(text, f"{GAP}+", -1), "")).cast("long")
+
+
 def _places(text: Column, expression: Column | str) -> Column:
     """array<struct<start, end>> in characters from 0 of every match; no match is empty."""
     expression = F.lit(expression) if isinstance(expression, str) else expression
-    pieces = F.split(text, expression, -1)
-    hits = F.regexp_extract_all(text, expression, F.lit(0))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("found"))
 
     def step(acc: Column, pair: Column) -> Column:
@@ -327,8 +341,14 @@ def _places(text: Column, expression: Column | str) -> Column:
         one = F.array(F.struct(begin.alias("start"), end.alias("end")))
         return F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
-    return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+    def found(both: Column) -> Column:
+        pieces = F.slice(both["pieces"], 1, F.size(both["hits"]))
+        pairs = F.zip_with(pieces, both["hits"], lambda p, h: F.struct(p.alias("piece"), h.alias("hit")))
+        return F.aggregate(pairs, start, step, lambda acc: acc["found"])
+
+    # One element, so that both arrays are made once and then used by name.
+    parts = F.struct(F.split(text, expression, -1).alias("pieces"), F.regexp_extract_all(text, expression, F.lit(0)).alias("hits"))
+    return F.transform(F.array(parts), found)[0]
 
 
 def licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -344,28 +364,25 @@ def licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     not looked at. A null or empty text has no words, empty label strings and score 0.0. An empty
     table gives an empty result.
     """
-    text = F.coalesce(docs[text_column], F.lit(""))
-    df = docs.select(docs[id_column].alias(id_column), text.alias("__text"))
-    seen = F.lower("__text")
+    low = F.translate(F.coalesce(docs[text_column], F.lit("")), ascii_uppercase, ascii_lowercase)
+    df = docs.select(docs[id_column].alias(id_column), low.alias("__all"))
     gate = F.lit(False)
     for word in GATE:
-        gate = gate | F.contains("__seen", F.lit(word))
-    gate = gate | F.rlike("__seen", F.lit(CC_BY))
-    df = df.withColumn("__seen", seen).withColumn("__gate", gate).drop("__seen")
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    df = df.select(
-        id_column,
-        F.regexp_count("__text", F.lit(ANY_WORD)).cast("long").alias("n_words"),
-        F.when(F.col("__gate"), F.translate("__text", upper, lower)).otherwise(F.lit("")).alias("__low"),
-    )
-    phrase_places = [F.transform(_places(F.col("__low"), _expression(p)), lambda x: x["start"]) for p, _ in PHRASES]
+        gate = gate | F.contains("__all", F.lit(word))
+    gate = gate | F.rlike("__all", F.lit(CC_BY))
+    df = df.select(id_column, _count(F.col("__all")).alias("n_words"), F.when(gate, F.col("__all")).otherwise(F.lit("")).alias("__low"))
+    none = F.array().cast("array<int>")
+    phrase_places = [
+        F.when(F.rlike("__low", F.lit(_expression(p))), F.transform(_places(F.col("__low"), _expression(p)), lambda x: x["start"])).otherwise(none)
+        for p, _ in PHRASES
+    ]
     table = F.array(
         *[
-            F.struct(F.lit(t).alias("tier"), F.lit(n).alias("order"), F.lit(a).alias("label"), F.lit(k).alias("keyword"), F.lit(e).alias("expression"))
+            F.struct(F.lit(t).alias("tier"), F.lit(n).alias("order"), F.lit(a).alias("label"), F.array(*map(F.lit, k)).alias("keywords"), F.lit(e).alias("expression"))
             for t, n, a, k, e in rules()
         ]
     )
-    fit = F.filter(table, lambda r: F.contains(F.col("__low"), r["keyword"]))
+    fit = F.filter(table, lambda r: F.forall(r["keywords"], lambda k: F.contains(F.col("__low"), k)) & F.rlike(F.col("__low"), r["expression"]))
     found = F.flatten(
         F.transform(
             fit,
@@ -381,7 +398,7 @@ def licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         id_column,
         "n_words",
         "__low",
-        *[F.when(some, p).otherwise(F.array().cast("array<int>")).alias(f"__p{i}") for i, p in enumerate(phrase_places)],
+        *[p.alias(f"__p{i}") for i, p in enumerate(phrase_places)],
         F.when(some, F.array_sort(found)).otherwise(nothing).alias("__found"),
     )
 
@@ -407,7 +424,7 @@ def licenses(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         F.array_sort(F.array_distinct(own)).alias("__own"),
         F.aggregate("__found", start, keep).alias("__kept"),
     )
-    before = lambda at: F.regexp_count(F.substring(F.col("__low"), F.lit(1), at), F.lit(f"{WORD}+")).cast("long")
+    before = lambda at: _count(F.substring(F.col("__low"), F.lit(1), at))
     scored = F.col("__kept")["best"]
     score = F.when(F.size("__own") > 0, 1.0)
     for tier, value in SCORE_OF_TIER.items():
