@@ -1,7 +1,7 @@
 """Exact Jaccard join of documents on word n-grams with rare-first prefixes.
 
-Four steps. Equal n-gram sets become one class. A first pass over hash-ordered prefixes finds the
-classes that share any prefix n-gram at all; the others cannot have a partner. For those that can,
+Four steps. Equal n-gram sets become one class. A first pass over hash-ordered prefixes counts the
+n-grams that each set shares there with any other; with too few it cannot have a partner. For the rest,
 n-grams are counted and ordered from rare to common; prefixes in that order, with length and
 positional filters, give candidate pairs, and a suffix filter and the exact sets decide each pair.
 Pairs inside one component need no look any more, so most of a large group is joined through its
@@ -31,6 +31,14 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def _head(n: int, percent: int) -> int:
+    """Length of a prefix that shares as many n-grams with a partner's as a set may lack, and one more.
+
+    Two sets that overlap in their needed parts share k n-grams within the first n - needed + k.
+    """
+    return min(n, 2 * (n - _needed(n, percent)) + 1)
+
+
 def _sets(block: spans.Block, n: int) -> Iterator[np.ndarray]:
     """The sorted distinct n-gram hashes of each text; a text with fewer words is one n-gram."""
     start, end, doc = block.words()
@@ -68,7 +76,7 @@ def _summaries(docs: DataFrame, n: int, percent: int) -> DataFrame:
             sets = list(_sets(block, n))
             sizes = [len(s) for s in sets]
             keys = [_key(s) if len(s) else None for s in sets]
-            heads = [s[: len(s) - _needed(len(s), percent) + 1] if len(s) else s for s in sets]
+            heads = [s[: _head(len(s), percent)] for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), _lists(heads)], ["doc_id", "n", "key", "head"]
             )
@@ -92,56 +100,66 @@ def _whole(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _sharing(heads: DataFrame) -> DataFrame:
-    """``rep`` of the classes with a prefix n-gram that another class has in its prefix too.
+    """``doc_id`` and how many of its prefix n-grams (``head``) are in another row's prefix too.
 
-    Tasks first look inside a batch: of classes that share an n-gram there, one goes on to stand for
-    it, so a common n-gram sends one row per batch. Sorted runs then show what batches share.
+    Tasks first look inside a batch: of rows that share an n-gram there, one goes on to stand for it,
+    so a common n-gram sends one row per batch. Sorted runs then show what batches share.
     """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             head = batch.column("head")
             grams = head.flatten().to_numpy(zero_copy_only=False)
-            reps = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), np.diff(head.offsets.to_numpy()))
+            docs = np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), np.diff(head.offsets.to_numpy()))
             order = np.argsort(grams, kind="stable")
-            grams, reps = grams[order], reps[order]
+            grams, docs = grams[order], docs[order]
             first = np.ones(len(grams), bool)
             first[1:] = grams[1:] != grams[:-1]
             shared = np.zeros(len(grams), bool)
             shared[1:] |= ~first[1:]
             shared[:-1] |= ~first[1:]
-            known = np.unique(reps[shared])
+            known, times = np.unique(docs[shared], return_counts=True)
+            # A row for each n-gram (0: it is counted already) and one for each document's count.
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate([grams[first], np.zeros(len(known), np.int64)])),
-                    pa.array(np.concatenate([reps[first], known])),
-                    pa.array(np.concatenate([np.zeros(first.sum(), bool), np.ones(len(known), bool)])),
+                    pa.array(np.concatenate([grams[first], spans.mixed(known.astype(np.uint64)).view(np.int64)])),
+                    pa.array(np.concatenate([docs[first], known])),
+                    pa.array(np.concatenate([np.where(shared[first], 0, -1), times]).astype(np.int32)),
                 ],
-                ["gram", "rep", "known"],
+                ["gram", "doc_id", "times"],
             )
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, int, bool] | None = None  # n-gram, class, given out: of the row before
+        last: tuple[int, int] | None = None  # the n-gram before, and its document if that is not counted yet
         for batch in batches:
             if not batch.num_rows:
                 continue
-            grams = batch.column("gram").to_numpy()
-            reps = batch.column("rep").to_numpy()
-            again = np.zeros(len(grams), bool)
-            again[1:] = grams[1:] == grams[:-1]
-            out = again.copy()
-            out[:-1] |= again[1:]
-            extra: list[int] = []
-            if last is not None and grams[0] == last[0]:
-                out[0] = True
-                if not last[2]:
-                    extra.append(last[1])
-            last = (int(grams[-1]), int(reps[-1]), bool(out[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate([reps[out], np.array(extra, np.int64)])))], ["rep"])
-
-    rows = settle(heads.mapInArrow(local, "gram long, rep long, known boolean"))
-    spread = rows.where("not known").select("gram", "rep").repartition("gram").sortWithinPartitions("gram")
-    return rows.where("known").select("rep").unionByName(spread.mapInArrow(runs, "rep long")).distinct()
+            times = batch.column("times").to_numpy()
+            counted = times > 0
+            docs = [batch.column("doc_id").to_numpy()[counted]]
+            counts = [times[counted].astype(np.int64)]
+            grams = batch.column("gram").to_numpy()[~counted]
+            mine = batch.column("doc_id").to_numpy()[~counted]
+            new = times[~counted] < 0
+            if len(grams):
+                again = np.zeros(len(grams), bool)
+                again[1:] = grams[1:] == grams[:-1]
+                out = again.copy()
+                out[:-1] |= again[1:]
+                if last is not None and grams[0] == last[0]:
+                    out[0] = True
+                    if last[1] is not None:
+                        docs.append(np.array([last[1]], np.int64))
+                        counts.append(np.ones(1, np.int64))
+                last = (int(grams[-1]), None if out[-1] or not new[-1] else int(mine[-1]))
+                found, n = np.unique(mine[out & new], return_counts=True)
+                docs.append(found)
+                counts.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(docs)), pa.array(np.concatenate(counts))], ["doc_id", "times"])
+
+    rows = heads.mapInArrow(local, "gram long, doc_id long, times int")
+    ordered = rows.repartition("gram").sortWithinPartitions("gram")
+    return ordered.mapInArrow(runs, "doc_id long, times long").groupBy("doc_id").agg(F.sum("times").alias("times"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,19 +202,23 @@ def jaccard_join(
     rows = settle(_summaries(docs, n, percent))
     ids = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("key").alias("key"))
     classes = settle(ids.groupBy("key").agg(F.min("doc_id").alias("rep")))
-    heads = rows.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi")
-    sharing = _sharing(heads.select(F.col("doc_id").alias("rep"), "head"))
-    sharing = settle(sharing.join(classes, "rep"))
+    # A partner has at least this share of the n-grams, and so at least this many in common in the prefix.
+    least = F.ceil(F.col("n") * percent / F.lit(100))
+    shared_least = F.floor(least * (100 - percent) / F.lit(100)) + 1
+    sizes = rows.where("n > 0").groupBy("doc_id", "key").agg(F.max("n").alias("n"))
+    sharing = _sharing(rows.where("doc_id is not null and n > 0").select("doc_id", "head"))
+    sharing = sharing.join(classes.select(F.col("rep").alias("doc_id"), "key"), "doc_id").join(sizes, ["doc_id", "key"])
+    sharing = settle(sharing.where(F.col("times") >= F.least(shared_least, F.col("n"))).select(F.col("doc_id").alias("rep"), "key"))
 
     texts = docs.join(sharing.select(F.col("rep").alias("doc_id"), "key"), "doc_id")
     whole = settle(_whole(texts.select("doc_id", "text", "key"), n))
     postings = whole.select("rep", F.explode("grams").alias("gram"))
     counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = postings.join(counts, "gram").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("ranked"))
-    sizes = whole.select("rep", F.size("grams").cast("long").alias("n"), "bins").dropDuplicates(["rep"])
+    whole_sizes = whole.select("rep", F.size("grams").cast("long").alias("n"), "bins").dropDuplicates(["rep"])
     need = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
     # N-grams of one class only come first in the order; they are no one's candidates.
-    sets = ranked.join(sizes, "rep").where(F.size("ranked") >= need)
+    sets = ranked.join(whole_sizes, "rep").where(F.size("ranked") >= need)
     sets = settle(sets.select("rep", "n", "bins", F.col("ranked.gram").alias("shared"), (F.col("n") - F.size("ranked")).alias("alone"), need.alias("need")))
     prefix = F.slice("shared", F.lit(1), (F.col("n") - F.col("need") + 1 - F.col("alone")).cast("int"))
     tokens = settle(

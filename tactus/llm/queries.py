@@ -10,7 +10,7 @@ from tactus.llm import licenses as license_ops
 from tactus.llm import mixing, ngram_join
 from tactus.llm import repair
 from tactus.llm import repetition as repetition_ops
-from tactus.llm import sharding
+from tactus.llm import sharding, toxicity, vector_join
 from tactus.llm.registry import query
 from tactus.llm.shared import table
 
@@ -50,3 +50,15 @@ def op2_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op9_vector_join")
+def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.vector_join(table(spark, sf_dir, "embeddings"))

@@ -14,7 +14,7 @@ SEGMENT_ROWS = 20_000
 
 
 def segments_for(rows: int, segment_rows: int = SEGMENT_ROWS) -> int:
-    return max(64, -(-rows // segment_rows))
+    return max(512, -(-rows // segment_rows))
 
 
 def running(
