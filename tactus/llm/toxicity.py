@@ -2,8 +2,9 @@
 
 The kernel compares words by their letter triples in order, gaps allowed: a triple whose letters span
 s places weighs DECAY**s. Letters are folded first (case, accents, digits that stand for letters), and
-other characters fall out of a word, so inserted characters cost little or nothing. A sentence is as
-toxic as its worst word and a text as its worst sentence.
+other characters fall out of a word, so inserted characters cost little or nothing. Each word begins
+with a mark. A text is as toxic as its two worst words on average, so that a chance likeness does not
+count for much.
 
 The machine is linear in kernel values with landmark words, and these are linear in a word's triples;
 so what a trained model needs at scoring time is one weight for each letter triple.
@@ -28,7 +29,13 @@ FIT_ROWS = 4000
 LANDMARKS, NEGATIVES = 240, 10_000
 #: Rounds in which each toxic text's witness word is chosen anew.
 ROUNDS = 2
-LETTERS = 27
+#: Codes of letters: 0 is none and the last one stands before every word.
+LETTERS, FRONT = 28, 27
+#: Letters of a stem, and the log ratio from which a stem tells toxic texts from others.
+STEMS, LIFT = (4, 5, 6), 1.8
+
+#: Share of toxic texts that scores are meant for.
+TOXIC_SHARE = 0.4
 
 #: Letter codes of bytes: 1-26 for a-z, digits and signs as the letters they stand for, else 0.
 CODE = np.zeros(256, np.uint8)
@@ -64,7 +71,17 @@ def _letters(block: spans.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     joins[1:] = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
     first = np.flatnonzero(~joins)
     last = np.append(first[1:], len(begin)) - 1
-    return codes[codes > 0], begin[first], stop[last], doc[first]
+    return *_fronted(codes[codes > 0], begin[first], stop[last] if len(begin) else stop), doc[first]
+
+
+def _fronted(letters: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words end to end, each after the code FRONT."""
+    size = stop - begin
+    end = np.cumsum(size + 1)
+    out = np.full(int(end[-1]) if len(end) else 0, FRONT, np.uint8)
+    ramp = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(end - size, size) + ramp] = letters[np.repeat(begin, size) + ramp]
+    return out, end - size - 1, end
 
 
 def _triples(letters: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
@@ -94,7 +111,7 @@ def _kernel_parts(letters: np.ndarray, begin: np.ndarray, stop: np.ndarray, weig
 def _encoded(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lists = [np.array([ord(c) - 96 for c in w], np.uint8) for w in words]
     stop = np.cumsum([len(x) for x in lists])
-    return np.concatenate(lists), stop - [len(x) for x in lists], stop
+    return _fronted(np.concatenate(lists), stop - [len(x) for x in lists], stop)
 
 
 def _features(words: list[str]) -> np.ndarray:
@@ -147,17 +164,32 @@ class Model:
         total, norm = _kernel_parts(letters, begin, stop, self.weights)
         return np.where(norm > 0, total / np.maximum(norm, 1e-9), 0.0) + self.bias
 
-    def score(self, block: spans.Block) -> np.ndarray:
+    def text_margins(self, block: spans.Block) -> np.ndarray:
         letters, begin, stop, doc = _letters(block)
+        margins = self.margins(letters, begin, stop)
+        order = np.lexsort((margins, doc))
+        ends = np.searchsorted(doc, np.arange(block.docs), "right")
         worst = np.full(block.docs, self.bias)
-        np.maximum.at(worst, doc, self.margins(letters, begin, stop))
-        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * worst + self.shift, -30, 30)))
+        sizes = np.diff(np.concatenate([[0], ends]))
+        some, more = sizes > 0, sizes > 1
+        worst[some] = (margins[order[ends[some] - 1]] + self.bias) / 2
+        worst[more] = (margins[order[ends[more] - 1]] + margins[order[ends[more] - 2]]) / 2
+        return worst
+
+    def score(self, block: spans.Block) -> np.ndarray:
+        return 1.0 / (1.0 + np.exp(-np.clip(self.slope * self.text_margins(block) + self.shift, -30, 30)))
+
+
+def _blocks(texts: list[str]) -> Iterator[spans.Block]:
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
+    for _, block in spans.blocks(iter([batch]), "text"):
+        yield block
 
 
 def _words(text: str) -> list[str]:
     letters, begin, stop, _ = _letters(spans.Block(pa.array([text])))
     flat = "".join(map(chr, letters + 96))
-    return [flat[a:b] for a, b in zip(begin, stop, strict=True) if b - a >= 3]
+    return [flat[a + 1 : b] for a, b in zip(begin, stop, strict=True) if b - a > 3]
 
 
 def _diverse(words: list[str], most: int, alike: float = 0.6) -> list[str]:
@@ -184,6 +216,12 @@ def _maps(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return used, (base.T @ (vectors[:, top] / np.sqrt(values[top]))).astype(np.float32)
 
 
+def _stems(word: str) -> list[str]:
+    """Runs of letters, also those that begin the word; a short word as a whole."""
+    word = "^" + word
+    return list({word[i : i + n] for n in STEMS for i in range(len(word) - n + 1)}) or [word]
+
+
 def _gapped(word: str, rng: np.random.Generator) -> list[str]:
     """The word with one and with two letters put in."""
     out = []
@@ -199,20 +237,25 @@ def _gapped(word: str, rng: np.random.Generator) -> list[str]:
 def train(texts: list[str], toxic: list[int]) -> Model:
     """Fit a model on texts that are labelled as a whole.
 
-    Words that set toxic texts apart are witnesses and, with common words, the landmarks. The machine
+    Words with a stem that sets toxic texts apart are witnesses and, with common words, the landmarks. The machine
     is trained on the witnesses, plain and with letters put in, against words of the other texts. In
     each round, toxic texts without a witness name their worst word, and clean texts name theirs as
     further negatives.
     """
     bags = [sorted(set(_words(t))) for t in texts]
     held = {1: Counter(), 0: Counter()}
+    parts = {1: Counter(), 0: Counter()}
+    stems = {w: _stems(w) for bag in bags for w in bag}
     for bag, y in zip(bags, toxic, strict=True):
         held[y].update(bag)
+        parts[y].update({p for w in bag for p in stems[w]})
     sizes = {y: max(1, sum(t == y for t in toxic)) for y in (0, 1)}
-    lift = {w: np.log((n + 0.1) / sizes[1]) - np.log((held[0][w] + 0.5) / sizes[0]) for w, n in held[1].items()}
-    marked = [w for w in lift if lift[w] > 2.0 and held[1][w] >= max(3, sizes[1] // 250)]
-    marked.sort(key=lambda w: (-held[1][w] * lift[w], w))
-    common = [w for w, _ in sorted(held[0].items(), key=lambda x: (-x[1], x[0])) if w not in lift or lift[w] <= 1.5]
+    least = max(4, sizes[1] // 100)
+    lift = {p: np.log(n / sizes[1]) - np.log((parts[0][p] + 0.5) / sizes[0]) for p, n in parts[1].items() if n >= least}
+    telling = {p: v * parts[1][p] for p, v in lift.items() if v > LIFT}
+    rank = {w: max((telling[p] for p in stems[w] if p in telling), default=0.0) for w in held[1]}
+    marked = sorted((w for w in rank if rank[w] and held[0][w] * sizes[1] * 4 < held[1][w] * sizes[0]), key=lambda w: (-rank[w], -held[1][w], w))
+    common = [w for w, _ in sorted(held[0].items(), key=lambda x: (-x[1], x[0])) if not rank.get(w)]
     if not marked or not common:
         return Model(np.zeros(LETTERS**3), -1.0, 4.0, 0.0)
     landmarks = list(dict.fromkeys(_diverse(marked, LANDMARKS // 2) + common[: LANDMARKS // 4]))
@@ -238,13 +281,13 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         weights[used] = maps.astype(np.float64) @ w
         model = Model(weights, bias, 4.0, 0.0)
         worst = _worst(model, bags)
-        extra = [word for (word, _), bag, t in zip(worst, bags, toxic, strict=True) if t and word and not known.intersection(bag)]
+        extra = [word for word, bag, t in zip(worst, bags, toxic, strict=True) if t and word and not known.intersection(bag)]
         if turn < ROUNDS - 1:
             margins = _margins(model, held[0])
             worst_first = sorted((w for w in margins if w not in held[1]), key=lambda w: (-margins[w], w))
             negatives.update(worst_first[:3000])
             landmarks = list(dict.fromkeys(landmarks + _diverse(worst_first[:1000], LANDMARKS // 4)))
-    top = np.array([m for _, m in worst])
+    top = np.concatenate([model.text_margins(b) for b in _blocks(texts)])
     slope, shift = _scale(top, np.array(toxic, float))
     return Model(model.weights, model.bias, slope, shift)
 
@@ -254,23 +297,34 @@ def _margins(model: Model, words) -> dict[str, float]:
     return dict(zip(words, model.margins(*_encoded(words)), strict=True)) if words else {}
 
 
-def _worst(model: Model, bags: list[list[str]]) -> list[tuple[str | None, float]]:
+def _worst(model: Model, bags: list[list[str]]) -> list[str | None]:
+    """The word with the largest margin in each bag."""
     of = _margins(model, {w for bag in bags for w in bag})
-    return [max(((w, float(of[w])) for w in bag), key=lambda x: x[1], default=(None, model.bias)) for bag in bags]
+    return [max(bag, key=lambda w: (of[w], w), default=None) for bag in bags]
 
 
 def _scale(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of a logistic curve through the margins, classes weighing alike."""
-    weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
+    """Slope and shift of a logistic curve through the margins, toxic texts weighing TOXIC_SHARE in all."""
+    weight = np.where(y > 0, TOXIC_SHARE / max(1, y.sum()), (1 - TOXIC_SHARE) / max(1, (1 - y).sum()))
     x = np.stack([margin, np.ones(len(margin))], 1)
-    w = np.array([4.0, 0.0])
+    ridge = np.array([1e-4, 1e-6])
+
+    def loss(v: np.ndarray) -> float:
+        z = x @ v
+        return float(weight @ (np.logaddexp(0, z) - y * z) + ridge @ v**2)
+
+    w = np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (weight * (p - y)) + 1e-3 * np.array([w[0], 0])
-        hess = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag([1e-3, 1e-6])
-        w = w - np.linalg.solve(hess, grad)
-        w[0] = np.clip(w[0], 0.5, 50)
-    return float(w[0]), float(w[1])
+        slope = x.T @ (weight * (p - y)) + 2 * ridge * w
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(2 * ridge), slope)
+        size = 1.0
+        while size > 1e-6 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-8:
+            break
+    return max(float(w[0]), 0.5), float(w[1])
 
 
 def held_out(doc_id):
