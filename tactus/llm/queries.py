@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactus.llm import licenses as license_ops
-from tactus.llm import mixing, ngram_join
+from tactus.llm import line_dedup, mixing, ngram_join
 from tactus.llm import repair
 from tactus.llm import repetition as repetition_ops
 from tactus.llm import sharding, toxicity, vector_join
@@ -62,3 +62,8 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_vector_join")
 def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.vector_join(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.kept_lines(table(spark, sf_dir, "documents"))
