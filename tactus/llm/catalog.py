@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tactus.llm import queries  # noqa: F401
-from tactus.llm.registry import ORACLES, QUERIES
+from tactus.llm.registry import ORACLES, QUERIES, query
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -4,8 +4,8 @@ Four steps. Equal n-gram sets become one class. A first pass over hash-ordered p
 n-grams that each set shares there with any other; with too few it cannot have a partner. For the rest,
 n-grams are counted and ordered from rare to common; prefixes in that order, with length and
 positional filters, give candidate pairs, and a suffix filter and the exact sets decide each pair.
-Pairs inside one component need no look any more, so most of a large group is joined through its
-smallest member.
+Pairs inside one component need no look any more, so most of a large group is joined through the
+members in its middle.
 """
 
 from __future__ import annotations
@@ -183,7 +183,7 @@ def jaccard_join(
     docs: DataFrame,
     n: int = 4,
     percent: int = 85,
-    rounds: int = 2,
+    rounds: int = 3,
     id_column: str = "doc_id",
     text_column: str = "text",
 ) -> DataFrame:
@@ -219,10 +219,13 @@ def jaccard_join(
     need = F.ceil(F.col("n") * percent / F.lit(100)).cast("long")
     # N-grams of one class only come first in the order; they are no one's candidates.
     sets = ranked.join(whole_sizes, "rep").where(F.size("ranked") >= need)
-    sets = settle(sets.select("rep", "n", "bins", F.col("ranked.gram").alias("shared"), (F.col("n") - F.size("ranked")).alias("alone"), need.alias("need")))
-    prefix = F.slice("shared", F.lit(1), (F.col("n") - F.col("need") + 1 - F.col("alone")).cast("int"))
+    alone = F.col("n") - F.size("ranked")
+    prefix = F.slice("ranked.gram", F.lit(1), (F.col("n") - need + 1 - alone).cast("int"))
+    # A text whose n-grams are common among the others is near the middle of its group.
+    middle = F.aggregate("ranked", F.lit(0.0), lambda s, x: s + F.log(x["df"].cast("double"))) / F.col("n")
+    sets = settle(sets.select("rep", "n", "bins", F.col("ranked.gram").alias("shared"), prefix.alias("prefix"), alone.alias("alone"), middle.alias("middle")))
     tokens = settle(
-        sets.select("rep", "n", "alone", F.posexplode(prefix).alias("at", "gram")).select("rep", "n", "gram", (F.col("alone") + F.col("at")).alias("at"))
+        sets.select("rep", "n", "alone", "middle", F.posexplode("prefix").alias("nth", "gram"))
     )
 
     def fits(a: Column, b: Column) -> Column:
@@ -231,19 +234,23 @@ def jaccard_join(
     labels = sets.select("rep", F.col("rep").alias("comp"))
     for turn in range(rounds + 1):
         own = tokens.join(labels, "rep")
-        spread = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), (F.min if turn % 2 == 0 else F.max)(F.struct("rep", "comp", "n", "at")).alias("hub"))
-        spread = spread.where("lo < hi")
         if turn < rounds:
+            # Other hubs in each round: the middle of a group first, then others near it.
+            chance = F.pmod(F.xxhash64("rep", F.lit(turn)), F.lit(1 << 20)) / F.lit(1 << 20)
+            hub = F.max(F.struct((F.col("middle") * (1 - 0.2 * turn * chance)).alias("score"), "rep", "comp", "n"))
+            spread = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub.alias("hub")).where("lo < hi")
             near = own.join(spread, "gram").where((F.col("comp") != F.col("hub.comp")) & fits(F.col("n"), F.col("hub.n")))
             pairs = near.select(F.least("rep", "hub.rep").alias("a"), F.greatest("rep", "hub.rep").alias("b")).distinct()
         else:
-            open_ = settle(own.join(spread.select("gram"), "gram", "left_semi"))
-            x = open_.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("rep", "comp", "n", "at")])
-            y = open_.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("rep", "comp", "n", "at")])
+            spread = own.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+            open_ = own.join(spread, "gram", "left_semi").join(sets.select("rep", "prefix"), "rep")
+            open_ = settle(open_.select("gram", "rep", "comp", "n", (F.col("alone") + F.col("nth")).alias("at"), F.slice("prefix", F.lit(1), F.col("nth")).alias("before")))
+            x, y = (open_.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "comp", "n", "at", "before")]) for side in "ab")
             reach = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
             near = x.join(y, "gram").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & fits(F.col("n_a"), F.col("n_b")))
             near = near.where(reach * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-            pairs = near.select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
+            # A pair comes from the first prefix n-gram that both have.
+            pairs = near.where(~F.arrays_overlap("before_a", "before_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         links = settle(_verified(pairs, sets, percent))
         ends = links.join(labels.select(F.col("rep").alias("a"), F.col("comp").alias("x")), "a").join(labels.select(F.col("rep").alias("b"), F.col("comp").alias("y")), "b")
         labels = _merged(labels, ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
@@ -251,3 +258,13 @@ def jaccard_join(
     named = ids.join(classes, "key").join(labels, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
     return out.select(F.col("doc_id").alias(id_column), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", **options) -> DataFrame:
+    """``docs`` without the documents that link to one with a smaller id; columns stay as they are.
+
+    Rows without an id stay, and rows that repeat an id stay or go together.
+    """
+    found = jaccard_join(docs, id_column=id_column, **options)
+    others = found.where(F.col("component_id") != F.col(id_column)).select(F.col(id_column).alias("__doc")).distinct()
+    return docs.join(others, docs[id_column] == others["__doc"], "left_anti")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactus.llm import licenses as license_ops
-from tactus.llm import line_dedup, mixing, ngram_join
+from tactus.llm import chunk_bpe, line_dedup, mixing, ngram_join
 from tactus.llm import repair
 from tactus.llm import repetition as repetition_ops
 from tactus.llm import sharding, toxicity, vector_join
@@ -67,3 +67,8 @@ def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_line_dedup")
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.kept_lines(table(spark, sf_dir, "documents"))
+
+
+@query("op6_chunk_bpe")
+def op6_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

@@ -359,3 +359,13 @@ def toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
 
     id_type = docs.schema[id_column].dataType.simpleString()
     return docs.select(docs[id_column].alias(id_column), docs[text_column].alias("text")).mapInArrow(run, f"`{id_column}` {id_type}, score double, predicted int")
+
+
+def without_toxic(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` that score under ``threshold``, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, block in spans.blocks(batches, text_column):
+            yield batch.filter(pa.array(model.score(block) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)

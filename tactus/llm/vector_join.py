@@ -14,7 +14,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactus.llm.components import components
@@ -23,6 +23,8 @@ from tactus.llm.shared import settle
 BLOCK = 8
 #: Of two neighbouring cells one looks into the other; a cell also looks into itself.
 LOOKS = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+#: Rows of a tile, about.
+TILE = 1500
 #: Added to squared budgets, far above rounding errors and far below distances that matter.
 SLACK = 1e-9
 
@@ -65,8 +67,57 @@ def _prepared(vectors: DataFrame) -> DataFrame:
     )
 
 
-def _dot(a: Column | str, b: Column | str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _linked(cells: DataFrame, least_cosine: float) -> DataFrame:
+    """Pairs of keys that are close in a block of theirs and similar as a whole.
+
+    Rows meet in the cells of their blocks. A cell with many rows is cut into tiles, so that a group
+    holds at most a pair of tiles however many vectors lie close together.
+    """
+    cell = ["label", "size", "block", "c0", "c1"]
+    looks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in LOOKS]))
+    there = cells.withColumn("look", looks)
+    there = there.withColumns({"c0": F.col("c0") + F.col("look.i"), "c1": F.col("c1") + F.col("look.j"), "guest": (F.col("look.i") != 0) | (F.col("look.j") != 0)})
+    # Of a cell's own rows each is compared with the later ones, so they stand on both sides.
+    hosts = cells.withColumn("side", F.lit(0)).withColumn("guest", F.lit(False))
+    both = hosts.unionByName(there.drop("look").withColumn("side", F.lit(1)))
+    held = both.groupBy(*cell).agg(*[F.ceil(F.sum((F.col("side") == s).cast("long")) / F.lit(TILE)).cast("int").alias(f"tiles_{s}") for s in (0, 1)])
+    both = both.join(held.where("tiles_0 > 0"), cell)
+    spread = F.xxhash64("key")
+    mine = F.pmod(spread, F.when(F.col("side") == 0, F.col("tiles_0")).otherwise(F.col("tiles_1"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("side") == 0, F.col("tiles_1")).otherwise(F.col("tiles_0")) - 1))
+    both = both.withColumn("mine", mine).withColumn("other", other)
+    both = both.withColumns({"t0": F.when(F.col("side") == 0, F.col("mine")).otherwise(F.col("other")), "t1": F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("mine"))})
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        guest = table.column("guest").to_numpy()
+        keys = np.array(table.column("key").to_pylist(), object)
+        size, block, budget = (table.column(c)[0].as_py() for c in ("size", "block", "budget"))
+        x = table.column("vector").combine_chunks().flatten().to_numpy().reshape(-1, size)
+        norm = np.linalg.norm(x, axis=1)
+        part = (x / norm[:, None]) @ rotation(size)[:, block * BLOCK : (block + 1) * BLOCK]
+        hosts, others = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        left, right = [], []
+        square = (part**2).sum(1)
+        for i in range(0, len(hosts), 256):
+            h = hosts[i : i + 256]
+            apart = square[h][:, None] + square[others][None, :] - 2 * part[h] @ part[others].T
+            at, to = np.nonzero(apart <= budget + SLACK)
+            a, b = h[at], others[to]
+            fresh = guest[b] | (keys[a] < keys[b])
+            a, b = a[fresh], b[fresh]
+            for k in range(0, len(a), 20_000):
+                u, v = a[k : k + 20_000], b[k : k + 20_000]
+                good = np.einsum("ij,ij->i", x[u], x[v]) / (norm[u] * norm[v]) >= least_cosine
+                left.append(u[good])
+                right.append(v[good])
+        none = np.zeros(0, np.int64)
+        a, b = keys[np.concatenate([none, *left])], keys[np.concatenate([none, *right])]
+        swap = a > b
+        return pa.table({"a": pa.array(np.where(swap, b, a), pa.binary()), "b": pa.array(np.where(swap, a, b), pa.binary())})
+
+    columns = ["side", "guest", "key", "size", "block", "budget", "vector"]
+    return both.select(*cell, "t0", "t1", *[c for c in columns if c not in cell]).groupBy(*cell, "t0", "t1").applyInArrow(run, "a binary, b binary")
 
 
 def vector_join(
@@ -91,25 +142,16 @@ def vector_join(
     rows = settle(_prepared(rows))
     ids = rows.where("vec_id is not null and key is not null")
     classes = settle(ids.groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("held"), F.first(F.struct("label", "vector", "blocks")).alias("v")))
-    one = classes.select("key", "held", "v.label", "v.vector", F.explode("v.blocks").alias("b"))
+    one = classes.select("key", "v.label", "v.vector", F.explode("v.blocks").alias("b"))
     one = one.withColumn("size", F.size("vector")).withColumn("x", F.col("b.x")).withColumn("block", F.col("b.block"))
-    energy = one.groupBy("size", "block").agg(F.avg(_dot("x", "x")).alias("energy"))
+    squares = F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)
+    energy = one.groupBy("size", "block").agg(F.avg(squares).alias("energy"))
     total = energy.groupBy("size").agg(F.sum("energy").alias("all"))
     far = 2.0 - 2.0 * least_cosine
     budgets = energy.join(total, "size").select("size", "block", (F.lit(far) * F.col("energy") / F.col("all") * (1 + SLACK) + SLACK).alias("budget"))
     cells = one.join(budgets, ["size", "block"])
-    cells = cells.withColumns({f"c{i}": F.floor(F.col("x")[i] / F.sqrt("budget")) for i in (0, 1)})
-    common = ["label", "size", "block"]
-    names = [f"x{i}" for i in range(BLOCK)]
-    left = cells.select(*common, "c0", "c1", "budget", F.col("key").alias("a"), F.col("vector").alias("va"), *[F.col("x")[i].alias(f"a_{n}") for i, n in enumerate(names)])
-    looks = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in LOOKS]))
-    right = cells.select(*common, "c0", "c1", F.col("key").alias("b"), F.col("vector").alias("vb"), *[F.col("x")[i].alias(f"b_{n}") for i, n in enumerate(names)], looks.alias("look"))
-    right = right.withColumns({"c0": F.col("c0") + F.col("look.i"), "c1": F.col("c1") + F.col("look.j")})
-    apart = sum(((F.col(f"a_{n}") - F.col(f"b_{n}")) * (F.col(f"a_{n}") - F.col(f"b_{n}")) for n in names), F.lit(0.0))
-    own_cell = (F.col("look.i") == 0) & (F.col("look.j") == 0)
-    near = left.join(right, [*common, "c0", "c1"]).where((apart <= F.col("budget")) & (~own_cell | (F.col("a") < F.col("b"))))
-    cosine = _dot("va", "vb") / (F.sqrt(_dot("va", "va")) * F.sqrt(_dot("vb", "vb")))
-    links = near.where(cosine >= least_cosine).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    cells = cells.select("label", "size", "block", "budget", *[F.floor(F.col("x")[i] / F.sqrt("budget")).alias(f"c{i}") for i in (0, 1)], "key", "vector")
+    links = _linked(cells, least_cosine).distinct()
     named = classes.select("key", "rep", "held")
     ends = links.join(named.select(F.col("key").alias("a"), F.col("rep").alias("ra"), F.col("held").alias("ha")), "a")
     ends = settle(ends.join(named.select(F.col("key").alias("b"), F.col("rep").alias("rb"), F.col("held").alias("hb")), "b"))
