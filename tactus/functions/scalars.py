@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -190,15 +189,19 @@ def chart_hash(notes: Column) -> Column:
 
 
 def hex_modulus(digest: Column, modulus: int) -> Column:
-    """Remainder of a hexadecimal number of any length.
+    """Remainder of a hexadecimal number of any length; NULL for one without digits.
 
-    The digits are taken seven at a time, so that a 160-bit digest folds in six steps of ordinary
-    64-bit arithmetic.
+    The digits are folded in seven at a time, which stays inside 64-bit arithmetic.
     """
-    steps = [F.conv(F.substring(digest, 1 + 7 * i, 7), 16, 10).cast("bigint") for i in range(5)]
-    rest = F.conv(F.substring(digest, 36, 5), 16, 10).cast("bigint")
-    folded = reduce(lambda a, d: (a * (16**7 % modulus) + d) % modulus, steps, F.lit(0))
-    return ((folded * (16**5 % modulus) + rest) % modulus).cast("int")
+    powers = F.array(*[F.lit(16**n) for n in range(8)])
+
+    def fold(rest: Column, at: Column) -> Column:
+        digits = F.substring(digest, at, F.lit(7))
+        return (rest * F.get(powers, F.length(digits)) + F.conv(digits, 16, 10).cast("bigint")) % modulus
+
+    starts = F.sequence(F.lit(1), F.length(digest), F.lit(7))
+    folded = F.aggregate(starts, F.lit(0).cast("bigint"), fold)
+    return F.when(F.length(digest) > 0, folded.cast("int"))
 
 
 def stem_bucket(stem: Column, modulus: int = 20) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -27,7 +28,8 @@ def crowded(
     return ahead.withColumn("crowded", room < 6).drop("__next")
 
 
-BLOCK = 400
+#: What two blocks of rows have decayed to is below the rounding of what follows them.
+FADED = 1e-8
 
 
 def panel_usage(
@@ -41,10 +43,14 @@ def panel_usage(
 ) -> DataFrame:
     """W15 - decayed use of each panel up to every row, and the bias that evens it out.
 
-    Rows are numbered and cut into blocks of 400. Inside a block the decayed sum is an ordinary
-    running sum of scaled terms (the scale stays below 1e8); what earlier blocks contribute has
-    decayed below double precision after two of them.
+    Rows are numbered and cut into blocks over which a tap decays to about ``FADED``, whatever the
+    decay is. Inside a block the decayed sum is an ordinary running sum of scaled terms (the scale
+    stays below 1 / ``FADED``); what earlier blocks contribute has decayed below double precision
+    after two of them.
     """
+    if not 0.0 < decay < 1.0:
+        raise ValueError("decay must lie between 0 and 1")
+    block = max(1, round(math.log(FADED) / math.log(decay)))
     numbered = scan(
         rows.withColumn("__step", step_mask(F.col(codes))),
         keys,
@@ -54,14 +60,14 @@ def panel_usage(
     )
     index = F.col("__n") - 1
     placed = numbered.withColumns(
-        {"__block": F.floor(index / BLOCK), "__in": F.pmod(index, F.lit(BLOCK))}
+        {"__block": F.floor(index / block), "__in": F.pmod(index, F.lit(block))}
     )
     grow = F.pow(F.lit(1.0 / decay), F.col("__in"))
     terms = [
         F.when(F.col("__step").bitwiseAND(F.lit(1 << p)) != 0, grow).otherwise(F.lit(0.0))
         for p in range(k.PANELS)
     ]
-    full = decay ** (BLOCK - 1)
+    full = decay ** (block - 1)
     ends = placed.groupBy(*keys, "__block").agg(
         *[(F.sum(t) * F.lit(full)).alias(f"__end{p}") for p, t in enumerate(terms)]
     )
@@ -72,7 +78,7 @@ def panel_usage(
         *[
             (
                 F.coalesce(F.lag(f"__end{p}").over(across), F.lit(0.0))
-                + F.coalesce(F.lag(f"__end{p}", 2).over(across), F.lit(0.0)) * F.lit(decay**BLOCK)
+                + F.coalesce(F.lag(f"__end{p}", 2).over(across), F.lit(0.0)) * F.lit(decay**block)
             ).alias(f"__carry{p}")
             for p in range(k.PANELS)
         ],

@@ -1,103 +1,199 @@
 """Straight pieces of a phase track and the tempo changes they stand for.
 
-Choosing all boundaries of a track at once is a sequential search over its readings, so this is the
-one estimator that runs per song in a Python worker. Its input is the phase track, which has one
-reading per hop (two seconds), not the frames: an hour of music is 1 800 rows.
+A long track is cut into stretches that are fitted side by side. A stretch leaves one summary per
+straight piece: power sums for least squares and the convex hull, which holds every point that can be
+farthest from a line. Joining pieces, bending the line and measuring its worst miss then needs the
+summaries of a song only, however many readings it has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-LEAST_SPAN = 1e-6
-STEEPEST = 0.05
+#: Readings of one stretch, about.
+STRETCH = 1000
 
 
-def _pieces(t: np.ndarray, y: np.ndarray, tolerance: float, least: int) -> list[int]:
-    """E08 - boundaries of the fewest straight pieces within tolerance, ties by squared error.
+def _chain(t: np.ndarray, y: np.ndarray, side: float) -> list[int]:
+    """Corners of the upper (``side`` 1) or lower (-1) hull of points in order of time."""
+    out: list[int] = []
+    for i in range(len(t)):
+        while len(out) > 1:
+            a, b = out[-2], out[-1]
+            if side * ((t[b] - t[a]) * (y[i] - y[a]) - (y[b] - y[a]) * (t[i] - t[a])) < 0:
+                break
+            out.pop()
+        out.append(i)
+    return out
+
+
+def _narrowest(t: np.ndarray, y: np.ndarray) -> tuple[float, float, list[int]]:
+    """Slope and height of the lowest strip that holds all points, and the corners of their hull.
 
-    Fits of all pieces ending at one reading come from running sums; candidates are then tried from
-    the cheapest on, and the first that stays within tolerance is the best.
+    The height is convex in the slope and bends only at slopes of hull edges, so its minimum is there.
+    """
+    upper, lower = _chain(t, y, 1.0), _chain(t, y, -1.0)
+    corners = sorted({*upper, *lower})
+    if len(corners) < 2:
+        return 0.0, 0.0, corners
+    edges = [np.diff(y[c]) / np.diff(t[c]) for c in (upper, lower) if len(c) > 1]
+    slopes = np.concatenate(edges)
+    best = (0.0, np.inf)
+    for part in np.array_split(slopes, max(1, len(slopes) // 256)):
+        rest_up = (y[upper][None, :] - part[:, None] * t[upper][None, :]).max(1)
+        rest_low = (y[lower][None, :] - part[:, None] * t[lower][None, :]).min(1)
+        at = int(np.argmin(rest_up - rest_low))
+        if rest_up[at] - rest_low[at] < best[1]:
+            best = (float(part[at]), float(rest_up[at] - rest_low[at]))
+    return *best, corners
+
+
+def _reach(fits, low: int, high: int) -> int:
+    """The largest number from ``low`` on, up to ``high``, that fits; what follows a misfit misfits too."""
+    step, good = 1, low
+    while good + step <= high and fits(good + step):
+        good, step = good + step, step * 2
+    bad = min(good + step, high + 1)
+    while bad - good > 1:
+        middle = (good + bad) // 2
+        good, bad = (middle, bad) if fits(middle) else (good, middle)
+    return good
+
+
+def _errors(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Squared error of the least-squares line through readings ``start`` to ``end``."""
+    n, t, y, tt, ty, yy = sums[:, end] - sums[:, start]
+    spread = tt - t * t / n
+    slope = np.where(spread > 0, (ty - t * y / n) / np.where(spread > 0, spread, 1.0), 0.0)
+    return np.maximum(yy - y * y / n - slope * (ty - t * y / n), 0.0)
+
+
+def _boundaries(t: np.ndarray, y: np.ndarray, tolerance: float, least: int) -> list[int]:
+    """E08 - the fewest straight pieces within tolerance, placed for the smallest squared error.
+
+    Part of a piece that fits also fits, so taking each piece as far as it goes needs the fewest. That
+    gives the latest place for every boundary; the earliest is as far back as the next piece fits.
     """
     n = len(t)
-    x = t - t.mean()
-    sums = [np.concatenate([[0.0], np.cumsum(v)]) for v in (x, y, x * x, x * y, y * y)]
-    count = np.full(n + 1, np.iinfo(np.int64).max)
-    error, origin = np.zeros(n + 1), np.zeros(n + 1, dtype=int)
-    count[0] = 0
-    for end in range(least, n + 1):
-        starts = np.flatnonzero(count[: end - least + 1] < n + 1)
-        size = end - starts
-        sx, sy, sxx, sxy, syy = (s[end] - s[starts] for s in sums)
-        cxx, cxy, cyy = sxx - sx * sx / size, sxy - sx * sy / size, syy - sy * sy / size
-        slope = cxy / cxx
-        level = (sy - slope * sx) / size
-        cost = error[starts] + np.maximum(cyy - slope * cxy, 0.0)
-        for i in np.lexsort((starts, cost, count[starts])):
-            start = starts[i]
-            miss = np.abs(y[start:end] - slope[i] * x[start:end] - level[i]).max()
-            if miss <= tolerance or size[i] < 2 * least:
-                count[end], error[end], origin[end] = count[start] + 1, cost[i], start
-                break
-    edges = [n]
-    while edges[-1] > 0:
-        edges.append(int(origin[edges[-1]]))
-    return edges[::-1]
-
-
-def _flattest(t: np.ndarray, y: np.ndarray) -> float:
-    """Slope with the smallest worst miss; the spread is convex in the slope."""
-    low, high = -STEEPEST, STEEPEST
-    for _ in range(60):
-        third = (high - low) / 3
-        spreads = [np.ptp(y - s * t) for s in (low + third, high - third)]
-        low, high = (low, high - third) if spreads[0] < spreads[1] else (low + third, high)
-    return (low + high) / 2
-
-
-def _weakest(changes: Sequence[float], spans: Sequence[float], scale: float) -> int | None:
-    """Index of the change of tempo that matters least, or None when all of them matter."""
-    shares = [abs(c) * max(s, LEAST_SPAN) / scale for c, s in zip(changes, spans, strict=True)]
-    best = min(range(len(shares)), key=shares.__getitem__, default=None)
-    return best if best is not None and shares[best] < 1.0 else None
-
-
-def _merge(t, y, edges: list[int], bpm: float, tolerance: float) -> tuple[list[int], list[float]]:
-    """E09 - drop boundaries that do not earn their place; report where the beat merely jumped."""
-    splices: list[float] = []
-    while len(edges) > 2:
-        runs = list(zip(edges[:-1], edges[1:], strict=True))
-        tempi = [bpm * (1.0 - _flattest(t[a:b], y[a:b])) for a, b in runs]
-        spans = [t[b - 1] - t[a] for a, b in runs]
-        change = np.diff(tempi)
-        weak = _weakest(change, [min(p) for p in zip(spans[:-1], spans[1:], strict=True)], tolerance * bpm)
-        if weak is not None:
-            del edges[weak + 1]
-            continue
-        middles = [i for i in range(1, len(runs) - 1) if change[i - 1] * change[i] < 0]
-        back = _weakest(
-            [tempi[i + 1] - tempi[i - 1] for i in middles],
-            [min(spans[i - 1], spans[i + 1]) for i in middles],
-            tolerance * bpm,
+    height = lambda a, b: _narrowest(t[a:b], y[a:b])[1]
+    edges = [0]
+    while edges[-1] < n:
+        start = edges[-1]
+        end = _reach(lambda e, s=start: height(s, e) <= 2 * tolerance, min(start + least, n), n)
+        if 0 < n - end < least:  # the rest is no piece of its own
+            end = n - least if n - least >= start + least else n
+        edges.append(end)
+    moved = t - t[0]
+    sums = np.zeros((6, n + 1))
+    np.cumsum([np.ones(n), moved, y, moved * moved, moved * y, y * y], axis=1, out=sums[:, 1:])
+    for i in range(1, len(edges) - 1):
+        a, b, c = edges[i - 1 : i + 2]
+        first = max(a + least, c - _reach(lambda k, c=c: height(c - k, c) <= 2 * tolerance, c - b, c - a))
+        places = np.arange(min(first, b), b + 1)
+        cost = _errors(sums, np.full(len(places), a), places) + _errors(sums, places, np.full(len(places), c))
+        edges[i] = int(places[np.argmax(cost <= cost.min() + 1e-6 * tolerance**2)])  # of equal ones the first
+    return edges
+
+
+@dataclass
+class Piece:
+    """What is known of a run of readings: its ends, power sums from ``zero`` on, and hull corners."""
+
+    first: float
+    last: float
+    sums: np.ndarray
+    t: np.ndarray
+    y: np.ndarray
+
+    def __post_init__(self) -> None:
+        self.slope, _, corners = _narrowest(self.t, self.y)
+        self.t, self.y = self.t[corners], self.y[corners]
+
+    @property
+    def span(self) -> float:
+        return self.last - self.first
+
+    def joined(self, *others: Piece) -> Piece:
+        every = (self, *others)
+        return Piece(
+            self.first, every[-1].last, sum(p.sums for p in every), np.concatenate([p.t for p in every]), np.concatenate([p.y for p in every])
         )
-        if back is None:
+
+
+def _least(change: np.ndarray, span: np.ndarray, limit: float) -> int | None:
+    """The change of tempo that moves the beat least over its span, if by less than the limit."""
+    if not len(change):
+        return None
+    moved = np.abs(change) * np.maximum(span, 1e-6)
+    at = int(np.argmin(moved))
+    return at if moved[at] < limit else None
+
+
+def _settled(pieces: list[Piece], tolerance: float) -> tuple[list[Piece], list[float]]:
+    """E09 - pieces whose boundaries matter, and the times of splices.
+
+    A boundary matters if the change of slope, over the shorter neighbour, moves the beat by more than
+    the tolerance. A piece between two like ones, whose slope goes and comes back, is a splice.
+    """
+    splices = []
+    while len(pieces) > 1:
+        slope = np.array([p.slope for p in pieces])
+        span = np.array([p.span for p in pieces])
+        change = np.diff(slope)
+        at = _least(change, np.minimum(span[:-1], span[1:]), tolerance)
+        if at is not None:
+            pieces[at : at + 2] = [pieces[at].joined(pieces[at + 1])]
+            continue
+        turns = np.flatnonzero(change[:-1] * change[1:] < 0)  # the piece after each of these
+        at = _least((slope[2:] - slope[:-2])[turns], np.minimum(span[:-2], span[2:])[turns], tolerance)
+        if at is None:
             break
-        a, b = runs[middles[back]]
-        splices.append(float(t[a] + t[b - 1]) / 2.0)
-        del edges[middles[back] : middles[back] + 2]
-    return edges, sorted(splices)
+        i = int(turns[at])
+        splices.append((pieces[i + 1].first + pieces[i + 1].last) / 2.0)
+        pieces[i : i + 3] = [pieces[i].joined(*pieces[i + 1 : i + 3])]
+    return pieces, sorted(splices)
 
 
-def _hinges(t, y, knots: list[float], bpm: float) -> tuple[np.ndarray, float]:
-    """E10 - one continuous line bent at the knots: its tempi and its worst miss."""
-    columns = [np.ones_like(t), t, *[np.clip(t - knot, 0.0, None) for knot in knots]]
-    design = np.stack(columns, axis=1)
-    fitted, *_ = np.linalg.lstsq(design, y, rcond=None)
-    return bpm * (1.0 - np.cumsum(fitted[1:])), float(np.abs(y - design @ fitted).max())
+def _bent(pieces: list[Piece]) -> tuple[np.ndarray, float]:
+    """E10 - slopes of the least-squares line that bends where pieces meet, and its worst miss.
+
+    On a piece the line is straight, so its normal equations need the power sums alone.
+    """
+    zero = pieces[0].first
+    knots = np.array([p.first - zero for p in pieces[1:]])
+    size = 2 + len(knots)
+    gram, right = np.zeros((size, size)), np.zeros(size)
+    lines = []
+    for i, p in enumerate(pieces):
+        level, rate = np.zeros(size), np.zeros(size)
+        level[0] = rate[1] = 1.0
+        level[2 : 2 + i], rate[2 : 2 + i] = -knots[:i], 1.0
+        n, t, y, tt, ty, _ = p.sums
+        gram += n * np.outer(level, level) + t * (np.outer(level, rate) + np.outer(rate, level)) + tt * np.outer(rate, rate)
+        right += y * level + ty * rate
+        lines.append((level, rate))
+    scale = 1.0 / np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    found = scale * np.linalg.lstsq(gram * np.outer(scale, scale), right * scale, rcond=1e-13)[0]
+    miss = max(float(np.abs(p.y - level @ found - (p.t - zero) * (rate @ found)).max()) for p, (level, rate) in zip(pieces, lines, strict=True))
+    return np.array([rate @ found for _, rate in lines]), miss
+
+
+def _pieces(rows: pd.DataFrame) -> list[Piece]:
+    """Pieces of a song from their rows, with power sums moved to its first reading."""
+    zero = float(rows["first"].iloc[0])
+    out = []
+    for r in rows.itertuples():
+        n, t, y, tt, ty, yy = np.array(r.sums)
+        by = r.first - zero
+        sums = np.array([n, t + n * by, y, tt + 2 * by * t + n * by * by, ty + by * y, yy])
+        out.append(Piece(float(r.first), float(r.last), sums, np.array(r.corner_t), np.array(r.corner_y)))
+    return out
 
 
 def fit_warps(
@@ -116,26 +212,44 @@ def fit_warps(
     """
     least = max(int(shortest / hop), 4)
     kinds = [f"`{c}` {kind}" for c, kind in track.select(*keys).dtypes]
-    schema = ", ".join([*kinds, "seconds double, bpm double, slack double, splices array<double>"])
+    stretch = F.floor(F.col("centre") / F.lit(hop * STRETCH)).alias("__stretch")
+    names = [*keys, "first", "last", "reference", "sums", "corner_t", "corner_y"]
+    summary = ", ".join(
+        [*kinds, "first double, last double, reference double, sums array<double>, corner_t array<double>, corner_y array<double>"]
+    )
 
-    def fit(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        names = [*keys, "seconds", "bpm", "slack", "splices"]
+    def cut(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("centre")
-        t, y = part["centre"].to_numpy(), part["phase"].to_numpy()
-        if len(t) < least:
-            return pd.DataFrame(columns=names)
-        reference = float(part[bpm].iloc[0])
-        edges, splices = _merge(t, y, _pieces(t, y, tolerance, least), reference, tolerance)
-        knots = [float(t[e]) for e in edges[1:-1]]
+        t, y = part["centre"].to_numpy(float), part["phase"].to_numpy(float)
+        edges = _boundaries(t, y, tolerance, least)
+        rows = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            u, v = t[a:b] - t[a], y[a:b]
+            corners = _narrowest(t[a:b], v)[2]
+            sums = [float(b - a), u.sum(), v.sum(), u @ u, u @ v, v @ v]
+            rows.append((*key[: len(keys)], t[a], t[b - 1], float(part[bpm].iloc[0]), sums, t[a:b][corners].tolist(), v[corners].tolist()))
+        return pd.DataFrame(rows, columns=names)
+
+    def join(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("first")
+        reference = float(part["reference"].iloc[0])
+        columns = [*keys, "seconds", "bpm", "slack", "splices"]
+        if sum(s[0] for s in part["sums"]) < least:
+            return pd.DataFrame(columns=columns)
+        pieces, splices = _settled(_pieces(part), tolerance)
         while True:
-            tempi, slack = _hinges(t, y, knots, reference)
-            lengths = np.diff([0.0, *knots, float(t[-1])])
-            near = [min(p) for p in zip(lengths[:-1], lengths[1:], strict=True)]
-            spare = _weakest(np.diff(tempi), near, tolerance * reference)
+            slopes, slack = _bent(pieces)
+            # The line begins at 0 seconds.
+            lengths = np.diff([0.0, *[p.first for p in pieces[1:]], pieces[-1].last])
+            spare = _least(np.diff(slopes), np.minimum(lengths[:-1], lengths[1:]), tolerance)
             if spare is None:
                 break
-            del knots[spare]
-        rows = [(*key, at, float(tempo), slack, splices) for at, tempo in zip([0.0, *knots], tempi, strict=True)]
-        return pd.DataFrame(rows, columns=names)
+            pieces[spare : spare + 2] = [pieces[spare].joined(pieces[spare + 1])]
+        starts = [0.0, *[p.first for p in pieces[1:]]]
+        rows = [(*key, at, reference * (1.0 - float(s)), slack, splices) for at, s in zip(starts, slopes, strict=True)]
+        return pd.DataFrame(rows, columns=columns)
 
-    return track.select(*keys, "centre", "phase", bpm).groupBy(*keys).applyInPandas(fit, schema)
+    readings = track.select(*keys, "centre", "phase", bpm, stretch)
+    pieces = readings.groupBy(*keys, "__stretch").applyInPandas(cut, summary)
+    schema = ", ".join([*kinds, "seconds double, bpm double, slack double, splices array<double>"])
+    return pieces.groupBy(*keys).applyInPandas(join, schema)

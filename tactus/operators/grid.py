@@ -148,11 +148,11 @@ def pool_measures(
     width: int,
     per_measure: int = k.SLOTS_PER_MEASURE,
     scale: float = 80.0,
-    most: int = 512,
+    most: int | None = None,
 ) -> DataFrame:
     """A11 - mean and maximum of every feature over each whole measure, and its relative position.
 
-    Only the first ``most`` measures count, which is part of the feature.
+    ``most`` keeps only the first measures, for readers of fixed length; all count by default.
     """
     v = F.col(values)
     at = [F.get(v, F.lit(i)).cast("double") / F.lit(scale) for i in range(width)]
@@ -163,7 +163,7 @@ def pool_measures(
             F.array(*[F.max(x) for x in at]).alias("peak"),
             F.count(F.lit(1)).alias("__n"),
         )
-        .where((F.col("__n") == per_measure) & (F.col("measure") < most))
+        .where((F.col("__n") == per_measure) & (F.lit(True) if most is None else F.col("measure") < most))
         .drop("__n")
     )
     counts = pooled.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"))

@@ -19,7 +19,6 @@ from tactus.functions.scalars import (
 from tactus.operators.corpus import tokenize
 
 WINDOW_MEASURES = 64
-WINDOW_STEPS = 384
 PAD = -100
 
 
@@ -120,14 +119,16 @@ def chart_windows(
     keys: Sequence[str],
     *,
     measures: int = WINDOW_MEASURES,
-    max_steps: int = WINDOW_STEPS,
+    max_steps: int | None = None,
     seed: int | None = None,
     slot_count: str | None = None,
 ) -> DataFrame:
     """G02 - one row per window of a chart with its placement and padded step arrays.
 
     Without a seed the windows tile the chart; with one, each chart gives one window at a seeded
-    start. A window holds at most ``measures * 48`` rows, so its arrays are bounded.
+    start. A window holds at most ``measures * 48`` rows, so its arrays are bounded. Step arrays are
+    padded to the longest window; ``max_steps`` cuts or pads them to a fixed length instead. ``steps``
+    counts all rows of the window either way.
     """
     width = measures * k.SLOTS_PER_MEASURE
     if seed is None:
@@ -142,11 +143,13 @@ def chart_windows(
     grouped = coded.groupBy(*keys, "start").agg(
         F.array_sort(F.collect_list(F.struct("local", "token"))).alias("__steps")
     )
-    kept = F.slice("__steps", 1, max_steps)
-    count = F.size(kept)
+    if max_steps is None:
+        kept, length = F.col("__steps"), grouped.agg(F.max(F.size("__steps"))).scalar()
+    else:
+        kept, length = F.slice("__steps", 1, max_steps), F.lit(max_steps)
 
     def padded(values: Column, fill: Column) -> Column:
-        return F.concat(values, F.array_repeat(fill, F.lit(max_steps) - count))
+        return F.concat(values, F.array_repeat(fill, F.col("__length") - F.size(kept)))
 
     local = F.transform(kept, lambda s: s["local"])
     tokens = F.transform(kept, lambda s: s["token"])
@@ -160,14 +163,18 @@ def chart_windows(
             F.least(s["local"] - F.get(kept, i - 1)["local"], F.lit(k.MAX_DELTA))
         ),
     )
-    taken = F.transform("__steps", lambda s: s["local"])
-    placement = F.transform(
-        F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.array_contains(taken, i).cast("tinyint")
-    )
-    return grouped.withColumn("__vocab", size).select(
+    zero, one = F.lit(0).cast("tinyint"), F.lit(1).cast("tinyint")
+    last = F.coalesce(F.element_at("__steps", -1)["local"], F.lit(-1))
+
+    def upto(step: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get("__steps", i - 1)["local"])
+        return F.concat(F.array_repeat(zero, step["local"] - before - 1), F.array(one))
+
+    placement = F.concat(F.flatten(F.transform("__steps", upto)), F.array_repeat(zero, F.lit(width - 1) - last))
+    return grouped.withColumns({"__vocab": size, "__length": length}).select(
         *keys,
         "start",
-        count.alias("steps"),
+        F.size("__steps").alias("steps"),
         placement.alias("placement"),
         padded(tokens, F.lit(PAD)).alias("pattern_target"),
         padded(before, F.col("__vocab")).alias("previous"),

@@ -412,7 +412,7 @@ def augment_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
       FROM tok WINDOW w AS (PARTITION BY chart, start ORDER BY loc)),
     pad AS (SELECT c.chart, c.start, g.i, coalesce(x.token, -100) AS token, coalesce(x.prev, 64) AS prev,
         coalesce(x.delta, 0) AS delta, coalesce(x.loc, 0) AS loc
-      FROM (SELECT DISTINCT chart, start FROM ctx) c CROSS JOIN generate_series(1, 5) g(i)
+      FROM (SELECT DISTINCT chart, start FROM ctx) c CROSS JOIN (SELECT unnest(generate_series(1, (SELECT max(rn) FROM ctx))) AS i) g
       LEFT JOIN ctx x ON x.chart = c.chart AND x.start = c.start AND x.rn = g.i),
     arr AS (SELECT chart, start, string_agg(token::VARCHAR, ',' ORDER BY i) AS pattern_target,
         string_agg(prev::VARCHAR, ',' ORDER BY i) AS previous, string_agg(delta::VARCHAR, ',' ORDER BY i) AS delta,
@@ -420,13 +420,13 @@ def augment_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     plc AS (SELECT c.chart, c.start, string_agg((x.loc IS NOT NULL)::INT::VARCHAR, '' ORDER BY g.i) AS placement
       FROM (SELECT DISTINCT chart, start FROM ctx) c CROSS JOIN generate_series(0, 47) g(i)
       LEFT JOIN ctx x ON x.chart = c.chart AND x.start = c.start AND x.loc = g.i GROUP BY 1, 2)
-    SELECT chart, start::BIGINT AS start, least((SELECT count(*) FROM ctx x WHERE x.chart = a.chart AND x.start = a.start), 5) AS steps,
+    SELECT chart, start::BIGINT AS start, (SELECT count(*) FROM ctx x WHERE x.chart = a.chart AND x.start = a.start) AS steps,
       pattern_target, previous, delta, step_position, placement FROM arr a JOIN plc USING (chart, start)""",
 )
 def chart_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_rows(spark, sf_dir)
     windows = prep.chart_windows(
-        rows, corpus.build_vocabulary(rows, 64), ["chart"], measures=1, max_steps=5
+        rows, corpus.build_vocabulary(rows, 64), ["chart"], measures=1
     )
     lists = ("pattern_target", "previous", "delta", "step_position")
     return windows.select(

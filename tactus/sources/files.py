@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -51,9 +52,10 @@ def scan_corpus(
 
 def _at_depth(files: DataFrame, root: str) -> DataFrame:
     """Keep files exactly two directories below the root."""
-    tail = root.rstrip("/").rsplit("/", 1)[-1]
-    above = F.element_at(F.split(F.col("path"), "/"), -4)
-    return files.where(above == tail)
+    # Roots may be named without the scheme and host that listed paths have.
+    tail = re.sub(r"^[a-zA-Z][\w+.-]*:/*", "/", root).rstrip("/")
+    above = F.regexp_replace("path", "(/[^/]*){3}$", "")
+    return files.where(F.endswith(above, F.lit(tail)))
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:

@@ -11,31 +11,35 @@ from tactus.functions import scalars
 from tactus.sources import dwi, files, manifest, msd, render
 from tactus.streaming import live
 
-SM = """#TITLE:A song;
-#ARTIST:Someone;
+SM = """#TITLE:Harbour lights;
+#ARTIST:Nobody;
 #MUSIC:song.ogg;
-#OFFSET:-0.048;
-#BPMS:0.000=150.000;
+#OFFSET:-0.250;
+#BPMS:0.000=140.000;
 #STOPS:;
-#SAMPLESTART:12.5;
+#SAMPLESTART:7.25;
 #NOTES:
      dance-single:
      me:
      challenge:
-     9:
+     11:
      0,0,0,0,0:
-1000
-0100
 0010
+0000
+1100
 0001
 ,
-1001
+1000
+0000
+0100
 0000
-0110
+0010
 0000
+0001
+0011
 ;
 """
-DWI = "#TITLE:Old;\n#ARTIST:A;\n#FILE:SONG.MP3;\n#GAP:48;\n#BPM:150;\n#CHANGEBPM:64=75;\n#FREEZE:32=500;\n#SINGLE:MANIAC:9:4266;\n"
+DWI = "#TITLE:Tide;\n#ARTIST:B;\n#FILE:SONG.MP3;\n#GAP:120;\n#BPM:132;\n#CHANGEBPM:96=88;\n#FREEZE:48=250;\n#SINGLE:MANIAC:7:28406;\n"
 SSC = """#VERSION:0.83;
 #TITLE:Blocks;
 #OFFSET:0.5;
@@ -106,19 +110,24 @@ def test_scan_and_choice(spark, corpus):
     }
 
 
+def test_deeper_folders_named_like_the_root(spark, tmp_path):
+    root = tree(tmp_path / "Songs", {"P/S/a.sm": SM, "P/Songs/Q/T/b.sm": SM, "P/c.sm": SM})
+    assert [r["file"] for r in files.scan_corpus(spark, root).collect()] == ["a.sm"]
+
+
 def test_manifest_and_rejects(spark, corpus, tmp_path):
     found, listing = files.scan_corpus(spark, corpus), files.list_files(spark, corpus)
     songs = {r["title"] + "/" + r["pack"] + "/" + r["audio"].rsplit("/", 1)[1]: r for r in manifest.build_manifest(found, listing).collect()}
-    assert set(songs) == {"A song/PackA/song.ogg", "Old/PackA/song.mp3", "Blocks/PackB/b.ogg", "A song/PackB/p.ogg"}
-    one = songs["A song/PackA/song.ogg"]
-    assert one["primary_bpm"] == 150 and one["constant_bpm"] and one["offset"] == pytest.approx(-0.048)
-    assert one["offset_declared"] and one["sample_start"] == 12.5 and one["file_format"] == "sm"
-    assert [tuple(c) for c in one["charts"]] == [("Challenge", 9, 6, "feet")]
-    assert songs["A song/PackB/p.ogg"]["charts"][0]["style"] == "keyboard"
-    old = songs["Old/PackA/song.mp3"]
-    assert old["offset"] == pytest.approx(-0.048) and old["stops"] == 1 and not old["constant_bpm"]
-    assert [tuple(b) for b in old["bpms"]] == [(0.0, 150.0), (16.0, 75.0)]
-    assert [tuple(c)[:3] for c in old["charts"]] == [("Hard", 9, 4)]
+    assert set(songs) == {"Harbour lights/PackA/song.ogg", "Tide/PackA/song.mp3", "Blocks/PackB/b.ogg", "Harbour lights/PackB/p.ogg"}
+    one = songs["Harbour lights/PackA/song.ogg"]
+    assert one["primary_bpm"] == 140 and one["constant_bpm"] and one["offset"] == pytest.approx(-0.25)
+    assert one["offset_declared"] and one["sample_start"] == 7.25 and one["file_format"] == "sm"
+    assert [tuple(c) for c in one["charts"]] == [("Challenge", 11, 8, "feet")]
+    assert songs["Harbour lights/PackB/p.ogg"]["charts"][0]["style"] == "keyboard"
+    tide = songs["Tide/PackA/song.mp3"]
+    assert tide["offset"] == pytest.approx(-0.12) and tide["stops"] == 1 and not tide["constant_bpm"]
+    assert [tuple(b) for b in tide["bpms"]] == [(0.0, 132.0), (24.0, 88.0)]
+    assert [tuple(c)[:3] for c in tide["charts"]] == [("Hard", 7, 4)]
     blocks = songs["Blocks/PackB/b.ogg"]
     assert [tuple(b) for b in blocks["bpms"]] == [(0.0, 120.0), (4.0, 240.0)]
     assert [c["difficulty"] for c in blocks["charts"]] == ["Hard"]

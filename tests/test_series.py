@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
-from tactus.operators import drift, metrics, prep, selection, series, stats
+from tactus.functions import scalars
+from tactus.operators import audit, drift, grid, metrics, prep, selection, series, stats
 
 FPS = k.FRAME_RATE
 
@@ -72,6 +74,48 @@ def test_drifting_clicks_are_fitted(spark):
     assert all(r["slack"] >= 0 for rows in found.values() for r in rows)
 
 
+def test_long_track_is_fitted_in_stretches(spark):
+    """A day of readings with one change of tempo and one splice."""
+    rng = np.random.default_rng(4)
+    slope = np.where(np.arange(12_000) < 7_000, 0.0004, -0.0007)
+    phase = np.cumsum(slope) * 2.0 + rng.normal(0, 0.002, 12_000)
+    phase[3_000:3_040] += 0.2
+    rows = [(1, i * 2.0, float(y), 120.0) for i, y in enumerate(phase)]
+    found = drift.fit_warps(spark.createDataFrame(rows, "song int, centre double, phase double, bpm double"), ["song"], "bpm")
+    found = found.orderBy("seconds").collect()
+    assert [round(r["seconds"], -2) for r in found] == [0.0, 14_000.0]
+    assert [r["bpm"] for r in found] == pytest.approx([120.0 * 0.9996, 120.0 * 1.0007], abs=1e-3)
+
+
+@pytest.mark.parametrize("decay", [0.999, 0.955, 0.5, 0.1])
+def test_panel_usage_at_any_decay(spark, decay):
+    rng = np.random.default_rng(6)
+    hits = rng.integers(0, 4, 3_000)
+    rows = [(1, i, [int(p == h) for p in range(4)]) for i, h in enumerate(hits)]
+    found = audit.panel_usage(spark.createDataFrame(rows, "chart int, slot int, codes array<int>"), ["chart"], ["slot"], decay=decay)
+    use, expected = np.zeros(4), []
+    for h in hits:
+        use = use * decay
+        use[h] += 1.0
+        expected.append(use.tolist())
+    got = [r["usage"] for r in found.orderBy("slot").collect()]
+    assert np.allclose(got, expected, rtol=1e-7)
+
+
+def test_pooling_keeps_late_measures(spark):
+    rows = [(1, s, [float(s % 7)]) for s in range(600 * 4)]
+    found = grid.pool_measures(spark.createDataFrame(rows, "song int, slot int, features array<double>"), ["song"], width=1, per_measure=4)
+    assert found.count() == 600
+    assert found.agg(F.max("position")).first()[0] == 1.0
+
+
+def test_hex_modulus_of_any_length(spark):
+    digests = ["0", "f", "deadbeef", "0123456789abcdef" * 2, "a" * 40, "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b2b0b822cd15d6c15b0f00a08"]
+    table = spark.createDataFrame([(d,) for d in [*digests, ""]], "d string")
+    got = {r[0]: r[1] for r in table.select("d", scalars.hex_modulus(F.col("d"), 20)).collect()}
+    assert got == {"": None, **{d: int(d, 16) % 20 for d in digests}}
+
+
 def greedy(scores, wanted, rate, gap, seeds):
     """Slots one song gets, by the plain greedy rule."""
     mix = k.RHYTHM_MIX[min(int(rate), 9)]
@@ -163,7 +207,7 @@ def test_seeded_windows_and_mirrors(spark):
     assert len(windows) == 20
     for w in windows:
         assert w["start"] % 48 == 0 and w["start"] <= 9000 - 3072 + 48
-        assert len(w["placement"]) == 3072 and len(w["pattern_target"]) == 384
+        assert len(w["placement"]) == 3072 and len(w["pattern_target"]) == max(x["steps"] for x in windows)
         assert sum(w["placement"]) == w["steps"] and w["pattern_target"].count(0) == w["steps"]
     assert len({w["start"] for w in windows}) > 5
     turned = prep.augment_mirrors(targets, ["chart"], 1, validation=F.col("chart") == 0)
