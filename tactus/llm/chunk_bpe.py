@@ -23,7 +23,7 @@ from tactus.llm import spans
 from tactus.llm.shared import settle
 
 #: Bytes that the rolling hash sees, mean and least bytes of a chunk.
-WINDOW, MEAN, LEAST = 16, 512, 64
+WINDOW, MEAN, LEAST = 16, 1024, 128
 # Fixed value: how byte-level BPE splits a text before it merges.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A blank between two ASCII letters: a token ends before it whatever surrounds the three.
