@@ -6,16 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tactus.llm import chunk_bpe, line_dedup, mixing, ngram_join, oracles, repair, sharding, toxicity, vector_join
 from tactus.llm import licenses as license_ops
-from tactus.llm import chunk_bpe, line_dedup, mixing, ngram_join
-from tactus.llm import repair
 from tactus.llm import repetition as repetition_ops
-from tactus.llm import sharding, toxicity, vector_join
 from tactus.llm.registry import query
 from tactus.llm.shared import table
 
 
-@query("op4_repetition")
+@query("op4_repetition", oracles.REPETITION)
 def op4_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition_ops.repetition(table(spark, sf_dir, "documents"))
 
@@ -35,7 +33,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-@query("op10_ngram_join")
+@query("op10_ngram_join", oracles.NGRAM_JOIN)
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
@@ -59,7 +57,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
-@query("op9_vector_join")
+@query("op9_vector_join", oracles.VECTOR_JOIN)
 def op9_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.vector_join(table(spark, sf_dir, "embeddings"))
 
