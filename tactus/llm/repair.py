@@ -16,19 +16,25 @@ from tactus.llm.shared import folder
 
 END = 1
 #: Tokens of one shard row, about.
-SHARD_TOKENS = 4 << 20
-#: Pieces that a worker remembers, and bytes of the longest one.
-REMEMBERED, LONGEST = 400_000, 64
+SHARD_TOKENS = 2 << 20
+#: Pieces that a worker remembers, and the one that stands between pieces that are encoded together.
+REMEMBERED, MARK = 1_500_000, "\x02"
 #: Kinds of pairs replaced in one pass, passes, and the share of a sequence that a pass must save.
-KINDS, PASSES, LEAST_SAVING = 1024, 12, 0.01
-BINS = 1 << 20
+KINDS, PASSES, LEAST_SAVING = 2000, 8, 0.01
+#: Cells in which pairs are counted before the frequent ones are told apart.
+BINS = 1 << 18
+LETTERS, SIGNS = np.zeros(256, bool), np.zeros(256, bool)
+LETTERS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = True
+SIGNS[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
 
 
 class WordEncoder:
-    """Ids of whole texts from those of their pieces between blanks and line ends.
+    """Ids of whole texts from those of their pieces.
 
-    For a tokenizer that drops white space before it merges and never merges across it; a piece is
-    then encoded alike wherever it stands, and known pieces need no second look.
+    For a tokenizer that lowers case, drops white space and merges neither across it nor between a
+    letter and a sign. A piece between white space, or between an ASCII letter and one of SIGNS, is
+    then encoded alike wherever it stands; known ones, told apart by 64-bit hashes, need no second look.
+    Signs that special tokens and contractions hold are none of SIGNS.
     """
 
     def __init__(self, path: str):
@@ -40,40 +46,75 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        (self.mark,) = self._ids(MARK)
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self._forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _forget(self) -> None:
-        self.codes: dict[str, int] = {"": 0}
-        self.start, self.size = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.known, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def _learn(self, pieces: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        starts = len(self.flat) + np.cumsum(sizes) - sizes
-        self.codes.update(zip(pieces, range(len(self.start), len(self.start) + len(pieces)), strict=True))
-        self.start, self.size = np.concatenate([self.start, starts]), np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
+        """Encode new pieces in one go: words of ASCII letters in a row, each to its word end; other
+        pieces with a mark after each; those that hold the mark one by one."""
+        starts, sizes = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        letters = np.array([p.isascii() and p.isalpha() for p in pieces], bool)
+        odd = np.array([MARK in p for p in pieces], bool)
+        held: list[np.ndarray] = []
+        total = 0
+        for mine, joint in ((letters, " "), (~letters & ~odd, f" {MARK} ")):
+            at = np.flatnonzero(mine)
+            ids = np.array(self._ids(joint.join([*(pieces[i] for i in at), ""])), np.int32)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1 if joint == " " else np.flatnonzero(ids == self.mark)
+            skip = 0 if joint == " " else 1  # a mark is no id of the piece
+            starts[at] = np.concatenate([[0], ends[:-1] + skip])[: len(at)] + total
+            sizes[at] = ends + total - starts[at]
+            held.append(ids)
+            total += len(ids)
+        for i in np.flatnonzero(odd):
+            own = np.array(self._ids(pieces[i]), np.int32)
+            starts[i], sizes[i] = total, len(own)
+            held.append(own)
+            total += len(own)
+        ids = np.concatenate(held)
+        self.start, self.size = np.concatenate([self.start, starts + len(self.flat)]), np.concatenate([self.size, sizes])
+        self.flat = np.concatenate([self.flat, ids])
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known = known[order]
+        self.codes = np.concatenate([self.codes, np.arange(len(self.codes), len(self.codes) + len(hashes))])[order]
+
+    def encode(self, block: spans.Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and how many each text has."""
-        if len(self.start) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self._forget()
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        pieces = [p for one in split for p in one]
-        new = [p for p in dict.fromkeys(pieces) if p not in self.codes]
-        if new:
-            self._learn(new)
-        codes = np.fromiter(map(self.codes.__getitem__, pieces), np.int64, len(pieces))
+        lo, hi, doc = block.units(LETTERS, SIGNS)
+        hashes = block.hashes(lo, hi, spans.LOWER)
+        special = np.zeros(len(block.data) + 1, np.int64)
+        np.cumsum(block.data == 0x3C, out=special[1:])
+        cased = special[hi] > special[lo]  # special tokens are found before case is lowered
+        if cased.any():
+            hashes[cased] = ~block.hashes(lo[cased], hi[cased])
+        hashes, at, kind = np.unique(hashes, return_index=True, return_inverse=True)
+        if not len(hashes):
+            return np.zeros(0, np.int32), np.zeros(block.docs, np.int64)
+        place = np.searchsorted(self.known, hashes)
+        new = place == len(self.known)
+        new[~new] = self.known[place[~new]] != hashes[~new]
+        if new.any():
+            raw = block.data.tobytes()
+            self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(lo[at[new]].tolist(), hi[at[new]].tolist(), strict=True)])
+            place = np.searchsorted(self.known, hashes)
+        codes = self.codes[place][kind]
         sizes, starts = self.size[codes], self.start[codes]
         total = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.flat[np.repeat(starts - total[:-1], sizes) + np.arange(total[-1])]
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        if any(len(p) > LONGEST for p in new):  # long pieces hardly come again
-            for p in new:
-                if len(p) > LONGEST:
-                    del self.codes[p]
+        edges = np.searchsorted(doc, np.arange(block.docs + 1))
         return ids, total[edges[1:]] - total[edges[:-1]]
 
 
@@ -89,7 +130,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_free: int, last: int =
     new nonterminals, left to right where occurrences overlap, until a pass saves little or the
     symbols from ``first_free`` to ``last`` are used up.
     """
-    seq = ids.astype(np.int64)
+    seq = ids.astype(np.uint32)
     final = np.zeros(len(seq), bool)
     ends = np.cumsum(lengths) - 1
     final[ends[lengths > 0]] = True
@@ -98,7 +139,7 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_free: int, last: int =
     for _ in range(PASSES):
         if len(seq) < 2 or free > last:
             break
-        key = ((seq[:-1] * 0x9E3779B1 + seq[1:] * 0x85EBCA77) >> 7) & (BINS - 1)
+        key = ((seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(14)).astype(np.int32)
         key[final[:-1]] = BINS
         heavy = np.bincount(key, minlength=BINS + 1)[:BINS]
         kinds = min(KINDS, last - free + 1)
@@ -108,23 +149,28 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_free: int, last: int =
         at = np.flatnonzero(hit[key])
         if not len(at):
             break
-        pairs, kind, counts = np.unique(seq[at] << 32 | seq[at + 1], return_inverse=True, return_counts=True)
+        # Few pairs fall into each frequent cell, so sorting their kinds is sorting small numbers.
+        both = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        ordered = np.sort(both)
+        fresh = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        pairs, counts = ordered[fresh], np.diff(fresh, append=len(ordered))
         chosen = np.argsort(-counts, kind="stable")[:kinds]
-        chosen = chosen[counts[chosen] >= 8]
+        chosen = np.sort(chosen[counts[chosen] >= 8])
         if not len(chosen):
             break
-        symbol = np.full(len(pairs), -1, np.int64)
-        symbol[chosen] = free + np.arange(len(chosen))
-        new = symbol[kind]
-        at, new = at[new >= 0], new[new >= 0]
+        pairs = pairs[chosen]
+        kind = np.searchsorted(pairs, both)
+        kind[kind == len(pairs)] = 0
+        same = pairs[kind] == both
+        at, kind = at[same], kind[same]
         head = np.ones(len(at), bool)
         head[1:] = at[1:] != at[:-1] + 1
         nth = np.arange(len(at)) - np.flatnonzero(head)[np.cumsum(head) - 1]
         take = nth % 2 == 0  # of overlapping occurrences every other one
-        at, new = at[take], new[take]
-        rules.append(np.stack([pairs[chosen] >> 32, pairs[chosen] & 0xFFFFFFFF], 1))
-        free += len(chosen)
-        seq[at] = new
+        at, kind = at[take], kind[take]
+        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.int64))
+        seq[at] = free + kind
+        free += len(pairs)
         final[at] = final[at + 1]
         stay = np.ones(len(seq), bool)
         stay[at + 1] = False
@@ -141,33 +187,36 @@ def compress(ids: np.ndarray, lengths: np.ndarray, first_free: int, last: int =
     return table.astype(np.uint16), sizes[first_free:], seq.astype(np.uint16)
 
 
+def _copied(out: np.ndarray, at: np.ndarray, symbols: np.ndarray, sizes: np.ndarray, start: np.ndarray, flat: np.ndarray, first_free: int) -> None:
+    """Write what each symbol stands for to ``out`` from ``at`` on; ``flat`` holds the rules' ids."""
+    plain = symbols < first_free
+    out[at[plain]] = symbols[plain]
+    rule, at = symbols[~plain] - first_free, at[~plain]
+    size, begin = sizes[rule].astype(np.int64), start[rule]
+    ramp = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    out[np.repeat(at, size) + ramp] = flat[np.repeat(begin, size) + ramp]
+
+
 def expand(rules: np.ndarray, sizes: np.ndarray, seq: np.ndarray, first_free: int) -> np.ndarray:
     """The ids that a sequence of symbols stands for."""
-    start = np.zeros(len(sizes) + 1, np.int64)
-    np.cumsum(sizes, out=start[1:])
-    flat = np.zeros(int(start[-1]), np.int32)
-    for i, (a, b) in enumerate(rules.astype(np.int64)):
-        at = start[i]
-        for x in (a, b):
-            if x < first_free:
-                flat[at] = x
-                at += 1
-            else:
-                own = flat[start[x - first_free] : start[x - first_free + 1]]
-                flat[at : at + len(own)] = own
-                at += len(own)
-    seq = seq.astype(np.int64)
-    rule = seq - first_free
-    is_rule = rule >= 0
-    count = np.ones(len(seq), np.int64)
-    count[is_rule] = sizes[rule[is_rule]]
+    rules, seq = rules.astype(np.int64), seq.astype(np.int64)
+    every = np.concatenate([np.ones(first_free, np.int64), sizes])
+    start = np.cumsum(sizes, dtype=np.int64) - sizes
+    flat = np.zeros(int(sizes.sum()), np.int32)
+    level = np.zeros(first_free + len(rules), np.int32)
+    while len(rules):  # a rule is one level above the higher of its two
+        new = 1 + level[rules].max(1)
+        if (level[first_free:] == new).all():
+            break
+        level[first_free:] = new
+    for depth in range(1, int(level.max()) + 1 if len(level) else 1):
+        mine = np.flatnonzero(level[first_free:] == depth)
+        left, right = rules[mine, 0], rules[mine, 1]
+        _copied(flat, start[mine], left, sizes, start, flat, first_free)
+        _copied(flat, start[mine] + every[left], right, sizes, start, flat, first_free)
+    count = every[seq]
     out = np.empty(int(count.sum()), np.int32)
-    end = np.cumsum(count)
-    out[end[~is_rule] - 1] = seq[~is_rule]
-    size, at = count[is_rule], (end - count)[is_rule]
-    begin = start[rule[is_rule]]
-    ramp = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    out[np.repeat(at, size) + ramp] = flat[np.repeat(begin, size) + ramp]
+    _copied(out, np.cumsum(count) - count, seq, sizes, start, flat, first_free)
     return out
 
 
@@ -214,10 +263,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, shards: int, id_column: st
             types = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in FORMAT.split(", ")])
 
-        for batch, _ in spans.blocks(batches, "text"):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, sizes = encoder.encode(texts)
-            whole = np.empty(len(ids) + len(texts), np.int32)
+        for batch, block in spans.blocks(batches, "text", 2 << 20):
+            ids, sizes = encoder.encode(block)
+            whole = np.empty(len(ids) + block.docs, np.int32)
             ends = np.cumsum(sizes + 1) - 1
             body = np.ones(len(whole), bool)
             body[ends] = False

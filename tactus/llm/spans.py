@@ -7,7 +7,6 @@ offsets in that buffer. Hashes are polynomial over 64 bits with a mixing step at
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +22,17 @@ LOWER = EXACT.copy()
 LOWER[0x41:0x5B] = EXACT[0x61:0x7B]
 
 
-@cache
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(size: int, base: int) -> np.ndarray:
-    out = np.full(size, base, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+    """The first ``size`` powers; a worker keeps the longest list that it has needed."""
+    held = _POWERS.get(base)
+    if held is None or len(held) < size:
+        held = np.full(max(size, BLOCK_BYTES + 1024), base, np.uint64)
+        held[0] = 1
+        _POWERS[base] = np.cumprod(held, dtype=np.uint64, out=held)
+    return _POWERS[base][:size]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -64,7 +69,14 @@ class Block:
         """Start, end and text number of every line that is not empty."""
         return self._runs(self.data != 0x0A)
 
-    def _runs(self, ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def units(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Like ``words``, but also cut between neighbouring bytes of which one is in ``left`` and the other in ``right``."""
+        a, b = left[self.data], right[self.data]
+        cut = np.zeros(len(self.data), bool)
+        cut[1:] = (a[:-1] & b[1:]) | (b[:-1] & a[1:])
+        return self._runs(~SPACE[self.data], cut)
+
+    def _runs(self, ink: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = ink.copy()
         first[1:] &= ~ink[:-1]
         cuts = self.edges[1:-1]
@@ -74,15 +86,19 @@ class Block:
         last[:-1] &= ~ink[1:]
         before = cuts[cuts > 0] - 1
         last[before] |= ink[before]
+        if cut is not None:
+            first |= cut & ink
+            last[:-1] |= cut[1:] & ink[:-1]
         start = np.flatnonzero(first)
         end = np.flatnonzero(last) + 1
         return start, end, np.searchsorted(self.edges, start, "right") - 1
 
     def hashes(self, start: np.ndarray, end: np.ndarray, values: np.ndarray = EXACT) -> np.ndarray:
         """A 64-bit hash of the bytes of each span."""
-        size = 1 << max(1, int(len(self.data)).bit_length())
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(values[self.data] * powers(size, int(BASE))[: len(self.data)], out=total[1:])
+        size = len(self.data)
+        total = np.zeros(size + 1, np.uint64)
+        np.multiply(values[self.data], powers(size, int(BASE)), out=total[1:])
+        np.cumsum(total, out=total)
         return mixed((total[end] - total[start]) * powers(size, int(INVERSE))[start] + (end - start).astype(np.uint64))
 
 
@@ -109,8 +125,8 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return twice[at] == keys
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, Block]]:
-    """Slices of the batches with about ``BLOCK_BYTES`` of text each; a longer text is one of its own.
+def blocks(batches: Iterator[pa.RecordBatch], column: str, size: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, Block]]:
+    """Slices of the batches with about ``size`` bytes of text each; a longer text is one of its own.
 
     Null texts come as empty ones.
     """
@@ -122,7 +138,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.
         lengths = pc.binary_length(texts).to_numpy(zero_copy_only=False)
         start, held = 0, 0
         for i, n in enumerate(lengths):
-            if held and held + n > BLOCK_BYTES:
+            if held and held + n > size:
                 yield batch.slice(start, i - start), Block(texts.slice(start, i - start))
                 start, held = i, 0
             held += int(n)
