@@ -24,6 +24,8 @@ from tactus.llm.shared import settle
 
 #: Parts of the hash range whose counts bound the overlap of two sets.
 BINS = 16
+#: Bits of the map that texts are looked up in before they are moved.
+MARKS = 1 << 23
 
 
 def _needed(n: int, percent: int) -> int:
@@ -162,6 +164,20 @@ def _sharing(heads: DataFrame) -> DataFrame:
     return ordered.mapInArrow(runs, "doc_id long, times long").groupBy("doc_id").agg(F.sum("times").alias("times"))
 
 
+def _likely(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` may be in ``wanted``: all that are, and few others.
+
+    A bitmap of MARKS hashed ids (1 MB, whatever the size of the tables) goes to every task, so texts
+    that nobody asks for are dropped where they are read. With very many ids it lets more rows through.
+    """
+    mark = F.pmod(F.xxhash64("doc_id"), F.lit(MARKS)) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(mark).alias("__map")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(mark)).alias("__bits"))
+    rows = docs.withColumns({"__map": F.bitmap_bucket_number(mark), "__bit": F.bitmap_bit_position(mark)})
+    rows = rows.join(F.broadcast(maps), "__map")  # at most MARKS / 8 bytes
+    byte = F.conv(F.hex(F.substring("__bits", (F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.where(F.getbit(byte, (F.col("__bit") % 8).cast("int")) == 1).select(*docs.columns)
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar enough: suffix filter first, then the exact overlap."""
     sides = [sets.select(F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("shared").alias(f"shared_{s}"), F.col("bins").alias(f"bins_{s}")) for s in "ab"]
@@ -179,39 +195,13 @@ def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return settle(labels.join(found, "comp", "left").select("rep", F.coalesce("to", "comp").alias("comp")))
 
 
-def jaccard_join(
-    docs: DataFrame,
-    n: int = 4,
-    percent: int = 85,
-    rounds: int = 3,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-) -> DataFrame:
-    """Components of documents whose n-gram sets have a Jaccard similarity of ``percent`` / 100 or more.
-
-    Words are runs without ASCII white space, A-Z lower-cased. ``n_shingles`` is the size of the set of
-    distinct n-grams; a text with fewer than ``n`` words is one n-gram. ``component_id`` is the
-    smallest id reachable over links. N-grams are compared by 64-bit hashes, equal sets by 128 bits.
+def set_join(whole: DataFrame, percent: int, rounds: int, labels: DataFrame | None = None) -> DataFrame:
+    """Components (rep, comp) of sets with a Jaccard similarity of ``percent`` / 100 or more.
 
-    One row per input row. Null and empty texts and those without a word have no n-grams and link with
-    nothing. A row without an id links with nothing and has no component. If an id comes with several
-    texts, the one with the smallest digest stands for it; each row keeps its own count. Other columns
-    are not looked at, and an empty table gives an empty result.
+    ``whole`` has ``rep``, ``grams`` (distinct numbers) and ``bins`` (counts of them by parts of their
+    range). ``labels`` (rep, comp) may say what is joined already. A set that is certainly like no other
+    has no row.
     """
-    docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
-    rows = settle(_summaries(docs, n, percent))
-    ids = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("key").alias("key"))
-    classes = settle(ids.groupBy("key").agg(F.min("doc_id").alias("rep")))
-    # A partner has at least this share of the n-grams, and so at least this many in common in the prefix.
-    least = F.ceil(F.col("n") * percent / F.lit(100))
-    shared_least = F.floor(least * (100 - percent) / F.lit(100)) + 1
-    sizes = rows.where("n > 0").groupBy("doc_id", "key").agg(F.max("n").alias("n"))
-    sharing = _sharing(rows.where("doc_id is not null and n > 0").select("doc_id", "head"))
-    sharing = sharing.join(classes.select(F.col("rep").alias("doc_id"), "key"), "doc_id").join(sizes, ["doc_id", "key"])
-    sharing = settle(sharing.where(F.col("times") >= F.least(shared_least, F.col("n"))).select(F.col("doc_id").alias("rep"), "key"))
-
-    texts = docs.join(sharing.select(F.col("rep").alias("doc_id"), "key"), "doc_id")
-    whole = settle(_whole(texts.select("doc_id", "text", "key"), n))
     postings = whole.select("rep", F.explode("grams").alias("gram"))
     counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = postings.join(counts, "gram").groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("df", "gram"))).alias("ranked"))
@@ -231,7 +221,10 @@ def jaccard_join(
     def fits(a: Column, b: Column) -> Column:
         return (a * 100 >= b * percent) & (b * 100 >= a * percent)
 
-    labels = sets.select("rep", F.col("rep").alias("comp"))
+    start = sets.select("rep", F.col("rep").alias("comp"))
+    if labels is not None:
+        start = start.drop("comp").join(labels.select("rep", "comp"), "rep")
+    labels = start
     for turn in range(rounds + 1):
         own = tokens.join(labels, "rep")
         if turn < rounds:
@@ -246,15 +239,52 @@ def jaccard_join(
             open_ = own.join(spread, "gram", "left_semi").join(sets.select("rep", "prefix"), "rep")
             open_ = settle(open_.select("gram", "rep", "comp", "n", (F.col("alone") + F.col("nth")).alias("at"), F.slice("prefix", F.lit(1), F.col("nth")).alias("before")))
             x, y = (open_.select("gram", *[F.col(c).alias(f"{c}_{side}") for c in ("rep", "comp", "n", "at", "before")]) for side in "ab")
-            reach = F.least("at_a", "at_b") + 1 + F.least(F.col("n_a") - F.col("at_a") - 1, F.col("n_b") - F.col("at_b") - 1)
+            # A pair comes from the first prefix n-gram that both have; none before it is common.
+            reach = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
             near = x.join(y, "gram").where((F.col("rep_a") < F.col("rep_b")) & (F.col("comp_a") != F.col("comp_b")) & fits(F.col("n_a"), F.col("n_b")))
             near = near.where(reach * (100 + percent) >= percent * (F.col("n_a") + F.col("n_b")))
-            # A pair comes from the first prefix n-gram that both have.
             pairs = near.where(~F.arrays_overlap("before_a", "before_b")).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
         links = settle(_verified(pairs, sets, percent))
         ends = links.join(labels.select(F.col("rep").alias("a"), F.col("comp").alias("x")), "a").join(labels.select(F.col("rep").alias("b"), F.col("comp").alias("y")), "b")
         labels = _merged(labels, ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
 
+    return labels
+
+
+def jaccard_join(
+    docs: DataFrame,
+    n: int = 4,
+    percent: int = 85,
+    rounds: int = 3,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+) -> DataFrame:
+    """Components of documents whose n-gram sets have a Jaccard similarity of ``percent`` / 100 or more.
+
+    Words are runs without ASCII white space, A-Z lower-cased. ``n_shingles`` is the size of the set of
+    distinct n-grams; a text with fewer than ``n`` words is one n-gram. ``component_id`` is the
+    smallest id reachable over links. N-grams are compared by 64-bit hashes, equal sets by 128 bits.
+
+    One row per input row. Null and empty texts and those without a word have no n-grams and link with
+    nothing. A row without an id links with nothing and has no component. If an id comes with several
+    texts, the one with the smallest digest stands for it; each row keeps its own count. Other columns
+    are not looked at, and an empty table gives an empty result.
+    """
+    docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
+    rows = settle(_summaries(docs, n, percent))
+    ids = rows.where("doc_id is not null and n > 0").groupBy("doc_id").agg(F.min("key").alias("key"))
+    classes = settle(ids.groupBy("key").agg(F.min("doc_id").alias("rep")))
+    # A partner has at least this share of the n-grams, and so at least this many in common in the prefix.
+    least = F.ceil(F.col("n") * percent / F.lit(100))
+    shared_least = F.floor(least * (100 - percent) / F.lit(100)) + 1
+    sizes = rows.where("n > 0").groupBy("doc_id", "key").agg(F.max("n").alias("n"))
+    sharing = _sharing(rows.where("doc_id is not null and n > 0").select("doc_id", "head"))
+    sharing = sharing.join(classes.select(F.col("rep").alias("doc_id"), "key"), "doc_id").join(sizes, ["doc_id", "key"])
+    sharing = settle(sharing.where(F.col("times") >= F.least(shared_least, F.col("n"))).select(F.col("doc_id").alias("rep"), "key"))
+
+    texts = _likely(docs, sharing.select(F.col("rep").alias("doc_id"))).join(sharing.select(F.col("rep").alias("doc_id"), "key"), "doc_id")
+    whole = settle(_whole(texts.select("doc_id", "text", "key"), n))
+    labels = set_join(whole, percent, rounds)
     named = ids.join(classes, "key").join(labels, "rep", "left").select("doc_id", F.coalesce("comp", "rep").alias("component_id"))
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(named, "doc_id", "left")
     return out.select(F.col("doc_id").alias(id_column), "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
