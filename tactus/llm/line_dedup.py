@@ -37,38 +37,38 @@ class Lines:
         self.doc, self.number = doc[some], number[some].astype(np.int32)
         self.lo, self.hi = lo, hi
         starts = np.flatnonzero((data & 0xC0) != 0x80)
-        self.points = self._points(data, starts)
+        self.points = self._points(data)
         self.begin, self.end = np.searchsorted(starts, lo), np.searchsorted(starts, self.hi)
-        size = 1 << max(1, len(self.points).bit_length())
-        self.inverse = spans.powers(size, int(spans.INVERSE))
-        self.sums = np.zeros(len(self.points) + 1, np.uint64)
-        np.cumsum(self.points * spans.powers(size, int(spans.BASE))[: len(self.points)], out=self.sums[1:])
+        size = len(self.points)
+        self.inverse = spans.powers(size + 1, int(spans.INVERSE))
+        self.sums = np.zeros(size + 1, np.uint64)
+        np.multiply(self.points, spans.powers(size, int(spans.BASE)), out=self.sums[1:])
+        np.cumsum(self.sums, out=self.sums)
         length = (self.end - self.begin).astype(np.uint64)
         self.nodes = spans.mixed((self.sums[self.end] - self.sums[self.begin]) * self.inverse[self.begin] + length * spans.BASE).view(np.int64)
 
     @staticmethod
-    def _points(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def _points(data: np.ndarray) -> np.ndarray:
         """Code points, A-Z lower-cased."""
-        padded = np.concatenate([data, np.zeros(3, np.uint8)])
-        lead = data[starts].astype(np.uint64)
-        out = lead.copy()
-        for size, mask in ((2, 0x1F), (3, 0x0F), (4, 0x07)):
-            mine = (lead >= (0xC0, 0xE0, 0xF0)[size - 2]) & (lead < (0xE0, 0xF0, 0x100)[size - 2])
-            value = lead[mine] & np.uint64(mask)
-            for i in range(1, size):
-                value = value << np.uint64(6) | (padded[starts[mine] + i] & 0x3F).astype(np.uint64)
-            out[mine] = value
-        upper = (out >= 0x41) & (out <= 0x5A)
-        out[upper] += np.uint64(32)
+        out = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
+        out[(out >= 0x41) & (out <= 0x5A)] += np.uint64(32)
         return out
 
     def shingles(self) -> np.ndarray:
         """Sorted distinct (line << 40 | 40 bits of a shingle's hash); a short line is one shingle."""
         size = self.end - self.begin
         count = np.maximum(size - SHINGLE + 1, 1)
-        of = np.repeat(np.arange(len(size)), count)
-        at = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.begin, count)
-        upto = np.minimum(at + SHINGLE, np.repeat(self.end, count))
+        of = np.repeat(np.arange(len(size), dtype=np.int32), count)
+        # A shingle begins at each place but a line's last ones; one step between lines is longer.
+        step = np.ones(len(of), np.int64)
+        heads = np.cumsum(count) - count
+        if len(size):
+            step[heads[1:]] = self.begin[1:] - (self.begin + count - 1)[:-1]
+            step[0] = self.begin[0]
+        at = np.cumsum(step)
+        upto = at + SHINGLE
+        short = np.flatnonzero(size < SHINGLE)
+        upto[heads[short]] = self.end[short]
         found = spans.mixed((self.sums[upto] - self.sums[at]) * self.inverse[at])
         keys = np.sort(of.astype(np.uint64) << np.uint64(40) | found >> np.uint64(24))
         fresh = np.ones(len(keys), bool)
@@ -91,13 +91,17 @@ class Lines:
         table[cell[first].astype(np.int64)] = low[first]
         filled[cell[first].astype(np.int64)] = True
         table, filled = table.reshape(-1, BINS), filled.reshape(-1, BINS)
-        out, done = table.copy(), filled.copy()
+        few = np.flatnonzero(~filled.all(1))
+        own, full = table[few], filled[few]
+        done, borrowed = full.copy(), own.copy()
         for step in range(1, BINS):
             if done.all():
                 break
-            take = ~done & np.roll(filled, -step, 1)
-            out[take] = np.roll(table, -step, 1)[take] + np.uint64(step << 40)
+            take = ~done & np.roll(full, -step, 1)
+            borrowed[take] = np.roll(own, -step, 1)[take] + np.uint64(step << 40)
             done |= take
+        table[few] = borrowed
+        out = table
         out = out.reshape(-1, BANDS, ROWS)
         key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * spans.INVERSE
         for row in range(ROWS):
@@ -222,6 +226,7 @@ def kept_lines(docs: DataFrame, percent: int = 80, rounds: int = 3, id_column: s
             near = own.join(spread, "key").where(F.col("comp") != F.col("hub.comp"))
             pairs = near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
         else:
+            # What still shares a band with another component is compared pair by pair.
             spread = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
             open_ = settle(own.join(spread, "key", "left_semi").select("key", "node", "comp"))
             x, y = (open_.select("key", F.col("node").alias(s), F.col("comp").alias(f"comp_{s}")) for s in "ab")
@@ -253,13 +258,13 @@ def without_copies(docs: DataFrame, **options) -> DataFrame:
     """
     id_column, text_column = options.get("id_column", "doc_id"), options.get("text_column", "text")
     found = kept_lines(docs, **options)
-    found = found.where("n_kept < n_lines").select(F.col(id_column).alias("__doc"), "kept")
-    rows = docs.join(found, docs[id_column] == F.col("__doc"), "left")
-    pieces = F.split(F.col(f"`{text_column}`"), "\n", -1)
+    found = found.where("n_kept < n_lines").select(F.col(id_column).alias("__doc"), F.col("kept").alias("__kept"))
+    rows = docs.join(found, docs[id_column] == found["__doc"], "left")
+    pieces = F.split(docs[text_column], "\n", -1)
 
     def stays(piece, i):
-        return F.array_contains("kept", i) | ~F.rlike(piece, F.lit(r"[^\x20\x09-\x0D]"))
+        return F.array_contains("__kept", i) | ~F.rlike(piece, F.lit(r"[^\x20\x09-\x0D]"))
 
-    text = F.when(F.col("__doc").isNull(), F.col(f"`{text_column}`")).otherwise(F.array_join(F.filter(pieces, stays), "\n"))
-    rows = rows.where(F.col("__doc").isNull() | (F.size("kept") > 0))
+    text = F.when(F.col("__doc").isNull(), docs[text_column]).otherwise(F.array_join(F.filter(pieces, stays), "\n"))
+    rows = rows.where(F.col("__doc").isNull() | (F.size("__kept") > 0))
     return rows.select(*[text.alias(c) if c == text_column else docs[c] for c in docs.columns])
