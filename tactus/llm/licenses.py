@@ -305,9 +305,9 @@ def _expression(rule: str) -> str:
 def required(rule: str) -> list[str]:
     """Letters that every match of a rule holds: the beginnings of its words outside brackets."""
     flat, before = rule.strip(), ""
-    while flat != before:  # innermost brackets first; what adjoins one ends there
+    while flat != before:  # innermost brackets first; the letters beside one are words of their own
         before = flat
-        flat = re.sub(r"\([^()]*\)[?]?", "\x01", flat)
+        flat = re.sub(r"\([^()]*\)[?]?", " ", flat)
     words = [re.match(r"[^\W_]*", w)[0] + "\x00" + w[len(re.match(r"[^\W_]*", w)[0]) :][:1] for w in flat.split()]
     words = [w[:-3] if w.endswith("\x00?") else w.split("\x00")[0] for w in words if not w.endswith("\x00{")]
     return sorted({w for w in words if len(w) > 1}, key=lambda w: (-len(w), w))
