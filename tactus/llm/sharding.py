@@ -14,6 +14,8 @@ from tactus.llm.shared import settle
 
 #: Parts that the free room of a shard is split into, so that a round's moves are granted in parallel.
 LANES = 64
+#: Rounds under the exact quotas after that.
+GATHER = 2
 #: Parts of one text's documents in the last step, where documents are matched to their units.
 PARTS = 32
 
@@ -133,7 +135,7 @@ def shards(
     ``rounds`` rounds, Spark joins and windows move its documents to the shard that holds most of
     them, as far as quotas allow; a text with more copies than a shard may hold fills one and gathers
     the rest in others. During the rounds a quota is looser by ``slack``; then shards over their
-    quota give up their smallest units. Rows without a link fill what is left. ``slot`` counts the rows of a shard
+    quota give up their smallest units, and GATHER rounds bring together what that has scattered. Rows without a link fill what is left. ``slot`` counts the rows of a shard
     from 0 without a gap, ``cut_links`` is the number of equal texts that a row has in other shards.
 
     Every row gets a place: repeated rows and null ids too. A null text counts as an empty one and
@@ -162,6 +164,8 @@ def shards(
         if loads == before:
             break
     units = settle(_relieved(units, loads, quota))
+    for _ in range(GATHER if loads else 0):
+        units = settle(_round(units, _room(_loads(units), quota)))
     loads = _loads(units)
 
     # Documents of a text take its units in turn. Both sides are cut into parts, so that no key is hot.
