@@ -192,17 +192,31 @@ def _words(text: str) -> list[str]:
     return [flat[a + 1 : b] for a, b in zip(begin, stop, strict=True) if b - a > 3]
 
 
+def _telling(bags: list[list[str]], toxic: list[int], sizes: dict[int, int]) -> dict[int, float]:
+    """Weight of each stem, by its hash, that sets toxic texts apart: its log ratio times its texts."""
+    each = [np.unique(np.array([hash(p) for w in bag for p in _stems(w)], np.int64)) for bag, y in zip(bags, toxic, strict=True) if y]
+    stems, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *each]), return_counts=True)
+    often = counts >= max(4, sizes[1] // 100)
+    stems, counts = stems[often], counts[often]
+    known = set(stems.tolist())
+    clean: Counter = Counter()
+    for bag, y in zip(bags, toxic, strict=True):
+        if not y:
+            clean.update({h for w in bag for p in _stems(w) if (h := hash(p)) in known})
+    lift = {h: np.log(n / sizes[1]) - np.log((clean[h] + 0.5) / sizes[0]) for h, n in zip(stems.tolist(), counts.tolist(), strict=True)}
+    return {h: float(lift[h] * n) for h, n in zip(stems.tolist(), counts.tolist(), strict=True) if lift[h] > LIFT}
+
+
 def _diverse(words: list[str], most: int, alike: float = 0.6) -> list[str]:
     """The first words of the list of which none is much like an earlier one."""
     out: list[str] = []
-    words = words[: 20 * most]
-    values = _features(words)
-    values = values[:, values.any(0)]
-    kept = np.zeros((0, values.shape[1]), np.float32)
-    for word, v in zip(words, values, strict=True):
-        if len(out) < most and (not len(kept) or (kept @ v).max() < alike):
-            out.append(word)
-            kept = np.vstack([kept, v])
+    kept = np.zeros((0, LETTERS**3), np.float32)
+    for at in range(0, min(len(words), 20 * most), 200):
+        part = words[at : at + 200]
+        for word, v in zip(part, _features(part), strict=True):
+            if len(out) < most and (not len(kept) or (kept @ v).max() < alike):
+                out.append(word)
+                kept = np.vstack([kept, v])
     return out
 
 
@@ -242,18 +256,14 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     each round, toxic texts without a witness name their worst word, and clean texts name theirs as
     further negatives.
     """
-    bags = [sorted(set(_words(t))) for t in texts]
+    pool: dict[str, str] = {}  # a word is held once, however many texts have it
+    bags = [sorted({pool.setdefault(w, w) for w in _words(t)}) for t in texts]
     held = {1: Counter(), 0: Counter()}
-    parts = {1: Counter(), 0: Counter()}
-    stems = {w: _stems(w) for bag in bags for w in bag}
     for bag, y in zip(bags, toxic, strict=True):
         held[y].update(bag)
-        parts[y].update({p for w in bag for p in stems[w]})
     sizes = {y: max(1, sum(t == y for t in toxic)) for y in (0, 1)}
-    least = max(4, sizes[1] // 100)
-    lift = {p: np.log(n / sizes[1]) - np.log((parts[0][p] + 0.5) / sizes[0]) for p, n in parts[1].items() if n >= least}
-    telling = {p: v * parts[1][p] for p, v in lift.items() if v > LIFT}
-    rank = {w: max((telling[p] for p in stems[w] if p in telling), default=0.0) for w in held[1]}
+    telling = _telling(bags, toxic, sizes)
+    rank = {w: max((telling.get(hash(p), 0.0) for p in _stems(w)), default=0.0) for w in held[1]}
     marked = sorted((w for w in rank if rank[w] and held[0][w] * sizes[1] * 4 < held[1][w] * sizes[0]), key=lambda w: (-rank[w], -held[1][w], w))
     common = [w for w, _ in sorted(held[0].items(), key=lambda x: (-x[1], x[0])) if not rank.get(w)]
     if not marked or not common:
