@@ -87,6 +87,25 @@ def test_long_track_is_fitted_in_stretches(spark):
     assert [r["bpm"] for r in found] == pytest.approx([120.0 * 0.9996, 120.0 * 1.0007], abs=1e-3)
 
 
+def test_tempo_change_near_a_stretch_border(spark):
+    """Changes from 1 to 20 readings (2 * least) before and after the border at reading 1 000."""
+    rng = np.random.default_rng(9)
+    aways = [d for n in (1, 3, 7, 9, 10, 11, 15, 20) for d in (-n, n)]
+    rows = []
+    for away in aways:
+        slope = np.where(np.arange(2_000) < 1_000 + away, 0.0, 0.01)
+        phase = np.cumsum(slope) * 2.0 + rng.normal(0, 0.001, 2_000)
+        rows += [(away, i * 2.0, float(y), 120.0) for i, y in enumerate(phase)]
+    found = {}
+    for r in drift.fit_warps(spark.createDataFrame(rows, "song int, centre double, phase double, bpm double"), ["song"], "bpm").collect():
+        found.setdefault(r["song"], []).append(r)
+    for away in aways:
+        first, second = sorted(found[away], key=lambda r: r["seconds"])
+        assert second["seconds"] == pytest.approx(2.0 * (1_000 + away), abs=2.0)
+        assert [first["bpm"], second["bpm"]] == pytest.approx([120.0, 120.0 * 0.99], abs=1e-3)
+        assert first["slack"] < 0.020
+
+
 @pytest.mark.parametrize("decay", [0.999, 0.955, 0.5, 0.1])
 def test_panel_usage_at_any_decay(spark, decay):
     rng = np.random.default_rng(6)
