@@ -1,9 +1,10 @@
 """Toxicity by a subsequence string kernel with Nystroem landmarks and a linear support vector machine.
 
 The kernel compares words by their letter triples in order, gaps allowed: a triple whose letters span
-s places weighs DECAY**s. Letters are folded first (case, accents, digits that stand for letters), and
-other characters fall out of a word, so inserted characters cost little or nothing. Each word begins
-with a mark. A text is as toxic as its two worst words on average, so that a chance likeness does not
+s places weighs DECAY**s. Letters are folded first (case, accents, look-alikes, digits that stand for
+letters); letters that are not Latin then share OTHERS further codes. Other characters fall out of a
+word, so inserted characters cost little or nothing. Scripts without spaces are read in windows of
+WINDOW characters, of two codes each. Each word begins with a mark. A text is as toxic as its two worst words on average, so that a chance likeness does not
 count for much.
 
 The machine is linear in kernel values with landmark words, and these are linear in a word's triples;
@@ -12,9 +13,11 @@ so what a trained model needs at scoring time is one weight for each letter trip
 
 from __future__ import annotations
 
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +32,12 @@ FIT_ROWS = 4000
 LANDMARKS, NEGATIVES = 240, 10_000
 #: Rounds in which each toxic text's witness word is chosen anew.
 ROUNDS = 2
-#: Codes of letters: 0 is none and the last one stands before every word.
-LETTERS, FRONT = 28, 27
+#: Codes of letters: 0 is none, 1-26 are a-z, the next OTHERS are shared by the letters of other scripts and
+#: the last one stands before every word.
+OTHERS = 16
+LETTERS, FRONT = 28 + OTHERS, 27 + OTHERS
+#: Characters of a word in scripts without spaces.
+WINDOW = 4
 #: Letters of a stem, and the log ratio from which a stem tells toxic texts from others.
 STEMS, LIFT = (4, 5, 6), 1.8
 
@@ -48,6 +55,71 @@ for _letter, _folds in {"a": "àáâãäå", "c": "ç", "e": "èéêë", "i": "
     for _c in _folds + _folds.upper():
         if 0xC0 <= ord(_c) <= 0xFF:
             FOLDED[0x80 + ord(_c) - 0xC0] = ord(_letter) - 96
+#: Letters that look like Latin ones or are Latin without a decomposition.
+ALIKE = dict(zip("авеёкмнорстухіјѕԁһԛԝαβεικνορτυχγđłħıŧŋøɑɡ", "abeekmhopctyxijsdhqwabeikvoptuxydlhitnoag", strict=True)) | {"œ": "oe", "æ": "ae", "ĳ": "ij"}
+#: Scripts without spaces: Thai to Tibetan, Burmese, Khmer, kana and Han.
+UNSPACED = ((0x0E00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+
+
+@cache
+def _folded(point: int) -> tuple[int, int, int, bool]:
+    """Up to three letter codes of a character from U+0100 on, and whether its script has no spaces."""
+    plain = unicodedata.normalize("NFKD", unicodedata.normalize("NFKD", chr(point)).casefold())
+    first = ord(plain[0]) if plain else 0
+    if any(a <= first <= b for a, b in UNSPACED):
+        if unicodedata.category(plain[0])[0] not in "LM":
+            return 0, 0, 0, False
+        return 27 + first % OTHERS, 27 + first // OTHERS % OTHERS, 0, True
+    out = []
+    for c in "".join(ALIKE.get(c, c) for c in plain):
+        kind = unicodedata.category(c)
+        if ord(c) < 0x100:
+            out.append(int(CODE[ord(c)] if ord(c) < 0xC0 else FOLDED[ord(c) - 0x40]))
+        elif kind[0] == "L" and c != "\u0640" or kind in ("Mn", "Mc") and 0x0900 <= ord(c) < 0x1A00:  # signs of vowels
+            out.append(27 + ord(c) % OTHERS)
+    one, two, three = ([x for x in out if x] + [0, 0, 0])[:3]
+    return one, two, three, False
+
+
+def _others(data: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Put the codes of characters from U+0100 on into their bytes' places; where a script has no spaces."""
+    unspaced = np.zeros(len(data), bool)
+    lead = np.flatnonzero(data >= 0xC4)
+    if not len(lead):
+        return unspaced
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    point = data[lead].astype(np.int64) & np.array([0, 0, 0x1F, 0x0F, 0x07])[size]
+    for i in (1, 2, 3):
+        more = size > i
+        point[more] = point[more] << 6 | data[lead[more] + i] & 0x3F
+    kinds, of = np.unique(point, return_inverse=True)
+    table = np.array([_folded(int(c)) for c in kinds])
+    for i in range(3):
+        fits = size > i
+        codes[lead[fits] + i] = table[of[fits], i]
+        unspaced[lead[fits] + i] = table[of[fits], 3]
+    return unspaced
+
+
+def _windowed(begin: np.ndarray, stop: np.ndarray, doc: np.ndarray, unspaced: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words cut where scripts with and without spaces meet; the latter in every window of WINDOW characters."""
+    turns = np.flatnonzero(unspaced[1:] != unspaced[:-1]) + 1
+    of = np.searchsorted(begin, turns, "right") - 1
+    inside = (begin[of] < turns) & (turns < stop[of])
+    turns, of = turns[inside], of[inside]
+    begin, stop, doc = np.append(begin, turns), np.append(stop, np.zeros(len(turns), stop.dtype)), np.append(doc, doc[of])
+    order = np.argsort(begin, kind="stable")
+    cut = np.zeros(len(begin), bool)
+    cut[len(cut) - len(turns) :] = True
+    ends = stop.copy()
+    begin, stop, doc, cut = begin[order], ends[order], doc[order], cut[order]
+    word = np.maximum.accumulate(np.where(cut, 0, np.arange(len(begin))))
+    stop = np.where(np.append(cut[1:], False), np.append(begin[1:], 0), stop[word])
+    open_ = unspaced[begin]
+    count = np.where(open_, np.maximum(1, (stop - begin) // 2 - WINDOW + 1), 1)
+    which = np.repeat(np.arange(len(begin)), count)
+    at = begin[which] + 2 * (np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count))
+    return at, np.where(open_[which], np.minimum(at + 2 * WINDOW, stop[which]), stop[which]), doc[which]
 
 
 def _letters(block: spans.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -60,18 +132,25 @@ def _letters(block: spans.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     after = np.zeros(len(data), bool)
     after[1:] = data[:-1] == 0xC3
     codes[after] = FOLDED[data[after]]
+    unspaced = _others(data, codes)
     start, end, doc = block.words()
     count = np.zeros(len(data) + 1, np.int64)
     np.cumsum(codes > 0, out=count[1:])
     begin, stop = count[start], count[end]
     inked = stop > begin
     begin, stop, doc = begin[inked], stop[inked], doc[inked]
+    unspaced = unspaced[codes > 0]
     single = stop - begin == 1
+    if unspaced.any():
+        single |= (stop - begin == 2) & unspaced[begin]
     joins = np.zeros(len(begin), bool)
     joins[1:] = single[1:] & single[:-1] & (doc[1:] == doc[:-1])
     first = np.flatnonzero(~joins)
     last = np.append(first[1:], len(begin)) - 1
-    return *_fronted(codes[codes > 0], begin[first], stop[last] if len(begin) else stop), doc[first]
+    begin, stop, doc = begin[first], stop[last] if len(begin) else stop, doc[first]
+    if unspaced.any():
+        begin, stop, doc = _windowed(begin, stop, doc, unspaced)
+    return *_fronted(codes[codes > 0], begin, stop), doc
 
 
 def _fronted(letters: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -243,7 +322,8 @@ def _gapped(word: str, rng: np.random.Generator) -> list[str]:
         w = word
         for _ in range(times):
             at = int(rng.integers(1, len(w)))
-            w = w[:at] + chr(97 + int(rng.integers(26))) + w[at:]
+            letter = int(rng.integers(26))
+            w = w[:at] + chr(97 + letter if max(w) <= "z" else 123 + letter % OTHERS) + w[at:]
         out.append(w)
     return out
 
@@ -282,7 +362,7 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         plain = [w for w, _ in hits.most_common()]
         bent = [v for w in plain[:200] for v in _gapped(w, rng)]
         words = plain + bent + sorted(negatives)
-        x = np.concatenate([_features(words[i : i + 500])[:, used] @ maps for i in range(0, len(words), 500)]).astype(np.float64)
+        x = np.concatenate([_features(words[i : i + 128])[:, used] @ maps for i in range(0, len(words), 128)]).astype(np.float64)
         y = np.where(np.arange(len(words)) < len(plain) + len(bent), 1.0, -1.0)
         pull = np.array([float(hits[w]) for w in plain] + [hits[w] / 4.0 for w in plain[:200] for _ in (1, 2)] + [1.0] * len(negatives))
         pull[y > 0] *= (pull[y < 0].sum() / pull[y > 0].sum()) / 4

@@ -363,6 +363,43 @@ def test_toxicity_accuracy():
     assert (model.score(spans.Block(pa.array(spelled))) > clean).all()
 
 
+SCRIPTS = {
+    "cyrillic": (["да", "ми", "но", "лу", "жба", "кер", "фол", "ви", "щед", "ый"], ["гнусняк", "болвашка", "тупищий"], " "),
+    "greek": (["δα", "μι", "θο", "λου", "ξερ", "σολ", "βι", "φεδ"], ["ψωροκακος", "βλαξιμο", "ηλιθας"], " "),
+    "arabic": (["با", "مي", "نو", "لو", "كر", "سول", "في", "دين"], ["غبيظان", "حقيرطش", "ضثخيل"], " "),
+    "hangul": (["가", "나미", "도루", "바", "소리", "유", "하네"], ["멍텅꾸리", "쪼다릭", "얼뜨괭"], " "),
+    "han": (["我", "们", "今", "天", "在", "学", "校", "读", "书", "看", "山", "水"], ["笨蛋", "蠢货", "混账"], ""),
+    "extended": (["ďa", "mī", "ňo", "łu", "bař", "ķer", "šol", "vį", "ęd"], ["čhłoptaš", "ţěmbećil", "đurňaķ"], " "),
+}
+
+
+@pytest.mark.parametrize("script", SCRIPTS)
+def test_toxicity_of_any_script(script):
+    syllables, insults, between = SCRIPTS[script]
+
+    def made(n, seed):
+        rng = np.random.default_rng(seed)
+        texts = []
+        for i in range(n):
+            words = ["".join(rng.choice(syllables, int(rng.integers(2, 5)))) for _ in range(40)]
+            for at in rng.choice(40, 3, replace=False) if i % 4 == 0 else ():
+                words[at] = str(rng.choice(insults))
+            texts.append(between.join(words))
+        return texts, [int(i % 4 == 0) for i in range(n)]
+
+    model = toxicity.train(*made(400, 1))
+    texts, marks = made(200, 2)
+    score = model.score(spans.Block(pa.array(texts)))
+    assert ((score >= 0.3) == np.array(marks)).mean() > 0.97
+
+
+def test_letters_of_any_script_are_folded():
+    assert toxicity._words("ni\u0442wit nitw\u0456t \uff4eitwit ŋitwit nitwıt \U0001d427itwit ni\u0301twit") == ["nitwit"] * 7
+    assert toxicity._words("ничтожество") and toxicity._words("ничтожество") == toxicity._words("НИЧТОЖЕСТВО")
+    words = toxicity._words("abc今天在学校def 山水")
+    assert words[0] == "abc" and words[3] == "def" and [len(w) for w in words] == [3, 8, 8, 3, 4]
+
+
 def test_toxicity_rows(spark, docs):
     texts, marks = sentences(300, 3)
     table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
