@@ -89,9 +89,14 @@ def code_text(codes: Column) -> Column:
 
 
 def panel_mask(codes: Column, wanted: Sequence[int]) -> Column:
-    """Bit per panel, set where the panel carries one of the wanted codes."""
+    """Bit per panel, set where the panel carries one of the wanted codes.
+
+    Panels from the 31st on share the last bit; :func:`panel_set` and :func:`count_codes` tell them apart.
+    """
     powers = F.expr("array(" + ", ".join(str(1 << i) for i in range(31)) + ")")
-    bits = F.transform(codes, lambda c, i: F.when(c.isin(*wanted), F.get(powers, i)).otherwise(0))
+    bits = F.transform(
+        codes, lambda c, i: F.when(c.isin(*wanted), F.get(powers, F.least(i, F.lit(30)))).otherwise(0)
+    )
     return F.aggregate(bits, F.lit(0), lambda a, b: a.bitwiseOR(b))
 
 
@@ -100,6 +105,11 @@ def step_mask(codes: Column) -> Column:
     return panel_mask(codes, k.STEP_CODES)
 
 
+def panel_set(codes: Column, wanted: Sequence[int]) -> Column:
+    """Panels that carry one of the wanted codes, in order; the row may have any width."""
+    return F.array_compact(F.transform(codes, lambda c, i: F.when(c.isin(*wanted), i)))
+
+
 def count_codes(codes: Column, wanted: Sequence[int]) -> Column:
     """How many panels carry one of the wanted codes."""
     return F.size(F.filter(codes, lambda c: c.isin(*wanted)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
-from tactus.functions.scalars import count_codes, panel_mask, step_mask
+from tactus.functions.scalars import count_codes, panel_mask, panel_set, step_mask
 from tactus.operators.ordered import scan, settle
 from tactus.operators.play import foot_steps, occupied
 
@@ -108,9 +108,9 @@ def same_arrow_runs(
     segment: Column | None = None,
 ) -> DataFrame:
     """W16 - how many times in a row the same single arrow has come, and whether that is stale."""
-    stepped = rows.withColumn("__step", step_mask(F.col(codes)))
+    stepped = rows.withColumn("__step", panel_set(F.col(codes), k.STEP_CODES))
     linked = scan(stepped, keys, order, segment, lag={"__before": F.col("__step")})
-    same = (F.col("__step") == F.col("__before")) & (F.bit_count(F.col("__step")) == 1)
+    same = (F.col("__step") == F.col("__before")) & (F.size("__step") == 1)
     breaks = ~F.coalesce(same, F.lit(False))
     counted = scan(
         linked,
@@ -221,25 +221,25 @@ def rule_audit(
         keys,
         order,
         cut,
-        lag={"__t0": F.col(time), "__step0": F.col("stepped")},
+        lag={"__t0": F.col(time), "__step0": panel_set(F.col(codes), k.STEP_CODES)},
         lead={"__t1": F.col(time)},
     )
     gap = F.col(time) - F.col("__t0")
     room = F.least(gap, F.col("__t1") - F.col(time))
-    c, stepped, pinned = F.col(codes), F.col("stepped"), F.col("pinned")
-    steps = F.bit_count(stepped)
+    c, pinned, beyond = F.col(codes), F.col("pinned"), F.col("beyond")
+    steps = count_codes(c, k.STEP_CODES)
     limit = 2 if style == "feet" else 4
     blocked = panel_mask(c, (k.TAP, k.HOLD, k.ROLL, k.MINE, k.LIFT))
-    tails = panel_mask(c, (k.TAIL,))
+    tails = panel_mask(F.slice(c, 1, k.PANELS), (k.TAIL,))
     never = F.lit(False)
     rules = {
         "fast_jack": never
         if style == "keyboard"
-        else (gap < min_jack) & (stepped.bitwiseAND(F.col("__step0")) != 0),
+        else (gap < min_jack) & F.arrays_overlap(panel_set(c, k.STEP_CODES), "__step0"),
         "cramped_jump": (steps > 1) & (room < min_room) if style == "feet" else never,
-        "step_on_held": blocked.bitwiseAND(pinned) != 0,
-        "orphan_tail": tails.bitwiseAND(F.bitwise_not(pinned)) != 0,
-        "too_many_limbs": steps + F.bit_count(pinned) > limit,
+        "step_on_held": (blocked.bitwiseAND(pinned) != 0) | beyond["on_held"],
+        "orphan_tail": (tails.bitwiseAND(F.bitwise_not(pinned)) != 0) | beyond["orphan"],
+        "too_many_limbs": steps + F.bit_count(pinned) + beyond["pinned"] > limit,
         "mine": never if mines else F.array_contains(c, k.MINE),
         "roll": never if rolls else F.array_contains(c, k.ROLL),
     }

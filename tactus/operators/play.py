@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
-from tactus.functions.scalars import panel_mask, step_mask
+from tactus.functions.scalars import count_codes, panel_mask, step_mask
 from tactus.operators.ordered import SEGMENT, scan, spread
 
 # Every ordered pair of different panels a left and a right foot can stand on, one bit for each.
@@ -47,6 +47,44 @@ def _cut(time: str, segment: float | None) -> Column | None:
     return None if segment is None else F.floor(F.col(time) / F.lit(float(segment)))
 
 
+def _attach(rows: DataFrame, more: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Add the other columns of ``more``, which has a row for some keys; null keys match."""
+    named = more.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]
+    return rows.join(named, same, "left").drop(*[f"__on_{c}" for c in on])
+
+
+def _beyond(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], codes: str, panels: int, segment: Column | None
+) -> DataFrame:
+    """Rows with notes on panels from ``panels`` on: what they add to the panels held there and counted.
+
+    Each such panel is a key of its own, so rows of any width are tracked.
+    """
+    cut = segment if segment is not None else F.lit(0)
+    wide = rows.where(F.size(codes) > panels).withColumn("__cut", cut)
+    notes = wide.select(*keys, *order, "__cut", F.posexplode(codes).alias("__panel", "__code"))
+    code = F.col("__code")
+    notes = notes.where((F.col("__panel") >= panels) & (code != 0))
+    heads, tail, struck = code.isin(*k.HOLD_CODES), code == k.TAIL, code.isin(*k.STEP_CODES)
+    seen = scan(
+        notes,
+        [*keys, "__panel"],
+        order,
+        None if segment is None else F.col("__cut"),
+        last_before={"__was": F.when(heads, 1).when(tail, 0)},
+    )
+    was = F.coalesce(F.col("__was") == 1, F.lit(False))
+    blocked = code.isin(k.TAP, k.HOLD, k.ROLL, k.MINE, k.LIFT)
+    return seen.groupBy(*keys, *order).agg(
+        F.sum(F.when(heads & ~was, 1).when(tail & was, -1).otherwise(0)).alias("__change"),
+        F.sum((was & tail).cast("int")).alias("__freed"),
+        F.sum((struck & ~was).cast("int")).alias("__onto"),
+        F.max(was & blocked).alias("__on_held"),
+        F.max(~was & tail).alias("__orphan"),
+    )
+
+
 def occupied(
     rows: DataFrame,
     keys: Sequence[str],
@@ -60,13 +98,19 @@ def occupied(
 
     ``pinned`` is what was held when the row began, ``held`` what is left of it after its tails. A tail frees its panel before its row is judged and a head pins it only afterwards. A tap on a
     held panel does not free it.
+
+    The masks of ``pinned`` and ``held`` are those of the first ``panels`` panels. ``beyond`` counts the
+    panels after these that are pinned, held and occupied, and says whether a note stands ``on_held`` ones
+    or a tail is an ``orphan`` there.
     """
+    rows = _attach(rows, _beyond(rows, keys, order, codes, panels, segment), [*keys, *order])
     at = [F.get(F.col(codes), F.lit(p)) for p in range(panels)]
     state = {
         f"__held{p}": F.when(at[p].isin(*k.HOLD_CODES), 1).when(at[p] == k.TAIL, 0)
         for p in range(panels)
     }
-    seen = scan(rows, keys, order, segment, last_before=state)
+    change = F.coalesce("__change", F.lit(0))
+    seen = scan(rows, keys, order, segment, last_before=state, running_before={"__pinned": change})
     held = sum(
         (
             F.when((F.col(f"__held{p}") == 1) & (at[p] != k.TAIL), F.lit(1 << p)).otherwise(F.lit(0))
@@ -79,9 +123,18 @@ def occupied(
         F.lit(0),
     )
     stepped = step_mask(F.col(codes))
+    far = F.coalesce("__pinned", F.lit(0)).cast("int")
+    far_held = far - F.coalesce("__freed", F.lit(0)).cast("int")
+    beyond = F.struct(
+        far.alias("pinned"),
+        far_held.alias("held"),
+        (far_held + F.coalesce("__onto", F.lit(0)).cast("int")).alias("occupied"),
+        F.coalesce("__on_held", F.lit(False)).alias("on_held"),
+        F.coalesce("__orphan", F.lit(False)).alias("orphan"),
+    )
     return seen.withColumns(
-        {"stepped": stepped, "pinned": pinned, "held": held, "occupied": stepped.bitwiseOR(held)}
-    ).drop(*state)
+        {"stepped": stepped, "pinned": pinned, "held": held, "occupied": stepped.bitwiseOR(held), "beyond": beyond}
+    ).drop(*state, "__pinned", "__change", "__freed", "__onto", "__on_held", "__orphan")
 
 
 def runs(
@@ -198,16 +251,25 @@ def playability(
 
     Rows are cut into ``(key, segment)`` pieces once; each piece is reduced to a summary row there,
     and only the summaries are combined per key. Unused figures are pruned by Catalyst, so the
-    narrower operators below are selections from this one. ``panels`` is how many panels holds and
-    repeats are tracked on; rows are always judged over their full width.
+    narrower operators below are selections from this one. Rows are judged over their full width;
+    ``panels`` (30 at most) is how many panels have columns of their own, the others are exploded.
     """
     time = order[0]
+    pad = (1 << panels) - 1
+    far = F.col("beyond.occupied")
     needed = occupied(
         rows, keys, order, codes=codes, panels=panels, segment=_cut(time, segment)
-    ).where(F.col("occupied") != 0)
+    ).withColumns(
+        {
+            "__struck": count_codes(F.col(codes), k.STEP_CODES),
+            "__size": F.bit_count(F.col("occupied").bitwiseAND(F.lit(pad))) + far,
+            # Panels beyond the pad cannot be stood on; which of them it is does not matter.
+            "occupied": F.col("occupied").bitwiseAND(F.lit(pad)).bitwiseOR(F.when(far > 0, F.lit(1 << 30)).otherwise(F.lit(0))),
+        }
+    ).where(F.col("__size") > 0)
     reach = max(limits.burst_window, limits.sustained_window, limits.stream_gap)
     placed = spread(
-        needed.select(*keys, *order, "stepped", "occupied"),
+        needed.select(*keys, *order, "stepped", "occupied", "__struck", "__size"),
         F.col(time),
         segment,
         behind=reach,
@@ -225,7 +287,7 @@ def playability(
         )
 
     t, stepped = F.col(time), F.col("stepped")
-    strikes = stepped != 0
+    strikes = F.col("__struck") > 0
     panel_bits = [stepped.bitwiseAND(F.lit(1 << p)) != 0 for p in range(panels)]
     seen = {f"__seen{p}": F.when(panel_bits[p], t) for p in range(panels)}
     seen["__before"] = F.when(strikes, t)
@@ -237,7 +299,7 @@ def playability(
         }
     )
     in_run = strikes & F.col("__before").isNotNull() & (t - F.col("__before") <= limits.stream_gap)
-    single = F.bit_count(stepped) == 1
+    single = F.col("__struck") == 1
     right, left = stepped == 1 << k.RIGHT_PANEL, stepped == 1 << k.LEFT_PANEL
     turning = F.when(own & in_run, 1).otherwise(0)
     local = local.withColumns({"__run": turning, "__turns": F.sum(turning).over(upto)})
@@ -258,7 +320,7 @@ def playability(
     counts_step = (F.col("__run") == 1) & single
     crossed = counts_step & (((foot == 0) & right) | ((foot == 1) & left))
     crossed_if_right = counts_step & (((foot == 1) & right) | ((foot == 0) & left))
-    size = F.bit_count(F.col("occupied"))
+    size = F.col("__size")
     gaps = [t - F.col(f"__seen{p}") for p in range(panels)]
     nearest = F.least(*[F.when(panel_bits[p], gaps[p]) for p in range(panels)])
     standing = F.struct(
@@ -344,10 +406,13 @@ def playability(
         F.sum("impossible_rows").alias("impossible_rows"),
         F.max("max_simultaneous").alias("max_simultaneous"),
         F.sum("crossovers").alias("crossovers"),
-        F.min("fastest_jack").alias("fastest_jack"),
+        F.min("fastest_jack").alias("__jack"),
         F.bool_and("alive").alias("geometrically_possible"),
     )
 
+    far_jacks = fastest_jack(rows.where(F.size(codes) > panels), keys, order, codes=codes, segment=segment, first=panels)
+    whole = _attach(whole, far_jacks.withColumnRenamed("fastest_jack", "__far_jack"), keys)
+
     def rate(count: str, seconds: float) -> Column:
         long_enough = (F.col("rows") >= 2) & (F.col("__last") - F.col("__first") >= seconds)
         return F.when(long_enough, F.col(count) / F.lit(float(seconds))).otherwise(F.lit(0.0))
@@ -362,7 +427,7 @@ def playability(
         "impossible_rows",
         "max_simultaneous",
         "crossovers",
-        "fastest_jack",
+        F.least("__jack", "__far_jack").alias("fastest_jack"),
         "geometrically_possible",
     )
     return classify(measured, limits)
@@ -411,14 +476,15 @@ def fastest_jack(
     *,
     codes: str = "codes",
     segment: float | None = None,
+    first: int = 0,
 ) -> DataFrame:
-    """W04 - shortest time between two strikes of one panel; NULL when none repeats.
+    """W04 - shortest time between two strikes of one panel (from ``first`` on); NULL when none repeats.
 
     Each panel is its own short summary per piece, so only first and last strikes cross an edge.
     """
     time = order[0]
     bits = F.posexplode(F.transform(F.col(codes), lambda c: c.isin(*k.STEP_CODES)))
-    strikes = rows.select(*keys, *order, bits.alias("panel", "__on")).where("__on")
+    strikes = rows.select(*keys, *order, bits.alias("panel", "__on")).where(F.col("__on") & (F.col("panel") >= first))
     cut = _cut(time, segment)
     strikes = strikes.withColumn(SEGMENT, cut if cut is not None else F.lit(0))
     w = Window.partitionBy(*keys, "panel", SEGMENT).orderBy(*order)

@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from tactus.operators import play
+from tactus.operators import audit, play
 
 SCHEMA = "chart int, n int, t double, codes array<int>"
 
@@ -157,3 +157,37 @@ def test_hot_key_is_cut_into_pieces(spark):
     report = play.playability(rows, ["chart"], ["t", "n"], segment=20.0)
     row = report.collect()[0]
     assert row["steps"] == 2000 and row["burst_nps"] == walk(alternating(2000, 0.11))["burst_nps"]
+
+
+def test_rows_of_any_width(spark):
+    """Panels after the tenth and the thirty-first are struck, held and repeated like any other."""
+    rng = random.Random(12)
+    charts = {i: random_chart(rng, width) for i, width in enumerate([5, 9, 10, 33, 40] * 4)}
+    wide = [0] * 40
+    charts[90] = [(0.0, wide[:35] + [1] + wide[36:])]
+    charts[91] = [(0.0, wide[:9] + [2]), (1.0, [1, 1] + wide[2:10]), (2.0, wide[:9] + [3])]
+    report = play.playability(frame(spark, charts), ["chart"], ["t", "n"], segment=20.0)
+    found = {r["chart"]: r for r in report.collect()}
+    for i, chart in charts.items():
+        for name, value in (walk(chart) or {}).items():
+            assert found[i][name] == pytest.approx(value), (i, name)
+    assert found[90]["rows"] == 1
+    assert found[91]["max_simultaneous"] == 3 and found[91]["chord_rows"] == 1
+
+
+def test_rules_on_any_panel(spark):
+    def row(codes):
+        return [codes.get(p, 0) for p in range(40)]
+
+    charts = {
+        0: [(0.0, row({35: 2})), (1.0, row({35: 1})), (2.0, row({35: 3})), (3.0, row({35: 3}))],
+        1: [(0.0, row({38: 1})), (0.01, row({38: 1})), (0.02, row({39: 1}))],
+        2: [(0.0, row({9: 2})), (5.0, row({0: 1, 1: 1})), (9.0, row({9: 3}))],
+    }
+    found = audit.rule_audit(frame(spark, charts), ["chart"], ["t", "n"])
+    assert {(r["chart"], r["n"], r["rule"]) for r in found.collect()} == {
+        (0, 1, "step_on_held"),
+        (0, 3, "orphan_tail"),
+        (1, 1, "fast_jack"),
+        (2, 1, "too_many_limbs"),
+    }
