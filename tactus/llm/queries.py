@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.llm import chunk_bpe, fingerprints, line_dedup, mixing, ngram_join, oracles, repair, sharding, toxicity, vector_join
+from tactus.llm import chunk_bpe, fingerprints, lexical, line_dedup, mixing, ngram_join, oracles, repair, sharding, toxicity, vector_join
 from tactus.llm import licenses as license_ops
 from tactus.llm import repetition as repetition_ops
 from tactus.llm.registry import query
@@ -72,6 +72,11 @@ def op6_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+@query("op11_lexical_search", oracles.LEXICAL_SEARCH)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op12_fingerprints")
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))

@@ -76,6 +76,10 @@ class Block:
         cut[1:] = (a[:-1] & b[1:]) | (b[:-1] & a[1:])
         return self._runs(~SPACE[self.data], cut)
 
+    def runs(self, ink: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, end and text number of every run of bytes that ``ink`` marks."""
+        return self._runs(ink)
+
     def _runs(self, ink: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = ink.copy()
         first[1:] &= ~ink[:-1]
