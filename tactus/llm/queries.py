@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tactus.llm import chunk_bpe, fingerprints, lexical, line_dedup, mixing, ngram_join, oracles, repair, sharding, toxicity, vector_join
+from tactus.llm import chunk_bpe, fingerprints, hard_negatives, lexical, line_dedup, mixing, ngram_join, oracles, repair, sharding, toxicity, vector_join
 from tactus.llm import licenses as license_ops
 from tactus.llm import repetition as repetition_ops
 from tactus.llm.registry import query
@@ -80,3 +80,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_fingerprints")
 def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op13_hard_negatives", oracles.HARD_NEGATIVES)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", relabelled), F.col("vec_id") % 50 == 0)
