@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SEGMENT = "__segment"
+KEY = "__key"
 
 
 def spread(
@@ -92,8 +93,9 @@ def scan(
     last, last_before, marks = dict(last or {}), dict(last_before or {}), dict(marks or {})
     by_order = [F.col(c) for c in order]
     position = F.struct(*by_order)
-    local_keys = [*keys, SEGMENT] if segment is not None else [*keys]
-    rows = df.withColumn(SEGMENT, segment) if segment is not None else df
+    # Inside a struct nulls are equal, so keys with nulls find their summaries again.
+    local_keys = [KEY, SEGMENT] if segment is not None else [*keys]
+    rows = df.withColumns({SEGMENT: segment, KEY: F.struct(*keys)}) if segment is not None else df
     w = Window.partitionBy(*local_keys).orderBy(*by_order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -119,7 +121,7 @@ def scan(
                 for n, (c, s) in marks.items()
             ],
         )
-        across = Window.partitionBy(*keys).orderBy(SEGMENT)
+        across = Window.partitionBy(KEY).orderBy(SEGMENT)
         earlier = across.rowsBetween(Window.unboundedPreceding, -1)
         for n in sums:
             summary = summary.withColumn(
@@ -172,6 +174,13 @@ def scan(
     return rows.select(*kept, *[e.alias(n) for n, e in added.items()])
 
 
+def attach(rows: DataFrame, more: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Add the other columns of ``more``, which has a row for some keys; null keys match."""
+    named = more.withColumnsRenamed({c: f"__on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]
+    return rows.join(named, same, "left").drop(*[f"__on_{c}" for c in on])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors share, as named by ``spark.checkpoint.dir``.
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
 from tactus.functions.scalars import count_codes, panel_mask, step_mask
-from tactus.operators.ordered import SEGMENT, scan, spread
+from tactus.operators.ordered import SEGMENT, attach, scan, spread
 
 # Every ordered pair of different panels a left and a right foot can stand on, one bit for each.
 STANCES = tuple((a, b) for a in range(k.PANELS) for b in range(k.PANELS) if a != b)
@@ -47,13 +47,6 @@ def _cut(time: str, segment: float | None) -> Column | None:
     return None if segment is None else F.floor(F.col(time) / F.lit(float(segment)))
 
 
-def _attach(rows: DataFrame, more: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Add the other columns of ``more``, which has a row for some keys; null keys match."""
-    named = more.withColumnsRenamed({c: f"__on_{c}" for c in on})
-    same = [F.col(c).eqNullSafe(F.col(f"__on_{c}")) for c in on]
-    return rows.join(named, same, "left").drop(*[f"__on_{c}" for c in on])
-
-
 def _beyond(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], codes: str, panels: int, segment: Column | None
 ) -> DataFrame:
@@ -103,7 +96,7 @@ def occupied(
     panels after these that are pinned, held and occupied, and says whether a note stands ``on_held`` ones
     or a tail is an ``orphan`` there.
     """
-    rows = _attach(rows, _beyond(rows, keys, order, codes, panels, segment), [*keys, *order])
+    rows = attach(rows, _beyond(rows, keys, order, codes, panels, segment), [*keys, *order])
     at = [F.get(F.col(codes), F.lit(p)) for p in range(panels)]
     state = {
         f"__held{p}": F.when(at[p].isin(*k.HOLD_CODES), 1).when(at[p] == k.TAIL, 0)
@@ -411,7 +404,7 @@ def playability(
     )
 
     far_jacks = fastest_jack(rows.where(F.size(codes) > panels), keys, order, codes=codes, segment=segment, first=panels)
-    whole = _attach(whole, far_jacks.withColumnRenamed("fastest_jack", "__far_jack"), keys)
+    whole = attach(whole, far_jacks.withColumnRenamed("fastest_jack", "__far_jack"), keys)
 
     def rate(count: str, seconds: float) -> Column:
         long_enough = (F.col("rows") >= 2) & (F.col("__last") - F.col("__first") >= seconds)

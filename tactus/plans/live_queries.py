@@ -27,9 +27,14 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _drain(stream: DataFrame, mode: str) -> DataFrame:
-    folder = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
-    return live.drain(stream, folder, mode)
+def _folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+def _finished(flow: live.Carried, stream: DataFrame) -> DataFrame:
+    folder = _folder(stream.sparkSession)
+    flow.start(stream, folder).awaitTermination()
+    return flow.finish(stream.sparkSession, folder)
 
 
 def _seconds(df: DataFrame, column: str):
@@ -47,7 +52,7 @@ def _seconds(df: DataFrame, column: str):
 )
 def live_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     steps = event_stream(spark, sf_dir).where(F.exists("codes", lambda c: c.isin(1, 2, 4, 6)))
-    found = _drain(live.live_runs(steps, KEYS, "12 hours", "1 day"), "complete")
+    found = _finished(live.live_runs(KEYS, 12 * HOUR, "1 day"), steps)
     return found.select("user_id", _seconds(found, "run_start"), _seconds(found, "run_end"), "steps")
 
 
@@ -60,7 +65,7 @@ def live_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def live_peak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rates = live.live_peak_rate(event_stream(spark, sf_dir), KEYS, "6 hours", "1 hour", "1 day")
-    found = _drain(rates, "complete")
+    found = live.drain(rates, _folder(spark), [*KEYS, "start", "end"])
     return found.select(
         "user_id", _seconds(found, "start"), "rows", rounded(F.col("rate") * 3600).alias("per_hour")
     )
@@ -73,7 +78,7 @@ def live_peak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
       coalesce(s.crossed, false)::BIGINT AS crossed FROM occ o LEFT JOIN st5 s USING (event_id)""",
 )
 def live_occupancy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = live.live_occupancy(event_stream(spark, sf_dir), KEYS, "1 day", gap=12 * HOUR, ttl="60 days")
-    found = _drain(stream, "append")
+    flow = live.live_occupancy(KEYS, "1 day", gap=12 * HOUR, ttl=60 * 24 * HOUR)
+    found = _finished(flow, event_stream(spark, sf_dir))
     flags = ("stepped", "held", "occupied", "crossed")
     return found.select("user_id", "event_id", *[F.col(c).cast("bigint").alias(c) for c in flags])

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tactus.functions import constants as k
+from tactus.operators.ordered import attach, scan
+from tactus.operators.play import foot_steps, occupied
 from tactus.sources import msd
 from tactus.sources.files import SIMFILES, _at_depth, _located
 from tactus.sources.manifest import CHART, SONG, parse_corpus
@@ -51,19 +52,135 @@ def stream_ingest(spark: SparkSession, root: str, target: str, checkpoint: str):
     )
 
 
+Step = Callable[[DataFrame, DataFrame | None, float, bool], tuple[DataFrame, DataFrame]]
+
+
+@dataclass(frozen=True)
+class Carried:
+    """A stream worked off in event-time order by a batch operator and a table of carried state.
+
+    ``step(rows, carry, mark, ended)`` takes the rows that are due, what the step before carried on (None at
+    first) and the watermark in epoch seconds, and returns its output and what it carries on in turn.
+
+    A row is due once the watermark, ``delay`` behind the latest ``ts`` seen, has reached it; until then it is
+    pending. So rows that come out of order, however they are dealt into micro-batches, give what the batch
+    operator gives for all of them in order. Rows that the watermark had passed before they came, and rows
+    without a time, cannot be placed any more; they are kept apart as late ones.
+
+    Every micro-batch reads the state of the one before and writes a directory of its own in each table, its
+    clock last. A batch that is run again after a failure overwrites what it had written.
+    """
+
+    step: Step
+    ts: str
+    delay: str
+
+    def start(self, stream: DataFrame, folder: str):
+        """Start the query, which stops when its input is used up. Tables and checkpoint lie below ``folder``."""
+        spark = stream.sparkSession
+        nothing = spark.createDataFrame([], stream.schema)
+        nothing.write.mode("ignore").parquet(f"{folder}/pending/batch=-1")
+        nothing.write.mode("ignore").parquet(f"{folder}/late/batch=-1")
+        _clock(spark, float("-inf")).write.mode("ignore").parquet(f"{folder}/clock/batch=-1")
+
+        def store(batch: DataFrame, number: int) -> None:
+            self._advance(batch, folder, number)
+
+        return (
+            stream.writeStream.foreachBatch(store)
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+
+    def finish(self, spark: SparkSession, folder: str) -> DataFrame:
+        """All results once no more rows will come: what is pending is worked off, what is open is closed.
+
+        A stream that goes on after all starts from the state before this and overwrites it.
+        """
+        done = spark.read.parquet(f"{folder}/clock").agg(F.max("batch")).first()[0]
+        pending = spark.read.parquet(f"{folder}/pending/batch={done}")
+        carry = spark.read.parquet(f"{folder}/carry/batch={done}") if done >= 0 else None
+        out, _ = self.step(pending, carry, float("inf"), True)
+        out.write.mode("overwrite").parquet(f"{folder}/out/batch={done + 1}")
+        return self.results(spark, folder)
+
+    def results(self, spark: SparkSession, folder: str) -> DataFrame:
+        return spark.read.parquet(f"{folder}/out").drop("batch")
+
+    def late(self, spark: SparkSession, folder: str) -> DataFrame:
+        """Rows that came when the watermark had passed them, or without a time."""
+        return spark.read.parquet(f"{folder}/late").drop("batch")
+
+    def _advance(self, batch: DataFrame, folder: str, number: int) -> None:
+        spark = batch.sparkSession
+        kept = lambda name, at: f"{folder}/{name}/batch={at}"
+        batch.write.mode("overwrite").parquet(kept("arrived", number))
+        arrived = spark.read.schema(batch.schema).parquet(kept("arrived", number))
+        at = F.unix_micros(self.ts) / F.lit(1e6)
+        delay = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {self.delay}")) / F.lit(1e6)
+        passed = spark.read.parquet(kept("clock", number - 1)).first()["mark"]
+        pending = spark.read.schema(batch.schema).parquet(kept("pending", number - 1))
+        carry = spark.read.parquet(kept("carry", number - 1)) if number > 0 else None
+        newest = arrived.agg(F.max(at - delay).alias("mark")).first()["mark"]
+        mark = passed if newest is None else max(passed, newest)
+        late = F.col(self.ts).isNull() | (at <= F.lit(passed))
+        arrived.where(late).write.mode("overwrite").parquet(kept("late", number))
+        waiting = arrived.where(~late).unionByName(pending)
+        due = at <= F.lit(mark)
+        waiting.where(~due).write.mode("overwrite").parquet(kept("pending", number))
+        out, carry = self.step(waiting.where(due), carry, mark, False)
+        carry.write.mode("overwrite").parquet(kept("carry", number))
+        out.write.mode("overwrite").parquet(kept("out", number))
+        _clock(spark, mark).write.mode("overwrite").parquet(kept("clock", number))
+        # The batch before may still be run again, those before it not.
+        _removed(spark, [kept(name, number - 2) for name in ("arrived", "pending", "carry")])
+
+
+def _clock(spark: SparkSession, mark: float) -> DataFrame:
+    return spark.range(1).select(F.lit(mark).cast("double").alias("mark"))
+
+
+def _removed(spark: SparkSession, paths: Sequence[str]) -> None:
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def _cut(time: Column, segment: float | None) -> Column | None:
+    return None if segment is None else F.floor(time / F.lit(float(segment)))
+
+
 def live_runs(
-    steps: DataFrame, keys: Sequence[str], gap: str, watermark: str, *, ts: str = "ts"
-) -> DataFrame:
-    """R02 - runs of steps as session windows: start, end and number of steps.
+    keys: Sequence[str], gap: float, delay: str, *, ts: str = "ts", tiebreak: str = "event_id", segment: float | None = None
+) -> Carried:
+    """R02 - runs of steps: start, end and number of steps.
 
-    A session closes when a step comes ``gap`` or more after the one before.
+    A run is closed by a step ``gap`` seconds or more after its last one, and comes out once the watermark shows
+    that none nearer will follow. Only open runs are carried on.
     """
-    sessions = (
-        steps.withWatermark(ts, watermark)
-        .groupBy(*keys, F.session_window(ts, gap).alias("session"))
-        .agg(F.count(F.lit(1)).alias("steps"), F.min(ts).alias("run_start"), F.max(ts).alias("run_end"))
-    )
-    return sessions.select(*keys, "run_start", "run_end", "steps")
+    time = F.unix_micros("__at") / F.lit(1e6)
+
+    def step(rows: DataFrame, carry: DataFrame | None, mark: float, ended: bool) -> tuple[DataFrame, DataFrame]:
+        steps = rows.select(*keys, F.col(ts).alias("__at"), tiebreak, F.col(ts).alias("run_start"), F.lit(1).cast("bigint").alias("steps"))
+        if carry is not None:
+            steps = steps.unionByName(carry.withColumnRenamed("run_end", "__at"))
+        order = ["__at", tiebreak]
+        seen = scan(steps, keys, order, _cut(time, segment), lag={"__before": F.col("__at")})
+        away = (F.unix_micros("__at") - F.unix_micros("__before")) / F.lit(1e6) >= F.lit(gap)
+        opens = F.when(F.col("__before").isNull() | away, F.struct(*order))
+        named = scan(seen, keys, order, _cut(time, segment), last={"__run": opens})
+        found = named.groupBy(*keys, "__run").agg(
+            F.min("run_start").alias("run_start"),
+            F.max("__at").alias("run_end"),
+            F.max_by(tiebreak, F.struct(*order)).alias(tiebreak),
+            F.sum("steps").alias("steps"),
+        )
+        closed = F.lit(ended) | (F.unix_micros("run_end") / F.lit(1e6) + F.lit(gap) <= F.lit(mark))
+        out = found.where(closed).select(*keys, "run_start", "run_end", "steps")
+        return out, found.where(~closed).select(*keys, "run_end", tiebreak, "run_start", "steps")
+
+    return Carried(step, ts, delay)
 
 
 def live_peak_rate(
@@ -85,90 +202,97 @@ def live_peak_rate(
     )
 
 
-STATE = "held int, foot int, last double"
-
-
 def live_occupancy(
-    rows: DataFrame,
     keys: Sequence[str],
-    watermark: str,
+    delay: str,
     *,
     ts: str = "ts",
     time: str = "t",
     codes: str = "codes",
     tiebreak: str = "event_id",
     gap: float = k.STREAM_GAP,
-    ttl: str = "1 hour",
-) -> DataFrame:
-    """R04 - held panels and foot of each row as it arrives.
+    ttl: float = 3600.0,
+    segment: float | None = None,
+) -> Carried:
+    """R04 - held panels and foot of each row, as :func:`occupied` and :func:`foot_steps` give them for all rows.
 
-    State is one small record per key, dropped once the watermark has passed it by ``ttl``. Rows of a
-    micro-batch are taken in time order; a row older than what its key has already seen is taken as
-    it comes.
+    A key that has been silent for more than ``ttl`` seconds starts anew, with nothing held. What is carried on is one record per
+    key: its last row, the panels held after it, its last step and the foot of that; it goes once the
+    watermark is ``ttl`` past. ``time`` is ``ts`` in epoch seconds; ``segment`` cuts keys that are dense in a
+    micro-batch. ``foot`` is null on rows without a step.
     """
-    kinds = dict(rows.select(*keys, tiebreak, time).dtypes)
-    schema = ", ".join(f"`{c}` {t}" for c, t in kinds.items())
-    schema += ", stepped int, held int, occupied int, in_run boolean, foot int, crossed boolean"
+    order = [time, tiebreak]
     left, right = 1 << k.LEFT_PANEL, 1 << k.RIGHT_PANEL
-    lifetime = int(pd.Timedelta(ttl).total_seconds() * 1000)
-
-    def bits(row, wanted) -> int:
-        return sum(1 << p for p, code in enumerate(row) if code in wanted)
-
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        held, foot, last = state.get if state.exists else (0, 0, float("-inf"))
-        part = pd.concat(list(batches)).sort_values([time, tiebreak])
-        out = []
-        for row in part.itertuples(index=False):
-            panels, at = getattr(row, codes), getattr(row, time)
-            step = bits(panels, k.STEP_CODES)
-            held &= ~bits(panels, (k.TAIL,))
-            in_run = bool(step) and at - last <= gap
-            crossed = False
-            if step:
-                last = at
-                foot ^= in_run
-                if step & (step - 1) == 0:
-                    if not in_run:
-                        foot = int(step == right)
-                    crossed = in_run and step == (left if foot else right)
-            out.append((*key, getattr(row, tiebreak), at, step, held, step | held, in_run, int(foot), crossed))
-            held |= bits(panels, k.HOLD_CODES)
-        state.update((int(held), int(foot), float(last)))
-        due = int(part[ts].max().timestamp() * 1000)
-        state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs()) + lifetime)
-        names = [*kinds, "stepped", "held", "occupied", "in_run", "foot", "crossed"]
-        yield pd.DataFrame(out, columns=names)
+    life = [*keys, "__life"]
+    cut = _cut(F.col(time), segment)
 
-    return (
-        rows.select(*keys, tiebreak, time, ts, codes)
-        .withWatermark(ts, watermark)
-        .groupBy(*keys)
-        .applyInPandasWithState(advance, schema, STATE, "append", GroupStateTimeout.EventTimeTimeout)
-    )
+    def step(rows: DataFrame, carry: DataFrame | None, mark: float, ended: bool) -> tuple[DataFrame, DataFrame]:
+        kinds = dict(rows.dtypes)
+        rows = rows.select(*keys, *order, ts, codes, F.lit(False).alias("__carried"))
+        if carry is not None:
+            # What is held comes in as heads on one row before all others.
+            heads = F.when(
+                F.size("panels") > 0,
+                F.transform(F.sequence(F.lit(0), F.array_max("panels")), lambda p: F.when(F.array_contains("panels", p), k.HOLD).otherwise(0)),
+            ).otherwise(F.array().cast("array<int>"))
+            opening = carry.select(*keys, *order, ts, heads.cast(kinds[codes]).alias(codes), F.lit(True).alias("__carried"))
+            rows = rows.unionByName(opening)
+        rows = scan(rows, keys, order, cut, lag={"__before": F.col(time)})
+        silent = F.coalesce(F.col(time) - F.col("__before") > F.lit(ttl), F.lit(False)).cast("int")
+        rows = scan(rows, keys, order, cut, running={"__life": silent}).drop("__before")
+        held = occupied(rows, life, order, codes=codes, segment=cut)
+        steps = held.where(~F.col("__carried")).select(*life, *order, "stepped")
+        if carry is not None:
+            # The last step opens a run of its own on the panel that its foot stands on.
+            stood = F.when(F.col("foot") == 1, right).otherwise(left)
+            last = carry.where(F.col("step_at").isNotNull())
+            # It may lie a while before the key's last row, but belongs to the same life.
+            last = last.select(*keys, F.lit(0).cast("bigint").alias("__life"), *[F.col(f"step_at.{c}").alias(c) for c in order], stood.cast("int").alias("stepped"))
+            steps = steps.withColumn("__life", F.col("__life").cast("bigint")).unionByName(last)
+        walked = foot_steps(steps, life, order, gap=gap, segment=segment)
+        feet = walked.select(*life, *order, "in_run", "foot", "crossed")
+        out = attach(held.where(~F.col("__carried")).select(*life, *order, "stepped", "held", "occupied"), feet, [*life, *order])
+        no = F.lit(False)
+        out = out.select(
+            *keys, tiebreak, time, "stepped", "held", "occupied", F.coalesce("in_run", no).alias("in_run"), "foot", F.coalesce("crossed", no).alias("crossed")
+        )
+        at = F.struct(*order)
+        ends = rows.groupBy(*life).agg(F.max(at).alias("__end"), F.max(ts).alias(ts))
+        ends = ends.groupBy(*keys).agg(F.max(F.struct("__life", "__end", ts)).alias("e"))
+        ends = ends.select(*keys, "e.__life", *[F.col(f"e.__end.{c}").alias(c) for c in order], f"e.{ts}")
+        notes = rows.select(*life, *order, F.posexplode(codes).alias("__panel", "__code")).where(F.col("__code").isin(*k.HOLD_CODES, k.TAIL))
+        pinned = notes.groupBy(*life, "__panel").agg(F.max_by("__code", at).alias("__code")).where(F.col("__code") != k.TAIL)
+        # At most as many as there are panels.
+        pinned = pinned.groupBy(*life).agg(F.array_sort(F.collect_set("__panel")).alias("panels"))
+        stood = walked.groupBy(*life).agg(F.max(at).alias("step_at"), F.max_by("foot", at).alias("foot"))
+        carried = attach(attach(ends, pinned, life), stood, life)
+        carried = carried.where(F.unix_micros(ts) / F.lit(1e6) + F.lit(ttl) >= F.lit(mark))
+        nothing = F.array().cast("array<int>")
+        return out, carried.select(*keys, *order, ts, F.coalesce("panels", nothing).alias("panels"), "step_at", "foot")
+
+    return Carried(step, ts, delay)
 
 
-def drain(stream: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Run a stream until its input is used up and read back what it wrote below ``folder``.
+def drain(stream: DataFrame, folder: str, keys: Sequence[str]) -> DataFrame:
+    """Run an aggregating stream until its input is used up and read back the last version of each group.
 
-    In complete mode each batch replaces the result, otherwise every batch adds a directory.
+    Every micro-batch adds the groups that it changed, told apart by ``keys``; state goes with the watermark.
     """
     spark = stream.sparkSession
     out = f"{folder}/out"
 
     def store(batch: DataFrame, number: int) -> None:
-        at = out + "/whole" if mode == "complete" else f"{out}/batch={number}"
-        batch.write.mode("overwrite").parquet(at)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = (
         stream.writeStream.foreachBatch(store)
-        .outputMode(mode)
+        .outputMode("update")
         .option("checkpointLocation", f"{folder}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(out + "/whole" if mode == "complete" else out)
+    found = spark.read.parquet(out)
+    values = [c for c in stream.columns if c not in keys]
+    last = found.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+    return last.select(*[F.col(f"v.{c}").alias(c) if c in values else F.col(c) for c in stream.columns])
