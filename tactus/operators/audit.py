@@ -211,11 +211,12 @@ def rule_audit(
     min_jack: float = k.MIN_JACK,
     min_room: float = k.MIN_JUMP_ROOM,
     segment: float | None = None,
+    width: int | None = None,
 ) -> DataFrame:
-    """W18 - violations of the charting rules, one row each: the row's columns and ``rule``."""
+    """W18 - violations of the charting rules, one row each: the row's columns and ``rule``. ``width`` is as in :func:`occupied`."""
     time = order[0]
     cut = _cut(time, segment)
-    seen = occupied(rows, keys, order, codes=codes, segment=cut)
+    seen = occupied(rows, keys, order, codes=codes, width=width, segment=cut)
     near = scan(
         seen,
         keys,

@@ -7,7 +7,7 @@ pieces a key is cut into (see :mod:`tactus.operators.ordered`); ``None`` treats
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -47,6 +47,12 @@ def _cut(time: str, segment: float | None) -> Column | None:
     return None if segment is None else F.floor(F.col(time) / F.lit(float(segment)))
 
 
+def _within(rows: DataFrame, codes: str, width: int) -> DataFrame:
+    wider = F.raise_error(F.lit(f"a row is wider than the {width} panels that were promised"))
+    checked = F.when(F.size(codes) > width, wider.cast(rows.schema[codes].dataType)).otherwise(F.col(codes))
+    return rows.withColumn(codes, checked)
+
+
 def _beyond(
     rows: DataFrame, keys: Sequence[str], order: Sequence[str], codes: str, panels: int, segment: Column | None
 ) -> DataFrame:
@@ -85,6 +91,7 @@ def occupied(
     *,
     codes: str = "codes",
     panels: int = k.PANELS,
+    width: int | None = None,
     segment: Column | None = None,
 ) -> DataFrame:
     """W02 - add the panels stepped on, held from before, and needed on each row, as bit masks.
@@ -95,8 +102,16 @@ def occupied(
     The masks of ``pinned`` and ``held`` are those of the first ``panels`` panels. ``beyond`` counts the
     panels after these that are pinned, held and occupied, and says whether a note stands ``on_held`` ones
     or a tail is an ``orphan`` there.
+
+    A caller that knows the rows' ``width`` to be ``panels`` at most saves their second pass; a row that is wider
+    than that fails the job.
     """
-    rows = attach(rows, _beyond(rows, keys, order, codes, panels, segment), [*keys, *order])
+    if width is not None and width <= panels:
+        rows = _within(rows, codes, width)
+        far = {"change": "bigint", "freed": "bigint", "onto": "bigint", "on_held": "boolean", "orphan": "boolean"}
+        rows = rows.withColumns({f"__{n}": F.lit(None).cast(t) for n, t in far.items()})
+    else:
+        rows = attach(rows, _beyond(rows, keys, order, codes, panels, segment), [*keys, *order])
     at = [F.get(F.col(codes), F.lit(p)) for p in range(panels)]
     state = {
         f"__held{p}": F.when(at[p].isin(*k.HOLD_CODES), 1).when(at[p] == k.TAIL, 0)
@@ -189,45 +204,76 @@ def _ints(values: Sequence[int]) -> Column:
     return F.expr(f"array({', '.join(map(str, values))})")
 
 
-def _reach(rows: Column, fast: float) -> Column:
-    """Stances reachable at the end of a piece, one set per stance at its first row."""
-    start = F.struct(
-        _ints([_bit(s) for s in STANCES]).alias("m"),
-        F.lit(None).cast("double").alias("t"),
-    )
+#: Rows of a block, blocks of a piece, and children of a node above the pieces.
+BLOCK, PIECE, FAN = 64, 64, 64
+#: Levels above the pieces. Over 10**9 rows of a key can be brought together; with more the job fails.
+LEVELS = 3
+#: Bits that a row takes in a packed block: whether it is there, whether it follows quickly, and its stances.
+ROW_BITS = 2 + k.PANELS * k.PANELS
+PACKED = 63 // ROW_BITS
+IDENTITY = [_bit(s) for s in STANCES]
 
-    def land(state: Column, row: Column) -> Column:
-        within = row["mask"].bitwiseAND(F.lit((1 << k.PANELS) - 1))
-        # A panel beyond the pad cannot be stood on, so it leaves a row short of what it needs.
-        short = (row["mask"] != within) & (F.bit_count(within) < 2)
-        good = F.when(short, F.lit(0)).otherwise(F.get(_ints(_covering()), within))
-        quick = row["t"] - state["t"] < F.lit(fast)
-        moved = F.transform(
-            state["m"],
-            lambda m: F.when(state["t"].isNull(), m)
-            .when(quick, _quick_move(m))
-            .when(m != 0, F.lit(ANY_STANCE))
-            .otherwise(F.lit(0))
-            .bitwiseAND(good),
-        )
-        return F.struct(moved.alias("m"), row["t"].alias("t"))
 
-    return F.aggregate(rows, start, land, lambda s: s["m"])
+def _stances(mask: Column) -> Column:
+    """Stances that cover the panels of ``mask`` as far as two feet can; bits from the pad's width on stand for farther panels."""
+    within = mask.bitwiseAND(F.lit((1 << k.PANELS) - 1))
+    # A panel beyond the pad cannot be stood on, so it leaves a row short of what it needs.
+    short = (mask != within) & (F.bit_count(within) < 2)
+    return F.when(short, F.lit(0)).otherwise(F.get(_ints(_covering()), within))
 
 
-def _alive(pieces: Column) -> Column:
-    """Whether any stance survives a chain of pieces that follow each other quickly."""
+def _packed(place: Column, quick: Column, good: Column) -> dict[str, Column]:
+    """Aggregates that hold the rows of a block side by side in a few longs."""
+    row = good.cast("bigint") + F.when(quick, F.lit(1 << (ROW_BITS - 2))).otherwise(F.lit(0)) + F.lit(1 << (ROW_BITS - 1))
+    slot = F.pmod(place, F.lit(BLOCK))
+    shifted = row * F.get(F.expr(f"array({', '.join(f'{1 << (ROW_BITS * i)}L' for i in range(PACKED))})"), F.pmod(slot, F.lit(PACKED)).cast("int"))
+    word = F.floor(slot / F.lit(PACKED))
+    return {f"__w{i}": F.sum(F.when(word == i, shifted)) for i in range(-(-BLOCK // PACKED))}
 
-    def through(stances: Column, piece: Column) -> Column:
-        open_now = F.when(stances == -1, F.lit(ANY_STANCE)).otherwise(_quick_move(stances))
-        reached = F.zip_with(
-            piece["m"],
-            _ints([_bit(s) for s in STANCES]),
-            lambda m, bit: F.when(open_now.bitwiseAND(bit) != 0, m).otherwise(F.lit(0)),
-        )
-        return F.aggregate(reached, F.lit(0), lambda a, b: a.bitwiseOR(b))
 
-    return F.aggregate(pieces, F.lit(-1), through) != 0
+def _unpacked(words: int) -> Column:
+    """The rows of a packed block in order."""
+    cells = [
+        F.shiftright(F.coalesce(f"__w{i}", F.lit(0).cast("bigint")), ROW_BITS * j).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+        for i in range(words)
+        for j in range(PACKED)
+    ]
+    return F.filter(F.array(*cells), lambda c: c != 0)
+
+
+def _walked(rows: Column) -> Column:
+    """Where a block leads: for every stance before its first row, the set of stances after its last one."""
+
+    def land(before: Column, row: Column) -> Column:
+        quick = row.bitwiseAND(F.lit(1 << (ROW_BITS - 2))) != 0
+        good = row.bitwiseAND(F.lit((1 << (k.PANELS * k.PANELS)) - 1)).cast("int")
+        moved = lambda m: F.when(quick, _quick_move(m)).when(m != 0, F.lit(ANY_STANCE)).otherwise(F.lit(0))
+        return F.transform(before, lambda m: moved(m).bitwiseAND(good))
+
+    return F.aggregate(rows, _ints(IDENTITY), land)
+
+
+def _joined(children: Sequence[Column]) -> Column:
+    """One relation for several that follow one another; null ones change nothing."""
+
+    def through(before: Column, child: Column) -> Column:
+        def step(m: Column) -> Column:
+            met = F.zip_with(child, _ints(IDENTITY), lambda to, bit: F.when(m.bitwiseAND(bit) != 0, to).otherwise(F.lit(0)))
+            return F.aggregate(met, F.lit(0), lambda a, b: a.bitwiseOR(b))
+
+        return F.transform(before, step)
+
+    return F.aggregate(F.filter(F.array(*children), lambda c: c.isNotNull()), _ints(IDENTITY), through)
+
+
+def _merged(rows: DataFrame, by: Sequence[str], place: Column, fan: int, figures: Mapping[str, Callable]) -> DataFrame:
+    """Bring ``fan`` neighbours together: their figures by what is named for each, their relations in order of ``place``."""
+    slot = F.pmod(place, F.lit(fan))
+    held = rows.groupBy(*by).agg(
+        *[how(name).alias(name) for name, how in figures.items()],
+        *[F.max(F.when(slot == i, F.col("__leads"))).alias(f"__r{i}") for i in range(fan)],
+    )
+    return held.select(*by, *figures, _joined([F.col(f"__r{i}") for i in range(fan)]).alias("__leads"))
 
 
 def playability(
@@ -239,19 +285,21 @@ def playability(
     limits: Limits = DEFAULT,
     segment: float | None = None,
     panels: int = k.PANELS,
+    width: int | None = None,
 ) -> DataFrame:
     """A02 - one row per key saying how the chart can be performed.
 
     Rows are cut into ``(key, segment)`` pieces once; each piece is reduced to a summary row there,
     and only the summaries are combined per key. Unused figures are pruned by Catalyst, so the
     narrower operators below are selections from this one. Rows are judged over their full width;
-    ``panels`` (30 at most) is how many panels have columns of their own, the others are exploded.
+    ``panels`` (30 at most) is how many panels have columns of their own, the others are exploded. ``width``
+    is as in :func:`occupied`.
     """
     time = order[0]
     pad = (1 << panels) - 1
     far = F.col("beyond.occupied")
     needed = occupied(
-        rows, keys, order, codes=codes, panels=panels, segment=_cut(time, segment)
+        rows, keys, order, codes=codes, panels=panels, width=width, segment=_cut(time, segment)
     ).withColumns(
         {
             "__struck": count_codes(F.col(codes), k.STEP_CODES),
@@ -260,7 +308,7 @@ def playability(
             "occupied": F.col("occupied").bitwiseAND(F.lit(pad)).bitwiseOR(F.when(far > 0, F.lit(1 << 30)).otherwise(F.lit(0))),
         }
     ).where(F.col("__size") > 0)
-    reach = max(limits.burst_window, limits.sustained_window, limits.stream_gap)
+    reach = max(limits.burst_window, limits.sustained_window, limits.stream_gap, limits.fast_jack)
     placed = spread(
         needed.select(*keys, *order, "stepped", "occupied", "__struck", "__size"),
         F.col(time),
@@ -316,14 +364,22 @@ def playability(
     size = F.col("__size")
     gaps = [t - F.col(f"__seen{p}") for p in range(panels)]
     nearest = F.least(*[F.when(panel_bits[p], gaps[p]) for p in range(panels)])
-    standing = F.struct(
-        F.struct(*order).alias("at"),
-        t.alias("t"),
-        F.col("occupied").alias("mask"),
-    )
-    pieces = (
+    # How feet get from row to row is a relation of stances. Rows are packed side by side into blocks, blocks are
+    # brought together in pieces and those in a tree, so that no task ever lists the rows of a key.
+    quick = F.coalesce(t - F.lag(t).over(w) < F.lit(limits.fast_jack), F.lit(False))
+    local = local.withColumns({"__quick": quick, "__n": F.row_number().over(w) - 1, "__known": known, "__nearest": nearest})
+    local = local.withColumns({"__crossed": crossed, "__crossed_right": crossed_if_right, "__block": F.floor(F.col("__n") / F.lit(BLOCK))})
+    figures: dict[str, Callable] = {
+        **dict.fromkeys(("rows", "steps", "chord_rows", "impossible_rows", "crossed_known", "crossed_left", "crossed_right", "turns"), F.sum),
+        **dict.fromkeys(("first_time", "jack"), F.min),
+        **dict.fromkeys(("last_time", "burst", "sustained", "max_simultaneous", "set"), F.max),
+        **{f"first{p}": F.min for p in range(panels)},
+        **{f"last{p}": F.max for p in range(panels)},
+    }
+    words = _packed(F.col("__n"), F.col("__quick"), _stances(F.col("occupied")))
+    blocks = (
         local.where(own)
-        .groupBy(*keys, SEGMENT)
+        .groupBy(*keys, SEGMENT, "__block")
         .agg(
             F.count(F.lit(1)).alias("rows"),
             F.sum(strikes.cast("int")).alias("steps"),
@@ -334,98 +390,90 @@ def playability(
             F.sum(((size > 2) & (size <= 4)).cast("int")).alias("chord_rows"),
             F.sum((size > 4).cast("int")).alias("impossible_rows"),
             F.max(size).alias("max_simultaneous"),
-            F.sum((known & crossed).cast("int")).alias("crossed_known"),
-            F.sum((~known & crossed).cast("int")).alias("crossed_left"),
-            F.sum((~known & crossed_if_right).cast("int")).alias("crossed_right"),
+            F.sum((F.col("__known") & F.col("__crossed")).cast("int")).alias("crossed_known"),
+            F.sum((~F.col("__known") & F.col("__crossed")).cast("int")).alias("crossed_left"),
+            F.sum((~F.col("__known") & F.col("__crossed_right")).cast("int")).alias("crossed_right"),
             F.sum("__run").alias("turns"),
-            F.max_by("__set", F.when(known, F.struct(*order))).alias("set"),
-            F.min(nearest).alias("jack"),
+            # Of the last row that knows its foot: its number, then the turns made when the foot was set, then the foot.
+            F.max(F.when(F.col("__known"), F.col("__n") * F.lit(1 << 32) + F.col("__set.n") * 2 + F.col("__set.f"))).alias("set"),
+            F.min("__nearest").alias("jack"),
             *[F.min(F.when(panel_bits[p], t)).alias(f"first{p}") for p in range(panels)],
             *[F.max(F.when(panel_bits[p], t)).alias(f"last{p}") for p in range(panels)],
-            _reach(F.array_sort(F.collect_list(standing)), limits.fast_jack).alias("m"),
+            *[e.alias(n) for n, e in words.items()],
         )
     )
-    across = Window.partitionBy(*keys).orderBy(SEGMENT)
+    blocks = blocks.withColumns({"__leads": _walked(_unpacked(len(words))), "__piece": F.floor(F.col("__block") / F.lit(PIECE))})
+    pieces = _merged(blocks, [*keys, SEGMENT, "__piece"], F.col("__block"), PIECE, figures)
+    across = Window.partitionBy(*keys).orderBy(SEGMENT, "__piece")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
-    since = across.rowsBetween(Window.unboundedPreceding, 0)
-    turned = F.coalesce(F.sum("turns").over(earlier), F.lit(0))
+    stretch = Window.partitionBy(*keys, SEGMENT).orderBy("__piece")
     chained = pieces.withColumns(
         {
-            "__turned": turned,
-            "__gap": F.col("first_time") - F.lag("last_time").over(across),
-            "__foot": F.when(
-                F.col("set").isNotNull(), F.struct((F.col("set.f") - F.col("set.n") - turned).alias("v"))
-            ),
+            "__turned": F.coalesce(F.sum("turns").over(earlier), F.lit(0)),
             **{
                 f"__last{p}": F.last(f"last{p}", ignorenulls=True).over(earlier)
                 for p in range(panels)
             },
         }
     )
-    breaks = F.col("__gap").isNull() | (F.col("__gap") >= limits.fast_jack)
+    # Turns and feet count from the start of the segment, of which this may be a later piece.
+    chained = chained.withColumn("__turned", F.first("__turned").over(stretch))
+    then = F.shiftright(F.col("set").bitwiseAND(F.lit((1 << 32) - 1)), 1)
+    set_foot = F.struct((F.col("set").bitwiseAND(F.lit(1)) - then - F.col("__turned")).alias("v"))
+    chained = chained.withColumn("__foot", F.when(F.col("set").isNotNull(), set_foot))
     base = F.coalesce(F.last("__foot", ignorenulls=True).over(earlier)["v"], F.lit(0))
-    chained = chained.withColumns(
-        {
-            "__start": F.pmod(base + F.col("__turned"), F.lit(2)),
-            "__edge": F.least(*[F.col(f"first{p}") - F.col(f"__last{p}") for p in range(panels)]),
-            "__island": F.sum(breaks.cast("int")).over(since),
-        }
-    )
-    islands = chained.groupBy(*keys, "__island").agg(
-        _alive(F.array_sort(F.collect_list(F.struct(F.col(SEGMENT), F.col("m"))))).alias("alive"),
-        F.sum("rows").alias("rows"),
-        F.sum("steps").alias("steps"),
-        F.min("first_time").alias("first_time"),
-        F.max("last_time").alias("last_time"),
-        F.max("burst").alias("burst"),
-        F.max("sustained").alias("sustained"),
-        F.sum("chord_rows").alias("chord_rows"),
-        F.sum("impossible_rows").alias("impossible_rows"),
-        F.max("max_simultaneous").alias("max_simultaneous"),
-        F.sum(
-            F.col("crossed_known")
-            + F.when(F.col("__start") == 1, F.col("crossed_right")).otherwise(F.col("crossed_left"))
-        ).alias("crossovers"),
-        F.min(F.least("jack", "__edge")).alias("fastest_jack"),
-    )
-    whole = islands.groupBy(*keys).agg(
-        F.sum("rows").alias("rows"),
-        F.sum("steps").alias("steps"),
-        F.min("first_time").alias("__first"),
-        F.max("last_time").alias("__last"),
-        F.max("burst").alias("__burst"),
-        F.max("sustained").alias("__sustained"),
-        F.sum("chord_rows").alias("chord_rows"),
-        F.sum("impossible_rows").alias("impossible_rows"),
-        F.max("max_simultaneous").alias("max_simultaneous"),
-        F.sum("crossovers").alias("crossovers"),
-        F.min("fastest_jack").alias("__jack"),
-        F.bool_and("alive").alias("geometrically_possible"),
+    chained = chained.withColumn("__base", base).withColumn("__base", F.first("__base").over(stretch))
+    start = F.pmod(F.col("__base") + F.col("__turned"), F.lit(2))
+    place = F.row_number().over(across).cast("bigint") - 1
+    most = FAN**LEVELS
+    too_many = F.raise_error(F.lit(f"more than {most * BLOCK * PIECE} rows in a key")).cast("bigint")
+    nodes = chained.select(
+        *keys,
+        *[c for c in ("rows", "steps", "first_time", "last_time", "burst", "sustained", "chord_rows", "impossible_rows", "max_simultaneous")],
+        (F.col("crossed_known") + F.when(start == 1, F.col("crossed_right")).otherwise(F.col("crossed_left"))).alias("crossovers"),
+        F.least("jack", *[F.col(f"first{p}") - F.col(f"__last{p}") for p in range(panels)]).alias("jack"),
+        F.when(place < most, place).otherwise(too_many).alias("__node"),
+        "__leads",
     )
-
-    far_jacks = fastest_jack(rows.where(F.size(codes) > panels), keys, order, codes=codes, segment=segment, first=panels)
-    whole = attach(whole, far_jacks.withColumnRenamed("fastest_jack", "__far_jack"), keys)
+    kept = {n: how for n, how in figures.items() if n in nodes.columns} | {"crossovers": F.sum}
+    for level in range(1, LEVELS):
+        nodes = nodes.withColumn("__above", F.floor(F.col("__node") / F.lit(FAN)))
+        nodes = _merged(nodes, [*keys, "__above"], F.col("__node"), FAN, kept).withColumnRenamed("__above", "__node")
+    whole = _merged(nodes, keys, F.col("__node"), FAN, kept)
+    whole = whole.withColumn("geometrically_possible", F.exists("__leads", lambda m: m != 0))
+
+    if width is not None and width <= panels:
+        whole = whole.withColumn("__far_jack", F.lit(None).cast("double"))
+    else:
+        whole = _with_far_jacks(whole, rows, keys, order, codes, panels, segment)
 
     def rate(count: str, seconds: float) -> Column:
-        long_enough = (F.col("rows") >= 2) & (F.col("__last") - F.col("__first") >= seconds)
+        long_enough = (F.col("rows") >= 2) & (F.col("last_time") - F.col("first_time") >= seconds)
         return F.when(long_enough, F.col(count) / F.lit(float(seconds))).otherwise(F.lit(0.0))
 
     measured = whole.select(
         *keys,
         "rows",
         "steps",
-        rate("__burst", limits.burst_window).alias("burst_nps"),
-        rate("__sustained", limits.sustained_window).alias("sustained_nps"),
+        rate("burst", limits.burst_window).alias("burst_nps"),
+        rate("sustained", limits.sustained_window).alias("sustained_nps"),
         "chord_rows",
         "impossible_rows",
         "max_simultaneous",
         "crossovers",
-        F.least("__jack", "__far_jack").alias("fastest_jack"),
+        F.least("jack", "__far_jack").alias("fastest_jack"),
         "geometrically_possible",
     )
     return classify(measured, limits)
 
 
+def _with_far_jacks(
+    whole: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str], codes: str, panels: int, segment: float | None
+) -> DataFrame:
+    jacks = fastest_jack(rows.where(F.size(codes) > panels), keys, order, codes=codes, segment=segment, first=panels)
+    return attach(whole, jacks.withColumnRenamed("fastest_jack", "__far_jack"), keys)
+
+
 def classify(measured: DataFrame, limits: Limits = DEFAULT) -> DataFrame:
     """Add the verdict: reasons a pad cannot play it, the style, and whether a pad can."""
     reasons = F.array_compact(
@@ -455,10 +503,11 @@ def peak_rate(
     *,
     codes: str = "codes",
     segment: float | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """W03 - highest rate of occupied rows over any window of the given length."""
     limits = Limits(burst_window=window, sustained_window=window, stream_gap=0.0)
-    report = playability(rows, keys, order, codes=codes, limits=limits, segment=segment)
+    report = playability(rows, keys, order, codes=codes, limits=limits, segment=segment, width=width)
     return report.select(*keys, F.col("burst_nps").alias("peak_rate"))
 
 
@@ -503,10 +552,11 @@ def crossed_steps(
     codes: str = "codes",
     gap: float = k.STREAM_GAP,
     segment: float | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """W05 - steps that put the left foot on the right panel or the other way round."""
     limits = Limits(burst_window=gap, sustained_window=gap, stream_gap=gap)
-    report = playability(rows, keys, order, codes=codes, limits=limits, segment=segment)
+    report = playability(rows, keys, order, codes=codes, limits=limits, segment=segment, width=width)
     return report.select(*keys, "steps", "crossovers")
 
 
@@ -518,10 +568,11 @@ def feet_feasible(
     codes: str = "codes",
     fast: float = k.FAST_JACK,
     segment: float | None = None,
+    width: int | None = None,
 ) -> DataFrame:
     """W06 - whether two feet can cover every row without both moving within a very short gap."""
     limits = Limits(burst_window=0.0, sustained_window=0.0, stream_gap=0.0, fast_jack=fast)
-    report = playability(rows, keys, order, codes=codes, limits=limits, segment=segment)
+    report = playability(rows, keys, order, codes=codes, limits=limits, segment=segment, width=width)
     return report.select(*keys, "geometrically_possible")
 
 

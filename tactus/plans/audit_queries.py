@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tactus.functions import scalars
 from tactus.operators import audit
-from tactus.plans.bindings import LINE_ROWS_SQL, event_rows, line_rows, rounded
+from tactus.plans.bindings import EVENT_WIDTH, LINE_ROWS_SQL, event_rows, line_rows, rounded
 from tactus.plans.play_queries import HOUR, KEYS, OCCUPIED_SQL, ORDER, PIECE, STREAM_SQL
 from tactus.plans.registry import query
 
@@ -112,7 +112,7 @@ def ration_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rule_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audit.rule_audit(
-        event_rows(spark, sf_dir), KEYS, ORDER, min_jack=2 * HOUR, min_room=HOUR, segment=PIECE
+        event_rows(spark, sf_dir), KEYS, ORDER, min_jack=2 * HOUR, min_room=HOUR, segment=PIECE, width=EVENT_WIDTH
     )
     return found.select("user_id", "event_id", "rule")
 

@@ -28,6 +28,8 @@ def epoch_days(df: DataFrame, column: str) -> Column:
     return F.floor(epoch_seconds(df, column) / F.lit(86400.0))
 
 
+#: Note rows of events have this many panels.
+EVENT_WIDTH = 4
 EVENT_TYPES = ("click", "view", "purchase", "signup")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactus.operators import corpus, play
-from tactus.plans.bindings import EVENT_ROWS_SQL, event_rows, rounded
+from tactus.plans.bindings import EVENT_ROWS_SQL, EVENT_WIDTH, event_rows, rounded
 from tactus.plans.registry import query
 
 HOUR, DAY = 3600.0, 86400.0
@@ -115,7 +115,7 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir)
     cut = F.floor(F.col("t") / F.lit(PIECE))
-    seen = play.occupied(rows, KEYS, ORDER, segment=cut)
+    seen = play.occupied(rows, KEYS, ORDER, segment=cut, width=EVENT_WIDTH)
     masks = [F.col(c).cast("bigint").alias(c) for c in ("stepped", "held", "occupied")]
     return seen.select("user_id", "event_id", *masks)
 
@@ -126,7 +126,7 @@ def occupied(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, round(burst * 3600, 6) AS peak_per_hour FROM rates""",
 )
 def peak_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    peaks = play.peak_rate(event_rows(spark, sf_dir), KEYS, ORDER, 6 * HOUR, segment=PIECE)
+    peaks = play.peak_rate(event_rows(spark, sf_dir), KEYS, ORDER, 6 * HOUR, segment=PIECE, width=EVENT_WIDTH)
     return peaks.select("user_id", F.round(F.col("peak_rate") * 3600, 6).alias("peak_per_hour"))
 
 
@@ -148,7 +148,7 @@ def fastest_jack(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def crossed_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir)
-    return play.crossed_steps(rows, KEYS, ORDER, gap=12 * HOUR, segment=PIECE)
+    return play.crossed_steps(rows, KEYS, ORDER, gap=12 * HOUR, segment=PIECE, width=EVENT_WIDTH)
 
 
 @query(
@@ -183,7 +183,7 @@ def crossover_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT user_id, possible::BIGINT AS possible FROM feet""",
 )
 def feet_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = play.feet_feasible(event_rows(spark, sf_dir), KEYS, ORDER, fast=HOUR / 4, segment=PIECE)
+    found = play.feet_feasible(event_rows(spark, sf_dir), KEYS, ORDER, fast=HOUR / 4, segment=PIECE, width=EVENT_WIDTH)
     return found.select("user_id", F.col("geometrically_possible").cast("bigint").alias("possible"))
 
 
@@ -212,7 +212,7 @@ def feet_feasible(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def playability(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = play.playability(
-        event_rows(spark, sf_dir), KEYS, ORDER, limits=LIMITS, segment=PIECE
+        event_rows(spark, sf_dir), KEYS, ORDER, limits=LIMITS, segment=PIECE, width=EVENT_WIDTH
     )
     return report.select(
         "user_id",

@@ -6,6 +6,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tactus.operators import audit, play
 
@@ -191,3 +192,54 @@ def test_rules_on_any_panel(spark):
         (1, 1, "fast_jack"),
         (2, 1, "too_many_limbs"),
     }
+
+
+@pytest.mark.parametrize(("block", "piece", "fan", "segment"), [(2, 2, 3, None), (3, 1, 5, 10.5), (5, 2, 2, 37.0)])
+def test_feet_through_many_blocks(spark, monkeypatch, block, piece, fan, segment):
+    """Relations joined block by block and level by level say what a walk says."""
+    for name, value in (("BLOCK", block), ("PIECE", piece), ("FAN", fan), ("LEVELS", 5)):
+        monkeypatch.setattr(play, name, value)
+    rng = random.Random(block)
+    charts = {}
+    for i in range(80):
+        t, chart = 0.0, []
+        for _ in range(rng.randrange(1, 60)):
+            t += rng.choice([0.05, 0.05, 0.08, 0.2])
+            chart.append((t, rng.choice([single(rng.randrange(4)), single(rng.randrange(4)), [1, 1, 0, 0], [0, 1, 1, 0], [1, 0, 0, 1]])))
+        charts[i] = chart
+    report = play.playability(frame(spark, charts), ["chart"], ["t", "n"], segment=segment, width=4)
+    found = {r["chart"]: r for r in report.collect()}
+    possible = set()
+    for i, chart in charts.items():
+        want = walk(chart)
+        possible.add(want["geometrically_possible"])
+        for name, value in want.items():
+            assert found[i][name] == pytest.approx(value), (i, name)
+    assert possible == {True, False}
+
+
+def test_dense_key(spark):
+    """A million rows of one key inside one segment: whole results, and nothing in the plan lists a group's rows."""
+    n = 1_000_000
+    at = F.col("id") * 0.05
+    rows = spark.range(n).select(F.lit(1).alias("chart"), F.col("id").alias("n"), at.alias("t"), F.array(*[
+        F.when(F.col("id") % 4 == p, 1).otherwise(0) for p in range(4)
+    ]).alias("codes"))
+    report = play.playability(rows, ["chart"], ["t", "n"], segment=1e6, width=4)
+    plan = report._jdf.queryExecution().executedPlan().toString()
+    assert "collect_" not in plan
+    (row,) = report.collect()
+    assert row["rows"] == row["steps"] == n and row["geometrically_possible"]
+    assert row["fastest_jack"] == pytest.approx(0.2) and row["burst_nps"] == 21.0
+    # A jump from one pair of panels to the other within the shortest gap cannot be danced, however late it comes.
+    n = 100_000
+    rows = rows.where(F.col("n") < n)
+    both = F.when(F.col("n") == n - 2, F.array(*[F.lit(c) for c in (1, 1, 0, 0)])).when(F.col("n") == n - 1, F.array(*[F.lit(c) for c in (0, 0, 1, 1)]))
+    broken = rows.withColumn("codes", F.coalesce(both, F.col("codes")))
+    assert not play.feet_feasible(broken, ["chart"], ["t", "n"], segment=1e6, width=4).first()["geometrically_possible"]
+
+
+def test_promised_width_is_checked(spark):
+    rows = spark.createDataFrame([(0, 0, 0.0, [1, 0, 0, 0, 1])], SCHEMA)
+    with pytest.raises(Exception, match="wider than the 4 panels"):
+        play.playability(rows, ["chart"], ["t", "n"], width=4).collect()
