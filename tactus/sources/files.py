@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tactus.functions import constants as k
+from tactus.sources.store import NAME, SongFolders
 
 SIMFILES = "*.{[sS][sS][cC],[sS][mM],[dD][wW][iI]}"
 
@@ -50,6 +51,22 @@ def scan_corpus(
     return _at_depth(_located(files), root).where(~F.col("pack").isin(*excluded))
 
 
+def scan_texts(
+    spark: SparkSession, root: str, excluded: Sequence[str] = k.EXCLUDED_PACKS
+) -> DataFrame:
+    """S01 and S03 in one pass - every chart file with its ``text`` and ``encoding``, or the ``error`` that kept it from being read.
+
+    Bytes are decoded once, in the task that reads them. Packs and songs that cannot be listed come as rows with an error too.
+    Reads through Arrow's file systems; stores that only Spark reaches are scanned with :func:`scan_corpus`.
+    """
+    spark.dataSource.register(SongFolders)
+    options = {"excluded": "/".join(excluded)}
+    # Spark writes local paths with one slash.
+    local = F.when(F.startswith("path", F.lit("/")), F.concat(F.lit("file:"), "path")).otherwise(F.col("path"))
+    found = spark.read.format(NAME).options(**options).load(root)
+    return found.withColumns({"path": local, "directory": F.regexp_replace(local, "/[^/]*$", "")})
+
+
 def _at_depth(files: DataFrame, root: str) -> DataFrame:
     """Keep files exactly two directories below the root."""
     # Roots may be named without the scheme and host that listed paths have.
@@ -58,12 +75,14 @@ def _at_depth(files: DataFrame, root: str) -> DataFrame:
     return files.where(F.endswith(above, F.lit(tail)))
 
 
-def list_files(spark: SparkSession, root: str) -> DataFrame:
-    """Names of all files of a corpus, without their contents."""
+def list_files(
+    spark: SparkSession, root: str, excluded: Sequence[str] = k.EXCLUDED_PACKS
+) -> DataFrame:
+    """Names of all files of a corpus, without their contents; packs in ``excluded`` left out."""
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
     )
-    return _at_depth(_located(files), root)
+    return _at_depth(_located(files), root).where(~F.col("pack").isin(*excluded))
 
 
 def choose_simfile(files: DataFrame) -> DataFrame:
@@ -94,7 +113,7 @@ def _legacy_text(content: pd.Series) -> pd.Series:
 
 
 def decode_text(content: Column) -> Column:
-    """S03 - text of a file. Only bytes that are not UTF-8 are sent to a Python worker."""
+    """S03 - text of a file. Every row goes by a Python worker, those in UTF-8 without their bytes; see :func:`scan_texts`."""
     valid = F.is_valid_utf8(content.cast("string"))
     return F.when(valid, content.cast("string")).otherwise(
         _legacy_text(F.when(~valid, content))

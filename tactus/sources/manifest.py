@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tactus.functions import constants as k
 from tactus.functions.scalars import cache_key, panel_codes
 from tactus.operators import play, timing
-from tactus.sources import msd
+from tactus.operators.ordered import settle
+from tactus.sources import ledger, msd
 from tactus.sources.dwi import dwi_rows
 from tactus.sources.files import choose_simfile, decode_text, resolve_audio
 
@@ -31,22 +32,31 @@ class Corpus:
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """One row per chosen file with its tags and header; ``song_id`` is its path."""
-    chosen = choose_simfile(files)
+    """One row per chosen file with its tags and header; ``song_id`` is its path.
+
+    Files come with their ``content``, or with the ``text`` that :func:`scan_texts` has read; files without one are not chosen.
+    """
+    text = F.col("text") if "text" in files.columns else decode_text(F.col("content"))
+    chosen = choose_simfile(files.where(F.col("text").isNotNull()) if "text" in files.columns else files)
     texts = chosen.select(
         F.col("path").alias("song_id"),
         "pack",
         "song",
         "directory",
         F.col("suffix").alias("file_format"),
-        msd.msd_tags(decode_text(F.col("content"))).alias("tags"),
+        msd.msd_tags(text).alias("tags"),
     )
     return msd.song_header(texts)
 
 
-def parse_corpus(files: DataFrame) -> Corpus:
-    """P01-P11 over a whole corpus."""
+def parse_corpus(files: DataFrame, *, once: bool = False) -> Corpus:
+    """P01-P11 over a whole corpus.
+
+    With ``once`` the tags are kept at a checkpoint, so no table reads or parses the files again.
+    """
     parsed = parse_files(files)
+    if once:
+        parsed = settle(parsed)
     charts = msd.chart_table(parsed, SONG)
     text_rows = msd.chart_rows(charts.where("file_format <> 'dwi'"), CHART)
     coded = text_rows.select(
@@ -99,7 +109,7 @@ def build_manifest(
 
     Songs without a usable tempo or without audio are left out (see :func:`rejects`).
     """
-    corpus = parse_corpus(files)
+    corpus = parse_corpus(files, once=True)
     located = resolve_audio(corpus.songs, listing).where(F.col("audio").isNotNull())
     summary = timing.timing_summary(corpus.tempo, corpus.stops, SONG, listed="listed")
     report = play.playability(timed_rows(corpus), CHART, ["t", "beat"])
@@ -162,25 +172,40 @@ def build_manifest(
 
 
 def rejects(files: DataFrame, listing: DataFrame) -> DataFrame:
-    """S06 - what a scan leaves out, with the reason: ``(song_id, reason)``."""
-    parsed = parse_files(files)
+    """S06 - what a scan leaves out or had to guess at: ``(song_id, reason)``, ``song_id`` being a path.
+
+    * ``unreadable``: a file or folder whose bytes could not be read; ``not_utf8``: a file that was read in another encoding
+      (both only of files from :func:`scan_texts`, which says so);
+    * ``unparsed``: a chosen file without any tag; ``no_tempo``, ``no_audio``: a song that lacks what it takes;
+    * ``bad_meter``: a chart whose difficulty is no number (one row each); ``no_simfile``: a song folder without a readable chart file.
+    """
+    parsed = settle(parse_files(files))
     located = resolve_audio(parsed, listing)
     tempo = F.size(msd.tempo_pairs(F.col("tags"), F.col("file_format")))
-    reason = F.when(tempo <= 0, F.lit("no_tempo")).when(F.col("audio").isNull(), F.lit("no_audio"))
-    songs = located.select("song_id", reason.alias("reason")).where(F.col("reason").isNotNull())
+    reason = (
+        F.when(F.size("tags") == 0, F.lit("unparsed"))
+        .when(tempo <= 0, F.lit("no_tempo"))
+        .when(F.col("audio").isNull(), F.lit("no_audio"))
+    )
+    found = located.select("song_id", reason.alias("reason")).where(F.col("reason").isNotNull())
     charts = (
         msd.chart_table(parsed, SONG)
         .where(F.col("meter").isNull())
         .select("song_id", F.lit("bad_meter").alias("reason"))
     )
-    with_file = files.select("directory").distinct()
+    found = found.unionByName(charts)
+    with_file = files
+    if "error" in files.columns:
+        why = F.when(F.col("error").isNotNull(), F.lit("unreadable")).when(F.col("encoding") != "utf-8", F.lit("not_utf8"))
+        found = found.unionByName(files.select(F.col("path").alias("song_id"), why.alias("reason")).where(F.col("reason").isNotNull()))
+        with_file = files.where(F.col("error").isNull())
     empty = (
         listing.select("directory")
         .distinct()
-        .join(with_file, "directory", "left_anti")
+        .join(with_file.select("directory").distinct(), "directory", "left_anti")
         .select(F.col("directory").alias("song_id"), F.lit("no_simfile").alias("reason"))
     )
-    return songs.unionByName(charts).unionByName(empty)
+    return found.unionByName(empty)
 
 
 def write_manifest(manifest: DataFrame, path: str) -> None:
@@ -200,26 +225,27 @@ def not_yet_built(df: DataFrame, built: DataFrame, key: str = "key") -> DataFram
     return df.join(built.select(key).distinct(), key, "left_anti")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-
-
 def build_incremental(df: DataFrame, target: str, source: str, digits: int = 40) -> None:
-    """S07 - append the entries the target does not have, filed by the first two digits of the key."""
-    spark = df.sparkSession
+    """S07 - add the entries the target does not have, filed by the first two digits of the key.
+
+    A run shows all at once or not at all, and a run that is repeated adds nothing twice (see
+    :mod:`tactus.sources.ledger`). Rows of one source are one entry; of several that differ, the one of least hash is taken.
+    """
     keyed = with_cache_key(df, source, digits)
-    if _exists(spark, target):
-        keyed = not_yet_built(keyed, read_features(spark, target))
-    keyed.write.mode("append").partitionBy("prefix").parquet(target)
+    row = F.struct(*[c for c in keyed.columns if c != "key"])
+    one = keyed.groupBy("key").agg(F.min_by(row, F.xxhash64(row)).alias("__row"))
+    ledger.add(one.select("__row.*", "key").select(*keyed.columns), target, "key", ["prefix"])
 
 
 def read_features(
     spark: SparkSession, path: str, order_by: Sequence[str] | None = None
 ) -> DataFrame:
-    """S08 - entries that can be read, sorted only on request."""
-    table = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+    """S08 - entries of the runs that are done, sorted only on request. Files that cannot be read are left out."""
+    table = ledger.read(spark, path)
+    if table is None:
+        raise FileNotFoundError(f"no run has been committed to {path}")
+    # As a folder's name it might be taken for a number.
+    table = table.withColumn("prefix", F.substring("key", 1, 2))
     return table.orderBy(*order_by) if order_by else table
 
 

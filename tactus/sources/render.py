@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tactus.functions import constants as k
 from tactus.functions.scalars import code_text, normalize_difficulty
 from tactus.operators.radar import RADAR
+from tactus.sources.store import NAME, SongFolders
 
 BLANK = "0" * k.PANELS
 
@@ -520,11 +521,15 @@ def apply_tags(songs: DataFrame, tags: DataFrame, keys: Sequence[str]) -> DataFr
     return joined.withColumns(filled).select(*songs.columns)
 
 
-def write_texts(texts: DataFrame, path: str, keys: Sequence[str], suffix: str) -> None:
-    """Write rendered songs, one partition directory per format, as Parquet rows of whole files."""
-    texts.withColumn("file_format", F.lit(suffix)).write.mode("append").partitionBy(
-        "file_format"
-    ).parquet(path)
+def write_texts(texts: DataFrame, target: str, *, mode: str = "append") -> None:
+    """Write rendered songs as files: rows of ``path`` (pack/song/file) and ``text``, perhaps with an ``encoding``.
+
+    Files come into place when all tasks are done; a failed attempt leaves nothing to see. With ``append`` a file
+    that is there already fails the job before anything is moved, with ``overwrite`` it is replaced.
+    """
+    texts.sparkSession.dataSource.register(SongFolders)
+    columns = [c for c in ("path", "text", "encoding") if c in texts.columns]
+    texts.select(*columns).write.format(NAME).mode(mode).save(target)
 
 
 __all__ = [

@@ -11,18 +11,21 @@ from pyspark.sql import functions as F
 from tactus.functions import constants as k
 from tactus.operators.ordered import attach, scan
 from tactus.operators.play import foot_steps, occupied
-from tactus.sources import msd
 from tactus.sources.files import SIMFILES, _at_depth, _located
-from tactus.sources.manifest import CHART, SONG, parse_corpus
+from tactus.sources.manifest import CHART, parse_corpus
 
 BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+TABLES = ("songs", "charts", "rows", "tempo", "stops")
+
+
 def stream_ingest(spark: SparkSession, root: str, target: str, checkpoint: str):
-    """R01 - append the songs, charts and note rows of chart files as they arrive.
+    """R01 - append the songs, charts, note rows, tempo and stops of chart files as they arrive.
 
     Every micro-batch overwrites its own ``batch`` directories, so a batch that is run again after a
-    failure leaves one copy. Returns the started query, which stops when no new file is left.
+    failure leaves one copy. Its files are read and parsed once. Returns the started query, which stops when no
+    new file is left. :func:`ingested` reads what counts.
     """
     files = (
         spark.readStream.format("binaryFile")
@@ -34,14 +37,15 @@ def stream_ingest(spark: SparkSession, root: str, target: str, checkpoint: str):
     )
 
     def store(batch: DataFrame, number: int) -> None:
-        corpus = parse_corpus(_at_depth(_located(batch), root))
-        header = corpus.songs.drop("tags", "music")
-        for name, table in (
-            ("songs", header),
-            ("charts", corpus.charts.select(*CHART, "difficulty", "meter", "stepstype")),
-            ("rows", corpus.rows),
-            ("tempo", msd.tempo_segments(corpus.songs, SONG)),
-        ):
+        corpus = parse_corpus(_at_depth(_located(batch), root), once=True)
+        tables = (
+            corpus.songs.drop("tags", "music"),
+            corpus.charts.select(*CHART, "difficulty", "meter", "stepstype"),
+            corpus.rows,
+            corpus.tempo,
+            corpus.stops,
+        )
+        for name, table in zip(TABLES, tables, strict=True):
             table.write.mode("overwrite").parquet(f"{target}/{name}/batch={number}")
 
     return (
@@ -52,6 +56,19 @@ def stream_ingest(spark: SparkSession, root: str, target: str, checkpoint: str):
     )
 
 
+def ingested(spark: SparkSession, target: str) -> dict[str, DataFrame]:
+    """The tables of :func:`stream_ingest` with one file for each song folder, chosen as :func:`choose_simfile` does.
+
+    A file of a better format replaces those that came before it, a worse one that comes later is not taken up, and of two
+    versions of a file the later counts.
+    """
+    songs = spark.read.parquet(f"{target}/songs")
+    rank = F.array_position(F.array(*[F.lit(s) for s in k.SIMFILE_SUFFIXES]), F.col("file_format"))
+    first = F.struct(rank, F.element_at(F.split("song_id", "/"), -1), -F.col("batch"))
+    chosen = songs.groupBy("directory").agg(F.min_by(F.struct("song_id", "batch"), first).alias("c")).select("c.*")
+    return {name: spark.read.parquet(f"{target}/{name}").join(chosen, ["song_id", "batch"], "left_semi").drop("batch") for name in TABLES}
+
+
 Step = Callable[[DataFrame, DataFrame | None, float, bool], tuple[DataFrame, DataFrame]]
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from tactus.functions import scalars
-from tactus.sources import dwi, files, manifest, msd, render
+from tactus.sources import dwi, files, ledger, manifest, msd, render
 from tactus.streaming import live
 
 SM = """#TITLE:Harbour lights;
@@ -275,6 +276,87 @@ def test_incremental_build(spark, tmp_path):
     assert all(r["key"].startswith(r["prefix"]) and len(r["key"]) == 40 for r in found)
 
 
+def test_killed_and_racing_runs(spark, tmp_path):
+    """What was never committed is not read, and two runs at a time leave one copy of each key."""
+    target = str(tmp_path / "features")
+
+    def rows(lo, hi):
+        df = spark.createDataFrame([(f"s{i}", i) for i in range(lo, hi)], "simfile string, v int")
+        return manifest.with_cache_key(df, "simfile")
+
+    def killed():
+        raise KeyboardInterrupt
+
+    with pytest.raises(KeyboardInterrupt):
+        ledger.add(rows(0, 5), target, "key", ["prefix"], killed)
+    assert ledger.read(spark, target) is None
+    ledger.add(rows(0, 5), target, "key", ["prefix"])
+    tries = ledger.add(rows(0, 9), target, "key", ["prefix"], lambda: ledger.add(rows(3, 7), target, "key", ["prefix"]))
+    assert tries == 1
+    with pytest.raises(KeyboardInterrupt):
+        ledger.add(rows(0, 20), target, "key", ["prefix"], killed)
+    assert sorted(r["v"] for r in manifest.read_features(spark, target).collect()) == list(range(9))
+    assert len(ledger.sweep(spark, target)) == 2
+    assert sorted(r["v"] for r in manifest.read_features(spark, target).collect()) == list(range(9))
+
+
+def test_incremental_build_takes_one_row_of_a_source(spark, tmp_path):
+    target = str(tmp_path / "features")
+    twice = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 3)], "simfile string, v int")
+    for _ in range(2):
+        manifest.build_incremental(twice, target, "simfile")
+    assert sorted(r["simfile"] for r in manifest.read_features(spark, target).collect()) == ["a", "b"]
+
+
+def test_scan_reads_texts_once_and_says_what_it_could_not(spark, tmp_path):
+    root = tree(
+        tmp_path / "Songs",
+        {
+            "P/Legacy/a.sm": SM.replace("Harbour", "曲名").encode("cp932"), "P/Legacy/a.ogg": "x", "P/Bytes/b.dwi": b"#TITLE:caf\x81;",
+            "P/Blank/c.sm": "no tags here", "P/Blank/c.ogg": "x", "P/Fine/d.SSC": SSC, "P/Fine/d.ogg": "x", "P/loose.sm": SM, "Vertex Minipack/G/g.sm": SM,
+            "P/Broken/e.ogg": "x", "P/Broken/deep/f.sm": SM,
+        },
+    )
+    # Opening it works, reading it does not.
+    os.symlink("/proc/self/mem", f"{root}/P/Broken/e.sm")
+    found = files.scan_texts(spark, root)
+    got = {r["file"]: r for r in found.collect()}
+    assert set(got) == {"a.sm", "b.dwi", "c.sm", "d.SSC", "e.sm"}
+    assert got["a.sm"]["encoding"] == "cp932" and "曲名" in got["a.sm"]["text"] and got["b.dwi"]["encoding"] == "latin-1"
+    assert got["d.SSC"]["suffix"] == "ssc" and got["d.SSC"]["length"] == len(SSC.encode()) and got["e.sm"]["text"] is None
+    assert got["e.sm"]["error"]
+    listing = files.list_files(spark, root)
+    why = {(r["song_id"].split("/P/")[1], r["reason"]) for r in manifest.rejects(found, listing).collect()}
+    assert {("Legacy/a.sm", "not_utf8"), ("Bytes/b.dwi", "not_utf8"), ("Bytes/b.dwi", "no_tempo"), ("Blank/c.sm", "unparsed"), ("Broken/e.sm", "unreadable"), ("Broken", "no_simfile")} <= why
+    assert not any("Fine" in path and reason != "bad_meter" for path, reason in why)
+    titles = {r["title"] for r in manifest.build_manifest(found, listing).collect()}
+    assert titles == {"曲名 lights", "Blocks"}
+    assert {tuple(r) for r in found.select("path").where("error is null").collect()} <= {tuple(r) for r in listing.select("path").collect()}
+
+
+def test_texts_written_as_files(spark, tmp_path):
+    songs, tempo, stops, charts, rows = song_tables(spark)
+    root = str(tmp_path / "out")
+    text = render.render_sm(songs, tempo, stops, charts, rows, ["song"]).select(F.lit("P/T/t.sm").alias("path"), "text")
+    render.write_texts(text.withColumn("encoding", F.lit("cp932")), root)
+    want = text.first()["text"]
+    assert open(f"{root}/P/T/t.sm", "rb").read() == want.encode("cp932")
+    assert files.scan_texts(spark, root).first()["text"] == want
+    other = spark.createDataFrame([("P/U/u.sm", "b"), ("P/T/t.sm", "c")], "path string, text string").repartition(2)
+    with pytest.raises(Exception, match="there already"):
+        render.write_texts(other, root)
+    assert os.listdir(root) == ["P"] and os.listdir(f"{root}/P") == ["T"]
+    render.write_texts(other, root, mode="overwrite")
+    assert open(f"{root}/P/T/t.sm").read() == "c" and open(f"{root}/P/U/u.sm").read() == "b"
+    bad = spark.range(40).repartition(4).select(F.when(F.col("id") == 39, "../x").otherwise(F.concat(F.lit("P/V/"), F.col("id"))).alias("path"), F.lit("z").alias("text"))
+    with pytest.raises(Exception, match="not a path"):
+        render.write_texts(bad, root)
+    with pytest.raises(Exception, match="written twice"):
+        render.write_texts(bad.withColumn("path", F.lit("P/W/w.sm")), root)
+    # A failed write leaves nothing, not even its staging folder.
+    assert os.listdir(root) == ["P"] and sorted(os.listdir(f"{root}/P")) == ["T", "U"]
+
+
 def test_vocabulary_round_trip(spark, tmp_path):
     vocab = spark.createDataFrame([(0, 7, 5), (1, 3, 2)], "token int, pattern int, n int")
     manifest.write_vocab(vocab, str(tmp_path / "v"))
@@ -303,8 +385,19 @@ def test_stream_ingest_equals_batch(spark, corpus, tmp_path):
     for _ in range(2):
         live.stream_ingest(spark, corpus, target, checkpoint).awaitTermination()
     parsed = manifest.parse_corpus(files.scan_corpus(spark, corpus, excluded=()))
-    stored = spark.read.parquet(f"{target}/rows")
-    assert stored.count() == parsed.rows.count()
-    assert json.dumps(sorted(r["title"] for r in spark.read.parquet(f"{target}/songs").collect())) == json.dumps(
-        sorted(r["title"] for r in parsed.songs.collect())
-    )
+    stored = live.ingested(spark, target)
+    for name in ("rows", "tempo", "stops", "charts"):
+        assert stored[name].count() == getattr(parsed, name).count(), name
+    assert json.dumps(sorted(r["title"] for r in stored["songs"].collect())) == json.dumps(sorted(r["title"] for r in parsed.songs.collect()))
+
+
+def test_better_format_replaces_a_song(spark, tmp_path):
+    root, target, checkpoint = str(tmp_path / "Songs"), str(tmp_path / "t"), str(tmp_path / "c")
+    for name, text in (("b.sm", SM), ("a.ssc", SSC), ("c.dwi", DWI)):
+        tree(tmp_path / "Songs", {f"P/S/{name}": text, **({"P/R/r.dwi": DWI} if name == "b.sm" else {})})
+        live.stream_ingest(spark, root, target, checkpoint).awaitTermination()
+        found = live.ingested(spark, target)
+        titles = sorted(r["title"] for r in found["songs"].collect())
+        assert titles == (["Harbour lights", "Tide"] if name == "b.sm" else ["Blocks", "Tide"])
+    assert {r["song_id"].rsplit("/", 1)[1] for r in found["rows"].select("song_id").distinct().collect()} == {"a.ssc", "r.dwi"}
+    assert sorted((r["beat"], r["seconds"]) for r in found["stops"].collect()) == [(4.0, 0.25), (8.0, 0.5), (12.0, 0.25)]
