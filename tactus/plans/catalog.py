@@ -3,6 +3,7 @@
 from tactus.plans import (  # noqa: F401
     audit_queries,
     corpus_queries,
+    folder_queries,
     grid_queries,
     live_queries,
     play_queries,

@@ -177,7 +177,7 @@ def rejects(files: DataFrame, listing: DataFrame) -> DataFrame:
     * ``unreadable``: a file or folder whose bytes could not be read; ``not_utf8``: a file that was read in another encoding
       (both only of files from :func:`scan_texts`, which says so);
     * ``unparsed``: a chosen file without any tag; ``no_tempo``, ``no_audio``: a song that lacks what it takes;
-    * ``bad_meter``: a chart whose difficulty is no number (one row each); ``no_simfile``: a song folder without a readable chart file.
+    * ``bad_meter``: a chart whose rating is not finite (one row each); ``no_simfile``: a song folder without a readable chart file.
     """
     parsed = settle(parse_files(files))
     located = resolve_audio(parsed, listing)
