@@ -241,6 +241,14 @@ def fill(
     return order.join(want, list(keys)).where(F.col("rank") <= F.col("want")).select(*keys, "slot")
 
 
+def _marked(playable: DataFrame, taken: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Playable and taken slots together, one row each, with whether they are taken."""
+    free = playable.select(*keys, F.col("slot").cast("bigint").alias("slot"), F.col("score").cast("double").alias("score"), F.lit(False).alias("taken"))
+    fixed = taken.select(*keys, F.col("slot").cast("bigint").alias("slot"), F.lit(None).cast("double").alias("score"), F.lit(True).alias("taken"))
+    both = free.unionByName(fixed).groupBy(*keys, "slot")
+    return both.agg(F.coalesce(F.max("score"), F.lit(0.0)).alias("score"), F.max("taken").alias("taken"))
+
+
 def select_slots(
     scores: DataFrame,
     songs: DataFrame,
@@ -274,13 +282,11 @@ def select_slots(
         want = budgets.join(counts, list(keys), "left").select(
             *keys, "gap", F.least(share, F.col("wanted") - F.coalesce("__have", F.lit(0))).alias("want")
         )
-        marked = playable.join(
-            taken.withColumn("__t", F.lit(True)), [*keys, "slot"], "full_outer"
-        ).withColumn("taken", F.coalesce("__t", F.lit(False)))
+        marked = _marked(playable, taken, keys)
         candidates = (
             marked.where(member | F.col("taken"))
             .join(want.select(*keys, "gap"), list(keys))
-            .select(*keys, "slot", F.coalesce("score", F.lit(0.0)).alias("score"), "taken", "gap")
+            .select(*keys, "slot", "score", "taken", "gap")
         )
         more = fill(candidates, keys, want.select(*keys, "want"), segment=segment, piece=piece, halo=halo)
         taken = settle(taken.unionByName(more.select(*keys, F.col("slot").cast(dict(taken.dtypes)["slot"]).alias("slot"))))
@@ -339,17 +345,42 @@ def tidy_rests(
     outside = playable.select(*keys, "slot", "score", measure).join(
         thin, [*keys, "measure"], "left_anti"
     )
-    marked = outside.drop("measure").join(
-        taken.withColumn("__t", F.lit(True)), [*keys, "slot"], "full_outer"
-    )
-    candidates = marked.join(songs.select(*keys, "gap"), list(keys)).select(
-        *keys, "slot", F.coalesce("score", F.lit(0.0)).alias("score"),
-        F.coalesce("__t", F.lit(False)).alias("taken"), "gap",
+    candidates = (
+        _marked(outside.drop("measure"), taken, keys)
+        .join(songs.select(*keys, "gap"), list(keys))
+        .select(*keys, "slot", "score", "taken", "gap")
     )
     more = fill(candidates, keys, want, segment=segment, piece=piece, halo=halo)
     return taken.unionByName(more.select(*keys, F.col("slot").cast(dict(taken.dtypes)["slot"]).alias("slot")))
 
 
+def choose_slots(
+    scores: DataFrame,
+    loudness: DataFrame,
+    songs: DataFrame,
+    keys: Sequence[str],
+    *,
+    triplets: bool = False,
+    tidy: bool = True,
+    per_measure: int = k.SLOTS_PER_MEASURE,
+    segment: float | None = None,
+    piece: int = 8192,
+    halo: int = 512,
+) -> DataFrame:
+    """K04 and K05 - the whole choice for a corpus: ``(keys, slot)``.
+
+    Scores are kept where the grid has slots and where there is sound; each song is seeded with the pulse of its measures,
+    filled up to its budget family by family, and rid of thin measures. ``songs`` carry ``slot_count``, ``wanted``, ``rate``
+    and ``gap``, one row each; a song without a usable slot has none in the result.
+    """
+    heard = settle(audible(on_grid(scores, triplets=triplets), loudness, keys))
+    seeds = settle(seed_pulse(heard, songs, keys, per_measure=per_measure, segment=segment).select(*keys, "slot"))
+    chosen = select_slots(heard, songs, keys, seeds=seeds, segment=segment, piece=piece, halo=halo)
+    if not tidy:
+        return chosen
+    return tidy_rests(chosen, heard, songs, keys, per_measure=per_measure, segment=segment, piece=piece, halo=halo)
+
+
 def preview_start(
     measures: DataFrame, keys: Sequence[str], *, measure: str = "measure", score: str = "score"
 ) -> DataFrame:
@@ -369,6 +400,7 @@ def preview_start(
 
 __all__ = [
     "audible",
+    "choose_slots",
     "exact_quantiles",
     "fill",
     "jack_gap",

@@ -556,29 +556,64 @@ def subdivision_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hourly(spark, sf_dir).select("song").distinct().select(
-        "song", F.lit(140).alias("wanted"), F.lit(6.0).alias("rate"), F.lit(4).alias("gap")
+def _chosen(spark: SparkSession, sf_dir: str, tidy: bool) -> DataFrame:
+    scores = _scores(spark, sf_dir)
+    loud = scores.where("slot < 600").select("song", "slot", (F.col("score") / 10 - 80).alias("loudness"))
+    letters = F.length("song")
+    songs = series.lengths(hourly(spark, sf_dir), KEY).select(
+        "song", F.col("frame_count").alias("slot_count"), (90 + letters).alias("wanted"), (letters % 5 + 2.5).alias("rate"), (2 + letters % 3).alias("gap")
     )
+    return selection.choose_slots(scores, loud, songs, KEY, tidy=tidy, per_measure=24, segment=50.0, piece=96, halo=48)
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid_scores = selection.on_grid(_scores(spark, sf_dir))
-    return selection.select_slots(grid_scores, _budget(spark, sf_dir), KEY, segment=50.0, piece=96, halo=48)
-
-
-@query("select_slots")
+#: Songs, usable slots, the pulse, and the choice as a walk over the candidates, family by family and best first.
+CHOSEN_SQL = f"""{FRAMES_SQL},
+b AS (SELECT song, n, 90 + length(song) AS wanted, 2 + length(song) % 3 AS gap, CASE length(song) % 5 WHEN 0 THEN 79.0 WHEN 1 THEN 59.1 WHEN 2 THEN 50.0 WHEN 3 THEN 43.6 ELSE 38.0 END::DOUBLE AS m1,
+  CASE length(song) % 5 WHEN 0 THEN 19.5 WHEN 1 THEN 34.0 WHEN 2 THEN 35.6 WHEN 3 THEN 33.8 ELSE 31.0 END::DOUBLE AS m2,
+  CASE length(song) % 5 WHEN 0 THEN 0.0 WHEN 1 THEN 3.1 WHEN 2 THEN 9.3 WHEN 3 THEN 18.8 ELSE 23.1 END::DOUBLE AS m3 FROM n),
+sc AS (SELECT song, frame AS slot, value AS score FROM frames WHERE frame % 3 = 0 AND (frame >= 600 OR value / 10 - 80 > -70)),
+ms AS (SELECT song, slot // 24 AS measure, max(score) AS loudest FROM sc GROUP BY 1, 2),
+med AS (SELECT song, median(loudest) AS m FROM ms GROUP BY song),
+mad AS (SELECT song, median(abs(loudest - m)) AS d, any_value(m) AS m, min(loudest) AS lo FROM ms JOIN med USING (song) GROUP BY song),
+thr AS (SELECT song, CASE WHEN d <= 0 THEN lo - 1 ELSE m - 6 * d END AS threshold FROM mad),
+seed AS (SELECT song, slot FROM (SELECT *, row_number() OVER (PARTITION BY song, slot // 24 ORDER BY score DESC, slot) AS r FROM sc) JOIN thr USING (song) JOIN b USING (song)
+  WHERE r = 1 AND score > threshold AND ceil(n / 24) >= 2 AND wanted >= ceil(n / 24)),
+cand AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY fam, score DESC, slot) AS rk FROM
+  (SELECT song, slot, score, unnest(CASE WHEN slot % 12 = 0 THEN [1, 2, 3] WHEN slot % 6 = 0 THEN [2, 3] ELSE [3] END) AS fam FROM sc)),
+walk(song, i, fam, begun, taken) AS (
+  SELECT b.song, 0::BIGINT, 0, 0::BIGINT, coalesce((SELECT list(slot) FROM seed WHERE seed.song = b.song), []::BIGINT[]) FROM b
+  UNION ALL
+  SELECT song, i + 1, fam2, begun2, CASE WHEN len(taken) - begun2 < least(CASE fam2 WHEN 1 THEN floor(wanted * m1 / (m1 + m2 + m3)) WHEN 2 THEN floor(wanted * m2 / (m1 + m2 + m3)) ELSE wanted END, wanted - begun2)
+      AND len(list_filter(taken, lambda x: abs(x - slot) < gap)) = 0 THEN list_append(taken, slot) ELSE taken END
+  FROM (SELECT w.song, w.i, c.fam AS fam2, CASE WHEN c.fam <> w.fam THEN len(w.taken) ELSE w.begun END AS begun2, w.taken, c.slot, b.wanted, b.gap, b.m1, b.m2, b.m3
+    FROM walk w JOIN cand c ON c.song = w.song AND c.rk = w.i + 1 JOIN b ON b.song = w.song)),
+chosen AS (SELECT song, unnest(arg_max(taken, i)) AS slot FROM walk GROUP BY song)"""
+
+
+@query("select_slots", f"WITH RECURSIVE {CHOSEN_SQL} SELECT song, slot FROM chosen")
 def select_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selected(spark, sf_dir).select("song", *big("slot"))
+    return _chosen(spark, sf_dir, tidy=False).select("song", *big("slot"))
 
 
-@query("tidy_rests")
+@query(
+    "tidy_rests",
+    f"""WITH RECURSIVE {CHOSEN_SQL},
+    c AS (SELECT song, slot // 24 AS measure, count(*) AS k FROM chosen GROUP BY 1, 2),
+    f AS (SELECT song, measure, k, row_number() OVER (PARTITION BY song ORDER BY k) - 1 AS pos, count(*) OVER (PARTITION BY song) AS m, max(measure) OVER (PARTITION BY song) + 1 AS span FROM c),
+    u AS (SELECT song, max(CASE WHEN pos = m // 2 THEN k END) AS mid, any_value(span) AS span FROM f GROUP BY song),
+    thin AS (SELECT song, measure FROM (SELECT c.*, span, row_number() OVER (PARTITION BY song ORDER BY k, measure) AS r FROM c JOIN u USING (song) WHERE k < 0.34::DOUBLE * mid) WHERE r <= floor(span * 0.10::DOUBLE)),
+    kept AS (SELECT song, slot FROM chosen WHERE (song, slot // 24) NOT IN (SELECT (song, measure) FROM thin)
+      UNION SELECT song, slot FROM sc WHERE slot % 24 = 0 AND (song, slot // 24) IN (SELECT (song, measure) FROM thin)),
+    free AS (SELECT *, row_number() OVER (PARTITION BY song ORDER BY score DESC, slot) AS rk FROM sc WHERE (song, slot // 24) NOT IN (SELECT (song, measure) FROM thin)),
+    again(song, i, want, taken) AS (
+      SELECT song, 0::BIGINT, (SELECT count(*) FROM chosen c2 WHERE c2.song = kept.song) , list(slot) FROM kept GROUP BY song
+      UNION ALL
+      SELECT a.song, a.i + 1, want, CASE WHEN len(taken) < want AND len(list_filter(taken, lambda x: abs(x - slot) < gap)) = 0 THEN list_append(taken, slot) ELSE taken END
+      FROM again a JOIN free r ON r.song = a.song AND r.rk = a.i + 1 JOIN b ON b.song = a.song)
+    SELECT song, unnest(arg_max(taken, i)) AS slot FROM again GROUP BY song""",
+)
 def tidy_rests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = selection.on_grid(_scores(spark, sf_dir))
-    tidy = selection.tidy_rests(
-        _selected(spark, sf_dir), scores, _budget(spark, sf_dir), KEY, segment=50.0, piece=96, halo=48
-    )
-    return tidy.select("song", *big("slot"))
+    return _chosen(spark, sf_dir, tidy=True).select("song", *big("slot"))
 
 
 @query(
