@@ -198,6 +198,25 @@ def chart_hash(notes: Column) -> Column:
     return F.md5(F.regexp_replace(F.replace(notes, F.lit("\r"), F.lit("")), r"//[^\n]*", ""))
 
 
+#: Bits of a draw: as many as a double holds with room to spare.
+DRAW_BITS = 52
+
+
+def drawn(*parts: Column) -> Column:
+    """A whole number from 0 to 2**52 - 1 that the parts decide: the first 13 digits of the MD5 digest of their texts.
+
+    Random starts, picks and samples come from this, so they are the same wherever and however often they are
+    computed, and other engines can repeat them. Parts are joined by slashes; nulls count as empty.
+    """
+    text = F.concat_ws("/", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, DRAW_BITS // 4), 16, 10).cast("bigint")
+
+
+def drawn_share(*parts: Column) -> Column:
+    """A number from 0 up to 1 that the parts decide."""
+    return drawn(*parts) / F.lit(float(1 << DRAW_BITS))
+
+
 def hex_modulus(digest: Column, modulus: int) -> Column:
     """Remainder of a hexadecimal number of any length; NULL for one without digits.
 
@@ -216,7 +235,11 @@ def hex_modulus(digest: Column, modulus: int) -> Column:
 
 def stem_bucket(stem: Column, modulus: int = 20) -> Column:
     """Stable bucket of a name, from its SHA-1."""
-    return hex_modulus(F.sha1(stem), modulus)
+    digest = F.sha1(stem)
+    # Forty digits, always: each stretch of seven counts by what its last digit is worth.
+    stretches = [(at, min(7, 40 - at)) for at in range(0, 40, 7)]
+    worth = [F.conv(F.substring(digest, at + 1, n), 16, 10).cast("bigint") * pow(16, 40 - at - n, modulus) for at, n in stretches]
+    return (sum(worth[1:], worth[0]) % modulus).cast("int")
 
 
 def prefix_bucket(digest: Column, modulus: int = 8) -> Column:

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
 from tactus.functions.scalars import (
+    drawn,
+    drawn_share,
     cache_key,
     clamp_meter,
     difficulty_index,
@@ -17,6 +19,7 @@ from tactus.functions.scalars import (
     style_index,
 )
 from tactus.operators.corpus import tokenize
+from tactus.operators.ordered import attach
 
 WINDOW_MEASURES = 64
 PAD = -100
@@ -96,7 +99,7 @@ def augment_mirrors(rows: DataFrame, by: Sequence[str], seed: int, *, codes: str
 
     Held-out windows are never turned.
     """
-    pick = F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(len(k.MIRRORS))).cast("int")
+    pick = (drawn(F.lit(seed), *[F.col(c) for c in by]) % len(k.MIRRORS)).cast("int")
     if validation is not None:
         pick = F.when(validation, F.lit(0)).otherwise(pick)
     turned = mirror_row(F.col(codes), k.MIRRORS[0])
@@ -109,7 +112,7 @@ def window_start(slot_count: Column, measures: int, seed: int, *key: str) -> Col
     """Seeded start of a training window, on a measure line."""
     width = measures * k.SLOTS_PER_MEASURE
     room = F.greatest(slot_count - width, F.lit(1))
-    start = F.pmod(F.xxhash64(F.lit(seed), *key), room)
+    start = drawn(F.lit(seed), *[F.col(c) for c in key]) % room
     return start - start % k.SLOTS_PER_MEASURE
 
 
@@ -204,8 +207,18 @@ def step_context(
     )
 
 
-def _uniform(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 52)) / F.lit(float(1 << 52))
+def _numbered(rows: DataFrame, within: Sequence[str], key: Sequence[str], seed: Column, buckets: int, into: str) -> DataFrame:
+    """Dense numbers from 0 within ``within``, in the order of a drawn bucket and then of ``key``.
+
+    Only the buckets' counts are brought together; a bucket is sorted by itself.
+    """
+    bucketed = rows.withColumn("__b", drawn(seed, *[F.col(c) for c in key]) % buckets)
+    counts = bucketed.groupBy(*within, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*within).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    place = Window.partitionBy(*within, "__b").orderBy(*key)
+    found = attach(bucketed, offsets, [*within, "__b"])
+    return found.withColumn(into, F.row_number().over(place) - 1 + F.col("__o")).drop("__b", "__o")
 
 
 def balanced_sample(
@@ -213,41 +226,26 @@ def balanced_sample(
 ) -> DataFrame:
     """G04 - ``n`` draws with replacement in which every value of ``by`` is equally likely.
 
-    Rows get dense numbers within their group: a hash bucket offset (from bucket counts) plus the
-    place within the bucket. A draw picks a group and a number, so the draws meet the rows in an
-    equi-join, and the result does not depend on how the data is partitioned. ``buckets`` should
-    leave each bucket of the largest group small enough to sort in one task.
+    Rows are numbered within their group, and groups among themselves. A draw picks a group and a row by number, so
+    the draws meet both in equi-joins, and the result does not depend on how the data is partitioned. ``key`` is
+    unique within a group; ``buckets`` should leave each bucket of the largest group small enough to sort in one task.
+    A null is a group like any other.
     """
-    bucketed = rows.withColumn("__b", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(buckets)))
-    counts = bucketed.groupBy(by, "__b").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("__o", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    place = Window.partitionBy(by, "__b").orderBy(*key)
-    numbered = bucketed.join(offsets, [by, "__b"]).withColumn(
-        "__i", F.row_number().over(place) - 1 + F.col("__o")
-    )
+    numbered = _numbered(rows, [by], key, F.lit(seed), buckets, "__i")
     sizes = rows.groupBy(by).agg(F.count(F.lit(1)).alias("__size"))
-    groups = sizes.agg(
-        F.array_sort(F.collect_list(F.struct(F.col(by).alias("g"), F.col("__size").alias("s")))).alias("__g")
-    )
-    draws = (
+    groups = _numbered(sizes, [], [by], F.lit(f"{seed}/groups"), 1024, "__g").withColumnRenamed(by, "__by")
+    many = sizes.agg(F.count(F.lit(1)).alias("n")).scalar()
+    picks = (
         rows.sparkSession.range(n)
         .withColumnRenamed("id", "draw")
-        .withColumn("__g", groups.scalar())
-        .withColumn(
-            "__pick",
-            F.get(
-                "__g",
-                F.floor(_uniform(F.lit(seed), F.lit("group"), F.col("draw")) * F.size("__g")).cast("int"),
-            ),
-        )
-        .select(
-            "draw",
-            F.col("__pick.g").alias(by),
-            F.floor(_uniform(F.lit(seed), F.lit("row"), F.col("draw")) * F.col("__pick.s")).alias("__i"),
-        )
+        .withColumn("__g", F.floor(drawn_share(F.lit(seed), F.lit("group"), F.col("draw")) * many))
+        .join(groups, "__g")
+        .withColumn("__i", F.floor(drawn_share(F.lit(seed), F.lit("row"), F.col("draw")) * F.col("__size")))
+        .select("draw", F.col("__by").alias(by), "__i")
     )
-    return draws.join(numbered.drop("__b", "__o"), [by, "__i"]).drop("__i")
+    found = numbered.withColumnsRenamed({by: "__by", "__i": "__at"})
+    joined = picks.join(found, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__i") == F.col("__at")))
+    return joined.drop("__by", "__at", "__i")
 
 
 def build_envelopes(songs: DataFrame, frames: DataFrame, target: str, *, seconds: str = "seconds") -> None:

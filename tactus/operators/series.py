@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
 from tactus.functions.scalars import (
+    drawn,
     bar_seconds,
     circular_parabola,
     offset_for_phase,
@@ -672,7 +673,7 @@ def phase_excerpts(
     else:
         starts = F.transform(
             F.sequence(F.lit(1), F.lit(per_song)),
-            lambda i: F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in keys], i), room),
+            lambda i: drawn(F.lit(seed), *[F.col(c) for c in keys], i) % room,
         )
     placed = songs.join(lengths(frames, keys, frame), list(keys)).withColumn("__starts", starts)
     inside = F.filter(

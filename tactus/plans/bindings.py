@@ -28,6 +28,11 @@ def epoch_days(df: DataFrame, column: str) -> Column:
     return F.floor(epoch_seconds(df, column) / F.lit(86400.0))
 
 
+def drawn_sql(text: str) -> str:
+    """What ``drawn`` gives for a text, in SQL."""
+    return f"('0x' || substr(md5({text}), 1, 13))::BIGINT"
+
+
 #: Note rows of events have this many panels.
 EVENT_WIDTH = 4
 EVENT_TYPES = ("click", "view", "purchase", "signup")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tactus.functions import constants as k
 from tactus.functions import scalars
 from tactus.operators import corpus, grid, metrics, prep, stats
-from tactus.plans.bindings import LINE_ROWS_SQL, line_rows, rounded, table
+from tactus.plans.bindings import LINE_ROWS_SQL, drawn_sql, line_rows, rounded, table
 from tactus.plans.registry import query
 
 
@@ -395,7 +395,13 @@ def mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.select("chart", *big("slot", "mirror"), scalars.code_text(F.col("codes")).alias("codes"))
 
 
-@query("augment_mirrors")
+@query(
+    "augment_mirrors",
+    f"""WITH {LINE_ROWS_SQL}, m(mirror, a, b, c, d) AS (VALUES (0, 1, 2, 3, 4), (1, 4, 2, 3, 1), (2, 1, 3, 2, 4), (3, 4, 3, 2, 1)),
+    p AS (SELECT *, CASE WHEN chart % 20 < 2 THEN 0 ELSE {drawn_sql("'7/' || chart")} % 4 END AS pick FROM rows_)
+    SELECT chart, slot::BIGINT AS slot, mirror::BIGINT AS mirror,
+      substr(txt, a, 1) || substr(txt, b, 1) || substr(txt, c, 1) || substr(txt, d, 1) AS codes FROM p JOIN m ON mirror = pick""",
+)
 def augment_mirrors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_rows(spark, sf_dir)
     turned = prep.augment_mirrors(rows, ["chart"], 7, validation=F.col("chart") % 20 < 2)
@@ -451,7 +457,15 @@ def step_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.step_context(tokens, ["chart"], 64).select("chart", *big("slot", "token", "previous", "delta"))
 
 
-@query("balanced_sample")
+@query(
+    "balanced_sample",
+    f"""WITH o AS (SELECT o_orderkey, o_orderpriority AS style, {drawn_sql("'11/' || o_orderkey")} % 65536 AS b FROM orders),
+    r AS (SELECT o_orderkey, style, row_number() OVER (PARTITION BY style ORDER BY b, o_orderkey) - 1 AS i FROM o),
+    g AS (SELECT style, count(*) AS size, row_number() OVER (ORDER BY {drawn_sql("'11/groups/' || style")} % 1024, style) - 1 AS g FROM o GROUP BY style),
+    d AS (SELECT t.i AS draw, floor({drawn_sql("'11/group/' || t.i")} / 4503599627370496.0::DOUBLE * (SELECT count(*) FROM g))::BIGINT AS g,
+      {drawn_sql("'11/row/' || t.i")} / 4503599627370496.0::DOUBLE AS u FROM generate_series(0, 4999) t(i))
+    SELECT draw, style, o_orderkey FROM d JOIN g USING (g) JOIN r USING (style) WHERE i = floor(u * size)::BIGINT""",
+)
 def balanced_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("style"))
     return prep.balanced_sample(orders, "style", ["o_orderkey"], 5000, 11)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactus.operators import drift, grid, selection, series
-from tactus.plans.bindings import epoch_seconds, rounded, table
+from tactus.plans.bindings import drawn_sql, epoch_seconds, rounded, table
 from tactus.plans.registry import query
 
 START = 1704067200
@@ -352,13 +352,20 @@ def phase_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("song", *big("bin", "label"), rounded("profile").alias("profile"))
 
 
-@query("phase_excerpts_training")
+@query(
+    "phase_excerpts_training",
+    f"""WITH {FRAMES_SQL}, so AS (SELECT song, g.i - 1 AS excerpt, {drawn_sql("'3/' || song || '/' || g.i")} % greatest(n - 168, 1) AS s FROM n, generate_series(1, 8) g(i)),
+    ex AS (SELECT f.song, excerpt, f.frame, f.value FROM frames f JOIN so USING (song) WHERE frame >= s AND frame < s + 168),
+    {fold_sql("ex", "song, excerpt", "96.0::DOUBLE", 48)}
+    SELECT song, excerpt, bin, round(profile + 1e-9, 6) AS profile, floor((length(song) * 1.7 + 0.0) / 96 * 48)::BIGINT % 48 AS label FROM prof""",
+)
 def phase_excerpts_training(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = hourly(spark, sf_dir)
     songs = frames.select("song").distinct().select(
         "song", F.lit(2.5).alias("bpm"), (F.length("song") * F.lit(-1.7)).alias("offset")
     )
-    return series.phase_excerpts(frames, songs, KEY, seed=3, fps=1.0, excerpt=168.0, bins=48)
+    found = series.phase_excerpts(frames, songs, KEY, seed=3, fps=1.0, excerpt=168.0, bins=48)
+    return found.select("song", *big("excerpt", "bin", "label"), rounded("profile").alias("profile"))
 
 
 # --- spectral frames: blocks of a hundred embeddings are songs, their components the bands ---
