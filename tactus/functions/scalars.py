@@ -71,10 +71,11 @@ def style_index(value: Column) -> Column:
 
 
 def panel_codes(columns: Column, width: int | None = k.PANELS) -> Column:
-    """Integer code per panel. ``width`` cuts or pads the row; ``None`` keeps it as written."""
+    """Integer code per panel. ``width`` cuts or pads the row; ``None`` keeps it as written, an empty one without panels."""
     table = _literal_map(k.CODE_BY_CHAR)
+    chars = F.when(F.length(columns) > 0, F.split(columns, "")).otherwise(F.array().cast("array<string>"))
     codes = F.transform(
-        F.split(columns, ""), lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0))
+        chars, lambda c: F.coalesce(F.try_element_at(table, c), F.lit(0))
     )
     if width is None:
         return codes

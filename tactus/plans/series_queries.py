@@ -455,43 +455,38 @@ def slot_loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "pool_measures",
-    f"""WITH {BANDS_SQL}, u AS (SELECT song, frame // 16 AS measure, frame, unnest(range(0, 4)) AS band, unnest(bands[1:4])::DOUBLE / 80 AS v FROM bf),
+    f"""WITH {BANDS_SQL}, u AS (SELECT song, frame // 16 AS measure, frame, unnest(range(0, 64)) AS band, unnest(bands)::DOUBLE / 80 AS v FROM bf),
     m AS (SELECT song, measure, band, avg(v) AS a, max(v) AS b, count(*) AS c FROM u GROUP BY 1, 2, 3),
     w AS (SELECT * FROM m WHERE c = 16), k AS (SELECT song, count(DISTINCT measure) AS n FROM w GROUP BY 1)
-    SELECT song, measure, max(CASE WHEN band = 0 THEN round(a + 1e-9, 6) END) AS m0, max(CASE WHEN band = 3 THEN round(a + 1e-9, 6) END) AS m3,
-      max(CASE WHEN band = 0 THEN round(b + 1e-9, 6) END) AS p0, max(CASE WHEN band = 3 THEN round(b + 1e-9, 6) END) AS p3,
+    SELECT song, measure, replace(string_agg(printf('%.4f', a + 1e-9), ',' ORDER BY band), '-0.0000', '0.0000') AS means,
+      replace(string_agg(printf('%.4f', b + 1e-9), ',' ORDER BY band), '-0.0000', '0.0000') AS peaks,
       round(measure / (any_value(n) - 1) + 1e-9, 6) AS position FROM w JOIN k USING (song) GROUP BY song, measure""",
 )
 def pool_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = grid.pool_measures(band_frames(spark, sf_dir), KEY, slot="frame", values="bands", width=4, per_measure=16)
-    return found.select(
-        "song",
-        *big("measure"),
-        *[rounded(F.get(c, F.lit(i))).alias(f"{n}{i}") for c, n in (("mean", "m"), ("peak", "p")) for i in (0, 3)],
-        rounded("position").alias("position"),
-    )
+    found = grid.pool_measures(band_frames(spark, sf_dir), KEY, slot="frame", values="bands", width=64, per_measure=16)
+    texts = [F.replace(text_list(c), F.lit("-0.0000"), F.lit("0.0000")).alias(n) for c, n in (("mean", "means"), ("peak", "peaks"))]
+    return found.select("song", *big("measure"), *texts, rounded("position").alias("position"))
 
 
 @query(
     "join_layers",
-    f"""WITH {BANDS_SQL} SELECT song, frame AS slot, CASE WHEN frame % 2 = 0 THEN printf('%.4f', bands[1]::DOUBLE + 1e-9) ELSE '0.0000' END AS drums,
-    CASE WHEN frame % 3 = 0 THEN printf('%.4f', bands[2]::DOUBLE + 1e-9) ELSE '0.0000' END AS mixture, 8::BIGINT AS width FROM bf WHERE frame % 2 = 0 OR frame % 3 = 0""",
+    f"""WITH {BANDS_SQL}, u AS (SELECT song, frame AS slot, unnest(range(0, 64)) AS band, unnest(bands)::DOUBLE AS v FROM bf),
+    t AS (SELECT song, slot, replace(string_agg(printf('%.4f', v + 1e-9), ',' ORDER BY band), '-0.0000', '0.0000') || ',0.5000,1.0000' AS bands FROM u GROUP BY 1, 2),
+    z AS (SELECT string_agg('0.0000', ',') AS none FROM range(0, 66))
+    SELECT song, slot, CASE WHEN slot % 2 = 0 THEN bands ELSE none END || ',' || CASE WHEN slot % 3 = 0 THEN bands ELSE none END AS features FROM t, z WHERE slot % 2 = 0 OR slot % 3 = 0""",
 )
 def join_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = band_frames(spark, sf_dir)
-    zero = F.lit(0.0)
 
-    def layer(name: str, keep: Column, at: int, width: int) -> DataFrame:
-        value = F.array_repeat(F.get("bands", F.lit(at)).cast("double"), width)
+    def layer(name: str, keep: Column) -> DataFrame:
         return frames.where(keep).select(
-            "song", F.col("frame").alias("slot"), F.lit(name).alias("layer"), value.alias("bands"),
-            zero.alias("onset_mean"), zero.alias("onset_max"),
+            "song", F.col("frame").alias("slot"), F.lit(name).alias("layer"), F.col("bands").cast("array<double>").alias("bands"),
+            F.lit(0.5).alias("onset_mean"), F.lit(1.0).alias("onset_max"),
         )
 
-    both = layer("drums", F.col("frame") % 2 == 0, 0, 1).unionByName(layer("mixture", F.col("frame") % 3 == 0, 1, 3))
-    found = grid.join_layers(both, ["song", "slot"], layers=(("drums", 1), ("mixture", 3)))
-    at = [F.format_string("%.4f", F.get("features", F.lit(i)) + F.when(F.get("features", F.lit(i)) == 0, 0.0).otherwise(1e-9)) for i in (0, 3)]
-    return found.select("song", *big("slot"), at[0].alias("drums"), at[1].alias("mixture"), F.size("features").cast("bigint").alias("width"))
+    both = layer("drums", F.col("frame") % 2 == 0).unionByName(layer("mixture", F.col("frame") % 3 == 0))
+    found = grid.join_layers(both, ["song", "slot"], layers=(("drums", 64), ("mixture", 64)))
+    return found.select("song", *big("slot"), F.replace(text_list("features"), F.lit("-0.0000"), F.lit("0.0000")).alias("features"))
 
 
 # --- slot selection: hours of a type are slots, their values the scores, days the measures ---

@@ -176,12 +176,12 @@ def dwi_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     "panel_codes",
     """SELECT doc_id, sum((c = '1')::INT)::BIGINT AS taps, sum((c = '2')::INT)::BIGINT AS heads, sum((c = '3')::INT)::BIGINT AS tails,
       sum((c = 'M')::INT)::BIGINT AS mines, sum((c = 'L')::INT)::BIGINT AS lifts, count(*) AS width
-    FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) > 0) GROUP BY doc_id""",
+    FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE length(text) > 0) GROUP BY doc_id
+    UNION ALL SELECT doc_id, 0, 0, 0, 0, 0, 0 FROM documents WHERE coalesce(length(text), 0) = 0""",
 )
 def panel_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = table(spark, sf_dir, "documents").where(F.length("text") > 0).select(
-        "doc_id", scalars.panel_codes(F.col("text"), None).alias("codes")
-    )
+    text = F.coalesce("text", F.lit(""))
+    coded = table(spark, sf_dir, "documents").select("doc_id", scalars.panel_codes(text, None).alias("codes"))
 
     def count(code: int, name: str):
         return F.size(F.filter("codes", lambda c: c == code)).cast("bigint").alias(name)
