@@ -12,7 +12,6 @@ from tactus.plans.bindings import rounded, table
 from tactus.plans.registry import query
 from tactus.sources import files, ledger, manifest, render
 
-KEY = F.col("s_suppkey")
 #: Which suppliers lack what: each is every n-th of them.
 NO_AUDIO, NO_TEMPO, BLANK, LEGACY, NO_CHART, BAD_METER = 7, 11, 13, 17, 19, 5
 
@@ -23,17 +22,18 @@ FACTS_SQL = f"""f AS (SELECT s_suppkey AS k, s_nationkey AS pack, CASE s_suppkey
 
 
 def _every(n: int) -> Column:
-    return KEY % n == 0
+    return F.col("s_suppkey") % n == 0
 
 
 def song_folders(spark: SparkSession, sf_dir: str) -> str:
     """Write a folder for each supplier, with a chart file, an audio file, both or neither; its root."""
     root = f"{shared_folder(spark)}/songs-{uuid.uuid4().hex}"
     songs = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    text = KEY.cast("string")
+    key = F.col("s_suppkey")
+    text = key.cast("string")
     title = F.concat(F.when(_every(LEGACY), F.lit("曲")).otherwise(F.lit("Song ")), text)
-    bpm = F.when(_every(NO_TEMPO), F.lit("0")).otherwise((60 + KEY % 200).cast("string"))
-    meter = F.when(_every(BAD_METER), F.lit("inf")).otherwise((1 + KEY % 9).cast("string"))
+    bpm = F.when(_every(NO_TEMPO), F.lit("0")).otherwise((60 + key % 200).cast("string"))
+    meter = F.when(_every(BAD_METER), F.lit("inf")).otherwise((1 + key % 9).cast("string"))
     # A song with a stop has no constant tempo.
     stops, freeze = (F.when(_every(2), F.lit(x)).otherwise(F.lit("")) for x in ("2=0.5", "8=500"))
     rows = F.lit("1000\n0100\n0010\n0001\n")
@@ -44,7 +44,7 @@ def song_folders(spark: SparkSession, sf_dir: str) -> str:
         F.lit(";\n#STOPS:"), stops, F.lit(";\n#NOTEDATA:;\n#STEPSTYPE:dance-single;\n#DIFFICULTY:Hard;\n#METER:"), meter, F.lit(";\n#NOTES:\n"), rows, F.lit(";\n"),
     )
     dwi = F.concat(head, F.lit("#GAP:250;\n#BPM:"), bpm, F.lit(";\n#FREEZE:"), freeze, F.lit(";\n#SINGLE:MANIAC:"), meter, F.lit(":4286;\n"))
-    kind = F.get(F.array(F.lit("dwi"), F.lit("sm"), F.lit("ssc")), (KEY % 3).cast("int"))
+    kind = F.get(F.array(F.lit("dwi"), F.lit("sm"), F.lit("ssc")), (key % 3).cast("int"))
     body = F.when(_every(BLANK), F.lit("")).when(kind == "dwi", dwi).when(kind == "sm", sm).otherwise(ssc)
     folder = F.concat(F.lit("Pack "), F.col("s_nationkey").cast("string"), F.lit("/S"), text, F.lit("/"))
     charts = songs.where(~_every(NO_CHART)).select(
