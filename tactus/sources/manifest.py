@@ -229,12 +229,9 @@ def build_incremental(df: DataFrame, target: str, source: str, digits: int = 40)
     """S07 - add the entries the target does not have, filed by the first two digits of the key.
 
     A run shows all at once or not at all, and a run that is repeated adds nothing twice (see
-    :mod:`tactus.sources.ledger`). Rows of one source are one entry; of several that differ, the one of least hash is taken.
+    :mod:`tactus.sources.ledger`). All rows of a source make up its entry, which is taken whole or not at all.
     """
-    keyed = with_cache_key(df, source, digits)
-    row = F.struct(*[c for c in keyed.columns if c != "key"])
-    one = keyed.groupBy("key").agg(F.min_by(row, F.xxhash64(row)).alias("__row"))
-    ledger.add(one.select("__row.*", "key").select(*keyed.columns), target, "key", ["prefix"])
+    ledger.add(with_cache_key(df, source, digits), target, "key", ["prefix"])
 
 
 def read_features(

@@ -300,12 +300,12 @@ def test_killed_and_racing_runs(spark, tmp_path):
     assert sorted(r["v"] for r in manifest.read_features(spark, target).collect()) == list(range(9))
 
 
-def test_incremental_build_takes_one_row_of_a_source(spark, tmp_path):
+def test_entries_of_several_rows_are_taken_whole(spark, tmp_path):
     target = str(tmp_path / "features")
-    twice = spark.createDataFrame([("a", 1), ("a", 1), ("a", 2), ("b", 3)], "simfile string, v int")
-    for _ in range(2):
-        manifest.build_incremental(twice, target, "simfile")
-    assert sorted(r["simfile"] for r in manifest.read_features(spark, target).collect()) == ["a", "b"]
+    first = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "simfile string, v int")
+    manifest.build_incremental(first, target, "simfile")
+    manifest.build_incremental(spark.createDataFrame([("a", 9), ("c", 4), ("c", 5)], "simfile string, v int"), target, "simfile")
+    assert sorted((r["simfile"], r["v"]) for r in manifest.read_features(spark, target).collect()) == [("a", 1), ("a", 2), ("b", 3), ("c", 4), ("c", 5)]
 
 
 def test_scan_reads_texts_once_and_says_what_it_could_not(spark, tmp_path):

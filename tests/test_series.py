@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tactus.functions import constants as k
 from tactus.functions import scalars
 from tactus.operators import audit, drift, grid, metrics, prep, selection, series, stats
+from tactus.sources import manifest
 
 FPS = k.FRAME_RATE
 
@@ -243,5 +244,5 @@ def test_envelopes_are_built_once(spark, tmp_path):
     series_table = spark.createDataFrame([(a, i, 0.5) for a in ("a.ogg", "b.ogg", "c.ogg") for i in range(3)], "audio string, frame int, value double")
     for _ in range(2):
         prep.build_envelopes(songs, series_table, str(tmp_path / "e"))
-    built = spark.read.parquet(str(tmp_path / "e")).collect()
+    built = manifest.read_features(spark, str(tmp_path / "e")).collect()
     assert len(built) == 3 and {r["audio"] for r in built} == {"a.ogg"} and len(built[0]["key"]) == 16
