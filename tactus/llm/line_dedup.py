@@ -18,6 +18,10 @@ from tactus.llm.shared import settle
 SHINGLE, BANDS, ROWS = 8, 12, 4
 BINS = BANDS * ROWS
 LOW = np.uint64((1 << 40) - 1)
+#: Lines, and characters, of about one tile of the lines that share a band.
+TILE_LINES, TILE_CHARS = 512, 1 << 20
+#: Shingles that are compared at a time, as columns of a matrix.
+COLUMNS = 4096
 
 
 class Lines:
@@ -193,7 +197,140 @@ def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def kept_lines(docs: DataFrame, percent: int = 80, rounds: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def _overlaps(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: tuple[int, int]) -> np.ndarray:
+    """How many columns each row of ``left`` shares with each row of ``right``; both hold (row, column) of their ones."""
+    out = np.zeros(rows, np.float32)
+    columns, at = np.unique(np.concatenate([left[1], right[1]]), return_inverse=True)
+    sides = [(left[0], at[: len(left[1])]), (right[0], at[len(left[1]) :])]
+    both = np.bincount(sides[0][1], minlength=len(columns)).astype(bool) & np.bincount(sides[1][1], minlength=len(columns)).astype(bool)
+    place = np.cumsum(both) - 1
+    sides = [(row[both[col]], place[col[both[col]]]) for row, col in sides]
+    for start in range(0, int(both.sum()), COLUMNS):
+        ones = []
+        for (row, col), n in zip(sides, rows, strict=True):
+            pick = (col >= start) & (col < start + COLUMNS)
+            matrix = np.zeros((n, min(COLUMNS, int(both.sum()) - start)), np.float32)
+            matrix[row[pick], col[pick] - start] = 1
+            ones.append(matrix)
+        out += ones[0] @ ones[1].T
+    return out.astype(np.int64)
+
+
+def _forest(linked: np.ndarray, comps: np.ndarray) -> list[tuple[int, int]]:
+    """Links (rows of a symmetric matrix) that join all that ``linked`` joins, at most one a row."""
+    out, fresh = [], linked.any(1)
+    while fresh.any():
+        front = np.flatnonzero(fresh)[:1]
+        fresh[front] = False
+        while len(front):
+            reach = np.flatnonzero(linked[front].any(0) & fresh)
+            parent = front[linked[front][:, reach].argmax(0)]
+            out += zip(comps[parent].tolist(), comps[reach].tolist(), strict=True)
+            fresh[reach] = False
+            front = reach
+    return out
+
+
+def _joined(texts: pa.Array, bounds: np.ndarray, first: np.ndarray, comps: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between components of lines in groups, whose rows lie from one bound to the next.
+
+    ``first`` marks the rows of a group's first tile where it holds two tiles, and all rows where it holds one.
+    """
+    # Each text is one line: white space at its ends is gone, and so are line ends.
+    keys = Lines(spans.Block(texts)).shingles()
+    of, low = (keys >> np.uint64(40)).astype(np.int64), keys & LOW
+    sizes = np.bincount(of, minlength=len(texts))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out: list[tuple[int, int]] = []
+    # Groups of two lines at a time: what comes twice in a group is shared.
+    two = np.flatnonzero(np.diff(bounds) == 2)
+    a, b = bounds[:-1][two], bounds[:-1][two] + 1
+    group = np.searchsorted(bounds, np.arange(len(texts)), "right") - 1
+    name = np.full(len(bounds), -1, np.int64)
+    name[two] = np.arange(len(two))
+    mine = name[group[of]]
+    both = np.sort(mine[mine >= 0].astype(np.uint64) << np.uint64(40) | low[mine >= 0])
+    shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(40)).astype(np.int64), minlength=len(two))
+    good = (comps[a] != comps[b]) & (100 * shared >= percent * (sizes[a] + sizes[b] - shared))
+    out += zip(comps[a[good]].tolist(), comps[b[good]].tolist(), strict=True)
+    for g in np.flatnonzero(np.diff(bounds) > 2).tolist():
+        lo, hi = int(bounds[g]), int(bounds[g + 1])
+        own = comps[lo:hi]
+        if (own == own[0]).all():
+            continue
+        row, column, side = of[ends[lo] : ends[hi]] - lo, low[ends[lo] : ends[hi]], first[lo:hi]
+        whole = bool(side.all())
+        x = np.flatnonzero(side)
+        y = x if whole else np.flatnonzero(~side)
+        rank = np.zeros(hi - lo, np.int64)
+        rank[x], rank[y] = np.arange(len(x)), np.arange(len(y))
+        in_x = side[row]
+        left = (rank[row[in_x]], column[in_x])
+        right = left if whole else (rank[row[~in_x]], column[~in_x])
+        shared = _overlaps(left, right, (len(x), len(y)))
+        total = sizes[lo:hi][x][:, None] + sizes[lo:hi][y][None, :] - shared
+        good = (100 * shared >= percent * total) & (own[x][:, None] != own[y][None, :])
+        linked = np.zeros((hi - lo, hi - lo), bool)
+        linked[np.ix_(x, y)] = good
+        out += _forest(linked | linked.T, own)
+    return out
+
+
+def _open_links(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components that join what alike lines sharing a band ``key`` join.
+
+    ``rows`` holds (key, node, comp). The lines of a key are dealt into tiles, tiles meet in pairs, and a pair
+    gives a spanning forest of its links, so rows grow with the tiles of a key and not with its pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            bounds = np.append(np.flatnonzero(starts(table)), table.num_rows)
+            chars = np.concatenate([[0], np.cumsum(table.column("chars").to_numpy())])
+            at = 0
+            while at < len(bounds) - 1:  # whole groups of about one block
+                upto = max(at + 1, int(np.searchsorted(chars[bounds], chars[bounds[at]] + spans.BLOCK_BYTES, "right")) - 1)
+                part = table.slice(bounds[at], bounds[upto] - bounds[at]).combine_chunks()
+                text = part.column("text").cast(pa.large_string()).combine_chunks()
+                text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
+                first = part.column("tile").to_numpy() == part.column("i").to_numpy()
+                found = _joined(text, bounds[at : upto + 1] - bounds[at], first, part.column("comp").to_numpy(), percent)
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], ["a", "b"])
+                at = upto
+
+        def starts(table: pa.Table) -> np.ndarray:
+            out = np.ones(table.num_rows, bool)
+            out[1:] = False
+            for name in ("key", "i", "j"):
+                value = table.column(name).to_numpy()
+                out[1:] |= value[1:] != value[:-1]
+            return out
+
+        held = None  # the last group may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            last = int(np.flatnonzero(starts(table))[-1])
+            if last:
+                yield from links(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None:
+            yield from links(held)
+
+    rows = rows.join(texts.select("node", "text"), "node").withColumn("chars", F.length("text").cast("long"))
+    room = rows.groupBy("key").agg(F.greatest(F.count(F.lit(1)) / TILE_LINES, F.sum("chars") / TILE_CHARS).alias("full"))
+    tiles = F.ceil("full").cast("int")
+    rows = rows.join(room.select("key", tiles.alias("tiles")), "key").withColumn("tile", F.pmod(F.xxhash64("node"), "tiles").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("key", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"), "tile", "comp", "chars", "text")
+    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def kept_lines(docs: DataFrame, percent: int = 80, rounds: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Which lines of each document stay: the first one of every group of lines that are alike.
 
     Lines are compared trimmed and with A-Z lower-cased, by the sets of their runs of SHINGLE
@@ -225,16 +362,14 @@ def kept_lines(docs: DataFrame, percent: int = 80, rounds: int = 3, id_column: s
             spread = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), hub.alias("hub")).where("lo < hi")
             near = own.join(spread, "key").where(F.col("comp") != F.col("hub.comp"))
             pairs = near.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
+            links = settle(_alike(pairs.distinct(), texts, percent))
+            ends = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a")
+            ends = ends.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
+            ends = ends.select(F.col("x").alias("a"), F.col("y").alias("b"))
         else:
-            # What still shares a band with another component is compared pair by pair.
             spread = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-            open_ = settle(own.join(spread, "key", "left_semi").select("key", "node", "comp"))
-            x, y = (open_.select("key", F.col("node").alias(s), F.col("comp").alias(f"comp_{s}")) for s in "ab")
-            pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("comp_a") != F.col("comp_b"))).select("a", "b")
-        links = settle(_alike(pairs.distinct(), texts, percent))
-        ends = links.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("x")), "a")
-        ends = ends.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
-        found = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("comp"), F.col("component").alias("to"))
+            ends = _open_links(own.join(spread, "key", "left_semi").select("key", "node", "comp"), texts, percent)
+        found = components(ends).select(F.col("node").alias("comp"), F.col("component").alias("to"))
         labels = settle(labels.join(found, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"), "held"))
 
     groups = firsts.join(labels.select("node", "comp"), "node", "left").groupBy(F.coalesce("comp", "node").alias("comp")).agg(F.min("first").alias("first"))
