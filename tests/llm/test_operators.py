@@ -336,6 +336,55 @@ def test_near_lines(spark):
     assert sum(r["kept"] != expected[r["doc_id"]] for r in found) == 0
 
 
+def test_line_tiles(spark, monkeypatch):
+    """Tiles of few lines and narrow matrices, without and with rounds of hubs before them: the same groups."""
+    monkeypatch.setattr(line_dedup, "TILE_LINES", 3)
+    monkeypatch.setattr(line_dedup, "TILE_CHARS", 700)
+    rng = np.random.default_rng(17)
+    rows = []
+    for group in range(4):  # each line differs a little from the one before, so links form chains
+        own = [f"word{x}" for x in rng.integers(0, 300, 30)]
+        for copy in range(25):
+            own[int(rng.integers(0, 30))] = f"new{rng.integers(0, 50)}"
+            rows.append((group * 100 + copy, " ".join(own)))
+    rows.append((900, "x" * 5000))
+    rows.append((901, "x" * 4000 + "y"))
+    expected = brute.kept_lines(rows)
+    assert 4 <= sum(len(n) for n in expected.values()) < len(rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for rounds in (0, 2):
+        found = line_dedup.kept_lines(table, rounds=rounds).collect()
+        assert {r["doc_id"]: r["kept"] for r in found} == expected
+
+
+def test_line_overlaps(monkeypatch):
+    monkeypatch.setattr(line_dedup, "COLUMNS", 7)
+    rng = np.random.default_rng(5)
+    sides = [[set(rng.integers(0, 60, int(n)).tolist()) for n in rng.integers(1, 40, size)] for size in (6, 9)]
+    ones = []
+    for side in sides:
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])
+        ones.append((row, np.array([v for x in side for v in sorted(x)], np.uint64)))
+    found = line_dedup._overlaps(*ones, (6, 9))
+    assert found.tolist() == [[len(x & y) for y in sides[1]] for x in sides[0]]
+    assert line_dedup._overlaps((np.array([0]), np.array([1], np.uint64)), (np.array([0]), np.array([2], np.uint64)), (1, 1)).tolist() == [[0]]
+
+
+def test_line_forest():
+    rng = np.random.default_rng(6)
+    for _ in range(20):
+        linked = np.triu(rng.random((15, 15)) < 0.08, 1)
+        linked |= linked.T
+        links = line_dedup._forest(linked, np.arange(15))
+        union, own = brute.Union(range(15)), brute.Union(range(15))
+        for a, b in np.argwhere(linked).tolist():
+            union.join(a, b)
+        for a, b in links:
+            assert linked[a, b] and own.top(a) != own.top(b)
+            own.join(a, b)
+        assert all((own.top(a) == own.top(b)) == (union.top(a) == union.top(b)) for a in range(15) for b in range(15))
+
+
 INSULTS = ["nitwit", "blockhead", "dunderpate", "scoundrel"]
 
 
