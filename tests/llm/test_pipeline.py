@@ -90,7 +90,7 @@ def test_ids_and_texts(stages):
 
 
 def test_registered_names():
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} == {n.split("_")[0] for n in QUERIES}
     assert QUERIES.keys() <= entry_point.queries().keys() and ORACLES.keys() <= entry_point.oracle_sql().keys()
 
 
