@@ -367,6 +367,7 @@ def kept_lines(docs: DataFrame, percent: int = 80, rounds: int = 1, id_column: s
             ends = ends.join(labels.select(F.col("node").alias("b"), F.col("comp").alias("y")), "b")
             ends = ends.select(F.col("x").alias("a"), F.col("y").alias("b"))
         else:
+            # All lines of a band that still holds two components are compared.
             spread = own.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
             ends = _open_links(own.join(spread, "key", "left_semi").select("key", "node", "comp"), texts, percent)
         found = components(ends).select(F.col("node").alias("comp"), F.col("component").alias("to"))
