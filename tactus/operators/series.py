@@ -23,7 +23,7 @@ from tactus.functions.scalars import (
     tempo_candidates,
     tempo_prior,
 )
-from tactus.operators.ordered import SEGMENT, scan, settle, spread
+from tactus.operators.ordered import KEY, SEGMENT, scan, settle, spread
 
 TWO_PI = 6.283185307179586
 
@@ -521,6 +521,68 @@ def predict_phase(weights: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def _windows(
+    frames: DataFrame,
+    keys: Sequence[str],
+    period: Column,
+    fps: float,
+    window: float,
+    hop: float,
+    frame: str,
+    value: str,
+    segment: float | None,
+) -> DataFrame:
+    """Mean direction of every window of a track: ``(key, segment, __w, __top, __period, __raw)``.
+
+    Frames are gathered by hop, at most ``hop * fps`` of a key, and a window reads the next few of
+    these lists; its mean has to be known before a frame has a weight. ``__raw`` is null where a window
+    is too short or flat.
+    """
+    rate, reach = F.lit(float(fps)), max(int(-(-window // hop)), 1)
+
+    def opens(place: Column) -> Column:
+        return (place * F.lit(float(hop)) * rate).cast("bigint")
+
+    f = F.col(frame)
+    near = F.floor(f / rate / F.lit(float(hop)))
+    place = near + F.when(f >= opens(near + 1), 1).when(f < opens(near), -1).otherwise(0)
+    lists = (
+        frames.select(F.struct(*keys).alias(KEY), place.alias("__w"), period.alias("__period"), f.alias("f"), F.col(value).cast("double").alias("v"))
+        .groupBy(KEY, "__w")
+        .agg(
+            F.collect_list(F.struct("f", "v")).alias("__list"),
+            F.max("f").alias("__top"),
+            F.max("__period").alias("__period"),
+        )
+    )
+    width = None if segment is None else float(max(int(segment / hop), reach + 1))
+    placed = spread(lists, F.col("__w"), width, ahead=float(reach))
+    w = Window.partitionBy(KEY, SEGMENT).orderBy("__w").rangeBetween(0, reach - 1)
+    start = F.col("__w") * F.lit(float(hop))
+    closes = ((start + F.lit(window)) * rate).cast("bigint")
+    met = placed.withColumn("__list", F.flatten(F.collect_list("__list").over(w))).where(~F.col("ghost"))
+    met = met.withColumn("__list", F.filter("__list", lambda x: x["f"] < closes))
+    there = F.filter("__list", lambda x: x["v"].isNotNull())
+    mean = F.aggregate(there, F.lit(0.0), lambda a, x: a + x["v"]) / F.nullif(F.size(there), F.lit(0))
+    met = met.withColumn("__mean", mean)
+
+    def weighed(x: Column) -> Column:
+        above = F.greatest(x["v"] - F.col("__mean"), F.lit(0.0))
+        angle = F.lit(TWO_PI) * ((x["f"] - opens(F.col("__w"))) / rate + start) / F.col("__period")
+        return F.struct(above.alias("n"), (above * F.cos(angle)).alias("x"), (above * F.sin(angle)).alias("y"))
+
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in "nxy"])
+    met = met.withColumn("__few", F.size("__list") < 8).withColumn(
+        "__sum",
+        F.aggregate(
+            F.transform("__list", weighed), zero, lambda a, b: F.struct(*[(a[c] + b[c]).alias(c) for c in "nxy"])
+        ),
+    )
+    turn = F.pmod(F.atan2("__sum.y", "__sum.x") / F.lit(TWO_PI), F.lit(1.0))
+    raw = F.when(~F.col("__few") & (F.col("__sum.n") > 0), turn * F.col("__period"))
+    return met.select(KEY, SEGMENT, "__w", "__top", "__period", raw.alias("__raw"))
+
+
 def phase_track(
     frames: DataFrame,
     keys: Sequence[str],
@@ -535,61 +597,56 @@ def phase_track(
 ) -> DataFrame:
     """W13 - phase of the beat in overlapping windows, unwrapped: ``(keys, centre, phase)``.
 
-    A frame belongs to ``window / hop`` windows at most. Windows that are too short or flat are
-    dropped, as is a key with fewer than two left.
+    Windows that are too short or flat are dropped, as is a key with fewer than two left. Frames are
+    shuffled once, as lists of one hop; after that there is one row per window. ``period`` is constant per key.
     """
-    n, f = F.col("frame_count"), F.col(frame)
-    length = n / F.lit(float(fps))
+    # Both uses of these rows share the exchange.
+    windows = _windows(frames, keys, period, fps, window, hop, frame, value, segment).repartition(KEY, SEGMENT)
+    raw, half = F.col("__raw"), F.col("__period") / 2
+
+    def fix(before: Column, now: Column) -> Column:
+        jump = now - before
+        near_jump = F.pmod(jump + half, F.col("__period")) - half
+        near_jump = F.when((near_jump == -half) & (jump > 0), half).otherwise(near_jump)
+        return F.coalesce(F.when(F.abs(jump) < half, F.lit(0.0)).otherwise(near_jump - jump), F.lit(0.0))
+
+    w = Window.partitionBy(KEY, SEGMENT).orderBy("__w")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    before = F.last("__raw", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    kept = F.when(raw.isNotNull(), F.col("__w"))
+    after = F.min(kept).over(w.rowsBetween(1, Window.unboundedFollowing))
+    local = windows.withColumns({"__fix": fix(before, raw), "__kept": kept, "__next": after})
+    summary = local.groupBy(KEY, SEGMENT).agg(
+        F.max("__top").alias("__end"),
+        F.max("__period").alias("__period"),
+        F.min("__kept").alias("__first"),
+        F.min_by("__raw", "__kept").alias("__opens"),
+        F.max_by("__raw", "__kept").alias("__closes"),
+        F.sum("__fix").alias("__inner"),
+    )
+    across = Window.partitionBy(KEY).orderBy(SEGMENT)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    entered = fix(F.last("__closes", ignorenulls=True).over(earlier), F.col("__opens"))
+    summary = summary.withColumn("__enter", entered)
+    carried = summary.select(
+        KEY,
+        SEGMENT,
+        (F.coalesce(F.sum(F.col("__enter") + F.col("__inner")).over(earlier), F.lit(0.0)) + F.col("__enter")).alias("__from"),
+        (F.max("__first").over(earlier).isNotNull()).alias("__later"),
+        F.min("__first").over(across.rowsBetween(1, Window.unboundedFollowing)).alias("__beyond"),
+        (F.max("__end").over(Window.partitionBy(KEY)) + 1).alias("__n"),
+    )
+    length = F.col("__n") / F.lit(float(fps))
     count = F.ceil(F.greatest(length - F.lit(window), F.lit(hop)) / F.lit(hop))
-    near = f / F.lit(float(fps)) / F.lit(hop)
-    # One window more on either side than arithmetic asks for; the exact edges are checked below.
-    first = F.greatest(F.floor(near - F.lit(window / hop)) - 1, F.lit(0))
-    last = F.least(F.floor(near) + 1, count - 1)
-    held = (
-        frames.select(*keys, frame, value, period.alias("__period"))
-        .join(lengths(frames, keys, frame), list(keys))
-        .where(first <= last)
-        .select("*", F.explode(F.sequence(first, last)).alias("__w"))
-    )
-    start = F.col("__w") * F.lit(hop)
-    opens = (start * F.lit(float(fps))).cast("bigint")
-    closes = F.least(((start + F.lit(window)) * F.lit(float(fps))).cast("bigint"), n)
-    held = held.where((f >= opens) & (f < closes)).withColumn(
-        "__t", (f - opens) / F.lit(float(fps)) + start
-    )
-    means = held.groupBy(*keys, "__w").agg(F.avg(value).alias("__mean"), F.count(F.lit(1)).alias("__n"))
-    weight = F.greatest(F.col(value) - F.col("__mean"), F.lit(0.0))
-    angle = F.lit(TWO_PI) * F.col("__t") / F.col("__period")
-    summed = (
-        held.join(means.where(F.col("__n") >= 8), [*keys, "__w"])
-        .groupBy(*keys, "__w", "__period")
-        .agg(
-            F.sum(weight).alias("__total"),
-            F.sum(weight * F.cos(angle)).alias("__x"),
-            F.sum(weight * F.sin(angle)).alias("__y"),
-        )
-        .where(F.col("__total") > 0)
-    )
-    turn = F.pmod(F.atan2("__y", "__x") / F.lit(TWO_PI), F.lit(1.0))
-    phases = summed.select(
-        *keys,
-        "__period",
-        (F.col("__w") * F.lit(hop) + F.lit(window / 2.0)).alias("centre"),
-        (turn * F.col("__period")).alias("__raw"),
+    numbered = local.join(carried, [KEY, SEGMENT]).withColumns(
+        {"phase": raw + F.col("__from") + F.sum("__fix").over(upto), "__nth": F.count("__kept").over(upto)}
     )
-    enough = phases.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= 2)
-    phases = phases.join(enough.select(*keys), list(keys), "left_semi")
-    cut = _cut("centre", segment)
-    linked = scan(phases, keys, ["centre"], cut, lag={"__before": F.col("__raw")})
-    half = F.col("__period") / 2
-    jump = F.col("__raw") - F.col("__before")
-    near_jump = F.pmod(jump + half, F.col("__period")) - half
-    near_jump = F.when((near_jump == -half) & (jump > 0), half).otherwise(near_jump)
-    fix = F.when(F.abs(jump) < half, F.lit(0.0)).otherwise(near_jump - jump)
-    fixed = scan(
-        linked, keys, ["centre"], cut, running={"__fix": F.coalesce(fix, F.lit(0.0))}
+    paired = F.col("__later") | (F.col("__nth") > 1) | (F.coalesce("__next", "__beyond") < count)
+    # The first condition always holds; with it both branches need the same columns and share the exchange.
+    inside = (F.col("__top") < F.col("__n")) & (F.col("__w") < count)
+    return numbered.where(raw.isNotNull() & inside & paired).select(
+        f"{KEY}.*", (F.col("__w") * F.lit(hop) + F.lit(window / 2.0)).alias("centre"), "phase"
     )
-    return fixed.select(*keys, "centre", (F.col("__raw") + F.col("__fix")).alias("phase"))
 
 
 def local_tempo(
@@ -608,25 +665,35 @@ def local_tempo(
     """
     width = max(int(span / hop), 4)
     step = max(int(span / 4.0 / hop), 1)
-    numbered = scan(
-        track.withColumn("__ref", bpm), keys, ["centre"], _cut("centre", segment), running={"__n": F.lit(1)}
-    ).withColumn("__i", F.col("__n") - 1)
-    counts = track.groupBy(*keys).agg(F.count(F.lit(1)).alias("__count"))
+    cut = F.lit(0) if segment is None else _cut("centre", segment)
+    rows = track.select(
+        F.struct(*keys).alias(KEY), cut.alias(SEGMENT), "centre", "phase", bpm.alias("__ref")
+    ).repartition(KEY, SEGMENT)
+    across = Window.partitionBy(KEY).orderBy(SEGMENT)
+    sizes = rows.groupBy(KEY, SEGMENT).agg(F.count("*").alias("__size"))
+    carried = sizes.select(
+        KEY,
+        SEGMENT,
+        F.coalesce(F.sum("__size").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__from"),
+        F.sum("__size").over(Window.partitionBy(KEY)).alias("__count"),
+    )
+    nth = F.row_number().over(Window.partitionBy(KEY, SEGMENT).orderBy("centre"))
+    numbered = rows.join(carried, [KEY, SEGMENT]).withColumn("__i", F.col("__from") + nth - 1).drop(SEGMENT)
     piece = None if segment is None else float(max(width * 8, 256))
     placed = spread(numbered, F.col("__i"), piece, ahead=float(width))
-    w = Window.partitionBy(*keys, SEGMENT).orderBy("__i").rowsBetween(0, width - 1)
+    w = Window.partitionBy(KEY, SEGMENT).orderBy("__i").rowsBetween(0, width - 1)
     fitted = placed.withColumns(
         {
             "__slope": F.regr_slope("phase", "centre").over(w),
             "__end": F.last("centre").over(w),
         }
-    ).where(~F.col("ghost"))
-    kept = fitted.join(counts, list(keys)).where(
-        (F.col("__i") % step == 0) & (F.col("__i") < F.col("__count") - width)
+    )
+    kept = fitted.where(
+        ~F.col("ghost") & (F.col("__i") % step == 0) & (F.col("__i") < F.col("__count") - width)
     )
     covered = F.col("__end") - F.col("centre")
     return kept.select(
-        *keys,
+        f"{KEY}.*",
         (F.col("centre") + covered / 2).alias("seconds"),
         (F.col("__ref") * (F.lit(1.0) - F.col("__slope"))).alias("bpm"),
         (F.col("__slope") * covered).alias("slip"),

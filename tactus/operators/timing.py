@@ -10,10 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tactus.operators.ordered import scan, settle
+from tactus.operators.ordered import KEY, SEGMENT, scan, settle
 
 FAR = -1e12
 
@@ -290,27 +290,84 @@ def apply_warps(
 ) -> DataFrame:
     """J10 - tempo segments after placing markers ``(keys, seconds, bpm)`` on a constant tempo.
 
-    The beat of a marker depends on the markers before it, which is a running sum of elapsed time
-    times the tempo in force. A marker at or before beat 0 replaces the opening tempo.
+    The beat of a marker is the tempo in force, integrated from the start of the song. What a segment
+    does to the beat that enters it is an affine map: add a known number of beats, and one gap times the tempo
+    that enters. One row per segment carries that map, so markers are shuffled once. A marker at or
+    before beat 0 replaces the opening tempo. Markers without a time, and those of songs without an
+    offset, are left out.
     """
-    start = songs.select(
-        *keys, F.lit(FAR).alias("seconds"), "bpm", (-F.col("offset")).alias("origin")
+    starts = songs.select(*keys, (-F.col("offset")).alias("at"), F.lit(1).alias("side"), "bpm")
+    changes = markers.select(*keys, F.col("seconds").alias("at"), F.lit(0).alias("side"), "bpm")
+    cut = F.lit(0) if segment is None else _cut(F.col("at"), segment)
+    # Inside a struct nulls are equal. Both uses of these rows share the exchange.
+    rows = (
+        changes.unionByName(starts)
+        .where(F.col("at").isNotNull())
+        .select(F.struct(*keys).alias(KEY), cut.alias(SEGMENT), "at", "side", "bpm")
+        .repartition(KEY, SEGMENT)
     )
-    both = start.unionByName(markers.select(*keys, "seconds", "bpm"), allowMissingColumns=True)
-    order = ["seconds", "bpm"]
-    cut = _cut(F.col("seconds"), segment)
-    placed = scan(both, keys, order, cut, last={"start": F.col("origin")}).withColumn(
-        "at", F.greatest("seconds", "start")
+    tempo = F.struct("bpm")
+    w = Window.partitionBy(KEY, SEGMENT).orderBy("at", "side", "bpm")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    prior = w.rowsBetween(Window.unboundedPreceding, -1)
+
+    def latest(side: int, frame: Window) -> Column:
+        return F.last(F.when(F.col("side") == side, tempo), ignorenulls=True).over(frame)
+
+    local = rows.withColumns(
+        {
+            "__gap": F.col("at") - F.lag("at").over(w),
+            "__marker": latest(0, prior),
+            "__start": latest(1, prior),
+            "__begun": latest(1, upto),
+        }
     )
-    linked = scan(
-        placed, keys, order, cut, lag={"__at": F.col("at"), "__bpm": F.col("bpm")},
-        lead={"__next": F.col("at")},
+    begun, known = F.col("__start").isNotNull(), F.col("__marker").isNotNull()
+    marks = F.when(F.col("side") == 0, F.struct("at", "bpm"))
+    maps = local.groupBy(KEY, SEGMENT).agg(
+        F.min("at").alias("__first"),
+        F.max("at").alias("__last"),
+        F.max_by(tempo, marks).alias("__out"),
+        F.max(F.when(F.col("side") == 1, tempo)).alias("__opens"),
+        F.sum(F.col("__gap") * F.col("__marker.bpm")).alias("__whole"),
+        F.sum(F.when(begun & known, F.col("__gap") * F.col("__marker.bpm"))).alias("__known"),
+        F.sum(F.when(begun & ~known, F.col("__gap"))).alias("__open_gap"),
+    )
+    across = Window.partitionBy(KEY).orderBy(SEGMENT)
+    earlier = across.rowsBetween(Window.unboundedPreceding, -1)
+    entered = maps.withColumns(
+        {
+            "__in": F.last("__out", ignorenulls=True).over(earlier),
+            "__since": F.last("__opens", ignorenulls=True).over(earlier),
+            "__enter": F.col("__first") - F.lag("__last").over(across),
+        }
+    )
+    enter = F.when(
+        F.col("__since").isNotNull(), F.col("__enter") * F.coalesce("__in", "__since")["bpm"]
+    )
+    zero = F.lit(0.0)
+    opened = F.coalesce(F.col("__open_gap") * F.coalesce("__in", "__opens")["bpm"], zero)
+    inner = F.when(F.col("__since").isNotNull(), F.coalesce("__whole", zero)).otherwise(
+        F.coalesce("__known", zero) + opened
+    )
+    entered = entered.withColumn("__enter", F.coalesce(enter, zero)).withColumn("__all", F.col("__enter") + inner)
+    carried = entered.select(
+        KEY,
+        SEGMENT,
+        (F.coalesce(F.sum("__all").over(earlier), F.lit(0.0)) + F.col("__enter")).alias("__from"),
+        "__in",
+        "__since",
+    )
+    rate = F.coalesce("__marker", "__in", "__since", "__start")["bpm"]
+    moving = F.coalesce("__since", "__start").isNotNull()
+    moved = F.coalesce(F.when(moving, F.col("__gap") * rate), zero)
+    placed = local.join(carried, [KEY, SEGMENT]).withColumn(
+        "beat", (F.col("__from") + F.sum(moved).over(upto)) / F.lit(60.0)
+    )
+    opening = F.coalesce("__marker", "__in", tempo)["bpm"]
+    return placed.where(F.coalesce("__since", "__begun").isNotNull()).select(
+        f"{KEY}.*", "beat", F.when(F.col("side") == 1, opening).otherwise(F.col("bpm")).alias("bpm")
     )
-    moved = F.coalesce((F.col("at") - F.col("__at")) * F.col("__bpm") / F.lit(60.0), F.lit(0.0))
-    summed = scan(linked, keys, order, cut, running={"beat": moved})
-    # Of the rows standing on beat 0 only the last is the opening tempo.
-    opening = (F.col("at") <= F.col("start")) & (F.coalesce("__next", F.lit(1e300)) <= F.col("start"))
-    return summed.where(~opening).select(*keys, "beat", "bpm")
 
 
 def timing_summary(
