@@ -638,11 +638,11 @@ def phase_track(
     )
     length = F.col("__n") / F.lit(float(fps))
     count = F.ceil(F.greatest(length - F.lit(window), F.lit(hop)) / F.lit(hop))
-    numbered = local.join(carried, [KEY, SEGMENT]).withColumns(
+    numbered = local.join(carried, [KEY, SEGMENT], "left").withColumns(
         {"phase": raw + F.col("__from") + F.sum("__fix").over(upto), "__nth": F.count("__kept").over(upto)}
     )
     paired = F.col("__later") | (F.col("__nth") > 1) | (F.coalesce("__next", "__beyond") < count)
-    # The first condition always holds; with it both branches need the same columns and share the exchange.
+    # The first condition always holds; with it, and a left join, both branches are alike and share the exchange.
     inside = (F.col("__top") < F.col("__n")) & (F.col("__w") < count)
     return numbered.where(raw.isNotNull() & inside & paired).select(
         f"{KEY}.*", (F.col("__w") * F.lit(hop) + F.lit(window / 2.0)).alias("centre"), "phase"
@@ -678,7 +678,7 @@ def local_tempo(
         F.sum("__size").over(Window.partitionBy(KEY)).alias("__count"),
     )
     nth = F.row_number().over(Window.partitionBy(KEY, SEGMENT).orderBy("centre"))
-    numbered = rows.join(carried, [KEY, SEGMENT]).withColumn("__i", F.col("__from") + nth - 1).drop(SEGMENT)
+    numbered = rows.join(carried, [KEY, SEGMENT], "left").withColumn("__i", F.col("__from") + nth - 1).drop(SEGMENT)
     piece = None if segment is None else float(max(width * 8, 256))
     placed = spread(numbered, F.col("__i"), piece, ahead=float(width))
     w = Window.partitionBy(KEY, SEGMENT).orderBy("__i").rowsBetween(0, width - 1)

@@ -299,7 +299,7 @@ def apply_warps(
     starts = songs.select(*keys, (-F.col("offset")).alias("at"), F.lit(1).alias("side"), "bpm")
     changes = markers.select(*keys, F.col("seconds").alias("at"), F.lit(0).alias("side"), "bpm")
     cut = F.lit(0) if segment is None else _cut(F.col("at"), segment)
-    # Inside a struct nulls are equal. Both uses of these rows share the exchange.
+    # Inside a struct nulls are equal. Both uses of these rows share the exchange: a left join adds no filter to one.
     rows = (
         changes.unionByName(starts)
         .where(F.col("at").isNotNull())
@@ -361,7 +361,7 @@ def apply_warps(
     rate = F.coalesce("__marker", "__in", "__since", "__start")["bpm"]
     moving = F.coalesce("__since", "__start").isNotNull()
     moved = F.coalesce(F.when(moving, F.col("__gap") * rate), zero)
-    placed = local.join(carried, [KEY, SEGMENT]).withColumn(
+    placed = local.join(carried, [KEY, SEGMENT], "left").withColumn(
         "beat", (F.col("__from") + F.sum(moved).over(upto)) / F.lit(60.0)
     )
     opening = F.coalesce("__marker", "__in", tempo)["bpm"]
