@@ -35,9 +35,11 @@ def _choice(values: dict[int, int], of: Column, otherwise: int = 0) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), of), F.lit(otherwise))
 
 
-def _round(units: DataFrame, room: dict[int, int]) -> DataFrame:
+def _round(units: DataFrame, room: dict[int, int]) -> tuple[DataFrame, int]:
     """Move units towards the shard with most documents of their text, as far as there is room.
 
+    Gives the new units and how many documents moved.
+
     A unit goes to the fullest shard with room that holds more of its text (of equal ones, the one
     with the smaller number). The room of a shard is dealt to lanes in proportion to what they ask
     for; in a lane, larger units come first and the last one may move in part.
@@ -60,8 +62,8 @@ def _round(units: DataFrame, room: dict[int, int]) -> DataFrame:
             upto = min(room[to], all_asked) * reached // all_asked
             grants[to * LANES + lane] = upto - given
             given = upto
-    if not grants:
-        return units
+    if not any(grants.values()):
+        return units, 0
     w = Window.partitionBy("to", "lane").orderBy(F.desc("n"), "text_key", "shard").rowsBetween(Window.unboundedPreceding, -1)
     grant = _choice(grants, F.col("to") * LANES + F.col("lane"))
     moved = asked.where("to is not null").withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
@@ -71,7 +73,8 @@ def _round(units: DataFrame, room: dict[int, int]) -> DataFrame:
         F.struct(F.col("to").alias("shard"), F.col("go").alias("n")), F.struct(F.col("shard"), (F.col("n") - F.col("go")).alias("n"))
     )
     dealt = moved.select("text_key", F.explode(both).alias("x")).select("text_key", "x.shard", "x.n").where("n > 0")
-    return stays.unionByName(dealt).groupBy("text_key", "shard").agg(F.sum("n").alias("n"))
+    units = stays.unionByName(dealt).groupBy("text_key", "shard").agg(F.sum("n").alias("n"))
+    return units, sum(grants.values())
 
 
 def _spread(bounds: list[tuple[int, int]], low: Column, n: Column) -> Column:
@@ -133,7 +136,7 @@ def shards(
 
     Each text that occurs twice or more begins scattered by a hash of its rows. In each of up to
     ``rounds`` rounds, Spark joins and windows move its documents to the shard that holds most of
-    them, as far as quotas allow; a text with more copies than a shard may hold fills one and gathers
+    them, as far as quotas allow, until a round moves none; a text with more copies than a shard may hold fills one and gathers
     the rest in others. During the rounds a quota is looser by ``slack``; then shards over their
     quota give up their smallest units, and GATHER rounds bring together what that has scattered. Rows without a link fill what is left. ``slot`` counts the rows of a shard
     from 0 without a gap, ``cut_links`` is the number of equal texts that a row has in other shards.
@@ -159,13 +162,17 @@ def shards(
     loads = _loads(units)
     loose = {s: q + int(q * slack) for s, q in quota.items()}
     for _ in range(rounds if loads else 0):
-        units = settle(_round(units, _room(loads, loose)))
-        before, loads = loads, _loads(units)
-        if loads == before:
+        units, moved = _round(units, _room(loads, loose))
+        if not moved:
             break
+        units = settle(units)
+        loads = _loads(units)
     units = settle(_relieved(units, loads, quota))
     for _ in range(GATHER if loads else 0):
-        units = settle(_round(units, _room(_loads(units), quota)))
+        units, moved = _round(units, _room(_loads(units), quota))
+        if not moved:
+            break
+        units = settle(units)
     loads = _loads(units)
 
     # Documents of a text take its units in turn. Both sides are cut into parts, so that no key is hot.

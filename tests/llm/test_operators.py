@@ -485,3 +485,14 @@ def test_empty_tables(spark):
         toxicity.without_toxic(none, model),
     ]
     assert [f.count() for f in frames] == [0] * len(frames)
+
+
+def test_shards_stop_when_nothing_moves(spark):
+    """Two texts change places between two shards: the loads stay as they are, yet documents move."""
+    units = spark.createDataFrame([(b"a", 0, 3), (b"a", 1, 5), (b"b", 0, 5), (b"b", 1, 3)], "text_key binary, shard int, n long")
+    room = {0: 8, 1: 8}
+    swapped, moved = sharding._round(units, room)
+    assert moved == 6
+    assert sharding._loads(swapped) == {0: 8, 1: 8} == sharding._loads(units)
+    assert {(bytes(r["text_key"]), r["shard"], r["n"]) for r in swapped.collect()} == {(b"a", 1, 8), (b"b", 0, 8)}
+    assert sharding._round(swapped, room)[1] == 0
