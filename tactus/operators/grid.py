@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
 from tactus.functions.scalars import grid_slot, panel_codes
+from tactus.operators import timing
 from tactus.operators.ordered import scan
 
 
@@ -67,6 +68,25 @@ def grid_beats(songs: DataFrame, keys: Sequence[str], *, beats: str = "total_bea
     )
 
 
+def grid_times(
+    songs: DataFrame,
+    points: DataFrame,
+    keys: Sequence[str],
+    *,
+    duration: str = "duration",
+    segment: float | None = None,
+) -> DataFrame:
+    """P16 - seconds of every fine slot of a song: ``(keys, fine, beat, time)``.
+
+    ``points`` are the breakpoints of the songs. A song has as many slots as fit into the beats reached
+    at its duration, at least one; without a timing map that one has no time.
+    """
+    reached = timing.beat_at_time(
+        songs.select(*keys, duration), points, keys, time=duration, probe_id=[duration], segment=segment, out="total_beats"
+    )
+    return timing.time_at_beat(grid_beats(reached, keys), points, keys, probe_id=["fine"], segment=segment)
+
+
 def frame_edges(slots: DataFrame, keys: Sequence[str], frames: DataFrame, *, time: str = "time", fps: float = k.FRAME_RATE, slot: str = "slot", segment: Column | None = None) -> DataFrame:
     """First frame of each slot and the first frame past it.
 

@@ -160,6 +160,27 @@ def convert_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select("p_partkey", *big("meter", "target"), converted.cast("bigint").alias("converted"))
 
 
+@query(
+    "default_meter",
+    f"""WITH p AS (SELECT p_partkey, ['Beginner', 'Easy', 'Medium', 'Hard', 'Challenge', 'Edit', 'Other'][1 + p_size % 7] AS difficulty,
+      [2, 4, 6, 9, 12, 9, 6][1 + p_size % 7] AS classic, 10 + 5 * (p_partkey % 3) AS scale FROM part),
+    c AS (SELECT p.*, r.m, abs(CASE WHEN scale = 15 THEN list_extract({_sql_list(k.NPS_15)}, 1 + r.m)
+             ELSE list_extract({_sql_list(k.NPS_20)}, 1 + r.m) END - list_extract({_sql_list(k.NPS_10)}, 1 + least(classic, 10))) AS d
+          FROM p, generate_series(1, 20) r(m) WHERE r.m <= scale),
+    w AS (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY d, m) AS rn FROM c)
+    SELECT p_partkey, difficulty, scale::BIGINT AS scale, CASE WHEN scale = 10 THEN classic ELSE m END::BIGINT AS meter FROM w WHERE rn = 1""",
+)
+def default_meter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.array(*[F.lit(d) for d in ("Beginner", "Easy", "Medium", "Hard", "Challenge", "Edit", "Other")])
+    parts = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        F.get(names, (F.col("p_size") % 7).cast("int")).alias("difficulty"),
+        (F.lit(10) + 5 * (F.col("p_partkey") % 3)).alias("scale"),
+    )
+    found = corpus.default_meter(F.col("difficulty"), F.col("scale"))
+    return parts.select("p_partkey", "difficulty", *big("scale"), found.cast("bigint").alias("meter"))
+
+
 @query(
     "note_rate",
     f"""WITH {LINE_ROWS_SQL},

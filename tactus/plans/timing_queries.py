@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tactus.functions import scalars
-from tactus.operators import timing
+from tactus.operators import grid, timing
 from tactus.plans.bindings import epoch_days, rounded, table
 from tactus.plans.registry import query
 
@@ -156,6 +156,33 @@ def beat_at_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "grid_times",
+    f"""WITH {POINTS_SQL},
+    ends AS (SELECT song, offs, -offs + song % 4 * 0.75::DOUBLE AS duration FROM songs),
+    by_time AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song, t_end
+       ORDER BY beat DESC, declared DESC, kind DESC, value DESC) AS rn FROM points) WHERE rn = 1),
+    reached AS (
+      SELECT e.song, CASE WHEN first_bpm IS NULL THEN 0 WHEN t_end IS NULL THEN (duration + offs) / (60 / first_bpm)
+        ELSE least(beat + (duration - t_end) / (60 / bpm), coalesce(next_beat, 1e300)) END AS total
+      FROM ends e ASOF LEFT JOIN by_time u ON e.song = u.song AND e.duration >= u.t_end LEFT JOIN firsts f ON f.song = e.song),
+    slots AS (
+      SELECT song, fine, fine / 24.0::DOUBLE AS beat
+      FROM (SELECT song, unnest(range(greatest(floor(greatest(total, 0) * 24), 1)::BIGINT)) AS fine FROM reached)),
+    uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY song, beat
+       ORDER BY declared DESC, kind DESC, value DESC) AS rn FROM points) WHERE rn = 1)
+    SELECT s.song, fine, round(s.beat + 1e-9, 6) AS beat, round(t_end + (s.beat - u.beat) * 60 / bpm + 1e-9, 6) AS time
+    FROM slots s ASOF LEFT JOIN uniq u ON s.song = u.song AND s.beat >= u.beat""",
+)
+def grid_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, songs = tempo_map(spark, sf_dir)
+    ends = songs.select("song", (-F.col("offset") + F.col("song") % 4 * 0.75).alias("duration"))
+    found = grid.grid_times(ends, _points(spark, sf_dir), KEY, segment=PIECE)
+    return found.select(
+        "song", F.col("fine").cast("bigint").alias("fine"), rounded("beat").alias("beat"), rounded("time").alias("time")
+    )
+
+
 @query(
     "bpm_at_beat",
     f"""WITH {MAP_SQL},
