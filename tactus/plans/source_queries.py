@@ -45,13 +45,14 @@ def resolve_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     third = F.col("s_suppkey") % 3
     songs = table(spark, sf_dir, "supplier").select(
         "s_suppkey",
-        F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 30).cast("string"), F.lit("/"), F.col("s_suppkey").cast("string")).alias("directory"),
+        F.concat(F.lit("Brand#"), (F.col("s_suppkey") % 30).cast("string")).alias("directory"),
         F.when(third == 0, "RED WIDGET").when(third == 1, "small ring").otherwise("").alias("music"),
     )
     kind = F.element_at(F.array(*[F.lit(s) for s in ("ogg", "mp3", "wav", "png", "txt")]), (F.col("p_size") % 5 + 1).cast("int"))
-    parts = table(spark, sf_dir, "part").select(F.col("p_brand"), F.col("p_name").alias("path"), F.col("p_name").alias("file"), kind.alias("suffix"))
-    brands = songs.select("directory", F.split("directory", "/")[0].alias("p_brand"))
-    listing = parts.join(brands, "p_brand").drop("p_brand")
+    # A brand is one directory, which all of its songs share.
+    listing = table(spark, sf_dir, "part").select(
+        F.col("p_brand").alias("directory"), F.col("p_name").alias("path"), F.col("p_name").alias("file"), kind.alias("suffix")
+    )
     found = files.resolve_audio(songs, listing)
     return found.select("s_suppkey", "audio")
 

@@ -123,25 +123,28 @@ def decode_text(content: Column) -> Column:
 def resolve_audio(songs: DataFrame, listing: DataFrame, music: str = "music") -> DataFrame:
     """S04 - add ``audio``: the named file, else the same name in another case, else by suffix.
 
-    NULL when the directory has no audio at all. The pick is an aggregate, so it is combined before
-    it is shuffled.
+    NULL when the directory has no audio at all. Files of one name count as the one with the smallest path.
+    Each way of finding a file is an aggregate of the listing and an equi-join on what it is found by, so no
+    song meets all files of its directory, and songs may share one.
     """
-    suffix = F.array_position(F.array(*[F.lit(s) for s in k.AUDIO_SUFFIXES]), F.col("__suffix"))
-    named = F.when(F.col("__file") == F.col(music), 1).when(
-        (F.col(music) != "") & (F.lower("__file") == F.lower(music)), 2
+    suffix = F.array_position(F.array(*[F.lit(s) for s in k.AUDIO_SUFFIXES]), F.col("suffix"))
+    by_name = F.struct("__file", "__path")
+    named = listing.groupBy("directory", F.col("file").alias("__file")).agg(
+        F.min("path").alias("__path"), F.min(F.when(suffix > 0, suffix)).alias("__rank")
     )
-    rank = F.coalesce(named, F.when(suffix > 0, suffix + 2))
-    candidates = listing.select(
-        F.col("directory"),
-        F.col("path").alias("__path"),
-        F.col("file").alias("__file"),
-        F.col("suffix").alias("__suffix"),
+    same = named.select("directory", F.col("__file").alias("__music"), F.struct(F.col("__path").alias("p")).alias("__same"))
+    lower = named.groupBy("directory", F.lower("__file").alias("__music")).agg(F.min(by_name).alias("__lower"))
+    ranked = F.min(F.struct("__rank", "__file", "__path"))
+    other = named.where("__rank is not null").groupBy("directory").agg(ranked.alias("__other"))
+    asked = songs.select("directory", music).distinct()
+    found = (
+        asked.join(same.withColumnRenamed("__music", music), ["directory", music], "left")
+        .withColumn("__music", F.when(F.col(music) != "", F.lower(music)))
+        .join(lower, ["directory", "__music"], "left")
+        .join(other, "directory", "left")
     )
-    picked = (
-        songs.select("directory", music)
-        .join(candidates, "directory")
-        .where(rank.isNotNull())
-        .groupBy("directory")
-        .agg(F.min_by("__path", F.struct(rank, F.col("__file"))).alias("audio"))
-    )
-    return songs.join(picked, "directory", "left")
+    path = F.when(F.col("__same").isNotNull(), F.col("__same.p")).otherwise(F.coalesce("__lower.__path", "__other.__path"))
+    picked = found.select(F.col("directory").alias("__in"), F.col(music).alias("__for"), path.alias("audio"))
+    return songs.join(
+        picked, F.col("directory").eqNullSafe(F.col("__in")) & F.col(music).eqNullSafe(F.col("__for")), "left"
+    ).drop("__in", "__for")

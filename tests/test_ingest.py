@@ -401,3 +401,27 @@ def test_better_format_replaces_a_song(spark, tmp_path):
         assert titles == (["Harbour lights", "Tide"] if name == "b.sm" else ["Blocks", "Tide"])
     assert {r["song_id"].rsplit("/", 1)[1] for r in found["rows"].select("song_id").distinct().collect()} == {"a.ssc", "r.dwi"}
     assert sorted((r["beat"], r["seconds"]) for r in found["stops"].collect()) == [(4.0, 0.25), (8.0, 0.5), (12.0, 0.25)]
+
+
+def test_songs_of_one_directory_find_their_own_audio(spark):
+    songs = spark.createDataFrame(
+        [(1, "d", "b.ogg"), (2, "d", "A.MP3"), (3, "d", ""), (4, "d", "gone.ogg"), (5, "empty", "b.ogg"), (6, "d", None), (7, "none", "x")],
+        "song int, directory string, music string",
+    )
+    listing = spark.createDataFrame(
+        [("d", "d/" + f, f, f[-3:].lower()) for f in ("a.mp3", "b.ogg", "c.wav", "e.txt")] + [("none", "none/e.txt", "e.txt", "txt")],
+        "directory string, path string, file string, suffix string",
+    )
+    found = files.resolve_audio(songs, listing)
+    assert found.columns == ["song", "directory", "music", "audio"]
+    by_suffix = "d/b.ogg"
+    assert {r["song"]: r["audio"] for r in found.collect()} == {
+        1: "d/b.ogg", 2: "d/a.mp3", 3: by_suffix, 4: by_suffix, 5: None, 6: by_suffix, 7: None,
+    }
+
+
+def test_audio_is_found_without_pairing_songs_and_files(spark):
+    songs = spark.range(3000).selectExpr("id as song", "'d' as directory", "concat('f', id, '.ogg') as music")
+    listing = spark.range(3000).selectExpr("'d' as directory", "concat('d/f', id, '.ogg') as path", "concat('f', id, '.ogg') as file", "'ogg' as suffix")
+    found = files.resolve_audio(songs, listing)
+    assert found.where("audio = concat('d/', music)").count() == found.count() == 3000
