@@ -161,7 +161,9 @@ def bar_seconds(bpm: Column) -> Column:
 def phase_of_offset(offset: Column, bpm: Column, bins: int = k.PHASE_BINS) -> Column:
     """Bin of the bar an offset puts the downbeat into."""
     period = bar_seconds(bpm)
-    return F.pmod(F.floor(F.pmod(-offset, period) / period * F.lit(bins)), F.lit(bins)).cast("int")
+    # Whole bars are taken off by one product: a remainder rounds bins' edges to the other side.
+    within = -offset - F.floor(-offset / period) * period
+    return F.pmod(F.floor(within / period * F.lit(bins)), F.lit(bins)).cast("int")
 
 
 def offset_for_phase(phase: Column, bpm: Column, bins: int = k.PHASE_BINS) -> Column:

@@ -246,3 +246,10 @@ def test_envelopes_are_built_once(spark, tmp_path):
         prep.build_envelopes(songs, series_table, str(tmp_path / "e"))
     built = manifest.read_features(spark, str(tmp_path / "e")).collect()
     assert len(built) == 3 and {r["audio"] for r in built} == {"a.ogg"} and len(built[0]["key"]) == 16
+
+
+def test_phase_on_the_edge_of_a_bin(spark):
+    # 1 s into a bar of 1.333 s is exactly bin 72; a remainder of doubles rounds it into bin 71.
+    songs = spark.createDataFrame([(3.0, 180.0), (4.65, 150.0), (5.5, 280.0)], "offs double, bpm double")
+    phases = songs.select(scalars.phase_of_offset(F.col("offs"), F.col("bpm")).alias("p")).collect()
+    assert [r["p"] for r in phases] == [72, 9, 56]
