@@ -4,18 +4,31 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
 
-UNICODE_SPACE = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+#: White space of Unicode, and the four separators U+001C to U+001F.
+UNICODE_SPACE = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def text_strip(value: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
-    return F.regexp_replace(value, UNICODE_SPACE, "")
+    return F.btrim(value, F.lit(UNICODE_SPACE))
+
+
+def upper_case(value: Column) -> Column:
+    """Upper case of any text. Most names have it already, and Spark's own mapping is slow to find that out."""
+    return F.when(value.rlike(r"^[\x00-\x60\x7B-\x7F]*\z"), value).otherwise(F.upper(value))
+
+
+def lower_case(value: Column) -> Column:
+    """Lower case of any text; ASCII is mapped letter by letter, which is much faster than Spark's own mapping."""
+    plain = F.translate(value, ascii_uppercase, ascii_lowercase)
+    return F.when(value.rlike(r"^[\x00-\x7F]*\z"), plain).otherwise(F.lower(value))
 
 
 def lenient_double(value: Column) -> Column:
@@ -37,9 +50,13 @@ def parse_float(value: Column, default: float = 0.0) -> Column:
 
 def meter(value: Column) -> Column:
     """Whole rating of a chart. A rating that is not finite yields NULL."""
-    number = parse_float(value)
-    finite = ~F.isnan(number) & (F.abs(number) < F.lit(2147483647.0))
-    return F.when(finite, number.cast("int"))
+
+    def whole(number: Column) -> Column:
+        finite = ~F.isnan(number) & (F.abs(number) < F.lit(2147483647.0))
+        return F.when(finite, number.cast("int"))
+
+    # As a variable the number is read once.
+    return F.get(F.transform(F.array(parse_float(value)), whole), F.lit(0))
 
 
 def clamp_meter(value: Column, top: int = 20) -> Column:
@@ -55,7 +72,7 @@ def normalize_difficulty(value: Column) -> Column:
     """Canonical difficulty name, or the stripped original when it is not one of the six."""
     stripped = text_strip(value)
     names = _literal_map({name.lower(): name for name in k.DIFFICULTIES})
-    return F.coalesce(F.element_at(names, F.lower(stripped)), stripped)
+    return F.coalesce(F.element_at(names, lower_case(stripped)), stripped)
 
 
 def difficulty_index(value: Column) -> Column:

@@ -18,6 +18,7 @@ from tactus.functions.scalars import (
     normalize_difficulty,
     parse_float,
     text_strip,
+    upper_case,
 )
 
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
@@ -30,14 +31,15 @@ def msd_tags(text: Column) -> Column:
     bodies = F.regexp_extract_all(plain, F.lit(r"#([^#;]*)"), F.lit(1))
     filled = F.filter(bodies, lambda b: text_strip(b) != "")
 
-    def tag(body: Column) -> Column:
-        parts = F.transform(F.split(body, ":", -1), text_strip)
+    def tag(parts: Column) -> Column:
         return F.struct(
-            F.upper(F.get(parts, F.lit(0))).alias("tag"),
+            upper_case(F.get(parts, F.lit(0))).alias("tag"),
             F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))).alias("params"),
         )
 
-    return F.transform(filled, tag)
+    # Split in a step of its own, so that a body is split and stripped once for all uses of its parts.
+    split = F.transform(filled, lambda body: F.transform(F.split(body, ":", -1), text_strip))
+    return F.transform(split, tag)
 
 
 def explode_tags(df: DataFrame, keys: Sequence[str], tags: str = "tags") -> DataFrame:
@@ -247,29 +249,33 @@ def chart_table(
     )
 
 
-def chart_rows(charts: DataFrame, keys: Sequence[str], notes: str = "notes") -> DataFrame:
-    """P10 - note rows of measure text: ``beat`` and the panel characters.
+def note_rows(notes: Column) -> Column:
+    """P10 - note rows of a measure text, in order: an array of ``(beat, columns)``.
 
     A measure of n lines spreads them evenly over four beats. Empty measures still take their time;
     rows without any note are left out.
     """
-    measures = charts.select(*keys, F.posexplode(F.split(notes, ",", -1)).alias("measure", "__m"))
-    lines = F.filter(
-        F.transform(F.split("__m", LINE_BREAK, -1), text_strip),
-        lambda x: (x != "") & ~x.startswith("//"),
-    )
-    return (
-        measures.select(*keys, "measure", lines.alias("__lines"))
-        .select(
-            *keys,
-            "measure",
-            F.size("__lines").alias("__n"),
-            F.posexplode("__lines").alias("__i", "columns"),
+
+    def lines(measure: Column) -> Column:
+        return F.filter(
+            F.transform(F.split(measure, LINE_BREAK, -1), text_strip),
+            lambda x: (x != "") & ~x.startswith("//"),
         )
-        .where(~F.col("columns").rlike("^0*$"))
-        .select(
-            *keys,
-            (F.col("measure") * F.lit(4.0) + F.col("__i") * (F.lit(4.0) / F.col("__n"))).alias("beat"),
-            "columns",
+
+    def placed(found: Column, measure: Column) -> Column:
+        return F.filter(
+            F.transform(
+                found,
+                lambda x, i: F.struct(
+                    (measure * F.lit(4.0) + i * (F.lit(4.0) / F.size(found))).alias("beat"), x.alias("columns")
+                ),
+            ),
+            lambda r: F.ltrim(r["columns"], F.lit("0")) != "",
         )
-    )
+
+    return F.flatten(F.transform(F.transform(F.split(notes, ",", -1), lines), placed))
+
+
+def chart_rows(charts: DataFrame, keys: Sequence[str], notes: str = "notes") -> DataFrame:
+    """P10 - note rows of measure text: ``beat`` and the panel characters (see :func:`note_rows`)."""
+    return charts.select(*keys, F.explode(note_rows(F.col(notes))).alias("__r")).select(*keys, "__r.beat", "__r.columns")
