@@ -147,10 +147,10 @@ def ssc_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = render.render_ssc(songs, tempo, stops, charts, rows, measured, ["song"])
     parsed = text.select("song", F.lit("ssc").alias("file_format"), msd.msd_tags(F.col("text")).alias("tags"))
     found = msd.chart_table(parsed, ["song"])
-    counts = msd.chart_rows(found, ["song", "chart_idx"]).groupBy("song", "chart_idx").agg(F.count(F.lit(1)).alias("rows"))
-    joined = found.join(counts, ["song", "chart_idx"], "left")
-    return joined.select(
-        "song", *big("chart_idx"), "stepstype", "description", "difficulty", *big("meter"), F.coalesce("rows", F.lit(0)).alias("rows")
+    # Counted where they are, so that the texts are written and parsed once.
+    rows = F.coalesce(F.array_size(msd.note_rows(F.col("notes"))), F.lit(0)).cast("bigint")
+    return found.select(
+        "song", *big("chart_idx"), "stepstype", "description", "difficulty", *big("meter"), rows.alias("rows")
     )
 
 

@@ -425,3 +425,34 @@ def test_audio_is_found_without_pairing_songs_and_files(spark):
     listing = spark.range(3000).selectExpr("'d' as directory", "concat('d/f', id, '.ogg') as path", "concat('f', id, '.ogg') as file", "'ogg' as suffix")
     found = files.resolve_audio(songs, listing)
     assert found.where("audio = concat('d/', music)").count() == found.count() == 3000
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_bodies_are_split_once_and_lines_are_found_once(spark):
+    texts = spark.createDataFrame([(1, "#title: a : b;#Straße:x;#Notes:0001,\n0000\n1000;")], "song int, text string")
+    tags = texts.select("song", msd.msd_tags(F.col("text")).alias("t"))
+    assert optimized(tags).count("split(") == 1
+    assert [(t["tag"], t["params"]) for t in tags.head()["t"]] == [("TITLE", ["a", "b"]), ("STRASSE", ["x"]), ("NOTES", ["0001,\n0000\n1000"])]
+    rows = msd.chart_rows(texts.select("song", F.lit("0001,\n0000\n1000").alias("notes")), ["song"])
+    assert sorted(map(tuple, rows.collect())) == [(1, 0.0, "0001"), (1, 6.0, "1000")]
+    lined = texts.select("song", F.expr("substring(text, 1, 4)").alias("notes"))
+    assert "Filter" not in optimized(msd.chart_rows(lined, ["song"]))
+
+
+def test_ssc_texts_are_written_and_parsed_once(spark):
+    from tactus.plans.source_queries import ssc_charts
+
+    assert optimized(ssc_charts(spark, "/root/testdata/sf0.001")).count("regexp_extract_all") == 1
+
+
+def test_white_space_of_every_kind_is_stripped(spark):
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    table = spark.createDataFrame([(i, s + "a" + s + "b" + s + s) for i, s in enumerate(spaces)], "i int, v string")
+    got = {r[0]: r[1] for r in table.select("i", scalars.text_strip(F.col("v"))).collect()}
+    assert got == {i: "a" + s + "b" for i, s in enumerate(spaces)}
+    names = spark.createDataFrame([(s,) for s in ("Hard", "ÉTÉ", "straße", "A-1", "", "aB")], "v string")
+    both = names.select("v", scalars.upper_case(F.col("v")), scalars.lower_case(F.col("v"))).collect()
+    assert all(r[1] == r[0].upper() and r[2] == r[0].lower() for r in both)
