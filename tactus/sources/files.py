@@ -6,12 +6,13 @@ import re
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tactus.functions import constants as k
-from tactus.sources.store import NAME, SongFolders
+from tactus.sources.store import NAME, SongFolders, opened
 
 SIMFILES = "*.{[sS][sS][cC],[sS][mM],[dD][wW][iI]}"
 
@@ -51,6 +52,11 @@ def scan_corpus(
     return _at_depth(_located(files), root).where(~F.col("pack").isin(*excluded))
 
 
+def _with_scheme() -> Column:
+    """Paths as Spark writes them, local ones with one slash."""
+    return F.when(F.startswith("path", F.lit("/")), F.concat(F.lit("file:"), "path")).otherwise(F.col("path"))
+
+
 def scan_texts(
     spark: SparkSession, root: str, excluded: Sequence[str] = k.EXCLUDED_PACKS
 ) -> DataFrame:
@@ -61,8 +67,7 @@ def scan_texts(
     """
     spark.dataSource.register(SongFolders)
     options = {"excluded": "/".join(excluded)}
-    # Spark writes local paths with one slash.
-    local = F.when(F.startswith("path", F.lit("/")), F.concat(F.lit("file:"), "path")).otherwise(F.col("path"))
+    local = _with_scheme()
     found = spark.read.format(NAME).options(**options).load(root)
     return found.withColumns({"path": local, "directory": F.regexp_replace(local, "/[^/]*$", "")})
 
@@ -78,11 +83,19 @@ def _at_depth(files: DataFrame, root: str) -> DataFrame:
 def list_files(
     spark: SparkSession, root: str, excluded: Sequence[str] = k.EXCLUDED_PACKS
 ) -> DataFrame:
-    """Names of all files of a corpus, without their contents; packs in ``excluded`` left out."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
-    )
-    return _at_depth(_located(files), root).where(~F.col("pack").isin(*excluded))
+    """Names of all files of a corpus, without their contents; packs in ``excluded`` left out.
+
+    Songs are listed in tasks, and names stay there. Folders that cannot be listed are left out (:func:`scan_texts` tells
+    them). Of stores that only Spark reaches the driver holds the listing.
+    """
+    try:
+        opened(root)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+        return _at_depth(_located(files), root).where(~F.col("pack").isin(*excluded))
+    spark.dataSource.register(SongFolders)
+    found = spark.read.format(NAME).options(excluded="/".join(excluded), names="true").load(root).where("error is null")
+    return _located(found.select(_with_scheme().alias("path")))
 
 
 def choose_simfile(files: DataFrame) -> DataFrame:

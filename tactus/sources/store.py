@@ -68,6 +68,7 @@ class FolderReader(DataSourceReader):
         self.slices = int(options.get("slices", SLICES))
         excluded = options.get("excluded")
         self.excluded = set(k.EXCLUDED_PACKS if excluded is None else filter(None, excluded.split("/")))
+        self.names = options.get("names") == "true"
 
     def partitions(self) -> list[Share]:
         system, root = opened(self.root)
@@ -103,6 +104,12 @@ class FolderReader(DataSourceReader):
             except OSError as fault:
                 yield self._row(song.path, error=_reason(fault))
                 continue
+            if self.names:
+                # As Spark's own listing has them: without empty and hidden files.
+                if not any(_hidden(x) for x in (share.pack, song.base_name)):
+                    seen = (x for x in files if x.type == fs.FileType.File and x.size and not _hidden(x.base_name))
+                    yield from (self._row(x.path, length=x.size) for x in seen)
+                continue
             for file in files:
                 if file.type == fs.FileType.Directory or file.extension.lower() not in k.SIMFILE_SUFFIXES:
                     continue
@@ -131,6 +138,10 @@ class FolderReader(DataSourceReader):
         return pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
 
 
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
 def _reason(fault: OSError) -> str:
     return f"{type(fault).__name__}: {fault.strerror or fault}"[:200]
 
@@ -199,7 +210,8 @@ class FolderWriter(DataSourceWriter):
 class SongFolders(DataSource):
     """``spark.read.format("song_folders").load(root)`` and ``df.write.format("song_folders").save(root)``.
 
-    Options for reading: ``excluded``, pack names with slashes between them, and ``slices``, tasks for each pack.
+    Options for reading: ``excluded``, pack names with slashes between them, ``slices``, tasks for each pack,
+    and ``names``: with ``true`` every file is a row, whatever its suffix, and none is opened.
     """
 
     @classmethod

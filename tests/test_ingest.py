@@ -456,3 +456,16 @@ def test_white_space_of_every_kind_is_stripped(spark):
     names = spark.createDataFrame([(s,) for s in ("Hard", "ÉTÉ", "straße", "A-1", "", "aB")], "v string")
     both = names.select("v", scalars.upper_case(F.col("v")), scalars.lower_case(F.col("v"))).collect()
     assert all(r[1] == r[0].upper() and r[2] == r[0].lower() for r in both)
+
+
+def test_names_are_listed_in_tasks_as_by_spark(spark, tmp_path):
+    names = ("A/One/one.sm", "A/One/song.ogg", "A/One/.hidden.ogg", "A/One/_x.ogg", "A/One/deep/x.ogg", "A/loose.sm", "A/_Old/a.ogg", "B/Zwei ä#/曲 %41.Ogg", "B/Zwei ä#/none", "Gone/G/g.ogg")
+    root = tree(tmp_path / "Songs", dict.fromkeys(names, "x") | {"A/One/empty.ogg": ""})
+    columns = ["path", "directory", "pack", "song", "file", "suffix"]
+    listed = files.list_files(spark, root, excluded=("Gone",))
+    by_spark = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    expected = files._at_depth(files._located(by_spark), root).where("pack <> 'Gone'")
+    assert sorted(map(tuple, listed.select(columns).collect())) == sorted(map(tuple, expected.select(columns).collect()))
+    # The driver plans tasks, not files: it knows no path below the packs.
+    assert "InMemoryFileIndex" not in listed._jdf.queryExecution().toString()
+    assert listed.inputFiles() == []
