@@ -141,23 +141,26 @@ def resolve_audio(songs: DataFrame, listing: DataFrame, music: str = "music") ->
     song meets all files of its directory, and songs may share one.
     """
     suffix = F.array_position(F.array(*[F.lit(s) for s in k.AUDIO_SUFFIXES]), F.col("suffix"))
-    by_name = F.struct("__file", "__path")
-    named = listing.groupBy("directory", F.col("file").alias("__file")).agg(
-        F.min("path").alias("__path"), F.min(F.when(suffix > 0, suffix)).alias("__rank")
+
+    def way(kind: int, name: Column, rank: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), name.alias("name"), rank.alias("rank"))
+
+    # One pass over the listing: every file under the names it may be found by.
+    ways = [way(1, F.col("file"), F.lit(0)), way(2, F.lower("file"), F.lit(0)), F.when(suffix > 0, way(3, F.lit(""), suffix.cast("int")))]
+    best = (
+        listing.select("directory", "file", "path", F.explode(F.array_compact(F.array(*ways))).alias("__w"))
+        .groupBy("directory", F.col("__w.kind").alias("__kind"), F.col("__w.name").alias("__name"))
+        .agg(F.min(F.struct("__w.rank", "file", "path")).alias("__best"))
     )
-    same = named.select("directory", F.col("__file").alias("__music"), F.struct(F.col("__path").alias("p")).alias("__same"))
-    lower = named.groupBy("directory", F.lower("__file").alias("__music")).agg(F.min(by_name).alias("__lower"))
-    ranked = F.min(F.struct("__rank", "__file", "__path"))
-    other = named.where("__rank is not null").groupBy("directory").agg(ranked.alias("__other"))
-    asked = songs.select("directory", music).distinct()
-    found = (
-        asked.join(same.withColumnRenamed("__music", music), ["directory", music], "left")
-        .withColumn("__music", F.when(F.col(music) != "", F.lower(music)))
-        .join(lower, ["directory", "__music"], "left")
-        .join(other, "directory", "left")
+    m, none = F.col(music), F.lit(0)
+    wanted = [way(1, m, none), F.when(m != "", way(2, F.lower(m), none)), way(3, F.lit(""), none)]
+    asked = songs.select("directory", music).distinct().select("directory", music, F.explode(F.array_compact(F.array(*wanted))).alias("__w"))
+    picked = (
+        asked.select("directory", music, F.col("__w.kind").alias("__kind"), F.col("__w.name").alias("__name"))
+        .join(best, ["directory", "__kind", "__name"])
+        .groupBy(F.col("directory").alias("__in"), m.alias("__for"))
+        .agg(F.min_by(F.col("__best.path"), F.col("__kind")).alias("audio"))
     )
-    path = F.when(F.col("__same").isNotNull(), F.col("__same.p")).otherwise(F.coalesce("__lower.__path", "__other.__path"))
-    picked = found.select(F.col("directory").alias("__in"), F.col(music).alias("__for"), path.alias("audio"))
     return songs.join(
         picked, F.col("directory").eqNullSafe(F.col("__in")) & F.col(music).eqNullSafe(F.col("__for")), "left"
     ).drop("__in", "__for")

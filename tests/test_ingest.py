@@ -469,3 +469,9 @@ def test_names_are_listed_in_tasks_as_by_spark(spark, tmp_path):
     # The driver plans tasks, not files: it knows no path below the packs.
     assert "InMemoryFileIndex" not in listed._jdf.queryExecution().toString()
     assert listed.inputFiles() == []
+
+
+def test_audio_reads_the_listing_once(spark):
+    listing = spark.range(3).selectExpr("'d' as directory", "concat('d/f', id) as path", "concat('f', id) as file", "'ogg' as suffix")
+    songs = spark.createDataFrame([("d", "f1")], "directory string, music string")
+    assert optimized(files.resolve_audio(songs, listing)).count("Range (0, 3") == 1
