@@ -26,6 +26,15 @@ SEGMENT = "__segment"
 KEY = "__key"
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """Deal rows by ``columns`` over as many tasks as a shuffle of the session starts with.
+
+    Left to itself, Spark merges partitions up to 64 MB of packed rows and hashes whole file splits
+    before a shuffle. What a sort or a hash map unpacks from either is many times that.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def spread(
     df: DataFrame,
     position: Column,

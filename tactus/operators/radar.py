@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tactus.functions import constants as k
 from tactus.functions.scalars import count_codes
-from tactus.operators.ordered import SEGMENT, scan, settle, spread
+from tactus.operators.ordered import KEY, SEGMENT, dealt, scan, spread
 
 VOLTAGE_BEATS = 8
 VOLTAGE_SLOTS = VOLTAGE_BEATS * k.SLOTS_PER_BEAT
@@ -91,6 +91,84 @@ def held_count(
     return counted.select(*keys, slot, *kept, F.col("held").cast("int").alias("held"))
 
 
+def held_rows(
+    rows: DataFrame,
+    keys: Sequence[str],
+    *,
+    slot: str = "slot",
+    codes: str = "codes",
+    segment: float | None = None,
+) -> DataFrame:
+    """J08 and W10 - ``held_count`` over the freezes that ``hold_spans`` finds, in one shuffle of the rows.
+
+    A head counts from its row on unless the next mark of its panel is a head, and a tail ends the count of
+    the head before it. What enters a segment is how many freezes are down, the panels whose latest
+    mark is a head and those whose next mark is one.
+    """
+    keep = [c for c in rows.columns if c not in keys and c != slot]
+    heads = (k.HOLD, k.ROLL)
+    marks = F.filter(
+        F.transform(codes, lambda c, p: F.struct(p.alias("panel"), c.alias("code"))),
+        lambda m: m["code"].isin(*heads, k.TAIL),
+    )
+    # The row itself comes first, as panel -1.
+    own = F.array(F.struct(F.lit(-1).alias("panel"), F.lit(0).alias("code")))
+    cut = F.lit(0) if segment is None else _cut(slot, segment)
+    listed = rows.select(
+        F.struct(*keys).alias(KEY),
+        cut.alias(SEGMENT),
+        slot,
+        F.struct(*keep).alias("__row"),
+        F.explode(F.concat(own, F.coalesce(marks, F.array()))).alias("__m"),
+    )
+    events = dealt(
+        listed.select(
+            KEY, SEGMENT, slot, F.when(F.col("__m.panel") < 0, F.col("__row")).alias("__row"), "__m.panel", "__m.code"
+        ),
+        KEY,
+        SEGMENT,
+    )
+    code = F.col("code")
+    local = Window.partitionBy(KEY, SEGMENT, "panel").orderBy(slot)
+    prior = Window.partitionBy(KEY, SEGMENT).orderBy(slot, "panel").rowsBetween(Window.unboundedPreceding, -1)
+    before, after = F.lag("code").over(local).isin(*heads), F.lead("code").over(local).isin(*heads)
+    down = F.lit(0).cast("bigint")
+    if segment is not None:
+        events = events.join(_entering(events, slot, heads), [KEY, SEGMENT], "left")
+        before = F.coalesce(before, F.array_contains("__begun", F.col("panel")))
+        after = F.coalesce(after, F.array_contains("__ahead", F.col("panel")))
+        down = F.coalesce("__down", down)
+    no = F.lit(False)
+    step = F.when(code.isin(*heads) & ~F.coalesce(after, no), 1).when((code == k.TAIL) & F.coalesce(before, no), -1)
+    counted = events.withColumn("__step", step).withColumn("held", F.coalesce(F.sum("__step").over(prior), F.lit(0)) + down)
+    kept = ["__row.*"] if keep else []
+    return counted.where(F.col("panel") < 0).select(f"{KEY}.*", slot, *kept, F.col("held").cast("int").alias("held"))
+
+
+def _entering(events: DataFrame, slot: str, heads: Sequence[int]) -> DataFrame:
+    """Freezes that are down where a segment begins, for keys of two or more segments."""
+    edges = events.groupBy(KEY, SEGMENT, "panel").agg(
+        F.min_by("code", slot).alias("first"), F.max_by("code", slot).alias("last")
+    )
+    packed = edges.groupBy(KEY, SEGMENT).agg(F.collect_list(F.struct("panel", "first", "last")).alias("__edges"))
+    whole = Window.partitionBy(KEY)
+    several = packed.withColumn("__n", F.count(F.lit(1)).over(whole)).where(F.col("__n") > 1)
+    edges = several.select(KEY, SEGMENT, F.explode("__edges").alias("e")).select(KEY, SEGMENT, "e.*")
+    across = Window.partitionBy(KEY, "panel").orderBy(SEGMENT)
+    no = F.lit(False)
+    begun = F.coalesce(F.lag("last").over(across).isin(*heads), no)
+    ahead = F.coalesce(F.lead("first").over(across).isin(*heads), no)
+    edges = edges.withColumns({"__b": begun, "__a": ahead})
+    change = (F.col("last").isin(*heads) & ~F.col("__a")).cast("int") - (F.col("__b") & (F.col("first") == k.TAIL)).cast("int")
+    sums = edges.groupBy(KEY, SEGMENT).agg(
+        F.sum(change).alias("__change"),
+        F.collect_list(F.when(F.col("__b"), F.col("panel"))).alias("__begun"),
+        F.collect_list(F.when(F.col("__a"), F.col("panel"))).alias("__ahead"),
+    )
+    earlier = whole.orderBy(SEGMENT).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(KEY, SEGMENT, F.sum("__change").over(earlier).alias("__down"), "__begun", "__ahead")
+
+
 def peak_in_range(
     rows: DataFrame,
     keys: Sequence[str],
@@ -151,9 +229,7 @@ def radar(
         seconds.alias("__seconds"),
         count_codes(c, k.STEP_CODES).alias("__notes"),
     )
-    # Freezes are few next to notes, and the running count reads them twice.
-    spans = settle(hold_spans(rows, keys, slot=slot, codes=codes, segment=segment))
-    held = held_count(counted, spans, keys, slot=slot, segment=segment)
+    held = held_rows(counted, keys, slot=slot, codes=codes, segment=segment)
     near = peak_in_range(
         held, keys, F.col("__notes"), VOLTAGE_SLOTS, slot=slot, segment=segment
     )

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tactus.operators.ordered import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -115,15 +117,19 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Lines that share an order, a line number and a panel are one note, so they are aggregated first.
     """
-    lines = table(spark, sf_dir, "lineitem")
-    panel = F.col("l_partkey") % 4
-    code = F.col("l_quantity").cast("int") % 7
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        (F.col("l_partkey") % 4).cast("int").alias("panel"),
+        (F.col("l_quantity").cast("int") % 7).alias("code"),
+    )
 
     def at(p: int) -> Column:
-        return F.max(F.when(panel == p, code).otherwise(F.lit(0)))
+        return F.max(F.when(F.col("panel") == p, F.col("code")).otherwise(F.lit(0)))
 
     return (
-        lines.groupBy("l_orderkey", "l_linenumber")
+        dealt(lines, "l_orderkey", "l_linenumber")
+        .groupBy("l_orderkey", "l_linenumber")
         .agg(F.array(*[at(p) for p in range(4)]).alias("codes"))
         .where(F.exists("codes", lambda c: c > 0))
         .select(

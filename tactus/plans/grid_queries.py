@@ -64,9 +64,7 @@ def hold_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {HELD_SQL} SELECT chart, slot::BIGINT AS slot, held::BIGINT AS held FROM held",
 )
 def held_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = line_rows(spark, sf_dir)
-    spans = radar_ops.hold_spans(rows, KEY, segment=PIECE)
-    held = radar_ops.held_count(rows, spans, KEY, segment=PIECE)
+    held = radar_ops.held_rows(line_rows(spark, sf_dir), KEY, segment=PIECE)
     return held.select("chart", *[F.col(c).cast("bigint").alias(c) for c in ("slot", "held")])
 
 
