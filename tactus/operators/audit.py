@@ -271,7 +271,6 @@ def close_holds(
             F.lit(k.TAIL),
         ).otherwise(F.lit(0)),
     )
-    tails = ahead.select(*keys, ends.alias(slot), tail.alias(codes)).where(
-        F.exists(codes, lambda c: c == k.TAIL)
-    )
-    return rows.select(*keys, slot, codes).unionByName(tails)
+    added = F.when(F.exists(tail, lambda c: c == k.TAIL), F.struct(ends.alias(slot), tail.alias(codes)))
+    both = F.array_compact(F.array(F.struct(F.col(slot).alias(slot), F.col(codes).alias(codes)), added))
+    return ahead.select(*keys, F.explode(both).alias("__r")).select(*keys, "__r.*")

@@ -16,6 +16,8 @@ chart, which all came out of one text cell; then plain windows over the key are
 
 from __future__ import annotations
 
+import functools
+import operator
 import tempfile
 from collections.abc import Mapping, Sequence
 
@@ -104,7 +106,11 @@ def scan(
     position = F.struct(*by_order)
     # Inside a struct nulls are equal, so keys with nulls find their summaries again.
     local_keys = [KEY, SEGMENT] if segment is not None else [*keys]
-    rows = df.withColumns({SEGMENT: segment, KEY: F.struct(*keys)}) if segment is not None else df
+    rows = df
+    if segment is not None:
+        rest = [c for c in df.columns if c not in keys]
+        rows = dealt(df.select(F.struct(*keys).alias(KEY), segment.alias(SEGMENT), *rest), KEY, SEGMENT)
+        rows = rows.withColumns({c: F.col(f"{KEY}.{c}") for c in keys})
     w = Window.partitionBy(*local_keys).orderBy(*by_order)
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     prior = w.rowsBetween(Window.unboundedPreceding, -1)
@@ -152,10 +158,13 @@ def scan(
                 for n, (_, s) in marks.items()
             ],
         )
-        rows = rows.join(carried, local_keys, "left")
+        # Segments that nothing enters, such as all of keys that lie within one, need no summary.
+        entered = [F.col(f"__b_{n}") != 0 for n in sums]
+        entered += [F.col(f"__b_{n}").isNotNull() for n in [*lag, *lead, *last, *last_before, *marks]]
+        rows = rows.join(carried.where(functools.reduce(operator.or_, entered)), local_keys, "left")
 
     def base(name: str, otherwise: Column) -> Column:
-        return F.col(f"__b_{name}") if segment is not None else otherwise
+        return F.coalesce(F.col(f"__b_{name}"), otherwise) if segment is not None else otherwise
 
     def carried_value(name: str, local: Column) -> Column:
         return F.coalesce(local, F.col(f"__b_{name}"))["v"] if segment is not None else local["v"]
@@ -177,7 +186,7 @@ def scan(
     for n, (c, s) in marks.items():
         local = F.last(F.when(c, F.col(f"__run_{s}")), ignorenulls=True).over(upto)
         added[n] = (
-            F.coalesce(local + F.col(f"__b_{s}"), F.col(f"__b_{n}")) if segment is not None else local
+            F.coalesce(local + base(s, F.lit(0)), F.col(f"__b_{n}")) if segment is not None else local
         )
     kept = [c for c in df.columns if c not in added]
     return rows.select(*kept, *[e.alias(n) for n, e in added.items()])

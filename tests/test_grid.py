@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
-from tactus.operators import radar
+from tactus.operators import audit, radar
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "chart int, slot int, codes array<int>"
@@ -64,3 +64,49 @@ def test_rows_are_counted_in_few_shuffles(spark):
     plan = executed(entry_point.queries()["held_count"](spark, SF))
     assert plan.count("Join") <= 1 and plan.count("Exchange hashpartitioning") <= 6
     assert "REPARTITION_BY_NUM" in plan
+
+
+@pytest.mark.parametrize("segment", [96.0, 120.0])
+def test_values_close_by_come_with_the_freezes(spark, segment):
+    rows = random_charts(3, charts=15)
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = radar.held_rows(table, ["chart"], segment=segment, value=F.col("slot") + 1, reach=96).collect()
+    assert {(r["chart"], r["slot"]): r["held"] for r in found} == walked(rows)
+    near = {(c, s): sum(t + 1 for d, t, _ in rows if d == c and s - 96 <= t <= s) for c, s, _ in rows}
+    assert {(r["chart"], r["slot"]): r["recent"] for r in found} == near
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_radar_shuffles_no_row_twice(spark):
+    """Freezes and recent notes share one exchange of the rows, and lengths join charts and not rows."""
+    plan = executed(entry_point.queries()["radar"](spark, SF))
+    assert plan.count("held#") and plan.count("Join") == 2
+    table = spark.createDataFrame(random_charts(5), SCHEMA).withColumn("s", F.lit(10.0))
+    timed = radar.radar(table, ["chart"], F.col("s"), segment=96.0)
+    lengths = table.groupBy("chart").agg(F.max("s").alias("seconds"))
+    joined = radar.radar(table.drop("s"), ["chart"], lengths, segment=96.0)
+    assert sorted(map(tuple, timed.collect())) == sorted(map(tuple, joined.collect()))
+
+
+@pytest.mark.parametrize("segment", [None, 12.0, 96.0])
+def test_closed_holds(spark, segment):
+    rows = [(1, 0, [2, 0]), (1, 5, [0, 4]), (1, 90, [0, 3]), (1, 200, [4, 0, 2]), (2, 8, [1]), (None, 7, [2])]
+    table = spark.createDataFrame(rows, SCHEMA)
+    found = audit.close_holds(table, ["chart"], segment=segment)
+    added = [(1, 4, (3, 0)), (1, 200 + 12, (3, 0, 3)), (None, 19, (3,))]
+    want = [(c, s, tuple(x)) for c, s, x in rows] + added
+    assert sorted(((r[0], r[1], tuple(r[2])) for r in found.collect()), key=str) == sorted(want, key=str)
+    assert "Union" not in executed(found)
+
+
+def test_keys_within_one_segment_carry_nothing(spark):
+    """A scan's join is gone once it is known that nothing crosses an edge, and rows are dealt by number."""
+    from tactus.operators.ordered import scan
+
+    rows = spark.range(1000).select((F.col("id") % 50).alias("key"), (F.col("id") / 50).cast("int").alias("at"))
+    found = scan(rows, ["key"], ["at"], F.floor(F.col("at") / 100), running={"n": F.lit(1)}, lag={"before": F.col("at")})
+    assert found.where("n <> at + 1 or coalesce(before, -1) <> at - 1").count() == 0 and found.count() == 1000
+    assert "REPARTITION_BY_NUM" in executed(found)
+    found.collect()
+    final = found._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    assert "Join" not in final
