@@ -16,6 +16,8 @@ from tactus.operators.ordered import KEY, SEGMENT, dealt, scan, spread
 
 VOLTAGE_BEATS = 8
 VOLTAGE_SLOTS = VOLTAGE_BEATS * k.SLOTS_PER_BEAT
+#: Panels of what is no mark: a row as a whole, and its value in the next segment.
+ROW, GHOST = -1, -2
 
 
 def _cut(slot: str, segment: float | None) -> Column | None:
@@ -98,51 +100,75 @@ def held_rows(
     slot: str = "slot",
     codes: str = "codes",
     segment: float | None = None,
+    value: Column | None = None,
+    reach: int = 0,
 ) -> DataFrame:
     """J08 and W10 - ``held_count`` over the freezes that ``hold_spans`` finds, in one shuffle of the rows.
 
     A head counts from its row on unless the next mark of its panel is a head, and a tail ends the count of
     the head before it. What enters a segment is how many freezes are down, the panels whose latest
-    mark is a head and those whose next mark is one.
+    mark is a head and those whose next mark is one. With a ``value``, ``recent`` is added as ``peak_in_range``
+    does it, in the same shuffle.
     """
+    if segment is not None and reach > segment:
+        raise ValueError("a segment must be at least as wide as the frame that crosses its edge")
     keep = [c for c in rows.columns if c not in keys and c != slot]
     heads = (k.HOLD, k.ROLL)
     marks = F.filter(
         F.transform(codes, lambda c, p: F.struct(p.alias("panel"), c.alias("code"))),
         lambda m: m["code"].isin(*heads, k.TAIL),
     )
-    # The row itself comes first, as panel -1.
-    own = F.array(F.struct(F.lit(-1).alias("panel"), F.lit(0).alias("code")))
+
+    def alone(panel: int) -> Column:
+        return F.array(F.struct(F.lit(panel).alias("panel"), F.lit(0).alias("code")))
+
+    # The row itself, its marks, and its value once more in the next segment if that is within reach.
     cut = F.lit(0) if segment is None else _cut(slot, segment)
+    parts = [alone(ROW), F.coalesce(marks, F.array())]
+    if value is not None and segment is not None:
+        crosses = F.floor((F.col(slot) + F.lit(reach)) / F.lit(float(segment))) > cut
+        parts.append(F.when(crosses, alone(GHOST)).otherwise(F.array()))
+    panel, code = F.col("panel"), F.col("code")
     listed = rows.select(
         F.struct(*keys).alias(KEY),
         cut.alias(SEGMENT),
         slot,
         F.struct(*keep).alias("__row"),
-        F.explode(F.concat(own, F.coalesce(marks, F.array()))).alias("__m"),
-    )
+        (F.lit(None) if value is None else value).alias("__value"),
+        F.explode(F.concat(*parts)).alias("__m"),
+    ).select(KEY, SEGMENT, slot, "__row", "__value", "__m.*")
     events = dealt(
         listed.select(
-            KEY, SEGMENT, slot, F.when(F.col("__m.panel") < 0, F.col("__row")).alias("__row"), "__m.panel", "__m.code"
+            KEY,
+            (F.col(SEGMENT) + (panel == GHOST).cast("int")).alias(SEGMENT),
+            slot,
+            "panel",
+            "code",
+            F.when(panel == ROW, F.col("__row")).alias("__row"),
+            F.when(panel < 0, F.col("__value")).alias("__value"),
         ),
         KEY,
         SEGMENT,
     )
-    code = F.col("code")
     local = Window.partitionBy(KEY, SEGMENT, "panel").orderBy(slot)
-    prior = Window.partitionBy(KEY, SEGMENT).orderBy(slot, "panel").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(KEY, SEGMENT)
+    prior = whole.orderBy(slot, "panel").rowsBetween(Window.unboundedPreceding, -1)
     before, after = F.lag("code").over(local).isin(*heads), F.lead("code").over(local).isin(*heads)
     down = F.lit(0).cast("bigint")
     if segment is not None:
-        events = events.join(_entering(events, slot, heads), [KEY, SEGMENT], "left")
-        before = F.coalesce(before, F.array_contains("__begun", F.col("panel")))
-        after = F.coalesce(after, F.array_contains("__ahead", F.col("panel")))
+        events = events.join(_entering(events.where(panel != GHOST), slot, heads), [KEY, SEGMENT], "left")
+        before = F.coalesce(before, F.array_contains("__begun", panel))
+        after = F.coalesce(after, F.array_contains("__ahead", panel))
         down = F.coalesce("__down", down)
     no = F.lit(False)
     step = F.when(code.isin(*heads) & ~F.coalesce(after, no), 1).when((code == k.TAIL) & F.coalesce(before, no), -1)
     counted = events.withColumn("__step", step).withColumn("held", F.coalesce(F.sum("__step").over(prior), F.lit(0)) + down)
+    added = [F.col("held").cast("int").alias("held")]
+    if value is not None:
+        counted = counted.withColumn("recent", F.sum("__value").over(whole.orderBy(slot).rangeBetween(-reach, 0)))
+        added.append(F.col("recent"))
     kept = ["__row.*"] if keep else []
-    return counted.where(F.col("panel") < 0).select(f"{KEY}.*", slot, *kept, F.col("held").cast("int").alias("held"))
+    return counted.where(panel == ROW).select(f"{KEY}.*", slot, *kept, *added)
 
 
 def _entering(events: DataFrame, slot: str, heads: Sequence[int]) -> DataFrame:
@@ -214,44 +240,49 @@ RADAR = (
 def radar(
     rows: DataFrame,
     keys: Sequence[str],
-    seconds: Column,
+    seconds: Column | DataFrame,
     *,
     slot: str = "slot",
     codes: str = "codes",
     segment: float | None = None,
 ) -> DataFrame:
-    """A03 - the fourteen radar values of each chart, lasting ``seconds`` (a column of ``rows``)."""
+    """A03 - the fourteen radar values of each chart, lasting ``seconds``.
+
+    That is a column of ``rows``, or a table (keys, seconds) of the charts that are wanted.
+    """
     c = F.col(codes)
+    notes = F.col("notes")
+    timed = isinstance(seconds, Column)
+    # One struct of small numbers a row; the codes themselves go no further than their marks.
     counted = rows.select(
         *keys,
         slot,
         codes,
-        seconds.alias("__seconds"),
-        count_codes(c, k.STEP_CODES).alias("__notes"),
-    )
-    held = held_rows(counted, keys, slot=slot, codes=codes, segment=segment)
-    near = peak_in_range(
-        held, keys, F.col("__notes"), VOLTAGE_SLOTS, slot=slot, segment=segment
+        *([seconds.alias("__seconds")] if timed else []),
+        count_codes(c, k.STEP_CODES).alias("notes"),
+        *[count_codes(c, [code]).alias(n) for n, code in (("holds", k.HOLD), ("mines", k.MINE), ("rolls", k.ROLL), ("lifts", k.LIFT))],
     )
-    notes = F.col("__notes")
+    near = held_rows(counted, keys, slot=slot, codes=codes, segment=segment, value=notes, reach=VOLTAGE_SLOTS)
 
     def flag(condition: Column) -> Column:
         return F.sum(condition.cast("int"))
 
     found = near.groupBy(*keys).agg(
-        F.max("__seconds").alias("__s"),
+        *([F.max("__seconds").alias("__s")] if timed else []),
         F.max(slot).alias("__last"),
         F.max("recent").alias("__peak"),
         flag(F.pmod(F.col(slot), F.lit(6)) != 0).alias("__fine"),
         F.sum(notes).alias("notes"),
         flag(notes >= 1).alias("taps_and_holds"),
         flag(notes >= 2).alias("jumps"),
-        F.sum(count_codes(c, [k.HOLD])).alias("holds"),
-        F.sum(count_codes(c, [k.MINE])).alias("mines"),
+        F.sum("holds").alias("holds"),
+        F.sum("mines").alias("mines"),
         flag(notes + F.col("held") >= 3).alias("hands"),
-        F.sum(count_codes(c, [k.ROLL])).alias("rolls"),
-        F.sum(count_codes(c, [k.LIFT])).alias("lifts"),
+        F.sum("rolls").alias("rolls"),
+        F.sum("lifts").alias("lifts"),
     )
+    if not timed:
+        found = found.join(seconds.select(*keys, F.col("seconds").alias("__s")), list(keys))
     s = F.col("__s")
 
     def rate(value: Column) -> Column:

@@ -102,7 +102,7 @@ def peak_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def radar(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = line_rows(spark, sf_dir)
     length = rows.groupBy("chart").agg((F.max("slot") / 12.0 + 1).alias("seconds"))
-    found = radar_ops.radar(rows.join(length, "chart"), KEY, F.col("seconds"), segment=PIECE)
+    found = radar_ops.radar(rows, KEY, length, segment=PIECE)
     rates = ("stream", "voltage", "air", "freeze", "chaos")
     rest = [c for c in found.columns if c not in rates and c != "chart"]
     return found.select(
