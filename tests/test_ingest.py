@@ -216,6 +216,19 @@ def test_dwi_grammar(spark):
         assert [b for b, _ in found[i]] == pytest.approx([b for b, _ in expected], abs=1e-9), stream
 
 
+def test_dwi_streams_are_read_without_a_shuffle(spark):
+    """Freezes are told in the walk over the stream; a panel stepped twice on one row has its last code."""
+    streams = ["4!44!44", "<4!4><4>6!66", "", None, "{4!46!64000}"]
+    charts = spark.createDataFrame(list(enumerate(streams)), "chart int, notes string")
+    rows = dwi.dwi_rows(charts, ["chart"])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    found = {}
+    for r in rows.orderBy("chart", "beat").collect():
+        found.setdefault(r["chart"], []).append("".join(map(str, r["codes"])))
+    assert found[0] == ["2000", "3000", "1000"] and found[1] == ["2000", "3000", "0002", "0003"]
+    assert set(found) == {0, 1, 4} and dict(rows.dtypes) == {"chart": "int", "beat": "double", "codes": "array<int>"}
+
+
 ROWS = [
     (1, 0, 0, [1, 0, 0, 0]), (1, 0, 12, [0, 2, 0, 0]), (1, 0, 30, [0, 3, 0, 1]), (1, 0, 150, [0, 0, 4, 0]),
     (1, 0, 156, [1, 1, 3, 1]), (1, 1, 5, [1, 0, 0, 1]), (1, 1, 100, [0, 1, 0, 0]),
