@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tactus.llm import spans
 from tactus.llm.components import components
-from tactus.llm.shared import settle
+from tactus.llm.shared import settle, small_batches
 
 #: Characters of a shingle, bands, rows of a band. At a similarity of 0.8 a pair shares a band with
 #: probability 1 - (1 - 0.8**ROWS)**BANDS = 0.998.
@@ -22,6 +22,21 @@ LOW = np.uint64((1 << 40) - 1)
 TILE_LINES, TILE_CHARS = 512, 1 << 20
 #: Shingles that are compared at a time, as columns of a matrix.
 COLUMNS = 4096
+#: Bytes of text whose lines are signed or compared at a time. A character takes some 100 bytes of arrays meanwhile.
+SIGN_BYTES = 1 << 17
+
+
+def _trimmed(block: spans.Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Text, number in it, start and end of the lines that hold more than white space, without that at their ends."""
+    data = block.data
+    lo, hi, doc = block.lines()
+    # Number of the line inside its text: line ends before it.
+    ends = np.flatnonzero(data == 0x0A)
+    number = np.searchsorted(ends, lo) - np.searchsorted(ends, block.edges[doc])
+    ink = np.flatnonzero(~spans.SPACE[data])
+    first, last = np.searchsorted(ink, lo), np.searchsorted(ink, hi)
+    some = last > first
+    return doc[some], number[some].astype(np.int32), ink[first[some]], ink[last[some] - 1] + 1
 
 
 class Lines:
@@ -29,17 +44,7 @@ class Lines:
 
     def __init__(self, block: spans.Block):
         data = block.data
-        lo, hi, doc = block.lines()
-        # Number of the line inside its text: line ends before it.
-        ends = np.zeros(len(data) + 1, np.int64)
-        np.cumsum(data == 0x0A, out=ends[1:])
-        number = ends[lo] - ends[block.edges[doc]]
-        ink = np.flatnonzero(~spans.SPACE[data])
-        first, last = np.searchsorted(ink, lo), np.searchsorted(ink, hi)
-        some = last > first
-        lo, hi = ink[first[some]], ink[last[some] - 1] + 1
-        self.doc, self.number = doc[some], number[some].astype(np.int32)
-        self.lo, self.hi = lo, hi
+        self.doc, self.number, lo, self.hi = _trimmed(block)
         starts = np.flatnonzero((data & 0xC0) != 0x80)
         self.points = self._points(data)
         self.begin, self.end = np.searchsorted(starts, lo), np.searchsorted(starts, self.hi)
@@ -54,12 +59,11 @@ class Lines:
     @staticmethod
     def _points(data: np.ndarray) -> np.ndarray:
         """Code points, A-Z lower-cased."""
-        out = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
-        out[(out >= 0x41) & (out <= 0x5A)] += np.uint64(32)
-        return out
+        data = data + ((data >= 0x41) & (data <= 0x5A)).view(np.uint8) * np.uint8(32)
+        return np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.uint64)
 
-    def shingles(self) -> np.ndarray:
-        """Sorted distinct (line << 40 | 40 bits of a shingle's hash); a short line is one shingle."""
+    def _hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Line and 40 bits of the hash of every shingle, repeats included; a short line is one shingle."""
         size = self.end - self.begin
         count = np.maximum(size - SHINGLE + 1, 1)
         of = np.repeat(np.arange(len(size), dtype=np.int32), count)
@@ -74,7 +78,12 @@ class Lines:
         short = np.flatnonzero(size < SHINGLE)
         upto[heads[short]] = self.end[short]
         found = spans.mixed((self.sums[upto] - self.sums[at]) * self.inverse[at])
-        keys = np.sort(of.astype(np.uint64) << np.uint64(40) | found >> np.uint64(24))
+        return of, found >> np.uint64(24)
+
+    def shingles(self) -> np.ndarray:
+        """Sorted distinct (line << 40 | hash) of the shingles."""
+        of, low = self._hashes()
+        keys = np.sort(of.astype(np.uint64) << np.uint64(40) | low)
         fresh = np.ones(len(keys), bool)
         fresh[1:] = keys[1:] != keys[:-1]
         return keys[fresh]
@@ -85,28 +94,18 @@ class Lines:
         The smallest hash in each of BINS equal parts of the hash range; an empty part borrows from
         the next one that is not.
         """
-        keys = self.shingles()
-        low = keys & LOW
-        cell = (keys >> np.uint64(40)) * np.uint64(BINS) + (low * np.uint64(BINS) >> np.uint64(40))
-        first = np.ones(len(cell), bool)
-        first[1:] = cell[1:] != cell[:-1]
-        table = np.zeros(len(self.nodes) * BINS, np.uint64)
-        filled = np.zeros(len(table), bool)
-        table[cell[first].astype(np.int64)] = low[first]
-        filled[cell[first].astype(np.int64)] = True
-        table, filled = table.reshape(-1, BINS), filled.reshape(-1, BINS)
-        few = np.flatnonzero(~filled.all(1))
-        own, full = table[few], filled[few]
-        done, borrowed = full.copy(), own.copy()
-        for step in range(1, BINS):
-            if done.all():
-                break
-            take = ~done & np.roll(full, -step, 1)
-            borrowed[take] = np.roll(own, -step, 1)[take] + np.uint64(step << 40)
-            done |= take
-        table[few] = borrowed
-        out = table
-        out = out.reshape(-1, BANDS, ROWS)
+        of, low = self._hashes()
+        none = np.uint64(1 << 63)
+        table = np.full(len(self.nodes) * BINS, none)
+        np.minimum.at(table, of.astype(np.int64) * BINS + (low * np.uint64(BINS) >> np.uint64(40)).view(np.int64), low)
+        table = table.reshape(-1, BINS)
+        empty = table == none
+        # For each part the next one, itself included, that is not empty, round the end.
+        place = np.where(np.concatenate([empty, empty], 1), 2 * BINS, np.arange(2 * BINS))
+        place = np.minimum.accumulate(place[:, ::-1], 1)[:, : BINS - 1 : -1]
+        steps = (place - np.arange(BINS)).astype(np.uint64) << np.uint64(40)
+        table = np.take_along_axis(table, place % BINS, 1) + steps
+        out = table.reshape(-1, BANDS, ROWS)
         key = np.arange(1, BANDS + 1, dtype=np.uint64)[None, :] * spans.INVERSE
         for row in range(ROWS):
             key = spans.mixed(key * spans.BASE + out[:, :, row])
@@ -117,7 +116,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     """Per line: its document, number, 64-bit hash ``node`` and band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block in spans.blocks(batches, "text"):
+        for batch, block in spans.blocks(batches, "text", SIGN_BYTES):
             lines = Lines(block)
             if not len(lines.nodes):
                 continue
@@ -129,7 +128,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 
 def _shared(lines: DataFrame) -> DataFrame:
-    """(key, node) of the band keys that two or more different lines have."""
+    """(key, node) of the band keys that two or more different lines have; few rows come more than once."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # a line that comes again in the batch is sent once
@@ -145,32 +144,40 @@ def _shared(lines: DataFrame) -> DataFrame:
             nodes = np.concatenate([nodes, batch.column("node").to_numpy()])
             if not len(keys):
                 continue
+            # Spark sorts by the key alone, a long that it can sort by its digits.
+            order = np.lexsort((nodes, keys))
+            carried = None if not sent else (keys[0], nodes[0])
+            keys, nodes = keys[order], nodes[order]
             fresh = np.ones(len(keys), bool)
             fresh[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
             keys, nodes = keys[fresh], nodes[fresh]
             same = np.zeros(len(keys) + 1, bool)
             same[1:-1] = keys[1:] == keys[:-1]
             out = same[1:] | same[:-1]
-            after = bool(out[-1]) or (len(keys) == 1 and sent)
-            out[0] &= not sent
+            if carried is not None:
+                out &= (keys != carried[0]) | (nodes != carried[1])
+            after = bool(same[-2]) or (carried is not None and keys[-1] == carried[0])
             yield pa.RecordBatch.from_arrays([pa.array(keys[out]), pa.array(nodes[out])], ["key", "node"])
             keys, nodes, sent = keys[-1:], nodes[-1:], after
 
     rows = lines.select("node", "bands").mapInArrow(local, "key long, node long")
-    return rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(runs, "key long, node long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(runs, "key long, node long")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     """(node, text) of the lines whose numbers stand in ``numbers``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, block in spans.blocks(batches, "text"):
-            lines = Lines(block)
-            wanted = [set(x) for x in batch.column("numbers").to_pylist()]
-            pick = [i for i, (d, n) in enumerate(zip(lines.doc.tolist(), lines.number.tolist(), strict=True)) if n in wanted[d]]
+        for batch, block in spans.blocks(batches, "text", SIGN_BYTES):
+            doc, number, lo, hi = _trimmed(block)
+            wanted = batch.column("numbers")
+            of = np.repeat(np.arange(len(wanted)), wanted.value_lengths().to_numpy())
+            wanted = of << 32 | wanted.flatten().to_numpy()
+            pick = np.flatnonzero(np.isin(doc << 32 | number, wanted))
             raw = block.data.tobytes()
-            texts = [raw[lines.lo[i] : lines.hi[i]].decode() for i in pick]
-            yield pa.RecordBatch.from_arrays([pa.array(lines.nodes[pick]), pa.array(texts, pa.string())], ["node", "text"])
+            texts = pa.array([raw[i:j].decode() for i, j in zip(lo[pick].tolist(), hi[pick].tolist(), strict=True)], pa.string())
+            # Each text is one line: white space at its ends is gone, and so are line ends.
+            yield pa.RecordBatch.from_arrays([pa.array(Lines(spans.Block(texts)).nodes), texts], ["node", "text"])
 
     return docs.mapInArrow(run, "node long, text string")
 
@@ -199,20 +206,28 @@ def _alike(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 def _overlaps(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: tuple[int, int]) -> np.ndarray:
     """How many columns each row of ``left`` shares with each row of ``right``; both hold (row, column) of their ones."""
-    out = np.zeros(rows, np.float32)
     columns, at = np.unique(np.concatenate([left[1], right[1]]), return_inverse=True)
     sides = [(left[0], at[: len(left[1])]), (right[0], at[len(left[1]) :])]
     both = np.bincount(sides[0][1], minlength=len(columns)).astype(bool) & np.bincount(sides[1][1], minlength=len(columns)).astype(bool)
     place = np.cumsum(both) - 1
     sides = [(row[both[col]], place[col[both[col]]]) for row, col in sides]
-    for start in range(0, int(both.sum()), COLUMNS):
+    return _product(sides[0], sides[1], rows, int(both.sum()))
+
+
+def _product(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: tuple[int, int], width: int) -> np.ndarray:
+    """``_overlaps`` where the columns are numbered from 0 to ``width``."""
+    out = np.zeros(rows, np.float32)
+    sides = [left] if left is right else [left, right]
+    for start in range(0, width, COLUMNS):
         ones = []
-        for (row, col), n in zip(sides, rows, strict=True):
-            pick = (col >= start) & (col < start + COLUMNS)
-            matrix = np.zeros((n, min(COLUMNS, int(both.sum()) - start)), np.float32)
-            matrix[row[pick], col[pick] - start] = 1
+        for (row, col), n in zip(sides, rows, strict=False):
+            if width > COLUMNS:
+                pick = (col >= start) & (col < start + COLUMNS)
+                row, col = row[pick], col[pick] - start
+            matrix = np.zeros((n, min(COLUMNS, width - start)), np.float32)
+            matrix[row, col] = 1
             ones.append(matrix)
-        out += ones[0] @ ones[1].T
+        out += ones[0] @ ones[-1].T
     return out.astype(np.int64)
 
 
@@ -238,38 +253,47 @@ def _joined(texts: pa.Array, bounds: np.ndarray, first: np.ndarray, comps: np.nd
     """
     # Each text is one line: white space at its ends is gone, and so are line ends.
     keys = Lines(spans.Block(texts)).shingles()
-    of, low = (keys >> np.uint64(40)).astype(np.int64), keys & LOW
+    of, low = (keys >> np.uint64(40)).view(np.int64), keys & LOW
     sizes = np.bincount(of, minlength=len(texts))
-    ends = np.concatenate([[0], np.cumsum(sizes)])
+    heads, count = bounds[:-1], np.diff(bounds)
+    still = np.minimum.reduceat(comps, heads) != np.maximum.reduceat(comps, heads)
+    # Shingles that come twice or more in a group, in order of the groups: one column each.
+    group = np.repeat(np.arange(len(heads)), count)[of]
+    mine = np.flatnonzero(still[group])
+    of, key = of[mine], group[mine].astype(np.uint64) << np.uint64(40) | low[mine]
+    order = np.argsort(key)
+    of, key = of[order], key[order]
+    same = np.zeros(len(key) + 1, bool)
+    same[1:-1] = key[1:] == key[:-1]
+    often = same[1:] | same[:-1]
+    of, key, column = of[often], (key[often] >> np.uint64(40)).view(np.int64), np.cumsum(~same[:-1][often]) - 1
+    ends = np.searchsorted(key, np.arange(len(heads) + 1))
     out: list[tuple[int, int]] = []
-    # Groups of two lines at a time: what comes twice in a group is shared.
-    two = np.flatnonzero(np.diff(bounds) == 2)
-    a, b = bounds[:-1][two], bounds[:-1][two] + 1
-    group = np.searchsorted(bounds, np.arange(len(texts)), "right") - 1
-    name = np.full(len(bounds), -1, np.int64)
-    name[two] = np.arange(len(two))
-    mine = name[group[of]]
-    both = np.sort(mine[mine >= 0].astype(np.uint64) << np.uint64(40) | low[mine >= 0])
-    shared = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(40)).astype(np.int64), minlength=len(two))
-    good = (comps[a] != comps[b]) & (100 * shared >= percent * (sizes[a] + sizes[b] - shared))
+    # A column of a group of two lines is shared by them.
+    two = np.flatnonzero(still & (count == 2))
+    a, b, shared = heads[two], heads[two] + 1, (ends[two + 1] - ends[two]) // 2
+    good = 100 * shared >= percent * (sizes[a] + sizes[b] - shared)
     out += zip(comps[a[good]].tolist(), comps[b[good]].tolist(), strict=True)
-    for g in np.flatnonzero(np.diff(bounds) > 2).tolist():
+    for g in np.flatnonzero(still & (count > 2) & (ends[1:] > ends[:-1])).tolist():
         lo, hi = int(bounds[g]), int(bounds[g + 1])
-        own = comps[lo:hi]
-        if (own == own[0]).all():
-            continue
-        row, column, side = of[ends[lo] : ends[hi]] - lo, low[ends[lo] : ends[hi]], first[lo:hi]
-        whole = bool(side.all())
-        x = np.flatnonzero(side)
-        y = x if whole else np.flatnonzero(~side)
-        rank = np.zeros(hi - lo, np.int64)
-        rank[x], rank[y] = np.arange(len(x)), np.arange(len(y))
-        in_x = side[row]
-        left = (rank[row[in_x]], column[in_x])
-        right = left if whole else (rank[row[~in_x]], column[~in_x])
-        shared = _overlaps(left, right, (len(x), len(y)))
+        own, side = comps[lo:hi], first[lo:hi]
+        part = slice(ends[g], ends[g + 1])
+        row, col = of[part] - lo, column[part] - column[ends[g]]
+        width = int(col[-1]) + 1
+        if side.all():
+            x = y = np.arange(hi - lo)
+            left = right = (row, col)
+        else:
+            x, y = np.flatnonzero(side), np.flatnonzero(~side)
+            rank = np.zeros(hi - lo, np.int64)
+            rank[x], rank[y] = np.arange(len(x)), np.arange(len(y))
+            in_x = side[row]
+            left, right = (rank[row[in_x]], col[in_x]), (rank[row[~in_x]], col[~in_x])
+        shared = _product(left, right, (len(x), len(y)), width)
         total = sizes[lo:hi][x][:, None] + sizes[lo:hi][y][None, :] - shared
         good = (100 * shared >= percent * total) & (own[x][:, None] != own[y][None, :])
+        if not good.any():
+            continue
         linked = np.zeros((hi - lo, hi - lo), bool)
         linked[np.ix_(x, y)] = good
         out += _forest(linked | linked.T, own)
@@ -289,7 +313,7 @@ def _open_links(rows: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
             chars = np.concatenate([[0], np.cumsum(table.column("chars").to_numpy())])
             at = 0
             while at < len(bounds) - 1:  # whole groups of about one block
-                upto = max(at + 1, int(np.searchsorted(chars[bounds], chars[bounds[at]] + spans.BLOCK_BYTES, "right")) - 1)
+                upto = max(at + 1, int(np.searchsorted(chars[bounds], chars[bounds[at]] + SIGN_BYTES, "right")) - 1)
                 part = table.slice(bounds[at], bounds[upto] - bounds[at]).combine_chunks()
                 text = part.column("text").cast(pa.large_string()).combine_chunks()
                 text = text.chunk(0) if isinstance(text, pa.ChunkedArray) else text
@@ -344,6 +368,7 @@ def kept_lines(docs: DataFrame, percent: int = 80, rounds: int = 1, id_column: s
     one row. Null and empty texts have no lines. Other columns are not looked at; an empty
     table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text")).where("doc_id is not null")
     lines = settle(_signatures(docs))
     firsts = settle(lines.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count(F.lit(1)).alias("held")))

@@ -12,6 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of rows that are sent to a Python worker at a time. Texts of some KB fill it long before Spark's 10,000 rows, whose
+#: batch takes several times its size in the JVM and again in the worker.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on, rows of this session go to Python in batches of about BATCH_BYTES, unless its start names another size."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def folder(spark: SparkSession) -> str:
     """A new path in the folder that ``spark.checkpoint.dir`` names.
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tactus.llm import spans
+from tactus.llm.shared import small_batches
 
 DECAY, REACH = 0.75, 6
 #: Labelled rows that a model is fitted on, at most; half of each class as far as there are enough.
@@ -453,6 +454,7 @@ def toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colu
 
 def without_toxic(docs: DataFrame, model: Model, text_column: str = "text", threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that score under ``threshold``, as they are."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block in spans.blocks(batches, text_column):

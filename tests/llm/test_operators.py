@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -357,6 +358,61 @@ def test_line_tiles(spark, monkeypatch):
         assert {r["doc_id"]: r["kept"] for r in found} == expected
 
 
+def test_line_signatures():
+    """Lines are signed in little memory, whatever the size of a batch, and as the sorted shingles say."""
+    rng = np.random.default_rng(12)
+    words = np.array([f"Wörd{x}" for x in range(500)])
+    texts = ["\n".join([*(" ".join(words[rng.integers(0, 500, 30)]) for _ in range(9)), " x", ""]) for _ in range(1600)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    assert batch.nbytes > 3 << 20
+    tracemalloc.start()
+    sizes = [len(b.data) for _, b in spans.blocks([batch], "text", line_dedup.SIGN_BYTES) if len(line_dedup.Lines(b).bands())]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == len("".join(texts).encode()) and most < 40e6  # 62 MB in blocks of 1 MB
+    lines = line_dedup.Lines(spans.Block(pa.array(texts[:20])))
+    keys, low = (x := lines.shingles()) >> np.uint64(40), x & line_dedup.LOW
+    bins = line_dedup.BINS
+    expected = np.arange(1, line_dedup.BANDS + 1, dtype=np.uint64) * spans.INVERSE + np.zeros((len(lines.nodes), 1), np.uint64)
+    for i in range(len(lines.nodes)):
+        own = {}
+        for value in low[keys == i].tolist():
+            own.setdefault(value * bins >> 40, value)
+        filled = [next((own[(at + n) % bins] + (n << 40)) for n in range(bins) if (at + n) % bins in own) for at in range(bins)]
+        for row in range(line_dedup.ROWS):
+            expected[i] = spans.mixed(expected[i] * spans.BASE + np.array(filled, np.uint64)[row :: line_dedup.ROWS])
+    assert (lines.bands() == expected.view(np.int64)).all()
+
+
+def test_small_batches(spark):
+    """Rows with long texts go to Python a few MB at a time."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("line of text "), 400).alias("text"))
+    line_dedup.without_copies(docs)
+    sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()
+    assert sum(r["n"] for r in sizes) > 20e6 and max(r["n"] for r in sizes) < 8e6
+
+
+def test_shared_bands(spark):
+    """Keys of two or more different lines, told over batches of few rows; Spark sorts by the key alone."""
+    rng = np.random.default_rng(13)
+    bands = [[n % 7, *(100 + rng.integers(0, 40, line_dedup.BANDS - 2)).tolist(), 1000 + n] for n in range(60)]
+    rows = [(n, bands[n]) for n in rng.integers(0, 60, 300).tolist()]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        table = line_dedup._shared(spark.createDataFrame(rows, "node long, bands array<long>").repartition(4))
+        found = {tuple(r) for r in table.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    held = {}
+    for node, keys in rows:
+        for key in keys:
+            held.setdefault(key, set()).add(node)
+    assert found == {(key, node) for key, nodes in held.items() if len(nodes) > 1 for node in nodes}
+    sorts = [x for x in table._jdf.queryExecution().sparkPlan().toString().splitlines() if "Sort [" in x]
+    assert len(sorts) == 1 and "node" not in sorts[0]
+
+
 def test_line_overlaps(monkeypatch):
     monkeypatch.setattr(line_dedup, "COLUMNS", 7)
     rng = np.random.default_rng(5)
