@@ -203,7 +203,14 @@ def _features(words: list[str]) -> np.ndarray:
     square = np.zeros(len(words))
     for of, _, w in _triples(letters, begin, stop):
         square += np.bincount(of, minlength=len(words)) * (w * w)
-    return out / np.maximum(np.sqrt(square), 1e-9)[:, None].astype(np.float32)
+    out /= np.maximum(np.sqrt(square), 1e-9)[:, None].astype(np.float32)
+    return out
+
+
+def _parts(words: list[str]) -> Iterator[np.ndarray]:
+    """The rows of ``_features``, 32 words (11 MB) at a time."""
+    for at in range(0, len(words), 32):
+        yield _features(words[at : at + 32])
 
 
 def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float = 1e-6, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -220,7 +227,9 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, penalty: float =
     for _ in range(steps):
         active = y * (x @ w) < 1
         xa, ya, ca = x[active], y[active], weight[active]
-        step = np.linalg.solve((xa * ca[:, None]).T @ xa + np.diag(ridge), (xa * ca[:, None]).T @ ya) - w
+        pulled = (xa * ca[:, None]).T
+        step = np.linalg.solve(pulled @ xa + np.diag(ridge), pulled @ ya) - w
+        del xa, pulled
         size = 1.0
         while size > 1e-4 and loss(w + size * step) > now:
             size /= 2
@@ -290,21 +299,22 @@ def _telling(bags: list[list[str]], toxic: list[int], sizes: dict[int, int]) ->
 def _diverse(words: list[str], most: int, alike: float = 0.6) -> list[str]:
     """The first words of the list of which none is much like an earlier one."""
     out: list[str] = []
-    kept = np.zeros((0, LETTERS**3), np.float32)
-    for at in range(0, min(len(words), 20 * most), 200):
-        part = words[at : at + 200]
-        for word, v in zip(part, _features(part), strict=True):
-            if len(out) < most and (not len(kept) or (kept @ v).max() < alike):
-                out.append(word)
-                kept = np.vstack([kept, v])
+    kept = np.zeros((most, LETTERS**3), np.float32)
+    words = words[: -(-20 * most // 200) * 200]
+    for word, v in zip(words, (v for part in _parts(words) for v in part), strict=True):
+        if len(out) < most and (not out or (kept[: len(out)] @ v).max() < alike):
+            kept[len(out)] = v
+            out.append(word)
     return out
 
 
 def _maps(landmarks: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The triples that the landmarks have, and what each adds to the Nystroem features."""
-    base = _features(landmarks)
-    used = np.flatnonzero(base.any(0))
-    base = base[:, used]
+    some = np.zeros(LETTERS**3, bool)
+    for part in _parts(landmarks):
+        some |= part.any(0)
+    used = np.flatnonzero(some)
+    base = np.concatenate([part[:, used] for part in _parts(landmarks)])
     values, vectors = np.linalg.eigh((base @ base.T).astype(np.float64))
     top = values > 1e-3
     return used, (base.T @ (vectors[:, top] / np.sqrt(values[top]))).astype(np.float32)

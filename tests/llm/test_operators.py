@@ -384,6 +384,21 @@ def test_line_signatures():
     assert (lines.bands() == expected.view(np.int64)).all()
 
 
+def test_training_memory():
+    """Landmarks are compared and mapped a few words at a time; each word's row has 85,184 numbers."""
+    rng = np.random.default_rng(14)
+    words = ["".join(map(chr, rng.integers(97, 123, 8))) for _ in range(240)]
+    tracemalloc.start()
+    assert len(toxicity._diverse(words, 100)) == 100
+    used, maps = toxicity._maps(words)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = toxicity._features(words)
+    assert (used == np.flatnonzero(whole.any(0))).all() and most < 100e6
+    again = whole[:, used] @ maps
+    assert np.abs(again @ again.T - whole @ whole.T).max() < 1e-3
+
+
 def test_small_batches(spark):
     """Rows with long texts go to Python a few MB at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
