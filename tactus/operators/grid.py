@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from tactus.functions import constants as k
 from tactus.functions.scalars import grid_slot, panel_codes
 from tactus.operators import timing
-from tactus.operators.ordered import scan
+from tactus.operators.ordered import KEY, dealt, scan
+
+#: Slots that are laid out from one row at a time.
+BLOCK = 4096
 
 
 def to_slots(rows: DataFrame, counts: DataFrame, keys: Sequence[str], *, beat: str = "beat") -> DataFrame:
@@ -58,12 +61,14 @@ def placement(
     )
 
 
+def _slot_count(beats: str) -> Column:
+    """How many fine slots fit into these beats, at least one."""
+    return F.greatest((F.greatest(F.col(beats), F.lit(0.0)) * F.lit(float(k.FINE_SLOTS_PER_BEAT))).cast("int"), F.lit(1))
+
+
 def grid_beats(songs: DataFrame, keys: Sequence[str], *, beats: str = "total_beats") -> DataFrame:
     """P16 - fine slots of a song and the beat each stands on, at least one per song."""
-    count = F.greatest(
-        (F.greatest(F.col(beats), F.lit(0.0)) * F.lit(float(k.FINE_SLOTS_PER_BEAT))).cast("int"), F.lit(1)
-    )
-    return songs.select(*keys, F.explode(F.sequence(F.lit(0), count - 1)).alias("fine")).withColumn(
+    return songs.select(*keys, F.explode(F.sequence(F.lit(0), _slot_count(beats) - 1)).alias("fine")).withColumn(
         "beat", F.col("fine") / F.lit(float(k.FINE_SLOTS_PER_BEAT))
     )
 
@@ -80,11 +85,37 @@ def grid_times(
 
     ``points`` are the breakpoints of the songs. A song has as many slots as fit into the beats reached
     at its duration, at least one; without a timing map that one has no time.
+
+    A breakpoint gives the times of all slots from its beat to the next one's. Breakpoints meet the counts of their
+    songs, and slots are laid out after that, so the slots themselves are never shuffled or sorted.
     """
     reached = timing.beat_at_time(
         songs.select(*keys, duration), points, keys, time=duration, probe_id=[duration], segment=segment, out="total_beats"
     )
-    return timing.time_at_beat(grid_beats(reached, keys), points, keys, probe_id=["fine"], segment=segment)
+    per = F.lit(float(k.FINE_SLOTS_PER_BEAT))
+    # Inside a struct nulls are equal, so songs with nulls among their keys find their breakpoints.
+    counts = reached.select(F.struct(*keys).alias(KEY), _slot_count("total_beats").cast("bigint").alias("__n"))
+    # Of rows on one beat the last one holds; only it has a later row, if any, on another beat.
+    held = F.max_by(F.struct("t_end", "bpm"), F.struct("declared", "kind", "value", "t_end"))
+    after = F.max(F.coalesce(F.col("next_beat"), F.lit(float("inf"))))
+    starts = points.groupBy(F.struct(*keys).alias(KEY), F.col("beat").alias("__beat")).agg(held.alias("__hit"), after.alias("__after"))
+    joined = dealt(counts, KEY).join(dealt(starts, KEY), KEY, "left")
+
+    def first_slot(beat: Column) -> Column:
+        """The first slot on or after a beat, or the count of slots if there is none."""
+        near = F.ceil(beat * per)
+        exact = F.when((near - 1) / per >= beat, near - 1).when(near / per < beat, near + 1).otherwise(near)
+        return F.when(beat > (F.col("__n") - 1) / per, F.col("__n")).otherwise(F.greatest(exact, F.lit(0)))
+
+    known = F.col("__beat").isNotNull()
+    ranges = joined.withColumn("__lo", F.when(known, first_slot(F.col("__beat"))).otherwise(F.lit(0)))
+    ranges = ranges.withColumn("__hi", F.when(known, first_slot(F.col("__after"))).otherwise(F.col("__n")) - 1).where(F.col("__lo") <= F.col("__hi"))
+    blocks = ranges.withColumn("__at", F.explode(F.sequence("__lo", "__hi", F.lit(BLOCK).cast("bigint"))))
+    laid = blocks.withColumn("__fine", F.explode(F.sequence("__at", F.least(F.col("__at") + (BLOCK - 1), F.col("__hi")))))
+    beat = F.col("__fine").cast("int") / per
+    rate = F.when(F.col("__hit.bpm") > 0, F.lit(60.0) / F.col("__hit.bpm")).otherwise(F.lit(0.0))
+    time = F.col("__hit.t_end") + (beat - F.col("__beat")) * rate
+    return laid.select(*[F.col(f"{KEY}.{c}").alias(c) for c in keys], F.col("__fine").cast("int").alias("fine"), beat.alias("beat"), time.alias("time"))
 
 
 def frame_edges(slots: DataFrame, keys: Sequence[str], frames: DataFrame, *, time: str = "time", fps: float = k.FRAME_RATE, slot: str = "slot", segment: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
-from tactus.operators import audit, radar
+from tactus.operators import audit, grid, radar, timing
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "chart int, slot int, codes array<int>"
@@ -110,3 +110,28 @@ def test_keys_within_one_segment_carry_nothing(spark):
     found.collect()
     final = found._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
     assert "Join" not in final
+
+
+def test_grid_times(spark, monkeypatch):
+    """Slots are laid out after the breakpoints have met their songs, with the times that a look-up of each slot gives."""
+    monkeypatch.setattr(grid, "BLOCK", 7)
+    rng = random.Random(8)
+    songs, tempo, stops = [(None, 0.5, 9.0), (98, 0.0, 3.0), (99, 0.0, 2000.0)], [(None, 1.0, 100.0), (99, 0.0, 120.0)], [(None, 2.0, 0.5)]
+    for song in range(30):
+        songs.append((song, rng.choice([0.0, 0.3, -1.1]), rng.choice([-5.0, 0.0, 4.0, 20.0])))
+        # On slots, beside them and on one beat more than once.
+        beats = [rng.choice([rng.randrange(200) / 24, rng.randrange(200) * (1 / 24), rng.random() * 8, 1.0, -1.0, 60.0]) for _ in range(6)]
+        tempo += [(song, b, rng.choice([0.0, 90.0, 133.0])) for b in beats[:4]]
+        stops += [(song, b, rng.choice([0.0, 0.7])) for b in [*beats[3:], 1.0]]
+    songs = spark.createDataFrame(songs, "song int, offset double, duration double")
+    tempo = spark.createDataFrame(sorted(set(tempo), key=str), "song int, beat double, bpm double")
+    stops = spark.createDataFrame(sorted(set(stops), key=str), "song int, beat double, seconds double")
+    points = timing.breakpoints(tempo, stops, songs, ["song"], segment=2.0)
+    found = grid.grid_times(songs, points, ["song"], segment=2.0)
+    plan = executed(found)
+    assert "Generate" in plan and "Exchange" not in plan[: plan.index("Generate")]
+    reached = timing.beat_at_time(songs, points, ["song"], time="duration", probe_id=["duration"], segment=2.0, out="total_beats")
+    looked_up = timing.time_at_beat(grid.grid_beats(reached, ["song"]), points, ["song"], probe_id=["fine"], segment=2.0)
+    rows = sorted(map(str, (tuple(r) for r in found.select("song", "fine", "beat", "time").collect())))
+    assert rows == sorted(map(str, (tuple(r) for r in looked_up.select("song", "fine", "beat", "time").collect())))
+    assert len(rows) > 90_000 and "(98, 0, 0.0, None)" in rows
