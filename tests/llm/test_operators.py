@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import tracemalloc
 import zlib
 from collections import Counter
@@ -399,6 +400,35 @@ def test_training_memory():
     assert np.abs(again @ again.T - whole @ whole.T).max() < 1e-3
 
 
+def test_counted_arrays():
+    """Stems are counted a few texts at a time: 400 arrays of 20,000 numbers take 64 MB together."""
+    tracemalloc.start()
+    values, counts = toxicity._counted(np.random.default_rng(seed).integers(0, 30_000, 20_000) for seed in range(400))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = np.concatenate([np.random.default_rng(seed).integers(0, 30_000, 20_000) for seed in range(400)])
+    expected = np.unique(whole, return_counts=True)
+    assert (values == expected[0]).all() and (counts == expected[1]).all() and most < 60e6
+    assert [len(x) for x in toxicity._counted(iter([]))] == [0, 0]
+
+
+def test_training_is_a_task(spark, monkeypatch):
+    """The texts that a model is fitted on do not come to the driver; the model is the one of these texts in order."""
+    texts, marks = sentences(300, 3)
+    rows = [(i, t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, m) for i, m in enumerate(marks)], "doc_id long, toxic int")
+    mine = sorted(i for i in range(300) if zlib.crc32(str(i).encode()) % 4 != 2)
+    model, expected = toxicity.fit(table, labels), toxicity.train([texts[i] for i in mine], [marks[i] for i in mine])
+    # Threads of the linear algebra differ between driver and worker, so the last digits may.
+    assert np.abs(model.weights - expected.weights).max() < 1e-4
+    block = spans.Block(pa.array(texts))
+    assert np.abs(model.score(block) - expected.score(block)).max() < 1e-4
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: toxicity.Model(np.zeros(toxicity.LETTERS**3), float(os.getpid()), float(len(texts)), 0.0))
+    model = toxicity.fit(table, labels)
+    assert model.bias != os.getpid() and model.slope == len(mine)
+
+
 def test_small_batches(spark):
     """Rows with long texts go to Python a few MB at a time."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
